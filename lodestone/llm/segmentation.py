@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 CACHE_WORDS = 200_000
-#: Code points that no piece holds; it stands for a word mark that is itself in the text.
-_LITERAL = "￿"
+#: A lone surrogate, which no text can hold; it stands for a word mark that is itself in the text.
+_LITERAL = "\udfff"
 
 
 class Pieces:
