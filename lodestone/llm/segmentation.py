@@ -126,12 +126,12 @@ def pieces(model_path: str) -> Pieces:
 
 
 def sample(vocab: Pieces, text: str, k: int, rng: np.random.Generator) -> list[tuple[list[int], float, float]]:
-    """Up to k distinct segmentations in the order drawn: (ids, log-probability, inclusion score).
+    """Up to k distinct segmentations in the order drawn: (ids, log-probability, log of the inclusion score).
 
     Fewer than k only if the text has fewer; then every inclusion score is 1. The empty text has one, without ids.
     """
     if not text:
-        return [([], 0.0, 1.0)]
+        return [([], 0.0, 0.0)]
     words = [vocab.word(c) for c in vocab.chunks(text)]
     pool: list[float] = []
     at_random = 0
@@ -197,7 +197,13 @@ def sample(vocab: Pieces, text: str, k: int, rng: np.random.Generator) -> list[t
             path = path[1]
         done.append(([i for part in reversed(ids) for i in part], phi))
     kappa = pending[0][0] if pending else None
-    return [(ids, phi, 1.0 if kappa is None else -math.expm1(-math.exp(min(700.0, phi - kappa)))) for ids, phi in done]
+    return [(ids, phi, 0.0 if kappa is None else _log_inclusion(phi - kappa)) for ids, phi in done]
+
+
+def _log_inclusion(x: float) -> float:
+    """log(1 - exp(-exp(x))), which is x itself far down."""
+    inside = -math.expm1(-math.exp(min(700.0, x)))
+    return math.log(inside) if inside > 1e-300 else x
 
 
 def row_rng(seed: int, *key) -> np.random.Generator:
@@ -206,7 +212,7 @@ def row_rng(seed: int, *key) -> np.random.Generator:
 
 
 def sample_segmentations(rows: DataFrame, model_path: str, k: int = 3, seed: int = 0, key_cols: tuple[str, ...] = ("conv_id", "turn"), text_col: str = "text") -> DataFrame:
-    """The key columns, draw (from 0), ids, log_prob, inclusion and round_trip (decoding gives the text).
+    """The key columns, draw (from 0), ids, log_prob, inclusion, log_inclusion (of long texts the score itself may be too small for a double) and round_trip (decoding gives the text).
 
     Defined cases: a null text counts as empty: one draw without ids, log-probability 0, inclusion 1; null keys are
     keys like others; rows with the same key and text get the same draws; a text with fewer than k segmentations
@@ -230,11 +236,11 @@ def sample_segmentations(rows: DataFrame, model_path: str, k: int = 3, seed: int
                             column.append(value)
                 index = pa.array(take, pa.int64())
                 kinds = (pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([*[part.column(j).take(index) for j in range(n_keys)], *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=[*[f"k{j}" for j in range(n_keys)], "draw", "ids", "log_prob", "inclusion", "round_trip"])
+                yield pa.RecordBatch.from_arrays([*[part.column(j).take(index) for j in range(n_keys)], *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=[*[f"k{j}" for j in range(n_keys)], "draw", "ids", "log_prob", "log_inclusion", "round_trip"])
 
-    schema = ", ".join(f"k{j} {t}" for j, t in enumerate(types)) + ", draw int, ids array<int>, log_prob double, inclusion double, round_trip boolean"
+    schema = ", ".join(f"k{j} {t}" for j, t in enumerate(types)) + ", draw int, ids array<int>, log_prob double, log_inclusion double, round_trip boolean"
     out = rows.select(*[F.col(c).alias(f"k{j}") for j, c in enumerate(key_cols)], F.col(text_col).alias("text")).mapInArrow(run, schema)
-    return out.select(*[F.col(f"k{j}").alias(c) for j, c in enumerate(key_cols)], "draw", "ids", "log_prob", "inclusion", "round_trip")
+    return out.select(*[F.col(f"k{j}").alias(c) for j, c in enumerate(key_cols)], "draw", "ids", "log_prob", F.exp("log_inclusion").alias("inclusion"), "log_inclusion", "round_trip")
 
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", key_cols: tuple[str, ...] = ("conv_id", "turn")) -> DataFrame:
