@@ -14,8 +14,9 @@ like that band. Small bands, and bands in which some set has too few non-zero pa
 single elements for parts.
 
 Keys are combined before the shuffle: of the sets of one batch that share a key only the first
-goes out for it. Candidates are first verified along stars (each set against the
-set with which it shares the most keys as that key's first); then every pair that shares a key and is not yet connected is
+goes out for it, and keys with the same sets are one group. Candidates are first verified along stars (each set against the
+first set of the groups with which it shares the most keys). Where a group's members are then all connected, its keys are
+settled; for every other key all sets that have it are gathered, and every pair of those that is not connected is
 verified. Verification counts the intersection of whole sets.
 """
 
@@ -26,7 +27,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +43,7 @@ BUCKET_KEYS = 1_000_000
 ELEMENT_BELOW = 16
 FILTER_BITS = 1 << 24
 U = np.uint64
-_MIX = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)]
+_MIX = U(0xC2B2AE3D27D4EB4F)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,25 +52,103 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams; fewer words make one shingle, none make none."""
-    if not text:
-        return np.zeros(0, U)
-    found = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII space only
-    n = len(found)
-    if not n:
-        return np.zeros(0, U)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, found), U, n)
-    take = min(n, words)
-    total = np.full(n - take + 1, take, U)
-    for k in range(take):
-        total += mix(h[k : n - take + 1 + k] + _MIX[k % len(_MIX)]) * (_MIX[k % len(_MIX)] + U(2 * (k // len(_MIX))))
-    return np.unique(mix(total))
-
-
-def set_id(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for a set."""
-    return int(np.bitwise_xor.reduce(mix(s + U(11))).view(np.int64)), int((mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U)).view(np.int64))
+# per byte: a random value (A-Z as a-z), 0 for the ASCII white space that separates words
+_VALUE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
+_VALUE[65:91] = _VALUE[97:123]
+_VALUE[[32, 9, 10, 11, 12, 13]] = 0
+_BASE = 0x5851F42D4C957F2D
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """base^i and base^-i modulo 2^64."""
+    if len(_powers[0]) < n:
+        size = max(n, 2 * len(_powers[0]), 1 << 20)
+        for k, base in enumerate((_BASE, _INVERSE)):
+            table, filled = np.ones(size, U), 1
+            while filled < size:
+                take = min(filled, size - filled)
+                table[filled : filled + take] = table[:take] * U(pow(base, filled, 1 << 64))
+                filled += take
+            _powers[k] = table
+    return _powers
+
+
+class Sets:
+    """The shingle sets of a run of texts: sorted distinct 64-bit hashes, those of text k at starts[k] to starts[k + 1]."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, words: int = WORDS):
+        """``data``: the texts' UTF-8 bytes, text k at offsets[k] to offsets[k + 1]."""
+        docs = len(offsets) - 1
+        value = _VALUE[data]
+        solid = value != 0
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        before = np.concatenate(([False], solid[:-1])) if len(data) else solid
+        first = np.flatnonzero(solid & (~before | edge[:-1]))
+        after = np.concatenate((solid[1:], [False])) if len(data) else solid
+        last = np.flatnonzero(solid & (~after | edge[1:])) + 1
+        power, inverse = _power_tables(len(data) + 1)
+        total = np.zeros(len(data) + 1, U)
+        np.cumsum(value * power[: len(data)], out=total[1:])
+        word = mix((total[last] - total[first]) * inverse[first])
+        at = np.searchsorted(first, offsets)  # word k of text d: at[d] + k
+        n_words = np.diff(at)
+        n_grams = np.where(n_words > 0, np.maximum(n_words - words + 1, 1), 0)
+        raw = np.concatenate(([0], np.cumsum(n_grams)))
+        doc = np.repeat(np.arange(docs), n_grams)
+        place = np.arange(raw[-1]) - raw[doc] + at[doc]
+        gram = np.zeros(raw[-1], U)
+        padded = np.concatenate((word, np.zeros(words, U)))
+        factor = [mix(np.array([k + 1], U))[0] | U(1) for k in range(words)]
+        whole = n_words[doc] >= words
+        for k in range(words):
+            part = padded[place + k] * factor[k]
+            gram += np.where(whole | (k < n_words[doc]), part, U(0))
+        gram = mix(gram + np.minimum(n_words, words)[doc].astype(U))
+        for d in np.flatnonzero(n_grams > 1):
+            gram[raw[d] : raw[d + 1]].sort()
+        new = np.ones(len(gram), bool)
+        new[1:] = (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])
+        self.items = gram[new]
+        self.owner = doc[new]
+        self.sizes = np.bincount(self.owner, minlength=docs)
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
+
+    def of(self, k: int) -> np.ndarray:
+        return self.items[self.starts[k] : self.starts[k + 1]]
+
+    def ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits that stand for each set, as two signed arrays; 0 for an empty set."""
+        out = np.zeros((2, len(self.sizes)), U)
+        full = np.flatnonzero(self.sizes)
+        if len(full):
+            out[0, full] = np.bitwise_xor.reduceat(mix(self.items + U(11)), self.starts[full])
+            out[1, full] = np.add.reduceat(mix(self.items ^ U(0x5851F42D4C957F2D)), self.starts[full])
+        return out[0].view(np.int64), out[1].view(np.int64)
+
+
+def sets_of(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, Sets]]:
+    """(first row, sets) of runs of an Arrow string column, about ``limit`` bytes of whole texts each; null counts as empty."""
+    column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
+    if column.null_count:
+        column = column.fill_null("")
+    _, offsets, data = column.buffers()
+    n = len(column)
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + n + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
+        yield lo, Sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        lo = hi
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The set of one text."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    return Sets(raw, np.array([0, len(raw)])).items
 
 
 @dataclass(frozen=True)
@@ -80,43 +158,72 @@ class Plan:
     element_bands: frozenset[int] = frozenset()
     parts: int = 3
 
-    def schemes(self, n: int) -> list[tuple[int, int]]:
-        """(band, most differing elements) under which a set of n elements is sketched."""
-        band = (n.bit_length() - 1) // 2
-        low = 4**band
-        out = [(band, (n + 4 * n // 3) // 7)]
-        if band and -(-3 * n // 4) < low:
-            out.append((band - 1, (min(n, low - 1) + n) // 7))
-        return out
+    def keys(self, s: Sets, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For the own band, then the band below: sets, their bands and most differing elements, key starts, keys.
 
-    def keys(self, s: np.ndarray, band: int) -> np.ndarray:
-        """The keys of the set's non-zero parts in a band's sketch."""
+        ``chosen`` are the non-empty sets to sketch; in the band below only those with a possible partner there.
+        """
+        n = s.sizes[chosen]
+        band = np.array([(int(x).bit_length() - 1) // 2 for x in n], np.int64)
         low = 4**band
-        if low < ELEMENT_BELOW or band in self.element_bands:
-            return mix(s ^ U(band + 1))
-        part = ((s >> U(32)) * U(self.parts * low)) >> U(32)  # sorted, as s is
-        bit = U(1) << (s & U(63))
-        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        value = np.bitwise_xor.reduceat(bit, first)
+        yield self._sketch(s, chosen, band, (n + 4 * n // 3) // 7)
+        down = (band > 0) & (-(-3 * n // 4) < low)
+        yield self._sketch(s, chosen[down], band[down] - 1, (np.minimum(n, low - 1) + n)[down] // 7)
+
+    def _sketch(self, s: Sets, chosen: np.ndarray, band: np.ndarray, most: np.ndarray):
+        n = s.sizes[chosen]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        which = np.repeat(np.arange(len(chosen)), n)
+        x = s.items[np.repeat(s.starts[chosen] - (ends - n), n) + np.arange(total)]
+        low = 4**band
+        single = (low < ELEMENT_BELOW) | np.isin(band, list(self.element_bands))
+        many = (self.parts * low).astype(U)
+        part = ((x >> U(32)) * many[which]) >> U(32)  # ascending in a set, as its elements are
+        lone = single[which]
+        part[lone] = x[lone]
+        start = np.ones(total, bool)
+        start[1:] = (part[1:] != part[:-1]) | (which[1:] != which[:-1])
+        first = np.flatnonzero(start)
+        value = np.bitwise_xor.reduceat(U(1) << (x & U(63)), first) if total else x
         full = value != 0
-        return mix(mix(value[full] + U(band)) + part[first][full] * _MIX[1])
-
-
-def prefix(keys: np.ndarray, length: int, hot: np.ndarray, hot_count: np.ndarray) -> np.ndarray:
-    """The first keys in the global order: unlisted ones by value, then listed ones by count and value."""
-    if len(keys) <= length:
-        return keys
-    if len(hot):
-        at = np.searchsorted(hot, keys)
-        at[at == len(hot)] = 0
-        listed = hot[at] == keys
-        if listed.any():
-            cold = keys[~listed]
+        part, which, value = part[first][full], which[first][full], value[full]
+        keys = mix(mix(value + band[which].astype(U) * U(64)) + part * _MIX)
+        starts = np.concatenate(([0], np.cumsum(np.bincount(which, minlength=len(chosen)))))
+        return chosen, band, most, starts, keys
+
+
+class Order:
+    """The global order of keys: unlisted ones by value, then listed ones by count and value."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        at = np.argsort(keys)
+        self.keys, self.counts = keys[at], counts[at]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(keys >> U(44)).astype(np.int64)] = True
+
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        """The count of listed keys, 0 for others."""
+        out = np.zeros(len(keys), np.int64)
+        likely = np.flatnonzero(self.maybe[(keys >> U(44)).astype(np.int64)])
+        if len(likely):
+            at = np.minimum(np.searchsorted(self.keys, keys[likely]), len(self.keys) - 1)
+            hit = self.keys[at] == keys[likely]
+            out[likely[hit]] = self.counts[at[hit]]
+        return out
+
+    def prefix(self, keys: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
+        """The first ``length`` of a set's keys."""
+        if len(keys) <= length:
+            return keys
+        warm = counts > 0
+        if warm.any():
+            cold = keys[~warm]
             if len(cold) < length:
-                warm, n = keys[listed], hot_count[at[listed]]
-                return np.concatenate([cold, warm[np.lexsort((warm, n))][: length - len(cold)]])
+                hot, n = keys[warm], counts[warm]
+                return np.concatenate([cold, hot[np.lexsort((hot, n))][: length - len(cold)]])
             keys = cold
-    return np.partition(keys, length - 1)[:length] if len(keys) > length else keys
+        return np.partition(keys, length - 1)[:length] if len(keys) > length else keys
 
 
 class _Seen:
@@ -131,136 +238,208 @@ class _Seen:
         if got is None:
             if len(self.rows) >= self.bound:
                 self.rows.clear()
-            self.rows[key] = rid
-            return rid
+            self.rows[key] = got = rid
         return got
 
+    def new(self, s: Sets, ids: tuple[np.ndarray, np.ndarray], rids: range) -> tuple[np.ndarray, np.ndarray]:
+        """For each set the rid it goes by, and the sets that are not empty and met for the first time."""
+        names = np.array([self.first(k, r) if k[2] else r for k, r in zip(zip(ids[0].tolist(), ids[1].tolist(), s.sizes.tolist(), strict=True), rids, strict=True)], np.int64)
+        return names, np.flatnonzero((names == np.asarray(rids)) & (s.sizes > 0))
 
-def _count_keys(rows: DataFrame, plan: Plan) -> tuple[np.ndarray, np.ndarray, frozenset[int], int]:
-    """Frequent keys and their counts, bands that need element parts, and the number of keys to come."""
+
+def _count_keys(rows: DataFrame, plan: Plan, scratch: Scratch) -> tuple[Order, frozenset[int], int]:
+    """The order of keys, bands that need element parts, and the number of keys to come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, weak, total = _Seen(), set(), 0
+        seen, weak, total, at = _Seen(), set(), 0, 0
         for batch in batches:
             found, docs = [], 0
-            for text in batch.column(1).to_pylist():
-                s = shingles(text)
-                n = len(s)
-                if not n or seen.first((*set_id(s), n), docs) != docs:
-                    continue
-                docs += 1
-                for band, d in plan.schemes(n):
-                    keys = plan.keys(s, band)
-                    if len(keys) <= d:
-                        weak.add(band)
-                    total += min(len(keys), d + 1)
+            for _, s in sets_of(batch.column(0)):
+                _, fresh = seen.new(s, s.ids(), range(at, at + len(s.sizes)))
+                at, docs = at + len(s.sizes), docs + len(fresh)
+                for _, band, most, starts, keys in plan.keys(s, fresh):
+                    weak.update(band[np.diff(starts) <= most].tolist())
+                    total += int(np.minimum(np.diff(starts), most + 1).sum())
                     found.append(keys)
             if found:
                 keys, n = np.unique(np.concatenate(found), return_counts=True)
                 often = n >= max(3, docs // 1000)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(n[often], pa.int64()), pa.array([0] * int(often.sum()), pa.int32())], names=["key", "n", "kind"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(n[often], pa.int64()), pa.array(np.zeros(int(often.sum()), np.int32))], names=["key", "n", "kind"])
         extra = [(b, 1, 1) for b in sorted(weak)] + [(0, total, 2)]
         yield pa.RecordBatch.from_arrays([pa.array([e[j] for e in extra], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["key", "n", "kind"])
 
-    got = rows.mapInArrow(run, "key long, n long, kind int").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    got = Scratch(rows.sparkSession, "jaccard-counts").put(got, "counts")
+    got = rows.select("text").mapInArrow(run, "key long, n long, kind int").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    got = scratch.put(got, "counts")
     aside = got.filter("kind > 0").collect()
     listed = got.filter("kind = 0").orderBy(F.col("n").desc(), "key").limit(HOT_KEYS).select("key", "n").toPandas()
-    keys = listed["key"].to_numpy(np.int64).view(U)
-    order = np.argsort(keys)
-    return keys[order], listed["n"].to_numpy(np.int64)[order], frozenset(r["key"] for r in aside if r["kind"] == 1), sum(r["n"] for r in aside if r["kind"] == 2)
+    order = Order(listed["key"].to_numpy(np.int64).view(U), listed["n"].to_numpy(np.int64))
+    return order, frozenset(r["key"] for r in aside if r["kind"] == 1), sum(r["n"] for r in aside if r["kind"] == 2)
 
 
-_ROW = "kind int, bucket int, rid long, n long, s1 long, s2 long, key long, keys binary, refs binary"
-_TYPES = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+#: kind 0: a document's set. 1: keys on their way to their bucket. 2: an edge with its number of keys. 3: a group of sets (rids) that share keys.
+_FIELDS = (
+    ("kind", pa.int32(), "int"), ("bucket", pa.int32(), "int"), ("rid", pa.int64(), "long"), ("n", pa.int64(), "long"), ("s1", pa.int64(), "long"),
+    ("s2", pa.int64(), "long"), ("keys", pa.binary(), "binary"), ("rids", pa.binary(), "binary"),
+)
+_ROW = ", ".join(f"{n} {t}" for n, _, t in _FIELDS)
 
 
-def _rows(id_column: pa.Array, records: list[dict], names: list[str]) -> pa.RecordBatch:
-    cols = [pa.array([r.get(c) for r in records], t) for c, t in zip(names, _TYPES, strict=True)]
-    return pa.RecordBatch.from_arrays([id_column, *cols], names=["id", *names])
+def _batch(count: int, id_type: pa.DataType, ids: pa.Array | None = None, **columns) -> pa.RecordBatch:
+    arrays = [ids if ids is not None else pa.nulls(count, id_type)]
+    for name, kind, _ in _FIELDS:
+        arrays.append(pa.array(columns[name], kind) if name in columns else pa.nulls(count, kind))
+    return pa.RecordBatch.from_arrays(arrays, names=["id", *[f[0] for f in _FIELDS]])
 
 
-def _members(rows: DataFrame, plan: Plan, hot: np.ndarray, hot_count: np.ndarray, n_keys: int, scratch: Scratch, id_type: str) -> tuple[DataFrame, DataFrame]:
-    """Written tables: sets (id, rid, n, s1, s2) with a row per document, members (key, rid) of shared keys.
+def _groups(keys: np.ndarray, rids: np.ndarray, id_type: pa.DataType, buckets: int) -> tuple[np.ndarray, np.ndarray, Iterator[pa.RecordBatch]]:
+    """Each key with its first rid; and rows: edges (first rid, other rid, keys in common), groups with their keys.
 
-    A rid names a set within a task: its partition and first row. Both tables come from one job.
+    Keys whose groups have equal members are one group.
+    """
+    order = np.lexsort((rids, keys))
+    keys, rids = keys[order], rids[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (rids[1:] != rids[:-1])
+    keys, rids = keys[new], rids[new]
+    lead = np.ones(len(keys), bool)
+    lead[1:] = keys[1:] != keys[:-1]
+    starts = np.flatnonzero(lead)
+    sizes = np.diff(np.concatenate((starts, [len(keys)])))
+    key, first = keys[starts], rids[starts]
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        many = np.flatnonzero(sizes > 1)
+        if not len(many):
+            return
+        mark = np.add.reduceat(mix(rids.astype(U)), starts)[many]
+        by = np.lexsort((many, mark))
+        many, mark = many[by], mark[by]
+        heads = np.flatnonzero(np.concatenate(([True], mark[1:] != mark[:-1])))
+        weight = np.diff(np.concatenate((heads, [len(many)])))
+        held = many[heads]  # one key of each group
+        inside = np.repeat(starts[held] - np.concatenate(([0], np.cumsum(sizes[held])[:-1])), sizes[held]) + np.arange(sizes[held].sum())
+        a, b, w = np.repeat(first[held], sizes[held]), rids[inside], np.repeat(weight, sizes[held])
+        keep = a != b
+        a, b, w = a[keep], b[keep], w[keep]
+        at = np.lexsort((b, a))
+        a, b, w = a[at], b[at], w[at]
+        cut = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        a, b, w = a[cut], b[cut], np.add.reduceat(w, cut)
+        yield _batch(len(a), id_type, kind=np.full(len(a), 2, np.int32), bucket=(b % buckets).astype(np.int32), rid=a, s1=b, n=w)
+        raw = key.view(np.int64)
+        ends = np.concatenate((heads, [len(many)]))
+        for lo in range(0, len(held), 20_000):
+            part = range(lo, min(lo + 20_000, len(held)))
+            yield _batch(
+                len(part), id_type, kind=np.full(len(part), 3, np.int32), bucket=(first[held[part]] % buckets).astype(np.int32), rid=first[held[part]],
+                keys=[raw[many[ends[k] : ends[k + 1]]].tobytes() for k in part],
+                rids=[rids[starts[held[k]] : starts[held[k]] + sizes[held[k]]].tobytes() for k in part],
+            )
+
+    return key, first, rows()
+
+
+def _sketches(rows: DataFrame, plan: Plan, order: Order, n_keys: int, scratch: Scratch, id_type: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: sets (id, rid, n, s1, s2) with a row per document, edges (a, b, votes), groups (rid, keys, rids).
+
+    A rid names a set within a task: its partition and first row. All three come from one job.
     """
-    held = rows.sparkSession.sparkContext.broadcast((hot, hot_count))
+    held = rows.sparkSession.sparkContext.broadcast(order)
     buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_keys // BUCKET_KEYS + 1)
-    names = [f.split()[0] for f in _ROW.split(", ")]
-
-    def pairs(keys: np.ndarray, rids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted keys and rids without repeats, and whether the key occurs more than once."""
-        order = np.lexsort((rids, keys))
-        keys, rids = keys[order], rids[order]
-        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (rids[1:] != rids[:-1])))
-        keys, rids = keys[new], rids[new]
-        same = keys[1:] == keys[:-1]
-        return keys, rids, np.concatenate((same, [False])) | np.concatenate(([False], same))
-
-    def shared(keys: np.ndarray, rids: np.ndarray, id_null: pa.DataType, bucket: np.ndarray) -> pa.RecordBatch:
-        n = len(keys)
-        full = {"kind": pa.array(np.full(n, 2, np.int32)), "bucket": pa.array(bucket.astype(np.int32)), "rid": pa.array(rids), "key": pa.array(keys.view(np.int64))}
-        return pa.RecordBatch.from_arrays([pa.nulls(n, id_null), *[full.get(c, pa.nulls(n, t)) for c, t in zip(names, _TYPES, strict=True)]], names=["id", *names])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_keys, counts = held.value
+        ranks = held.value
         seen, base = _Seen(), TaskContext.get().partitionId() << 36
         for batch in batches:
-            records, found, owner = [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                s, rid = shingles(text), base + k
-                n = len(s)
-                one, two = set_id(s) if n else (0, 0)
-                first = seen.first((one, two, n), rid) if n else rid
-                records.append({"kind": 0, "bucket": int(rid % buckets), "rid": first, "n": n, "s1": one, "s2": two})
-                if not n or first != rid:
-                    continue
-                for band, d in plan.schemes(n):
-                    keys = prefix(plan.keys(s, band), d + 1, hot_keys, counts)
-                    found.append(keys)
-                    owner.append(np.full(len(keys), rid, np.int64))
-            yield _rows(batch.column(0), records, names)
+            id_column, id_arrow = batch.column(0), batch.schema.field(0).type
+            found, owner = [], []
+            for lo, s in sets_of(batch.column(1)):
+                n, ids = len(s.sizes), s.ids()
+                rids = range(base + lo, base + lo + n)
+                names, fresh = seen.new(s, ids, rids)
+                yield _batch(n, id_arrow, id_column.slice(lo, n), kind=np.zeros(n, np.int32), bucket=(np.asarray(rids) % buckets).astype(np.int32), rid=names, n=s.sizes.astype(np.int64), s1=ids[0], s2=ids[1])
+                for chosen, _, most, starts, keys in plan.keys(s, fresh):
+                    counts = ranks.count(keys)
+                    for k in range(len(chosen)):
+                        a, b = starts[k], starts[k + 1]
+                        got = ranks.prefix(keys[a:b], counts[a:b], int(most[k]) + 1)
+                        found.append(got)
+                        owner.append((base + lo + int(chosen[k]), len(got)))
             base += batch.num_rows
             if not found:
                 continue
-            keys, rids, many = pairs(np.concatenate(found), np.concatenate(owner))
-            yield shared(keys[many], rids[many], batch.schema.field(0).type, rids[many] % buckets)
-            lead = np.concatenate(([True], keys[1:] != keys[:-1]))
-            keys, rids = keys[lead], rids[lead]
+            rid = np.array([o[0] for o in owner], np.int64)
+            keys, first, local = _groups(np.concatenate(found), np.repeat(rid, [o[1] for o in owner]), id_arrow, buckets)
+            yield from local
             to = (keys % U(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            keys, rids, to = keys[order], rids[order], to[order]
+            at = np.argsort(to, kind="stable")
+            keys, first, to = keys[at], first[at], to[at]
             cut = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True])))
-            low = int(rids.min())
-            refs = (rids - low).astype("<u4") if int(rids.max()) - low < 1 << 32 else None
-            blobs = [
-                {"kind": 1, "bucket": int(to[a]), "rid": low if refs is not None else -1, "keys": keys[a:b].tobytes(), "refs": (refs if refs is not None else rids)[a:b].tobytes()}
-                for a, b in zip(cut, cut[1:], strict=False)
-            ]
-            yield _rows(pa.nulls(len(blobs), batch.schema.field(0).type), blobs, names)
+            low = int(first.min())
+            refs = (first - low).astype("<u4")  # a batch has fewer rows than that
+            spans = list(zip(cut, cut[1:], strict=False))
+            yield _batch(len(spans), id_arrow, kind=np.ones(len(spans), np.int32), bucket=to[cut[:-1]].astype(np.int32), rid=np.full(len(spans), low), keys=[keys[a:b].tobytes() for a, b in spans], rids=[refs[a:b].tobytes() for a, b in spans])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, rids, id_null, bucket = [], [], pa.int64(), 0
+        keys, rids, id_arrow = [], [], pa.int64()
         for batch in batches:
-            id_null = batch.schema.field(0).type
+            id_arrow = batch.schema.field(0).type
             kind = batch.column(1).to_numpy(zero_copy_only=False)
             plain = batch.filter(pa.array(kind != 1))
             if plain.num_rows:
                 yield plain
             for k in np.flatnonzero(kind == 1):
-                low, bucket = batch.column(3)[k].as_py(), batch.column(2)[k].as_py()
-                raw = batch.column(9)[k].as_buffer()
-                keys.append(np.frombuffer(batch.column(8)[k].as_buffer(), U))
-                rids.append(np.frombuffer(raw, "<u4").astype(np.int64) + low if low >= 0 else np.frombuffer(raw, np.int64))
+                keys.append(np.frombuffer(batch.column(7)[k].as_buffer(), U))
+                rids.append(np.frombuffer(batch.column(8)[k].as_buffer(), "<u4").astype(np.int64) + batch.column(3)[k].as_py())
         if keys:
-            keys, rids, many = pairs(np.concatenate(keys), np.concatenate(rids))
-            yield shared(keys[many], rids[many], id_null, np.full(int(many.sum()), bucket))
+            yield from _groups(np.concatenate(keys), np.concatenate(rids), id_arrow, buckets)[2]
 
     schema = f"id {id_type}, {_ROW}"
     dealt = rows.mapInArrow(sketch, schema).repartitionById(buckets, F.col("bucket")).mapInArrow(gather, schema)
-    table = scratch.put(dealt.select("kind", "id", "rid", "n", "s1", "s2", "key"), "sketches")
-    return table.filter("kind = 0").select("id", "rid", "n", "s1", "s2"), table.filter("kind = 2").select("key", "rid").distinct()
+    table = scratch.put(dealt.drop("bucket"), "sketches")
+    edges = table.filter("kind = 2").select(F.col("rid").alias("a"), F.col("s1").alias("b"), F.col("n").alias("votes"))
+    return table.filter("kind = 0").select("id", "rid", "n", "s1", "s2"), edges, table.filter("kind = 3").select("rid", "keys", "rids")
+
+
+def _bitmap(values: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of fixed size of a column's low bits; it lets some others through, never holds one back."""
+    low = F.col(column).bitwiseAND(FILTER_BITS - 1)
+    words = values.select(F.shiftright(low, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    return np.unpackbits(table.view(np.uint8), bitorder="little").view(bool)
+
+
+def _open_members(groups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, rid) of every key of a group that holds one of the pairs (a, b; a is the group's first), with all the key's members."""
+    spark = groups.sparkSession
+    joined = groups.join(pairs.groupBy(F.col("a").alias("rid")).agg(F.count("*").alias("_n")), "rid", "left_semi")
+    b = spark.sparkContext.broadcast(_bitmap(pairs, "b"))
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.zeros(0, np.int64)]
+            for k in range(batch.num_rows):
+                rids = np.frombuffer(batch.column(2)[k].as_buffer(), np.int64)
+                if b.value[rids & (FILTER_BITS - 1)].any():
+                    out.append(np.frombuffer(batch.column(1)[k].as_buffer(), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], names=["key"])
+
+    open_keys = spark.sparkContext.broadcast(_bitmap(joined.mapInArrow(keys_of, "key long"), "key"))
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k in range(batch.num_rows):
+                own = np.frombuffer(batch.column(1)[k].as_buffer(), np.int64)
+                own = own[open_keys.value[own & (FILTER_BITS - 1)]]
+                if len(own):
+                    mine = np.frombuffer(batch.column(2)[k].as_buffer(), np.int64)
+                    keys.append(np.repeat(own, len(mine)))
+                    rids.append(np.tile(mine, len(own)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(rids))], names=["key", "rid"])
+
+    return groups.mapInArrow(members, "key long, rid long").distinct()
 
 
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -268,31 +447,20 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     A filter of a fixed size keeps most other sets out; those that slip through find no partner later.
     """
-    bit = F.pmod(F.col("s1"), F.lit(FILTER_BITS))
-    words = wanted.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(s1, {FILTER_BITS}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    table = np.zeros(FILTER_BITS // 64, np.int64)
-    table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
-    held = rows.sparkSession.sparkContext.broadcast(table.view(U))
+    held = rows.sparkSession.sparkContext.broadcast(_bitmap(wanted, "s1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, bits, k = _Seen(), held.value, 0
+        seen, at = _Seen(), 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                out: list[list] = [[], [], []]
-                for text in batch.column(1).slice(lo, 500).to_pylist():
-                    s = shingles(text)
-                    if not len(s):
-                        continue
-                    one, two = set_id(s)
-                    at = one % FILTER_BITS
-                    k += 1
-                    if not (int(bits[at >> 6]) >> (at & 63)) & 1 or seen.first((one, two, len(s)), k) != k:
-                        continue
-                    for column, value in zip(out, (one, two, s.view(np.int64)), strict=True):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], names=["s1", "s2", "elements"])
-
-    return rows.mapInArrow(run, "s1 long, s2 long, elements array<long>")
+            for _, s in sets_of(batch.column(0)):
+                one, two = s.ids()
+                _, fresh = seen.new(s, (one, two), range(at, at + len(s.sizes)))
+                at += len(s.sizes)
+                take = fresh[held.value[one[fresh] & (FILTER_BITS - 1)]]
+                lists = pa.array([s.of(k).view(np.int64) for k in take], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(one[take]), pa.array(two[take]), lists], names=["s1", "s2", "elements"])
+
+    return rows.select("text").mapInArrow(run, "s1 long, s2 long, elements array<long>")
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -326,36 +494,48 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id_type = docs.schema[id_col].dataType.simpleString()
     scratch = Scratch(spark, "jaccard-join")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    hot, hot_count, weak, n_keys = _count_keys(rows, Plan(parts=parts))
-    plan = Plan(weak, parts)
-    sets, members = _members(rows, plan, hot, hot_count, n_keys, scratch, id_type)
+    order, weak, n_keys = _count_keys(rows, Plan(parts=parts), scratch)
+    sets, edges, groups = _sketches(rows, Plan(weak, parts), order, n_keys, scratch, id_type)
     classes = sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("rid").alias("rep"), F.min("id").alias("least"))
     classes = scratch.put(classes, "classes")
-
     other = sets.filter("n > 0").select("rid", "s1", "s2", "n").distinct().join(classes, ["s1", "s2", "n"]).filter("rid <> rep").select("rid", "rep")
-    other = scratch.put(other, "other-names")
-    members = members.join(other, "rid", "left").select("key", F.coalesce("rep", "rid").alias("rep")).distinct()
-    members = scratch.put(members, "members")
-    first = members.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("m")).filter("m > 1").select("key", "a")
+    other = scratch.put(other, "other-names")  # equal sets that several tasks met go by one rid
+
+    def renamed(df: DataFrame, column: str) -> DataFrame:
+        names = other.select(F.col("rid").alias(column), F.col("rep").alias("_rep"))
+        return df.join(names, column, "left").withColumn(column, F.coalesce("_rep", column)).drop("_rep")
+
+    pairs = scratch.put(edges.groupBy("a", "b").agg(F.sum("votes").alias("votes")), "edges")
+    named = renamed(renamed(pairs.select("*", F.col("a").alias("ra"), F.col("b").alias("rb")), "a"), "b")
+    named = scratch.put(named.filter("a <> b"), "named-edges")
     sizes = classes.select("rep", "n")
-    votes = members.join(first, "key").filter("rep <> a").groupBy("rep", "a").agg(F.count("*").alias("votes"))
-    stars = votes.groupBy("rep").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", F.col("rep").alias("b"))
+    sized = named.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
+    near = sized.filter("4 * least(na, nb) >= 3 * greatest(na, nb)").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
+    stars = near.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     stars = scratch.put(stars, "stars")
     links = _linked(stars, classes, rows, scratch)
-    comps = scratch.put(connected_components(links, scratch), "first-components")
-
-    placed = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").join(sizes, "rep")
-    placed = scratch.put(placed.select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    open_ = scratch.put(placed.join(mixed, "key"), "open")
-    right = open_.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    rest = open_.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")).join(right, "key")
-    rest = rest.filter("a < b AND ca <> cb AND 4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b").distinct()
-    rest = scratch.put(rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = _linked(rest, classes, rows, scratch)
-        if not more.isEmpty():
-            comps = scratch.put(connected_components(links.union(more), scratch), "components")
+    comps = connected_components(links, scratch)
+
+    def placed(df: DataFrame, column: str, new: str) -> DataFrame:
+        own = comps.select(F.col("node").alias(column), F.col("comp").alias(new))
+        return df.join(own, column, "left").withColumn(new, F.coalesce(new, column))
+
+    apart = placed(placed(named, "a", "ca"), "b", "cb").filter("ca <> cb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    apart = scratch.put(apart, "open-edges")
+    if not apart.isEmpty():
+        members = renamed(_open_members(groups, apart).withColumnRenamed("rid", "rep"), "rep").distinct()
+        members = placed(members.join(sizes, "rep"), "rep", "comp")
+        members = scratch.put(members.select("key", "rep", "n", "comp"), "open-members")
+        mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+        members = scratch.put(members.join(mixed, "key"), "mixed-members")
+        right = members.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+        rest = members.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")).join(right, "key")
+        rest = rest.filter("a < b AND ca <> cb AND 4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b").distinct()
+        rest = scratch.put(rest.join(stars, ["a", "b"], "left_anti"), "rest")
+        if not rest.isEmpty():
+            more = _linked(rest, classes, rows, scratch)
+            if not more.isEmpty():
+                comps = connected_components(links.union(more), scratch)
 
     of_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", "least", F.coalesce("comp", "rep").alias("comp"))
     of_class = scratch.put(of_class, "class-components")
