@@ -2,8 +2,8 @@
 
 A document is the set of hashes of its five-word shingles. Sets of sizes a and b with Jaccard
 similarity of at least 3/4 differ in at most (a + b) / 7 elements. A parity sketch deals the elements into p
-parts by their hash, and in each part every element flips one of 64 bits; a differing element changes one
-part at most, so the sketches' distance bounds the symmetric difference from below, and (pigeonhole) two
+parts by their hash, and in each part every element flips one of 2^32 bits (a part is kept as the XOR of hashes of its set bits); a
+differing element changes one part at most, so the sketches' distance bounds the symmetric difference from below, and (pigeonhole) two
 similar sets agree in all of their non-zero parts but d. Hence, when the non-zero parts of all sets are put in one
 global order, the first d + 1 parts of two similar sets have one in common. The join is on (size
 band, part, value) of those. The order puts parts that many sets share last (counted over all documents), so that passages
@@ -185,7 +185,7 @@ class Plan:
         start = np.ones(total, bool)
         start[1:] = (part[1:] != part[:-1]) | (which[1:] != which[:-1])
         first = np.flatnonzero(start)
-        value = np.bitwise_xor.reduceat(U(1) << (x & U(63)), first) if total else x
+        value = np.bitwise_xor.reduceat(mix(x & U(0xFFFFFFFF)), first) if total else x  # stands for the bits that are set
         full = value != 0
         part, which, value = part[first][full], which[first][full], value[full]
         keys = mix(mix(value + band[which].astype(U) * U(64)) + part * _MIX)
