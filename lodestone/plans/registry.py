@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_queries, search_queries
+from . import file_queries, line_queries, search_queries
 
-MODULES = (search_queries, line_queries)
+MODULES = (search_queries, line_queries, file_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

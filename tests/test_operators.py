@@ -126,3 +126,20 @@ def test_cache(spark):
     c = frame(spark, [("u", 100), ("v", 50)], "key string, fetched_at long")
     assert [r["key"] for r in store.fresh(c, 150, 60).collect()] == ["u"] and store.fresh(c, 150, 0).count() == 0
     assert [r["key"] for r in store.to_backfill(c, frame(spark, [("u#chunk-0",)], "path string")).collect()] == ["v"]
+
+
+def test_file_intake(spark):
+    from lodestone.operators import files
+
+    rows = [("a/x.txt", b"hello"), ("a/.git/y", b"z"), ("b/img.png", b"p"), ("b/.env", b"K=1"), ("c/bin", b"\x00\x01"), ("c/key.txt", b'password = "abcdefgh1"')]
+    tree = frame(spark, [(p, c, len(c)) for p, c in rows], "path string, content binary, size long")
+    assert [(r["path"], r["content"]) for r in files.index_files(tree, 7).collect()] == [("a/x.txt", "hello")]
+    assert {r["path"]: r["reason"] for r in files.skip_reasons(tree).collect()}["b/.env"] == "sensitive path"
+    links = frame(spark, [("a", 1, 1, 2), (".ssh/k", 1, 1, 2), ("b", 1, 2, 1)], "path string, dev int, ino int, nlink int")
+    assert [r["path"] for r in files.not_linked_to_secrets(links).collect()] == ["b"]
+    shown, more = files.capped_scan(tree, 2)
+    assert more and shown.count() == 2
+    lines = frame(spark, [("a/b.go:12:x:1",), ("--",), ("engine=go matches=1",)], "l string")
+    got = [tuple(r) for r in lines.select(*files.parse_match_line(F.col("l")).values()).collect()]
+    assert got == [("a/b.go", 12, "x:1"), (None, None, None), (None, None, None)]
+    assert [r["path"] for r in files.dirty_first(frame(spark, [("a.go",), ("b.go",), ("c.md",)], "path string"), frame(spark, [("b.go", "M")], "path string, tag string"), "*.go").collect()] == ["b.go", "a.go"]
