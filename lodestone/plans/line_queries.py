@@ -122,7 +122,7 @@ def gitignore_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def resolve_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
-    return paths.resolve(_paths(spark, sf), "main.go", 50)
+    return paths.resolve(_paths(spark, sf), "main.go", 50).filter("score >= 85")  # the tiers above scattered matches
 
 
 def resolve_subsequence(spark: SparkSession, sf: str) -> DataFrame:
