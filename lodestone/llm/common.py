@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Lets Spark delete a query's shuffle files when the query has ended; a written table needs them no more.
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The ASCII white space of the text contracts: space and U+0009 to U+000D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -39,7 +41,12 @@ class Scratch:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP_KEY)
+        self.spark.conf.set(CLEANUP_KEY, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP_KEY, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -17,7 +17,7 @@ Keys are combined before the shuffle: of the sets of one batch that share a key
 goes out for it, and keys with the same sets are one group. Candidates are first verified along stars (each set against the
 first set of the groups with which it shares the most keys). Where a group's members are then all connected, its keys are
 settled; for every other key all sets that have it are gathered, and every pair of those that is not connected is
-verified. Verification counts the intersection of whole sets.
+verified. Pairs whose whole sketches differ in too many bits are out; of the others the whole sets are intersected.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -36,7 +36,7 @@ from .components import connected_components
 
 WORDS = 5
 #: At most so many frequent keys are held for the order.
-HOT_KEYS = 200_000
+HOT_KEYS = 1_000_000
 #: Keys of one exchange bucket, on average.
 BUCKET_KEYS = 1_000_000
 #: Sets below this size use single elements for parts.
@@ -116,6 +116,18 @@ class Sets:
         self.sizes = np.bincount(self.owner, minlength=docs)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
 
+    def bits(self) -> pa.ListArray:
+        """A parity sketch of each whole set: an element flips the bit of its value modulo the length.
+
+        The length is a power of two, 1024 or the set's size at least, so a longer sketch folds onto a shorter one.
+        """
+        length = np.maximum(1024, 1 << np.ceil(np.log2(np.maximum(self.sizes, 1))).astype(np.int64))
+        start = np.concatenate(([0], np.cumsum(length)))
+        place = start[self.owner] + (self.items & (length[self.owner] - 1).astype(U)).astype(np.int64)
+        flips = np.bincount(place, minlength=int(start[-1])) & 1
+        words = np.packbits(flips.astype(bool), bitorder="little").view(np.int64)
+        return pa.ListArray.from_arrays(pa.array((start // 64).astype(np.int32)), pa.array(words))
+
     def of(self, k: int) -> np.ndarray:
         return self.items[self.starts[k] : self.starts[k + 1]]
 
@@ -263,7 +275,7 @@ def _count_keys(rows: DataFrame, plan: Plan, scratch: Scratch) -> tuple[Order, f
                     found.append(keys)
             if found:
                 keys, n = np.unique(np.concatenate(found), return_counts=True)
-                often = n >= max(3, docs // 1000)
+                often = n > 1
                 yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(n[often], pa.int64()), pa.array(np.zeros(int(often.sum()), np.int32))], names=["key", "n", "kind"])
         extra = [(b, 1, 1) for b in sorted(weak)] + [(0, total, 2)]
         yield pa.RecordBatch.from_arrays([pa.array([e[j] for e in extra], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["key", "n", "kind"])
@@ -279,7 +291,7 @@ def _count_keys(rows: DataFrame, plan: Plan, scratch: Scratch) -> tuple[Order, f
 #: kind 0: a document's set. 1: keys on their way to their bucket. 2: an edge with its number of keys. 3: a group of sets (rids) that share keys.
 _FIELDS = (
     ("kind", pa.int32(), "int"), ("bucket", pa.int32(), "int"), ("rid", pa.int64(), "long"), ("n", pa.int64(), "long"), ("s1", pa.int64(), "long"),
-    ("s2", pa.int64(), "long"), ("keys", pa.binary(), "binary"), ("rids", pa.binary(), "binary"),
+    ("s2", pa.int64(), "long"), ("keys", pa.binary(), "binary"), ("rids", pa.binary(), "binary"), ("bits", pa.list_(pa.int64()), "array<long>"),
 )
 _ROW = ", ".join(f"{n} {t}" for n, _, t in _FIELDS)
 
@@ -287,7 +299,8 @@ _ROW = ", ".join(f"{n} {t}" for n, _, t in _FIELDS)
 def _batch(count: int, id_type: pa.DataType, ids: pa.Array | None = None, **columns) -> pa.RecordBatch:
     arrays = [ids if ids is not None else pa.nulls(count, id_type)]
     for name, kind, _ in _FIELDS:
-        arrays.append(pa.array(columns[name], kind) if name in columns else pa.nulls(count, kind))
+        given = columns.get(name)
+        arrays.append(pa.nulls(count, kind) if given is None else given if isinstance(given, pa.Array) else pa.array(given, kind))
     return pa.RecordBatch.from_arrays(arrays, names=["id", *[f[0] for f in _FIELDS]])
 
 
@@ -340,7 +353,7 @@ def _groups(keys: np.ndarray, rids: np.ndarray, id_type: pa.DataType, buckets: i
 
 
 def _sketches(rows: DataFrame, plan: Plan, order: Order, n_keys: int, scratch: Scratch, id_type: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Written tables: sets (id, rid, n, s1, s2) with a row per document, edges (a, b, votes), groups (rid, keys, rids).
+    """Written tables: sets (id, rid, n, s1, s2, bits) with a row per document, edges (a, b, votes), groups (rid, keys, rids).
 
     A rid names a set within a task: its partition and first row. All three come from one job.
     """
@@ -357,7 +370,7 @@ def _sketches(rows: DataFrame, plan: Plan, order: Order, n_keys: int, scratch: S
                 n, ids = len(s.sizes), s.ids()
                 rids = range(base + lo, base + lo + n)
                 names, fresh = seen.new(s, ids, rids)
-                yield _batch(n, id_arrow, id_column.slice(lo, n), kind=np.zeros(n, np.int32), bucket=(np.asarray(rids) % buckets).astype(np.int32), rid=names, n=s.sizes.astype(np.int64), s1=ids[0], s2=ids[1])
+                yield _batch(n, id_arrow, id_column.slice(lo, n), kind=np.zeros(n, np.int32), bucket=(np.asarray(rids) % buckets).astype(np.int32), rid=names, n=s.sizes.astype(np.int64), s1=ids[0], s2=ids[1], bits=s.bits())
                 for chosen, _, most, starts, keys in plan.keys(s, fresh):
                     counts = ranks.count(keys)
                     for k in range(len(chosen)):
@@ -398,7 +411,7 @@ def _sketches(rows: DataFrame, plan: Plan, order: Order, n_keys: int, scratch: S
     dealt = rows.mapInArrow(sketch, schema).repartitionById(buckets, F.col("bucket")).mapInArrow(gather, schema)
     table = scratch.put(dealt.drop("bucket"), "sketches")
     edges = table.filter("kind = 2").select(F.col("rid").alias("a"), F.col("s1").alias("b"), F.col("n").alias("votes"))
-    return table.filter("kind = 0").select("id", "rid", "n", "s1", "s2"), edges, table.filter("kind = 3").select("rid", "keys", "rids")
+    return table.filter("kind = 0").select("id", "rid", "n", "s1", "s2", "bits"), edges, table.filter("kind = 3").select("rid", "keys", "rids")
 
 
 def _bitmap(values: DataFrame, column: str) -> np.ndarray:
@@ -463,6 +476,20 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "s1 long, s2 long, elements array<long>")
 
 
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those pairs (a, b, ...) whose sizes and whole sketches allow the similarity."""
+    own = lambda k: classes.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}"))
+    both = pairs.join(own("a"), "a").join(own("b"), "b").filter("4 * least(na, nb) >= 3 * greatest(na, nb)")
+    size = F.least(F.size("ba"), F.size("bb"))
+
+    def folded(bits: str) -> Column:
+        half = F.zip_with(F.slice(bits, F.lit(1), size), F.slice(bits, size + 1, size), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(bits) == size, F.col(bits)).otherwise(half)  # sizes within 4/3 differ by one doubling at most
+
+    apart = F.aggregate(F.zip_with(folded("ba"), folded("bb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return both.filter(7 * apart <= F.col("na") + F.col("nb")).select(*pairs.columns)
+
+
 def _linked(pairs: DataFrame, classes: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Those pairs (a, b) of sets whose intersection is large enough."""
     ids = classes.select("rep", "s1", "s2")
@@ -496,7 +523,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     order, weak, n_keys = _count_keys(rows, Plan(parts=parts), scratch)
     sets, edges, groups = _sketches(rows, Plan(weak, parts), order, n_keys, scratch, id_type)
-    classes = sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("rid").alias("rep"), F.min("id").alias("least"))
+    classes = sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("rid").alias("rep"), F.min("id").alias("least"), F.any_value("bits").alias("bits"))
     classes = scratch.put(classes, "classes")
     other = sets.filter("n > 0").select("rid", "s1", "s2", "n").distinct().join(classes, ["s1", "s2", "n"]).filter("rid <> rep").select("rid", "rep")
     other = scratch.put(other, "other-names")  # equal sets that several tasks met go by one rid
@@ -509,8 +536,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = renamed(renamed(pairs.select("*", F.col("a").alias("ra"), F.col("b").alias("rb")), "a"), "b")
     named = scratch.put(named.filter("a <> b"), "named-edges")
     sizes = classes.select("rep", "n")
-    sized = named.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
-    near = sized.filter("4 * least(na, nb) >= 3 * greatest(na, nb)").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
+    near = _possible(named.groupBy("a", "b").agg(F.sum("votes").alias("votes")), classes)
     stars = near.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     stars = scratch.put(stars, "stars")
     links = _linked(stars, classes, rows, scratch)
@@ -531,7 +557,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         right = members.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
         rest = members.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")).join(right, "key")
         rest = rest.filter("a < b AND ca <> cb AND 4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b").distinct()
-        rest = scratch.put(rest.join(stars, ["a", "b"], "left_anti"), "rest")
+        rest = scratch.put(_possible(rest.join(stars, ["a", "b"], "left_anti"), classes), "rest")
         if not rest.isEmpty():
             more = _linked(rest, classes, rows, scratch)
             if not more.isEmpty():
