@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,15 +17,19 @@ CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+_local: dict[str, str] = {}  # application -> folder, where the setting is unset
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local one is set only where that is unset."""
-    value = spark.conf.get(CHECKPOINT_KEY, "")
-    if not value or value == "<undefined>":
-        value = spark.sparkContext.getConf().get(CHECKPOINT_KEY, "")
-    if not value or value == "<undefined>":
-        value = tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set(CHECKPOINT_KEY, value)
-    return value.rstrip("/")
+    """The folder named in ``spark.checkpoint.dir``; only where that is unset a local one, gone with this process."""
+    for value in (spark.conf.get(CHECKPOINT_KEY, ""), spark.sparkContext.getConf().get(CHECKPOINT_KEY, "")):
+        if value and value != "<undefined>":
+            return value.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
+    return _local[app]
 
 
 class Scratch:
