@@ -143,3 +143,17 @@ def test_file_intake(spark):
     got = [tuple(r) for r in lines.select(*files.parse_match_line(F.col("l")).values()).collect()]
     assert got == [("a/b.go", 12, "x:1"), (None, None, None), (None, None, None)]
     assert [r["path"] for r in files.dirty_first(frame(spark, [("a.go",), ("b.go",), ("c.md",)], "path string"), frame(spark, [("b.go", "M")], "path string, tag string"), "*.go").collect()] == ["b.go", "a.go"]
+
+
+def test_results_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.concat("source", F.lit(":"), "doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    one, many = docs.coalesce(1), docs.repartition(8)
+    for make in (lambda d: search.search_trigram(d, "the on"), lambda d: search.search_porter(d, "the"), lambda d: grep.group_lines(grep.grep(d, "ing the")), lambda d: ingest.chunk_documents(d)):
+        assert sorted(map(str, make(one).collect())) == sorted(map(str, make(many).collect()))
+
+
+def test_registry_is_complete():
+    from lodestone.plans import registry
+
+    queries, sql = registry.queries(), registry.oracle_sql()
+    assert set(sql) <= set(queries) and len(sql) >= 70
