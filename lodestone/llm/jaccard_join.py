@@ -1,29 +1,26 @@
 """N-gram Jaccard join with parity sketches.
 
-A document is the set of hashes of its five-word shingles. Sets of sizes a and b with Jaccard
-similarity of at least 3/4 differ in at most (a + b) / 7 elements. A parity sketch deals the elements into p
-parts by their hash, and in each part every element flips one of 2^32 bits (a part is kept as the XOR of hashes of its set bits); a
-differing element changes one part at most, so the sketches' distance bounds the symmetric difference from below, and (pigeonhole) two
-similar sets agree in all of their non-zero parts but d. Hence, when the non-zero parts of all sets are put in one
-global order, the first d + 1 parts of two similar sets have one in common. The join is on (size
-band, part, value) of those. The order puts parts that many sets share last (counted over all documents), so that passages
-which many documents quote are rarely joined on; the order changes the work, never the result.
+A document is the set of hashes of its five-word shingles. Its parity sketch has 2^64 bits, and every element flips one of
+them; the sketches' Hamming distance bounds the symmetric difference of two sets from below. Sets of sizes a and b with Jaccard similarity of at
+least 3/4 differ in at most (a + b) / 7 elements, and either lacks at most a quarter of the other's. Hence (pigeonhole), when the set bits of all
+sketches are put in one global order, the first n // 4 + 1 of two similar sets have one in common. The join is on (size band, bit) of
+those. The order puts bits that many sets have last (counted over all documents), so that passages which many
+documents quote are rarely joined on; the order changes the work, never the result.
 
 Sizes are in bands of ratio 4; a set that can have a smaller partner in the band below is also sketched
-like that band. Small bands, and bands in which some set has too few non-zero parts for the argument, use
-single elements for parts.
+there. A key at place i of a set can only be the first that it shares with a similar set of a bounded size (its cap).
 
 Keys are combined before the shuffle: of the sets of one batch that share a key only the first
 goes out for it, and keys with the same sets are one group. Candidates are first verified along stars (each set against the
-first set of the groups with which it shares the most keys). Where a group's members are then all connected, its keys are
-settled; for every other key all sets that have it are gathered, and every pair of those that is not connected is
-verified. Pairs whose whole sketches differ in too many bits are out; of the others the whole sets are intersected.
+hub of the groups with which it shares the most keys; a hub has the fewest own elements before its keys). Where a group's members are then all connected, its keys are
+settled; for every other key all sets that have it are gathered, linked to a hub once more, and then every pair of those that is
+not connected and within its caps is verified. Pairs whose whole sketches, folded to about one bit an element, differ in too many bits
+are out; of the others the whole sets are intersected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +33,9 @@ from .components import connected_components
 
 WORDS = 5
 #: At most so many frequent keys are held for the order.
-HOT_KEYS = 1_000_000
+HOT_KEYS = 200_000
 #: Keys of one exchange bucket, on average.
 BUCKET_KEYS = 1_000_000
-#: Sets below this size use single elements for parts.
-ELEMENT_BELOW = 16
 FILTER_BITS = 1 << 24
 U = np.uint64
 _MIX = U(0xC2B2AE3D27D4EB4F)
@@ -163,46 +158,21 @@ def shingles(text: str | None) -> np.ndarray:
     return Sets(raw, np.array([0, len(raw)])).items
 
 
-@dataclass(frozen=True)
-class Plan:
-    """How sets are sketched: bands with element parts, and parts per unit of a band's least size."""
+def sketch_keys(s: Sets, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For the own band, then the band below: sets, most elements a similar set can lack, key starts, keys.
 
-    element_bands: frozenset[int] = frozenset()
-    parts: int = 3
-
-    def keys(self, s: Sets, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For the own band, then the band below: sets, their bands and most differing elements, key starts, keys.
-
-        ``chosen`` are the non-empty sets to sketch; in the band below only those with a possible partner there.
-        """
-        n = s.sizes[chosen]
-        band = np.array([(int(x).bit_length() - 1) // 2 for x in n], np.int64)
-        low = 4**band
-        yield self._sketch(s, chosen, band, (n + 4 * n // 3) // 7)
-        down = (band > 0) & (-(-3 * n // 4) < low)
-        yield self._sketch(s, chosen[down], band[down] - 1, (np.minimum(n, low - 1) + n)[down] // 7)
-
-    def _sketch(self, s: Sets, chosen: np.ndarray, band: np.ndarray, most: np.ndarray):
-        n = s.sizes[chosen]
+    ``chosen`` are the non-empty sets to sketch; in the band below only those with a possible partner there.
+    A key names a set bit of the band's sketch.
+    """
+    n = s.sizes[chosen]
+    band = np.array([(int(x).bit_length() - 1) // 2 for x in n], np.int64)
+    down = (band > 0) & (-(-3 * n // 4) < 4**band)
+    for take, bands in ((chosen, band), (chosen[down], band[down] - 1)):
+        n = s.sizes[take]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
-        which = np.repeat(np.arange(len(chosen)), n)
-        x = s.items[np.repeat(s.starts[chosen] - (ends - n), n) + np.arange(total)]
-        low = 4**band
-        single = (low < ELEMENT_BELOW) | np.isin(band, list(self.element_bands))
-        many = (self.parts * low).astype(U)
-        part = ((x >> U(32)) * many[which]) >> U(32)  # ascending in a set, as its elements are
-        lone = single[which]
-        part[lone] = x[lone]
-        start = np.ones(total, bool)
-        start[1:] = (part[1:] != part[:-1]) | (which[1:] != which[:-1])
-        first = np.flatnonzero(start)
-        value = np.bitwise_xor.reduceat(mix(x & U(0xFFFFFFFF)), first) if total else x  # stands for the bits that are set
-        full = value != 0
-        part, which, value = part[first][full], which[first][full], value[full]
-        keys = mix(mix(value + band[which].astype(U) * U(64)) + part * _MIX)
-        starts = np.concatenate(([0], np.cumsum(np.bincount(which, minlength=len(chosen)))))
-        return chosen, band, most, starts, keys
+        x = s.items[np.repeat(s.starts[take] - (ends - n), n) + np.arange(total)]
+        yield take, n // 4, np.concatenate(([0], ends)), mix(x ^ np.repeat(bands.astype(U) * _MIX, n))
 
 
 class Order:
@@ -224,18 +194,15 @@ class Order:
             out[likely[hit]] = self.counts[at[hit]]
         return out
 
-    def prefix(self, keys: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
-        """The first ``length`` of a set's keys."""
-        if len(keys) <= length:
-            return keys
+    def prefix(self, keys: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first ``length`` of a set's keys and their places; those of unlisted keys count as 0."""
         warm = counts > 0
-        if warm.any():
-            cold = keys[~warm]
-            if len(cold) < length:
-                hot, n = keys[warm], counts[warm]
-                return np.concatenate([cold, hot[np.lexsort((hot, n))][: length - len(cold)]])
-            keys = cold
-        return np.partition(keys, length - 1)[:length] if len(keys) > length else keys
+        cold = keys[~warm] if warm.any() else keys
+        if len(cold) >= length:
+            return (np.partition(cold, length - 1)[:length] if len(cold) > length else cold), np.zeros(length, np.int64)
+        hot, n = keys[warm], counts[warm]
+        hot = hot[np.lexsort((hot, n))][: length - len(cold)]
+        return np.concatenate([cold, hot]), np.concatenate([np.zeros(len(cold), np.int64), len(cold) + np.arange(len(hot))])
 
 
 class _Seen:
@@ -259,39 +226,36 @@ class _Seen:
         return names, np.flatnonzero((names == np.asarray(rids)) & (s.sizes > 0))
 
 
-def _count_keys(rows: DataFrame, plan: Plan, scratch: Scratch) -> tuple[Order, frozenset[int], int]:
-    """The order of keys, bands that need element parts, and the number of keys to come."""
+def _count_keys(rows: DataFrame, scratch: Scratch) -> tuple[Order, int]:
+    """The order of keys and the number of keys to come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, weak, total, at = _Seen(), set(), 0, 0
+        seen, total, at = _Seen(), 0, 0
         for batch in batches:
             found, docs = [], 0
             for _, s in sets_of(batch.column(0)):
                 _, fresh = seen.new(s, s.ids(), range(at, at + len(s.sizes)))
                 at, docs = at + len(s.sizes), docs + len(fresh)
-                for _, band, most, starts, keys in plan.keys(s, fresh):
-                    weak.update(band[np.diff(starts) <= most].tolist())
-                    total += int(np.minimum(np.diff(starts), most + 1).sum())
+                for _, most, _, keys in sketch_keys(s, fresh):
+                    total += int((most + 1).sum())
                     found.append(keys)
             if found:
                 keys, n = np.unique(np.concatenate(found), return_counts=True)
                 often = n > 1
                 yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(n[often], pa.int64()), pa.array(np.zeros(int(often.sum()), np.int32))], names=["key", "n", "kind"])
-        extra = [(b, 1, 1) for b in sorted(weak)] + [(0, total, 2)]
-        yield pa.RecordBatch.from_arrays([pa.array([e[j] for e in extra], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["key", "n", "kind"])
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([total], pa.int64()), pa.array([1], pa.int32())], names=["key", "n", "kind"])
 
     got = rows.select("text").mapInArrow(run, "key long, n long, kind int").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     got = scratch.put(got, "counts")
-    aside = got.filter("kind > 0").collect()
+    n_keys = got.filter("kind = 1").agg(F.sum("n")).first()[0] or 0
     listed = got.filter("kind = 0").orderBy(F.col("n").desc(), "key").limit(HOT_KEYS).select("key", "n").toPandas()
-    order = Order(listed["key"].to_numpy(np.int64).view(U), listed["n"].to_numpy(np.int64))
-    return order, frozenset(r["key"] for r in aside if r["kind"] == 1), sum(r["n"] for r in aside if r["kind"] == 2)
+    return Order(listed["key"].to_numpy(np.int64).view(U), listed["n"].to_numpy(np.int64)), n_keys
 
 
-#: kind 0: a document's set. 1: keys on their way to their bucket. 2: an edge with its number of keys. 3: a group of sets (rids) that share keys.
+#: kind 0: a document's set. 1: keys on their way to their bucket. 2: an edge with its number of keys. 3: a group of sets (rids, with their caps) that share keys.
 _FIELDS = (
     ("kind", pa.int32(), "int"), ("bucket", pa.int32(), "int"), ("rid", pa.int64(), "long"), ("n", pa.int64(), "long"), ("s1", pa.int64(), "long"),
-    ("s2", pa.int64(), "long"), ("keys", pa.binary(), "binary"), ("rids", pa.binary(), "binary"), ("bits", pa.list_(pa.int64()), "array<long>"),
+    ("s2", pa.int64(), "long"), ("keys", pa.binary(), "binary"), ("rids", pa.binary(), "binary"), ("caps", pa.binary(), "binary"), ("bits", pa.list_(pa.int64()), "array<long>"),
 )
 _ROW = ", ".join(f"{n} {t}" for n, _, t in _FIELDS)
 
@@ -304,58 +268,65 @@ def _batch(count: int, id_type: pa.DataType, ids: pa.Array | None = None, **colu
     return pa.RecordBatch.from_arrays(arrays, names=["id", *[f[0] for f in _FIELDS]])
 
 
-def _groups(keys: np.ndarray, rids: np.ndarray, id_type: pa.DataType, buckets: int) -> tuple[np.ndarray, np.ndarray, Iterator[pa.RecordBatch]]:
-    """Each key with its first rid; and rows: edges (first rid, other rid, keys in common), groups with their keys.
+def _groups(keys: np.ndarray, rids: np.ndarray, caps: np.ndarray, id_type: pa.DataType, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Iterator[pa.RecordBatch]]:
+    """Each key with its hub and the hub's cap; and rows: edges (hub, other rid, keys in common), groups with their keys.
 
-    Keys whose groups have equal members are one group.
+    The hub of a key is the set with the largest cap, then the least rid. Keys whose groups have equal members and hubs are one
+    group; a member's cap is the largest of these.
     """
-    order = np.lexsort((rids, keys))
-    keys, rids = keys[order], rids[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (rids[1:] != rids[:-1])
-    keys, rids = keys[new], rids[new]
+    order = np.lexsort((rids, -caps, keys))
+    keys, rids, caps = keys[order], rids[order], caps[order]
     lead = np.ones(len(keys), bool)
     lead[1:] = keys[1:] != keys[:-1]
     starts = np.flatnonzero(lead)
     sizes = np.diff(np.concatenate((starts, [len(keys)])))
-    key, first = keys[starts], rids[starts]
+    key, hub, hub_cap = keys[starts], rids[starts], caps[starts]
 
     def rows() -> Iterator[pa.RecordBatch]:
         many = np.flatnonzero(sizes > 1)
         if not len(many):
             return
-        mark = np.add.reduceat(mix(rids.astype(U)), starts)[many]
+        mark = (np.add.reduceat(mix(rids.astype(U)), starts) ^ mix(hub.astype(U) + U(1)))[many]
         by = np.lexsort((many, mark))
         many, mark = many[by], mark[by]
         heads = np.flatnonzero(np.concatenate(([True], mark[1:] != mark[:-1])))
-        weight = np.diff(np.concatenate((heads, [len(many)])))
-        held = many[heads]  # one key of each group
-        inside = np.repeat(starts[held] - np.concatenate(([0], np.cumsum(sizes[held])[:-1])), sizes[held]) + np.arange(sizes[held].sum())
-        a, b, w = np.repeat(first[held], sizes[held]), rids[inside], np.repeat(weight, sizes[held])
-        keep = a != b
-        a, b, w = a[keep], b[keep], w[keep]
+        ends = np.concatenate((heads, [len(many)]))
+        a, b, w = [], [], []
+        records: dict[str, list] = {"rid": [], "keys": [], "rids": [], "caps": []}
+        for k, held in enumerate(many[heads]):
+            alike = many[ends[k] : ends[k + 1]]
+            span = slice(starts[held], starts[held] + sizes[held])
+            at = np.argsort(rids[span])
+            mine, cap = rids[span][at], caps[span][at]
+            for other in alike[1:]:
+                more = slice(starts[other], starts[other] + sizes[other])
+                cap = np.maximum(cap, caps[more][np.argsort(rids[more])])
+            others = mine[mine != hub[held]]
+            a.append(np.full(len(others), hub[held]))
+            b.append(others)
+            w.append(np.full(len(others), len(alike)))
+            for name, value in zip(records, (int(hub[held]), key[alike].view(np.int64).tobytes(), mine.tobytes(), cap.tobytes()), strict=True):
+                records[name].append(value)
+        a, b, w = map(np.concatenate, (a, b, w))
         at = np.lexsort((b, a))
         a, b, w = a[at], b[at], w[at]
-        cut = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-        a, b, w = a[cut], b[cut], np.add.reduceat(w, cut)
+        cut = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
+        if len(cut):
+            a, b, w = a[cut], b[cut], np.add.reduceat(w, cut)
         yield _batch(len(a), id_type, kind=np.full(len(a), 2, np.int32), bucket=(b % buckets).astype(np.int32), rid=a, s1=b, n=w)
-        raw = key.view(np.int64)
-        ends = np.concatenate((heads, [len(many)]))
-        for lo in range(0, len(held), 20_000):
-            part = range(lo, min(lo + 20_000, len(held)))
-            yield _batch(
-                len(part), id_type, kind=np.full(len(part), 3, np.int32), bucket=(first[held[part]] % buckets).astype(np.int32), rid=first[held[part]],
-                keys=[raw[many[ends[k] : ends[k + 1]]].tobytes() for k in part],
-                rids=[rids[starts[held[k]] : starts[held[k]] + sizes[held[k]]].tobytes() for k in part],
-            )
+        for lo in range(0, len(heads), 20_000):
+            part = {name: values[lo : lo + 20_000] for name, values in records.items()}
+            n = len(part["rid"])
+            yield _batch(n, id_type, kind=np.full(n, 3, np.int32), bucket=(np.array(part["rid"]) % buckets).astype(np.int32), **part)
 
-    return key, first, rows()
+    return key, hub, hub_cap, rows()
 
 
-def _sketches(rows: DataFrame, plan: Plan, order: Order, n_keys: int, scratch: Scratch, id_type: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Written tables: sets (id, rid, n, s1, s2, bits) with a row per document, edges (a, b, votes), groups (rid, keys, rids).
+def _sketches(rows: DataFrame, order: Order, n_keys: int, scratch: Scratch, id_type: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: sets (id, rid, n, s1, s2, bits) with a row per document, edges (a, b, votes), groups (rid, keys, rids, caps).
 
-    A rid names a set within a task: its partition and first row. All three come from one job.
+    A rid names a set within a task: its partition and first row. A cap is the largest size of a similar set that shares this key and no
+    earlier one: of n elements the i before the key are missing there, so n - i of them must reach the overlap. All three come from one job.
     """
     held = rows.sparkSession.sparkContext.broadcast(order)
     buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_keys // BUCKET_KEYS + 1)
@@ -365,36 +336,37 @@ def _sketches(rows: DataFrame, plan: Plan, order: Order, n_keys: int, scratch: S
         seen, base = _Seen(), TaskContext.get().partitionId() << 36
         for batch in batches:
             id_column, id_arrow = batch.column(0), batch.schema.field(0).type
-            found, owner = [], []
+            found, owner, most_size = [], [], []
             for lo, s in sets_of(batch.column(1)):
                 n, ids = len(s.sizes), s.ids()
                 rids = range(base + lo, base + lo + n)
                 names, fresh = seen.new(s, ids, rids)
                 yield _batch(n, id_arrow, id_column.slice(lo, n), kind=np.zeros(n, np.int32), bucket=(np.asarray(rids) % buckets).astype(np.int32), rid=names, n=s.sizes.astype(np.int64), s1=ids[0], s2=ids[1], bits=s.bits())
-                for chosen, _, most, starts, keys in plan.keys(s, fresh):
+                for chosen, most, starts, keys in sketch_keys(s, fresh):
                     counts = ranks.count(keys)
                     for k in range(len(chosen)):
-                        a, b = starts[k], starts[k + 1]
-                        got = ranks.prefix(keys[a:b], counts[a:b], int(most[k]) + 1)
+                        x, y, size = starts[k], starts[k + 1], int(s.sizes[chosen[k]])
+                        got, place = ranks.prefix(keys[x:y], counts[x:y], int(most[k]) + 1)
                         found.append(got)
                         owner.append((base + lo + int(chosen[k]), len(got)))
+                        most_size.append(7 * (size - place) // 3 - size)
             base += batch.num_rows
             if not found:
                 continue
             rid = np.array([o[0] for o in owner], np.int64)
-            keys, first, local = _groups(np.concatenate(found), np.repeat(rid, [o[1] for o in owner]), id_arrow, buckets)
+            keys, first, cap, local = _groups(np.concatenate(found), np.repeat(rid, [o[1] for o in owner]), np.concatenate(most_size), id_arrow, buckets)
             yield from local
             to = (keys % U(buckets)).astype(np.int64)
             at = np.argsort(to, kind="stable")
-            keys, first, to = keys[at], first[at], to[at]
+            keys, first, to, cap = keys[at], first[at], to[at], cap[at].astype("<i4")
             cut = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True])))
             low = int(first.min())
             refs = (first - low).astype("<u4")  # a batch has fewer rows than that
             spans = list(zip(cut, cut[1:], strict=False))
-            yield _batch(len(spans), id_arrow, kind=np.ones(len(spans), np.int32), bucket=to[cut[:-1]].astype(np.int32), rid=np.full(len(spans), low), keys=[keys[a:b].tobytes() for a, b in spans], rids=[refs[a:b].tobytes() for a, b in spans])
+            yield _batch(len(spans), id_arrow, kind=np.ones(len(spans), np.int32), bucket=to[cut[:-1]].astype(np.int32), rid=np.full(len(spans), low), keys=[keys[a:b].tobytes() for a, b in spans], rids=[refs[a:b].tobytes() for a, b in spans], caps=[cap[a:b].tobytes() for a, b in spans])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, rids, id_arrow = [], [], pa.int64()
+        keys, rids, caps, id_arrow = [], [], [], pa.int64()
         for batch in batches:
             id_arrow = batch.schema.field(0).type
             kind = batch.column(1).to_numpy(zero_copy_only=False)
@@ -404,14 +376,15 @@ def _sketches(rows: DataFrame, plan: Plan, order: Order, n_keys: int, scratch: S
             for k in np.flatnonzero(kind == 1):
                 keys.append(np.frombuffer(batch.column(7)[k].as_buffer(), U))
                 rids.append(np.frombuffer(batch.column(8)[k].as_buffer(), "<u4").astype(np.int64) + batch.column(3)[k].as_py())
+                caps.append(np.frombuffer(batch.column(9)[k].as_buffer(), "<i4").astype(np.int64))
         if keys:
-            yield from _groups(np.concatenate(keys), np.concatenate(rids), id_arrow, buckets)[2]
+            yield from _groups(np.concatenate(keys), np.concatenate(rids), np.concatenate(caps), id_arrow, buckets)[3]
 
     schema = f"id {id_type}, {_ROW}"
     dealt = rows.mapInArrow(sketch, schema).repartitionById(buckets, F.col("bucket")).mapInArrow(gather, schema)
     table = scratch.put(dealt.drop("bucket"), "sketches")
     edges = table.filter("kind = 2").select(F.col("rid").alias("a"), F.col("s1").alias("b"), F.col("n").alias("votes"))
-    return table.filter("kind = 0").select("id", "rid", "n", "s1", "s2", "bits"), edges, table.filter("kind = 3").select("rid", "keys", "rids")
+    return table.filter("kind = 0").select("id", "rid", "n", "s1", "s2", "bits"), edges, table.filter("kind = 3").select("rid", "keys", "rids", "caps")
 
 
 def _bitmap(values: DataFrame, column: str) -> np.ndarray:
@@ -424,7 +397,7 @@ def _bitmap(values: DataFrame, column: str) -> np.ndarray:
 
 
 def _open_members(groups: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, rid) of every key of a group that holds one of the pairs (a, b; a is the group's first), with all the key's members."""
+    """(key, rid, cap) of every key of a group that holds one of the pairs (a, b; a is the group's hub), with all the key's members."""
     spark = groups.sparkSession
     joined = groups.join(pairs.groupBy(F.col("a").alias("rid")).agg(F.count("*").alias("_n")), "rid", "left_semi")
     b = spark.sparkContext.broadcast(_bitmap(pairs, "b"))
@@ -442,17 +415,17 @@ def _open_members(groups: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, rids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            out = [[np.zeros(0, np.int64)] for _ in range(3)]
             for k in range(batch.num_rows):
                 own = np.frombuffer(batch.column(1)[k].as_buffer(), np.int64)
                 own = own[open_keys.value[own & (FILTER_BITS - 1)]]
                 if len(own):
-                    mine = np.frombuffer(batch.column(2)[k].as_buffer(), np.int64)
-                    keys.append(np.repeat(own, len(mine)))
-                    rids.append(np.tile(mine, len(own)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(rids))], names=["key", "rid"])
+                    mine, cap = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int64) for c in (2, 3))
+                    for column, value in zip(out, (np.repeat(own, len(mine)), np.tile(mine, len(own)), np.tile(cap, len(own))), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["key", "rid", "cap"])
 
-    return groups.mapInArrow(members, "key long, rid long").distinct()
+    return groups.mapInArrow(members, "key long, rid long, cap long")
 
 
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -505,7 +478,7 @@ def _linked(pairs: DataFrame, classes: DataFrame, rows: DataFrame, scratch: Scra
     return out
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 3) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     Two documents link when 100 * intersection >= 75 * union of their distinct five-word shingles;
@@ -521,8 +494,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id_type = docs.schema[id_col].dataType.simpleString()
     scratch = Scratch(spark, "jaccard-join")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    order, weak, n_keys = _count_keys(rows, Plan(parts=parts), scratch)
-    sets, edges, groups = _sketches(rows, Plan(weak, parts), order, n_keys, scratch, id_type)
+    order, n_keys = _count_keys(rows, scratch)
+    sets, edges, groups = _sketches(rows, order, n_keys, scratch, id_type)
     classes = sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("rid").alias("rep"), F.min("id").alias("least"), F.any_value("bits").alias("bits"))
     classes = scratch.put(classes, "classes")
     other = sets.filter("n > 0").select("rid", "s1", "s2", "n").distinct().join(classes, ["s1", "s2", "n"]).filter("rid <> rep").select("rid", "rep")
@@ -532,39 +505,51 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         names = other.select(F.col("rid").alias(column), F.col("rep").alias("_rep"))
         return df.join(names, column, "left").withColumn(column, F.coalesce("_rep", column)).drop("_rep")
 
-    pairs = scratch.put(edges.groupBy("a", "b").agg(F.sum("votes").alias("votes")), "edges")
+    pairs = edges.groupBy("a", "b").agg(F.sum("votes").alias("votes"))
     named = renamed(renamed(pairs.select("*", F.col("a").alias("ra"), F.col("b").alias("rb")), "a"), "b")
     named = scratch.put(named.filter("a <> b"), "named-edges")
     sizes = classes.select("rep", "n")
-    near = _possible(named.groupBy("a", "b").agg(F.sum("votes").alias("votes")), classes)
-    stars = near.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    stars = scratch.put(stars, "stars")
-    links = _linked(stars, classes, rows, scratch)
-    comps = connected_components(links, scratch)
 
-    def placed(df: DataFrame, column: str, new: str) -> DataFrame:
-        own = comps.select(F.col("node").alias(column), F.col("comp").alias(new))
+    def starred(candidates: DataFrame) -> DataFrame:
+        """Of possible pairs (a, b, votes) the one with the most keys for every b, as (less, greater)."""
+        best = _possible(candidates, classes).groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a"))
+        return scratch.put(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
+
+    def placed(df: DataFrame, labels: DataFrame, column: str, new: str) -> DataFrame:
+        own = labels.select(F.col("node").alias(column), F.col("comp").alias(new))
         return df.join(own, column, "left").withColumn(new, F.coalesce(new, column))
 
-    apart = placed(placed(named, "a", "ca"), "b", "cb").filter("ca <> cb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    stars = starred(named.groupBy("a", "b").agg(F.sum("votes").alias("votes")))
+    links = _linked(stars, classes, rows, scratch)
+    comps = connected_components(links, scratch)
+    apart = placed(placed(named, comps, "a", "ca"), comps, "b", "cb").filter("ca <> cb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     apart = scratch.put(apart, "open-edges")
     if not apart.isEmpty():
-        members = renamed(_open_members(groups, apart).withColumnRenamed("rid", "rep"), "rep").distinct()
-        members = placed(members.join(sizes, "rep"), "rep", "comp")
-        members = scratch.put(members.select("key", "rep", "n", "comp"), "open-members")
+        # every member of the keys that are not settled; those that no size in the group allows are out
+        members = renamed(_open_members(groups, apart).withColumnRenamed("rid", "rep"), "rep").groupBy("key", "rep").agg(F.max("cap").alias("cap"))
+        members = scratch.put(members.join(sizes, "rep").select("key", "rep", "n", "cap"), "open-members")
+        least = members.groupBy("key").agg(F.min("n").alias("_n"))
+        members = members.join(least, "key").filter("cap >= _n").drop("_n")
+        hubs = members.groupBy("key").agg(F.max_by("rep", F.struct("cap", -F.col("rep"))).alias("a"), F.count("*").alias("_m")).filter("_m > 1").select("key", "a")
+        spokes = members.join(hubs, "key").filter("rep <> a").groupBy("a", F.col("rep").alias("b")).agg(F.count("*").alias("votes"))
+        again = starred(placed(placed(spokes, comps, "a", "ca"), comps, "b", "cb").filter("ca <> cb").select("a", "b", "votes"))
+        if not again.isEmpty():
+            links = links.union(_linked(again, classes, rows, scratch))
+            comps = connected_components(links, scratch)
+        members = placed(members, comps, "rep", "comp")
         mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
         members = scratch.put(members.join(mixed, "key"), "mixed-members")
-        right = members.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        rest = members.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")).join(right, "key")
-        rest = rest.filter("a < b AND ca <> cb AND 4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b").distinct()
-        rest = scratch.put(_possible(rest.join(stars, ["a", "b"], "left_anti"), classes), "rest")
+        side = lambda k: members.select("key", F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("cap").alias(f"cap{k}"), F.col("comp").alias(f"c{k}"))
+        fits = "a < b AND ca <> cb AND na <= capb AND nb <= capa AND 4 * least(na, nb) >= 3 * greatest(na, nb)"
+        x, y = side("a"), side("b").withColumnRenamed("key", "_key")
+        rest = x.join(y, F.expr(f"key = _key AND {fits}")).select("a", "b").distinct()
+        rest = rest.join(stars.union(again), ["a", "b"], "left_anti")
+        rest = scratch.put(_possible(rest, classes), "rest")
         if not rest.isEmpty():
-            more = _linked(rest, classes, rows, scratch)
-            if not more.isEmpty():
-                comps = connected_components(links.union(more), scratch)
+            links = links.union(_linked(rest, classes, rows, scratch))
+            comps = connected_components(links, scratch)
 
     of_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", "least", F.coalesce("comp", "rep").alias("comp"))
-    of_class = scratch.put(of_class, "class-components")
     least = of_class.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = scratch.put(of_class.join(least, "comp").select("s1", "s2", "n", "component_id"), "named")
     out = sets.join(named, ["s1", "s2", "n"], "left")
