@@ -393,7 +393,11 @@ def _bitmap(values: DataFrame, column: str) -> np.ndarray:
     words = values.select(F.shiftright(low, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     table = np.zeros(FILTER_BITS // 64, np.int64)
     table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
-    return np.unpackbits(table.view(np.uint8), bitorder="little").view(bool)
+    return table.view(np.uint8)
+
+
+def _unpacked(bitmap: np.ndarray) -> np.ndarray:
+    return np.unpackbits(bitmap, bitorder="little").view(bool)
 
 
 def _open_members(groups: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -403,22 +407,24 @@ def _open_members(groups: DataFrame, pairs: DataFrame) -> DataFrame:
     b = spark.sparkContext.broadcast(_bitmap(pairs, "b"))
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = _unpacked(b.value)
         for batch in batches:
             out = [np.zeros(0, np.int64)]
             for k in range(batch.num_rows):
                 rids = np.frombuffer(batch.column(2)[k].as_buffer(), np.int64)
-                if b.value[rids & (FILTER_BITS - 1)].any():
+                if wanted[rids & (FILTER_BITS - 1)].any():
                     out.append(np.frombuffer(batch.column(1)[k].as_buffer(), np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], names=["key"])
 
     open_keys = spark.sparkContext.broadcast(_bitmap(joined.mapInArrow(keys_of, "key long"), "key"))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = _unpacked(open_keys.value)
         for batch in batches:
             out = [[np.zeros(0, np.int64)] for _ in range(3)]
             for k in range(batch.num_rows):
                 own = np.frombuffer(batch.column(1)[k].as_buffer(), np.int64)
-                own = own[open_keys.value[own & (FILTER_BITS - 1)]]
+                own = own[wanted[own & (FILTER_BITS - 1)]]
                 if len(own):
                     mine, cap = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int64) for c in (2, 3))
                     for column, value in zip(out, (np.repeat(own, len(mine)), np.tile(mine, len(own)), np.tile(cap, len(own))), strict=True):
@@ -436,13 +442,13 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     held = rows.sparkSession.sparkContext.broadcast(_bitmap(wanted, "s1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, at = _Seen(), 0
+        seen, at, bits = _Seen(), 0, _unpacked(held.value)
         for batch in batches:
             for _, s in sets_of(batch.column(0)):
                 one, two = s.ids()
                 _, fresh = seen.new(s, (one, two), range(at, at + len(s.sizes)))
                 at += len(s.sizes)
-                take = fresh[held.value[one[fresh] & (FILTER_BITS - 1)]]
+                take = fresh[bits[one[fresh] & (FILTER_BITS - 1)]]
                 lists = pa.array([s.of(k).view(np.int64) for k in take], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(one[take]), pa.array(two[take]), lists], names=["s1", "s2", "elements"])
 
