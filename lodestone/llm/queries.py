@@ -42,7 +42,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segmentation.sample_segmentations(spark.read.parquet(f"{sf_dir}/conversations.parquet"), _piece_model())
+    return segmentation.sample_segmentations(documents(spark, sf_dir), _piece_model(), key_cols=("doc_id",))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

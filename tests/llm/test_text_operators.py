@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from lodestone.llm import fingerprints, language_id, licenses, segmentation, token_counts, url_filter
+from lodestone.llm import fingerprints, language_id, licenses, queries, segmentation, token_counts, url_filter
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -99,6 +99,15 @@ def test_segmentation_round_trip(spark):
     assert {r["conv_id"]: r["text"] for r in back.collect()} == {1: "", 2: None}
 
 
+def test_segmentation_query_covers_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    got = queries.op7_sentencepiece(spark, "/root/testdata/sf0.001")
+    assert got.columns[0] == "doc_id" and got.filter("NOT round_trip").isEmpty()
+    draws = Counter(r[0] for r in got.select("doc_id").collect())
+    assert set(draws) == {r["doc_id"] for r in docs}
+    assert all(draws[r["doc_id"]] >= 3 for r in docs if len(r["text"] or "") > 50)
+
+
 def test_prefix_hashes():
     rng = random.Random(3)
     a = "".join(rng.choice("ab") for _ in range(300))
