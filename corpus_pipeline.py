@@ -42,14 +42,28 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id; rows without an id stay unless their group has one."""
-    judged = Scratch(spark, "near-stage").put(jaccard_components(docs), "judged")
-    gone = judged.filter("component_id IS NOT NULL AND NOT (doc_id <=> component_id)").select("doc_id").distinct()
-    gone = Scratch(spark, "near-stage").put(gone, "gone")
-    if gone.filter("doc_id IS NULL").isEmpty():
+    """Of each group of near-duplicates the document with the least id; rows without an id stay unless their group has one.
+
+    Where ids are unique the dropped ids decide; otherwise every row goes by id and text hash, and of a group's
+    rows with the least id the one with the least hash stays, once. Rows without shingles stay.
+    """
+    scratch = Scratch(spark, "near-stage")
+    ids = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("named"), F.countDistinct("doc_id").alias("distinct")).first()
+    if ids["n"] == ids["named"] == ids["distinct"]:
+        judged = scratch.put(jaccard_components(docs), "judged")
+        gone = scratch.put(judged.filter("doc_id <> component_id").select("doc_id"), "gone")
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    gone = gone.withColumnRenamed("doc_id", "_gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)
+    # a row without an id sorts behind those with one, so it leads a group only where none has an id
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
+    marked = docs.withColumn("_row", row)
+    judged = scratch.put(jaccard_components(marked.select("_row", "text"), id_col="_row"), "judged")
+    grouped = judged.filter("n_shingles > 0 AND NOT component_id.unnamed")
+    gone = scratch.put(grouped.filter("doc_id <> component_id").select(F.col("doc_id").alias("_row")).distinct(), "gone")
+    repeated = grouped.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_row")).count().filter("count > 1").select("_row")
+    repeated = scratch.put(repeated, "repeated")
+    left = marked.join(gone, "_row", "left_anti")
+    once = left.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
+    return left.join(repeated, "_row", "left_anti").select(*docs.columns).union(once.select(*docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,3 +27,22 @@ def test_repeated_rows_and_nulls(spark):
     assert sorted(r["text"] or "" for r in kept.collect()) == ["", "a b c", "other"]
     assert corpus_pipeline.near_stage(spark, docs.limit(0), SF).count() == 0
     assert corpus_pipeline.near_stage(spark, kept, SF).count() == 3
+
+
+def test_near_stage_decides_per_row(spark):
+    words = lambda tag: " ".join(f"{tag}{k}" for k in range(60))
+    a, b, c, d = map(words, "abcd")
+    rows = [
+        (3, b), (None, b + " tail"), (None, "clean one"), (None, None),  # a row without an id is a near copy of 3
+        (5, "unique five"), (5, b + " end"),  # of a repeated id one row is a near copy of 3
+        (6, a), (6, a + " more"), (7, a + " last"),  # near copies under one id
+        (8, "same text"), (8, "same text"), (9, None), (9, None),  # repeated rows; without shingles
+        (None, c), (None, c + " x"), (None, d), (None, d),  # groups without any id
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    out = corpus_pipeline.near_stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert sum(i == 6 for i, _ in got) == 1 and {t for i, t in got if i == 6} <= {a, a + " more"}
+    rest = [(3, b), (None, "clean one"), (None, None), (5, "unique five"), (8, "same text"), (9, None), (9, None), (None, c), (None, c + " x"), (None, d), (None, d)]
+    assert sorted(map(str, (r for r in got if r[0] != 6))) == sorted(map(str, rest))
