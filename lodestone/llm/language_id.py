@@ -6,7 +6,7 @@ the logistic loss of each bit's margin against its codeword, weighted by how wel
 small lead over the second marks the text as ambiguous.
 
 A text's margin is the mean over its words, so a word's margins are computed once and kept in a
-bounded cache. Training reads at most ``sample_rows`` labelled rows (the ones with the smallest hash).
+bounded cache. Training reads at most ``sample_rows`` distinct labelled texts (of each language the ones with the smallest hash).
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import Scratch
+
 DIM = 4096
 SAMPLE_ROWS = 3000
 SAMPLE_WORDS = 120
@@ -81,17 +83,28 @@ class Model:
 
 
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS) -> Model | None:
-    """A model from at most ``sample_rows`` rows with a non-null language; None if there are none.
+    """A model from at most ``sample_rows`` distinct texts with a non-null language; None if there are none.
 
+    Every language gives its texts with the smallest hashes, up to a bound that is the same for all: the largest with
+    which they are ``sample_rows`` in all, and 1 at least, so that a rare language always takes part. Copies count once.
     Of each sampled text, ``sample_words`` words spread evenly over the whole of it are used.
     """
+    spark = labelled.sparkSession
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.withColumn("o", F.shiftrightunsigned(F.xxhash64("text", "lang"), 24))
-    likely = rows.filter(F.col("o") < int(2**40 * min(1.0, 20 * sample_rows / max(1, rows.count()))))  # copies count once below
-    last = likely.select("o").distinct().orderBy("o").limit(sample_rows).agg(F.max("o")).first()[0]
-    if last is None:
+    hashes = Scratch(spark, "language-id").put(rows.select("lang", "o", F.shiftrightunsigned("o", 28).cast("int").alias("part")).distinct(), "hashes")
+    counts: dict[str, list[tuple[int, int]]] = {}
+    for r in hashes.groupBy("lang", "part").count().collect():
+        counts.setdefault(r["lang"], []).append((r["part"], r["count"]))
+    if not counts:
         return None
-    rows = rows.filter(F.col("o") <= last).select("lang", "o", "text").mapInArrow(_spread(sample_words), "lang string, o long, words array<string>").dropDuplicates(["o"]).orderBy("o").collect()
+    bound = _bound([sum(n for _, n in parts) for parts in counts.values()], sample_rows)
+    cuts = spark.createDataFrame([(lang, _reach(parts, bound)) for lang, parts in counts.items()], "lang string, cut int")
+    near = hashes.join(F.broadcast(cuts), "lang").filter("part <= cut")
+    last = near.withColumn("k", F.expr("row_number() OVER (PARTITION BY lang ORDER BY o)")).filter(F.col("k") <= bound).groupBy("lang").agg(F.max("o").alias("last")).collect()
+    last = spark.createDataFrame([tuple(r) for r in last], "lang string, last long")
+    rows = rows.join(F.broadcast(last), "lang").filter("o <= last").select("lang", "o", "text").mapInArrow(_spread(sample_words), "lang string, o long, words array<string>")
+    rows = rows.dropDuplicates(["lang", "o"]).orderBy("o", "lang").collect()
     seen = [(r["lang"], r["words"]) for r in rows]
     seen = [(lang, words) for lang, words in seen if words]
     if not seen:
@@ -124,6 +137,26 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", sam
     return model
 
 
+def _bound(sizes: list[int], total: int) -> int:
+    """The largest bound, 1 at least, with which groups of these sizes, cut to it, are ``total`` at most."""
+    left = total
+    for k, n in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - k)
+        if n > share:
+            return max(1, share)
+        left -= n
+    return max(1, *sizes)
+
+
+def _reach(parts: list[tuple[int, int]], bound: int) -> int:
+    """The part of the hashes' range in which the ``bound``-th hash lies, or else the last one."""
+    for part, n in sorted(parts):
+        bound -= n
+        if bound <= 0:
+            break
+    return part
+
+
 def _spread(n: int):
     """Of each text (the third column) up to n of its words at even distances."""
 

@@ -168,6 +168,15 @@ def test_language_id(spark):
     assert language_id.keep_identified(docs).columns == docs.columns
 
 
+def test_language_sample_is_per_language_and_counts_copies_once(spark):
+    few = [("en", "the cat and dog"), ("de", "der hund und katze"), ("fr", "le chat et chien")]
+    copies = spark.createDataFrame([few[k % 3] for k in range(12_000)], "lang string, text string")
+    assert language_id.fit(copies, sample_rows=10).langs == ["de", "en", "fr"]
+    rare = [("en", f"the cat and dog {k} word{chr(97 + k % 26)}") for k in range(3000)] + [("de", "der hund"), ("de", "und katze"), ("fr", "le chat")]
+    assert language_id.fit(spark.createDataFrame(rare, "lang string, text string"), sample_rows=50).langs == ["de", "en", "fr"]
+    assert language_id._bound([1, 2, 3000], 50) == 47 and language_id._bound([5, 5, 5], 2) == 1 and language_id._bound([2, 3], 50) == 3
+
+
 def test_codewords_differ():
     for k in (1, 2, 4, 6, 9, 40):
         code = language_id.codewords(k)
