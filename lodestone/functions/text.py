@@ -82,20 +82,25 @@ def redact_env_keys(keys: Column, limit: int = 64) -> Column:
     return F.when(F.size(clean) > limit, F.concat(F.slice(clean, 1, limit), F.array(F.lit("…")))).otherwise(clean)
 
 
+def one_place(x: Column) -> Column:
+    """One decimal place, rounded by the exact value and ties to even, as C does; Java rounds the shortest decimal up."""
+    return F.pandas_udf(lambda s: s.map("{:.1f}".format, na_action="ignore"), "string")(x)
+
+
 def human_bytes(n: Column) -> Column:
     k = 1024
     return (
-        F.when(n >= k**3, F.concat(F.format_string("%.1f", n / k**3), F.lit("GB")))
-        .when(n >= k**2, F.concat(F.format_string("%.1f", n / k**2), F.lit("MB")))
-        .when(n >= k, F.concat(F.format_string("%.1f", n / k), F.lit("KB")))
+        F.when(n >= k**3, F.concat(one_place(n / k**3), F.lit("GB")))
+        .when(n >= k**2, F.concat(one_place(n / k**2), F.lit("MB")))
+        .when(n >= k, F.concat(one_place(n / k), F.lit("KB")))
         .otherwise(F.concat(n.cast("long").cast("string"), F.lit("B")))
     )
 
 
 def human_tokens(n: Column) -> Column:
     return (
-        F.when(n >= 1_000_000, F.concat(F.format_string("%.1f", n / 1_000_000), F.lit("M")))
-        .when(n >= 1_000, F.concat(F.format_string("%.1f", n / 1_000), F.lit("K")))
+        F.when(n >= 1_000_000, F.concat(one_place(n / 1_000_000), F.lit("M")))
+        .when(n >= 1_000, F.concat(one_place(n / 1_000), F.lit("K")))
         .otherwise(n.cast("long").cast("string"))
     )
 

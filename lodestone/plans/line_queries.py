@@ -87,9 +87,17 @@ def grep_per_file_cap(spark: SparkSession, sf: str) -> DataFrame:
     return grep.grep(kb_documents(spark, sf), PATTERN, per_file=1)
 
 
+LEADS = ["pub async fn ", "type (", "  class ", "func (", "export default function ", "define ", "static "]
+
+
 def grep_definitions(spark: SparkSession, sf: str) -> DataFrame:
-    lead = F.element_at(F.array(*[F.lit(x) for x in ("pub async fn ", "type (", "  class ", "func (", "export default function ", "define ", "static ")]), (F.col("line_no") % 7 + 1).cast("int"))
-    rows = grep.lines(kb_documents(spark, sf)).withColumn("content", F.concat(lead, F.left("content", F.lit(20))))
+    rows = grep.lines(kb_documents(spark, sf)).withColumn("content", F.concat(_pick(LEADS, F.col("line_no")), F.left("content", F.lit(20))))
+    return rows.filter(text.is_definition(F.col("content"))).groupBy("path").agg(F.count("*").alias("definitions"))
+
+
+def grep_definitions_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """As grep_definitions, over whole lines."""
+    rows = grep.lines(kb_documents(spark, sf)).withColumn("content", F.concat(_pick(LEADS, F.col("line_no")), "content"))
     return rows.filter(text.is_definition(F.col("content"))).groupBy("path").agg(F.count("*").alias("definitions"))
 
 
@@ -125,6 +133,11 @@ def resolve_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
     return paths.resolve(_paths(spark, sf), "main.go", 50).filter("score >= 85")  # the tiers above scattered matches
 
 
+def resolve_fuzzy_all(spark: SparkSession, sf: str) -> DataFrame:
+    """As resolve_fuzzy, with every tier; SQL cannot express the scattered matches."""
+    return paths.resolve(_paths(spark, sf), "main.go", 50)
+
+
 def resolve_subsequence(spark: SparkSession, sf: str) -> DataFrame:
     return paths.resolve(_paths(spark, sf), "smgo", 50)
 
@@ -230,6 +243,12 @@ def human_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", text.human_uptime(n).alias("uptime"), text.size_tag(n).alias("tag"), F.when(n < 1024, text.human_bytes(n)).alias("bytes"), F.when(n < 1000, text.human_tokens(n)).alias("tokens"))
 
 
+def human_sizes_scaled(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes and tokens of human_sizes for all values, in their scaled units."""
+    n = F.floor(F.coalesce("value", F.lit(0))).cast("long") * (F.col("event_id") % 5 * F.col("event_id") * 37 + 1)
+    return table(spark, sf, "events").select("event_id", n.alias("n")).select("event_id", text.human_bytes(F.col("n")).alias("bytes"), text.human_tokens(F.col("n")).alias("tokens"))
+
+
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     out = usage.percentiles(table(spark, sf, "events").filter("value IS NOT NULL"), "value", ["event_type"])
     return out.select("event_type", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
@@ -276,13 +295,22 @@ def redact_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.redact_command(F.coalesce("text", F.lit(""))).alias("redacted"))
 
 
-def strip_ansi(spark: SparkSession, sf: str) -> DataFrame:
+def _noisy(d: DataFrame) -> DataFrame:
+    """(doc_id, clean) of rows (doc_id, t), stripped of the escapes put around t."""
     esc = "\x1b"
-    d = table(spark, sf, "documents").select("doc_id", F.left(F.coalesce("text", F.lit("")), F.lit(40)).alias("t"))
     noisy = F.concat(F.lit(f"{esc}[1;31m"), "t", F.lit(f"{esc}[0m{esc}]0;title\x07-{esc}(B-{esc}]8;;u{esc}\\end"))
     return d.select("doc_id", text.strip_ansi(noisy).alias("clean"))
 
 
+def strip_ansi(spark: SparkSession, sf: str) -> DataFrame:
+    return _noisy(table(spark, sf, "documents").select("doc_id", F.left(F.coalesce("text", F.lit("")), F.lit(40)).alias("t")))
+
+
+def strip_ansi_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """As strip_ansi, over whole texts."""
+    return _noisy(table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")))
+
+
 def slug(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.slug(F.coalesce("text", F.lit(""))).alias("slug"), text.content_tag(F.coalesce("text", F.lit(""))).alias("tag"))
 
@@ -310,6 +338,8 @@ SQL = {
     "grep_first2": HIT_SQL + " SELECT path, line_no, CASE WHEN length(p) > 500 THEN left(p, 500) || '...' ELSE p END AS preview, greatest(0, n - 2) AS more FROM (SELECT path, line_no, ltrim(content) AS p, count(*) OVER (PARTITION BY path) AS n, row_number() OVER (PARTITION BY path ORDER BY line_no) AS k FROM m) WHERE k <= 2",
     "grep_definitions": f"""{KB_SQL}, {LINES_SQL}, x AS (SELECT path, ['pub async fn ', 'type (', '  class ', 'func (', 'export default function ', 'define ', 'static '][line_no % 7 + 1] || left(content, 20) AS content FROM l)
         SELECT path, count(*) AS definitions FROM x WHERE regexp_matches(content, '^[ \\t]*((pub\\([^)]*\\)|((pub|export|default|async|abstract|unsafe|static|protected|private|public)[ \\t]))[ \\t]*)*((struct|fn|enum|trait|impl|class|interface|function|def|func|type|module|object)[ \\t]+[\\pL_$]|func[ \\t]+\\()') GROUP BY path""",
+    "grep_definitions_whole": f"""{KB_SQL}, {LINES_SQL}, x AS (SELECT path, {_list(LEADS)}[line_no % 7 + 1] || content AS content FROM l)
+        SELECT path, count(*) AS definitions FROM x WHERE regexp_matches(content, '^[ \\t]*((pub\\([^)]*\\)|((pub|export|default|async|abstract|unsafe|static|protected|private|public)[ \\t]))[ \\t]*)*((struct|fn|enum|trait|impl|class|interface|function|def|func|type|module|object)[ \\t]+[\\pL_$]|func[ \\t]+\\()') GROUP BY path""",
     "log_tail": "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2",
     "sensitive_paths": rf"WITH {PATHS_SQL} SELECT path, regexp_matches(path, '(^|/)(\.env|prod\.pem\.bak|id_rsa|auth\.json\.1\.old)$') OR regexp_matches(path, '(^|/)\.ssh/') OR (regexp_matches(path, '/config\.json$') AND starts_with(path, '.docker/')) AS sensitive FROM p",
     "binary_names": rf"WITH {PATHS_SQL} SELECT path, regexp_matches(lower(path), '\.png$') AS is_binary, regexp_matches(path, '(^|/)(node_modules|build)/') AS skipped FROM p",
@@ -333,6 +363,9 @@ SQL = {
     "human_sizes": f"""WITH x AS (SELECT event_id, floor(coalesce(value, 0))::BIGINT * (event_id % 5 * event_id * 37 + 1) AS n FROM events)
         SELECT event_id, CASE WHEN {_UP} > 0 THEN {_UP} || 'h' || (n // 60 % 60) || 'm' || (n % 60) || 's' WHEN n // 60 > 0 THEN (n // 60) || 'm' || (n % 60) || 's' ELSE n || 's' END AS uptime,
         CASE WHEN n >= 20480 THEN ((n + 512) // 1024) || 'KB' ELSE '' END AS tag, CASE WHEN n < 1024 THEN n || 'B' END AS bytes, CASE WHEN n < 1000 THEN n || '' END AS tokens FROM x""",
+    "human_sizes_scaled": """WITH x AS (SELECT event_id, floor(coalesce(value, 0))::BIGINT * (event_id % 5 * event_id * 37 + 1) AS n FROM events)
+        SELECT event_id, CASE WHEN n >= 1073741824 THEN printf('%.1fGB', n / 1073741824::DOUBLE) WHEN n >= 1048576 THEN printf('%.1fMB', n / 1048576::DOUBLE) WHEN n >= 1024 THEN printf('%.1fKB', n / 1024::DOUBLE) ELSE n || 'B' END AS bytes,
+        CASE WHEN n >= 1000000 THEN printf('%.1fM', n / 1000000::DOUBLE) WHEN n >= 1000 THEN printf('%.1fK', n / 1000::DOUBLE) ELSE n || '' END AS tokens FROM x""",
     "latency_percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events WHERE value IS NOT NULL GROUP BY event_type",
     "batch_rollup": """SELECT event_id // 5 AS run, coalesce(min_by(event_id % 4, event_id) FILTER (WHERE event_id % 4 <> 0), 0) AS exit_code, sum(user_id)::BIGINT AS size, bool_or(event_id % 11 = 0) AS truncated,
         count(*) FILTER (WHERE event_id % 2 = 0) AS indexed, count(*) FILTER (WHERE event_id % 4 <> 0) AS failures, min_by('c' || event_id, event_id) FILTER (WHERE event_id % 4 <> 0) AS first_failed FROM events GROUP BY 1""",
@@ -342,12 +375,14 @@ SQL = {
     "job_keep_newest": "SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3",
     "ordered_distinct": "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id",
     "strip_ansi": "SELECT doc_id, left(coalesce(text, ''), 40) || '--end' AS clean FROM documents",
+    "strip_ansi_whole": r"""SELECT doc_id, regexp_replace(chr(27) || '[1;31m' || coalesce(text, '') || chr(27) || '[0m' || chr(27) || ']0;title' || chr(7) || '-' || chr(27) || '(B-' || chr(27) || ']8;;u' || chr(27) || '\end',
+        '\x1b(?:\](?:(?s:.*?)(?:\x07|\x1b\\)|(?s:.*)$)|\[[\x20-\x3f]*[\x40-\x7e]?|[\x20-\x2f]*[\x30-\x7e]?)', '', 'g') AS clean FROM documents""",
     "slug": "SELECT doc_id, trim(left(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9_.-]', '_', 'g'), 24), '_') AS slug, left(sha256(coalesce(text, '')), 16) AS tag FROM documents",
     "truncate_lines": f"{KB_SQL}, {LINES_SQL} SELECT path, line_no, CASE WHEN length(content) > 60 THEN 63 ELSE length(content) END AS chars FROM l",
 }
 QUERIES = [
-    grep_lines, grep_literal, grep_grouped, grep_context, grep_page, grep_dirty_rank, grep_summary_top25, grep_counts, grep_first2, grep_first_hits, grep_per_file_cap, grep_definitions,
-    withhold_files, log_tail, sensitive_paths, binary_names, glob_match, gitignore_filter, resolve_fuzzy, resolve_subsequence, related_files, dir_listing, path_display,
-    porcelain_parse, error_class, shell_screen, worst_verdict, inline_code, env_filter, audit_by_session, audit_all, tool_usage, savings_ratio, human_sizes, latency_percentiles,
-    batch_rollup, batch_budget, flood_attempts_window, flood_status, dedup_reuse_10min, job_keep_newest, ordered_distinct, redact_text, strip_ansi, slug, cut_bytes, truncate_lines,
+    grep_lines, grep_literal, grep_grouped, grep_context, grep_page, grep_dirty_rank, grep_summary_top25, grep_counts, grep_first2, grep_first_hits, grep_per_file_cap, grep_definitions, grep_definitions_whole,
+    withhold_files, log_tail, sensitive_paths, binary_names, glob_match, gitignore_filter, resolve_fuzzy, resolve_fuzzy_all, resolve_subsequence, related_files, dir_listing, path_display,
+    porcelain_parse, error_class, shell_screen, worst_verdict, inline_code, env_filter, audit_by_session, audit_all, tool_usage, savings_ratio, human_sizes, human_sizes_scaled, latency_percentiles,
+    batch_rollup, batch_budget, flood_attempts_window, flood_status, dedup_reuse_10min, job_keep_newest, ordered_distinct, redact_text, strip_ansi, strip_ansi_whole, slug, cut_bytes, truncate_lines,
 ]

@@ -157,3 +157,30 @@ def test_registry_is_complete():
 
     queries, sql = registry.queries(), registry.oracle_sql()
     assert set(sql) <= set(queries) and len(sql) >= 70
+
+
+def test_whole_texts_lines_values_and_tiers(spark, tmp_path):
+    from lodestone.functions import text
+    from lodestone.plans import line_queries as q
+
+    long = "x" * 50 + "\x1b[31mred\x1b[0m " + "y" * 50
+    frame(spark, [(k, t, "en", "s", 0) for k, t in enumerate([long, "\n" + " " * 30 + "name", None])], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = dict(q.strip_ansi_whole(spark, str(tmp_path)).collect())
+    assert got == {0: "x" * 50 + "red " + "y" * 50 + "--end", 1: "\n" + " " * 30 + "name--end", 2: "--end"}
+    got = dict(q.grep_definitions_whole(spark, str(tmp_path)).collect())
+    assert got["s:markdown:1"] == 1  # "  class ", blanks and a name behind 20 characters
+    assert {r["score"] for r in q.resolve_fuzzy_all(spark, str(tmp_path)).collect()} == {95.0}
+    frame(spark, [(f"src/p{k}/m_a_i_n.g_o",) for k in range(3)] + [("main.go",), ("xmain.go",), ("main.gox",), ("a/main.go/b",), ("zz",)], "path string").createOrReplaceTempView("tiers")
+    q_paths, q._paths = q._paths, lambda s, sf: s.table("tiers")
+    try:
+        got = [r["path"] for r in q.resolve_fuzzy_all(spark, "").collect()]
+    finally:
+        q._paths = q_paths
+    assert got[:4] == ["main.go", "xmain.go", "main.gox", "a/main.go/b"] and len(got) == 7
+    sf = "/root/testdata/sf0.001"
+    values = {r["event_id"]: int(r["value"] or 0) * (r["event_id"] % 5 * r["event_id"] * 37 + 1) for r in spark.read.parquet(f"{sf}/events.parquet").collect()}
+    got = {r["event_id"]: (r["bytes"], r["tokens"]) for r in q.human_sizes_scaled(spark, sf).collect()}
+    scaled = lambda n, units: next((f"{n / k:.1f}{u}" for k, u in units if n >= k), None)
+    assert got == {i: (scaled(n, [(1 << 30, "GB"), (1 << 20, "MB"), (1 << 10, "KB")]) or f"{n}B", scaled(n, [(10**6, "M"), (1000, "K")]) or str(n)) for i, n in values.items()}
+    ties = frame(spark, [(1280,), (1150,), (1450,)], "n long").select(text.human_bytes(F.col("n")), text.human_tokens(F.col("n"))).collect()
+    assert [tuple(r) for r in ties] == [("1.2KB", "1.3K"), ("1.1KB", "1.1K"), ("1.4KB", "1.4K")]
