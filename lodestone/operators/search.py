@@ -5,6 +5,7 @@ Statistics are those of the whole table, also when a path prefix narrows the hit
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -93,6 +94,23 @@ def literal_terms(query: str) -> str:
     return " ".join(w if re.fullmatch(r"[0-9]+(?:\.[0-9]+)?", w) else literal_phrase(w) for w in query.split())
 
 
+def best_window(words: list[tuple[str, int, int]], spans: list[tuple[int, int]], size: int) -> int:
+    """The first word of the first window of ``size`` words with most whole spans, of all windows that begin at a span or end the text."""
+    starts, ends = [w[1] for w in words], [w[2] for w in words]
+    first = [bisect.bisect_right(starts, s) - 1 for s, _ in spans]
+    last = [bisect.bisect_left(ends, e) for _, e in spans]
+    best, most, left, right = 0, 0, 0, 0
+    for k in first:  # both edges only move on
+        k = max(0, min(k, len(words) - size))
+        while left < len(spans) and first[left] < k:
+            left += 1
+        while right < len(spans) and last[right] < k + size:
+            right += 1
+        if right - left > most:
+            best, most = k, right - left
+    return best
+
+
 def snippet(query: str, stemmed: bool, size: int = 256):
     """Up to ``size`` words around the most hits, hits in <b></b>, cut ends as dots."""
     phrase = tokens(query)
@@ -112,10 +130,7 @@ def snippet(query: str, stemmed: bool, size: int = 256):
                 at = low.find(needle, at + 1)
         lo, hi = 0, len(text)
         if len(words) > size:
-            starts = [w[1] for w in words]
-            first = [next((k for k, w in enumerate(words) if w[2] > s), 0) for s, _ in spans[:50]] or [0]
-            best = max(first, key=lambda k: (sum(starts[k] <= s < starts[min(k + size, len(words)) - 1] for s, _ in spans), -k))
-            best = min(best, len(words) - size)
+            best = best_window(words, spans, size)
             lo, hi = words[best][1], words[best + size - 1][2]
         merged: list[list[int]] = []
         for s, e in spans:

@@ -70,6 +70,12 @@ def kb_search_proximity(spark: SparkSession, sf: str) -> DataFrame:
     return search.proximity_rerank(marked, NEEDLE, [F.col("score"), F.col("path")]).select("path", F.round("boosted", 6).alias("boosted"))
 
 
+def kb_search_proximity_snippet(spark: SparkSession, sf: str) -> DataFrame:
+    """Re-ranking of a list by its snippets, which are taken from whole texts; SQL cannot express them."""
+    marked = search.search_trigram(kb_documents(spark, sf), NEEDLE).withColumn("snippet", search.snippet(NEEDLE, False)(F.col("content")))
+    return search.proximity_rerank(marked, NEEDLE, [F.col("score"), F.col("path")]).select("path", F.round("boosted", 6).alias("boosted"))
+
+
 def kb_search_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(kb_documents(spark, sf), "the thing").select("path", "snippet", F.round("score", 6).alias("score"), "corrected")
 
@@ -316,7 +322,7 @@ SQL = {
         FROM (SELECT source, doc_id, coalesce(text, '') AS c FROM documents)""",
 }
 QUERIES = [
-    kb_search_trigram_bm25, kb_search_prefix_scope, kb_search_porter_bm25, kb_search_rrf, kb_search_fuzzy_flag, kb_search_proximity, kb_search_pipeline,
+    kb_search_trigram_bm25, kb_search_prefix_scope, kb_search_porter_bm25, kb_search_rrf, kb_search_fuzzy_flag, kb_search_proximity, kb_search_proximity_snippet, kb_search_pipeline,
     kb_multi_query, kb_list, kb_get, kb_stats, kb_health_parity, first_index_token, purge_session, purge_prefix, purge_dry_run, purge_exact_chunks,
     documents_of_chunks, purge_legacy, upsert_latest, replace_chunks, cache_fresh, cache_prune, cache_latest, cache_backfill, stale_hits, spill_route,
     running_caps, url_normalise, url_dedupe, url_valid, ssrf_ipv4, ssrf_any, html_sniff, html_to_text, json_format, chunk_documents, chunk_counts, secret_gate,

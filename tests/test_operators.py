@@ -184,3 +184,26 @@ def test_whole_texts_lines_values_and_tiers(spark, tmp_path):
     assert got == {i: (scaled(n, [(1 << 30, "GB"), (1 << 20, "MB"), (1 << 10, "KB")]) or f"{n}B", scaled(n, [(10**6, "M"), (1000, "K")]) or str(n)) for i, n in values.items()}
     ties = frame(spark, [(1280,), (1150,), (1450,)], "n long").select(text.human_bytes(F.col("n")), text.human_tokens(F.col("n"))).collect()
     assert [tuple(r) for r in ties] == [("1.2KB", "1.3K"), ("1.1KB", "1.1K"), ("1.4KB", "1.4K")]
+
+
+def test_snippet_window_is_the_best_of_all(spark, tmp_path):
+    from lodestone.functions.stem import raw_tokens
+    from lodestone.plans import search_queries as q
+
+    sparse = ("hit " + "w " * 300) * 60
+    text = sparse + "hit " * 9 + "w " * 300
+    got = frame(spark, [(text,)], "t string").select(search.snippet("hit", True)("t"), search.snippet("hit", False)("t")).first()
+    assert got[0].count("<b>") == 9 and got[1].count("<b>") == 9
+    rng = random.Random(5)
+    for _ in range(200):
+        t = "".join(rng.choice(["ab", "b", "a", " ", " ", ", "]) for _ in range(60))
+        words, needle, size = raw_tokens(t), rng.choice(["ab", "b a", "a", " a"]), rng.randint(1, 6)
+        spans = [(k, k + len(needle)) for k in range(len(t)) if t.startswith(needle, k)]
+        if len(words) <= size:
+            continue
+        counts = [sum(words[k][1] <= s and e <= words[k + size - 1][2] for s, e in spans) for k in range(len(words) - size + 1)]
+        assert counts[search.best_window(words, spans, size)] == max(counts)
+    docs = [(0, "w " * 300 + q.NEEDLE, "en", "s", 0), (1, "other words", "en", "s", 0), (2, "more words " + q.NEEDLE + " w" * 600, "en", "s", 0)]
+    frame(spark, docs, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r["boosted"] for r in q.kb_search_proximity_snippet(spark, str(tmp_path)).collect()]
+    assert len(got) == 2 and all(b % 1 > 0 for b in got)  # a hit behind 200 characters counts
