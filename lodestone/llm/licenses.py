@@ -146,10 +146,40 @@ def _possible(low: str, t: Template, min_coverage: float) -> bool:
     return present > 0
 
 
+def _interrupted(words: list[str], t: Template, where: dict[str, list[int]], taken: list[tuple[int, int]], min_coverage: float) -> list[tuple[str, int, int, float]]:
+    """The notices of a template in the stretches between the taken ones, each stretch aligned as a whole."""
+    out, n = [], len(t.words)
+    least, need = math.ceil(min_coverage * n), Counter(t.words)
+    edges = [0, *[x for span in sorted(taken) for x in span], len(words)]
+    stretches = list(zip(edges[::2], edges[1::2], strict=True))
+    while stretches:
+        lo, hi = stretches.pop()
+        if hi - lo < least:
+            continue
+        missing = 0
+        for w in t.rare:
+            at = where.get(w, ())
+            k = bisect.bisect_left(at, lo)
+            missing += k == len(at) or at[k] >= hi
+        if missing > n - least or missing == len(t.rare):
+            continue
+        have = Counter(w for w in words[lo:hi] if w in need)
+        if sum(min(k, have[w]) for w, k in need.items()) < least:
+            continue
+        pairs = align(words[lo:hi], t.words)
+        if len(pairs) / n >= min_coverage:
+            a, b = lo + pairs[0][0], lo + pairs[-1][0] + 1
+            out.append((t.name, a, b, len(pairs) / n))
+            stretches += [(lo, a), (b, hi)]
+    return out
+
+
 def scan_text(text: str, known: tuple[Template, ...], min_coverage: float = MIN_COVERAGE) -> list[tuple[str, int, int, float]]:
     """(template, first word, word behind the last, coverage) of every notice in a text, in order.
 
-    Of windows that overlap in a template, the one with the best coverage (then the first) counts.
+    Of windows that overlap in a template, the one with the best coverage (then the first) counts. What lies between these is
+    aligned as a whole where it has enough of the template's words, so a notice may be interrupted by any number of
+    words; but of several such notices of one template in a row, whose words are then not unique, some may be missed.
     """
     low = text.lower()
     live = [t for t in known if _possible(low, t, min_coverage)]
@@ -183,6 +213,7 @@ def scan_text(text: str, known: tuple[Template, ...], min_coverage: float = MIN_
             if all(hi <= x or lo >= y for x, y in taken):
                 taken.append((lo, hi))
                 out.append((t.name, lo, hi, -c))
+        out += _interrupted(words, t, where, taken, min_coverage)
     return sorted(out, key=lambda r: (r[1], r[2], r[0]))
 
 

@@ -36,6 +36,17 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(frame.limit(0)).collect() == []
 
 
+def test_interrupted_notice_is_found_whole():
+    known = licenses.templates(licenses.TEMPLATES)
+    for t in known:
+        half, foreign = len(t.words) // 2, [f"zz{k}" for k in range(len(t.words))]
+        text = " ".join(["start", *t.words[:half], *foreign, *t.words[half:], "end"])
+        got = [r for r in licenses.scan_text(text, known) if r[0] == t.name]
+        assert got == [(t.name, 1, 1 + 2 * len(t.words), 1.0)]
+        whole = " ".join([*t.words, "between", text])  # beside one that a window finds
+        assert [r[3] for r in licenses.scan_text(whole, known) if r[0] == t.name] == [1.0, 1.0]
+
+
 def test_automaton_against_greedy():
     rng = random.Random(4)
     for _ in range(400):
