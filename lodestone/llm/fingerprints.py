@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 P61 = (1 << 61) - 1
 P31 = np.uint64((1 << 31) - 1)
@@ -37,12 +38,18 @@ class PrefixHash:
 
     def __init__(self, text: str):
         self.n = len(text)
-        self.prefix, self.power = [0], [1]
-        for ch in text:
+        self.text, self.prefix, self.power = text, [0], [1]
+
+    def _grow(self, n: int) -> None:
+        """The arrays reach as far as spans were asked for."""
+        done = len(self.prefix) - 1
+        for ch in self.text[done:n]:
             self.prefix.append((self.prefix[-1] * BASE + ord(ch) + 1) % P61)
             self.power.append(self.power[-1] * BASE % P61)
 
     def span(self, i: int, j: int) -> int:
+        if j >= len(self.prefix):
+            self._grow(j)
         return (self.prefix[j] - self.prefix[i] * self.power[j - i]) % P61
 
     def equal(self, i: int, other: PrefixHash, j: int, length: int) -> bool:
@@ -50,7 +57,10 @@ class PrefixHash:
 
     def extension(self, i: int, other: PrefixHash, j: int) -> int:
         """The most code points that agree from i here and from j in the other text."""
-        lo, hi = 0, min(self.n - i, other.n - j)
+        lo, most, step = 0, min(self.n - i, other.n - j), 1
+        while step <= most and self.equal(i, other, j, step):
+            lo, step = step, 2 * step
+        hi = min(step - 1, most) if step <= most else most
         while lo < hi:
             mid = (lo + hi + 1) // 2
             lo, hi = (mid, hi) if self.equal(i, other, j, mid) else (lo, mid - 1)
@@ -135,6 +145,29 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, n_chars long, fingerprint string")
 
 
+def compare_spans(rows: DataFrame, a_col: str = "a", i_col: str = "i", b_col: str = "b", j_col: str = "j", length_col: str = "length") -> DataFrame:
+    """The rows with their columns, and equal (a from i and b from j agree on ``length`` code points), extension (on how many they agree at most).
+
+    Defined cases: a null text counts as empty; a span that leaves a text is not equal; both are null where a place is null
+    or outside its text (its end is inside), equal also where the length is null or negative. Columns named equal and extension are replaced.
+    """
+    rows = rows.drop("equal", "extension")
+    at = [rows.columns.index(c) for c in (a_col, i_col, b_col, j_col, length_col)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            equal, extension = [], []
+            for a, i, b, j, n in zip(*(batch.column(k).to_pylist() for k in at), strict=True):
+                x, y = PrefixHash(a or ""), PrefixHash(b or "")
+                inside = i is not None and j is not None and 0 <= i <= x.n and 0 <= j <= y.n
+                extension.append(x.extension(i, y, j) if inside else None)
+                equal.append(i + n <= x.n and j + n <= y.n and x.equal(i, y, j, n) if inside and n is not None and n >= 0 else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(equal, pa.bool_()), pa.array(extension, pa.int64())], names=[*batch.schema.names, "equal", "extension"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("equal", T.BooleanType()), T.StructField("extension", T.LongType())])
+    return rows.mapInArrow(run, schema)
+
+
 def with_neighbour(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """Rows dealt into ranges of descending id, each range followed by the first row of the next one.
 
@@ -177,17 +210,17 @@ def _range_of(c: Column, marks: list, value: dict[int, int]) -> Column:
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, bins: int = BINS) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, common_next.
 
     The edited text has its last floor(n/2) code points replaced by the first as many (or all) of
-    the next document by descending id; the last document's next is the first.
+    the next document by descending id; the last document's next is the first. common_next is how many code points the two texts have in common at their start.
 
     Defined cases: a null text counts as empty; null ids come last; equal ids are ordered by text, so
     repeated rows are neighbours; a single document is its own next one; an empty table gives an empty result.
     A text is held whole in one task, with its prefix arrays.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = f"doc_id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_next long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(window, bins)
@@ -198,18 +231,18 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             half = len(own_text) // 2
             edited = own_text[: len(own_text) - half] + text[:half]
             edited_print = own_print if edited == own_text else sketcher.fingerprint(edited)
-            row = (doc, len(own_text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own_print, edited_print, likeness(own_print, edited_print), likeness(own_print, print_))
+            row = (doc, len(own_text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own_print, edited_print, likeness(own_print, edited_print), likeness(own_print, print_), PrefixHash(own_text).extension(0, PrefixHash(text), 0))
             for column, value in zip(out, row, strict=True):
                 column.append(value)
 
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for doc, text, own in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 print_ = sketcher.fingerprint(text)
                 if held is not None and held[3]:
                     close(text, print_)
                 held = (doc, text, print_, own)
-            types = [batch.schema.field(0).type, pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            types = [batch.schema.field(0).type, pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_next"])
 
     return with_neighbour(docs, id_col, text_col).mapInArrow(run, schema)

@@ -157,6 +157,23 @@ def test_edited_fingerprints(spark):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+def test_spans_over_rows_and_with_the_next_document(spark):
+    rng = random.Random(4)
+    texts = [None, "", *("".join(rng.choice("ab") for _ in range(n)) for n in (1, 3, 40, 200)), "ab" * 150, "ab" * 150 + "é", "ab" * 140 + "x"]
+    rows = [(a, rng.choice([None, -1, 0, 1, 7, 199]), b, rng.choice([0, 1, 2, 300]), rng.choice([None, -1, 0, 1, 5, 250])) for a in texts for b in texts for _ in range(3)]
+    got = fingerprints.compare_spans(spark.createDataFrame(rows, "a string, i int, b string, j int, length int").repartition(3)).collect()
+    assert len(got) == len(rows)
+    for a, i, b, j, n, equal, extension in got:
+        a, b = a or "", b or ""
+        if i is None or not (0 <= i <= len(a) and j <= len(b)):
+            assert equal is None and extension is None
+            continue
+        assert extension == next((k for k, (x, y) in enumerate(zip(a[i:], b[j:])) if x != y), min(len(a) - i, len(b) - j))
+        assert equal == (None if n is None or n < 0 else n <= extension)
+    docs = spark.createDataFrame([(3, "abcd"), (2, "abxy"), (1, None)], "doc_id long, text string")
+    assert {r["doc_id"]: r["common_next"] for r in fingerprints.edited_fingerprints(docs).collect()} == {3: 2, 2: 0, 1: 0}
+
+
 def test_likeness_estimates_jaccard():
     rng = np.random.default_rng(0)
     text = "".join(map(chr, rng.integers(97, 123, 4000)))
