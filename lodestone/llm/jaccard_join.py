@@ -1,21 +1,26 @@
 """N-gram Jaccard join with parity sketches.
 
-A document is the set of hashes of its five-word shingles. Its parity sketch has 2^64 bits, and every element flips one of
-them; the sketches' Hamming distance bounds the symmetric difference of two sets from below. Sets of sizes a and b with Jaccard similarity of at
-least 3/4 differ in at most (a + b) / 7 elements, and either lacks at most a quarter of the other's. Hence (pigeonhole), when the set bits of all
-sketches are put in one global order, the first n // 4 + 1 of two similar sets have one in common. The join is on (size band, bit) of
-those. The order puts bits that many sets have last (counted over all documents), so that passages which many
-documents quote are rarely joined on; the order changes the work, never the result.
-
-Sizes are in bands of ratio 4; a set that can have a smaller partner in the band below is also sketched
-there. A key at place i of a set can only be the first that it shares with a similar set of a bounded size (its cap).
-
-Keys are combined before the shuffle: of the sets of one batch that share a key only the first
-goes out for it, and keys with the same sets are one group. Candidates are first verified along stars (each set against the
-hub of the groups with which it shares the most keys; a hub has the fewest own elements before its keys). Where a group's members are then all connected, its keys are
-settled; for every other key all sets that have it are gathered, linked to a hub once more, and then every pair of those that is
-not connected and within its caps is verified. Pairs whose whole sketches, folded to about one bit an element, differ in too many bits
-are out; of the others the whole sets are intersected.
+A document is the set of 64-bit hashes of its five-word shingles. Its parity sketch for a size band has P parts; every shingle is dealt
+to one part by its hash and its hash is XORed into it. A shingle that only one of two sets has changes one part, so the number
+of parts in which two sketches differ is a lower bound of the symmetric difference. Sets of sizes a and b with a Jaccard similarity of
+at least 3/4 differ in at most t = (a + b) / 7 elements. Hence (pigeonhole) of a set's D parts that hold something at least D - t agree with
+a similar set's; and when the parts of all sets (as keys: part and value) are put in one global order, the first t + 1 of two similar
+sets have one in common. A part at place i of a set (from 0) can only be the first that it shares with a set of size 7 i - a or more.
+A set whose shingles fill t parts or fewer also has its empty parts as keys, after the others.
+
+Bands have ratio 4; a set that can have a smaller partner in the band below is also sketched there.
+
+1. Every part of every sketch goes to the bucket of its key, once per unit (some megabytes of texts) and key. Each bucket
+   tells the units which keys several sets have, and how many.
+2. Each unit drops the sets that share fewer than D - t parts. The others keep the first t + 1 of their keys in the order by
+   number of sets, rarest first; keys that no other set has need not be stored, they come first. This is the pigeonhole join.
+   Passages that many documents quote come last in the order, so they are rarely joined on; the order is exact and never changes the result.
+3. Keys with the same sets are one group. Each group's hub (the set that shares the largest part of its sketch) is compared
+   with the others. Sets that are linked are one component.
+4. Of the groups whose sets are not all connected, the sets of different components are compared in blocks, by parity sketches of about a
+   bit an element; only pairs that these leave possible come out, of two components in a group the nearest ones first.
+
+Possible pairs are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -25,18 +30,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, release_memory
 from .components import connected_components
 
 WORDS = 5
-#: At most so many frequent keys are held for the order.
-HOT_KEYS = 200_000
-#: Keys of one exchange bucket, on average.
-BUCKET_KEYS = 1_000_000
-FILTER_BITS = 1 << 24
+#: Bytes of shingle hashes of a unit, and its documents at most.
+UNIT_BYTES = 12 << 20
+UNIT_DOCS = 16_000
+#: Keys of a bucket, on average.
+BUCKET_KEYS = 2_000_000
+#: Sets of a group that are compared in one block with another such block.
+BLOCK = 2048
+#: Up to so many texts are picked with a broadcast bitmap (16 bits each), more with a join.
+BITMAP_TEXTS = 4 << 20
+KEY_BITS = 40
 U = np.uint64
 _MIX = U(0xC2B2AE3D27D4EB4F)
 
@@ -111,32 +121,30 @@ class Sets:
         self.sizes = np.bincount(self.owner, minlength=docs)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
 
-    def bits(self) -> pa.ListArray:
-        """A parity sketch of each whole set: an element flips the bit of its value modulo the length.
-
-        The length is a power of two, 1024 or the set's size at least, so a longer sketch folds onto a shorter one.
-        """
-        length = np.maximum(1024, 1 << np.ceil(np.log2(np.maximum(self.sizes, 1))).astype(np.int64))
-        start = np.concatenate(([0], np.cumsum(length)))
-        place = start[self.owner] + (self.items & (length[self.owner] - 1).astype(U)).astype(np.int64)
-        flips = np.bincount(place, minlength=int(start[-1])) & 1
-        words = np.packbits(flips.astype(bool), bitorder="little").view(np.int64)
-        return pa.ListArray.from_arrays(pa.array((start // 64).astype(np.int32)), pa.array(words))
-
     def of(self, k: int) -> np.ndarray:
         return self.items[self.starts[k] : self.starts[k + 1]]
 
     def ids(self) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits that stand for each set, as two signed arrays; 0 for an empty set."""
+        """127 bits that stand for each set, as two signed arrays; 0 for an empty set."""
         out = np.zeros((2, len(self.sizes)), U)
         full = np.flatnonzero(self.sizes)
         if len(full):
-            out[0, full] = np.bitwise_xor.reduceat(mix(self.items + U(11)), self.starts[full])
+            out[0, full] = np.bitwise_xor.reduceat(mix(self.items + U(11)), self.starts[full]) & ~U(1)
             out[1, full] = np.add.reduceat(mix(self.items ^ U(0x5851F42D4C957F2D)), self.starts[full])
         return out[0].view(np.int64), out[1].view(np.int64)
 
+    def bits(self, chosen: np.ndarray) -> list[bytes]:
+        """The whole sets' parity sketches of ``sketch_bits`` bits: an element flips the bit of its value modulo the length."""
+        out = []
+        for k in chosen:
+            x = self.of(k)
+            length = int(sketch_bits(band_of(np.array([len(x)])))[0])
+            flips = np.bincount((x & U(length - 1)).astype(np.int64), minlength=length) & 1
+            out.append(np.packbits(flips.astype(bool), bitorder="little").tobytes())
+        return out
+
 
-def sets_of(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, Sets]]:
+def sets_of(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, Sets]]:
     """(first row, sets) of runs of an Arrow string column, about ``limit`` bytes of whole texts each; null counts as empty."""
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
     if column.null_count:
@@ -147,7 +155,7 @@ def sets_of(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, Sets]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
+        hi = min(max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1), lo + UNIT_DOCS // 4)
         yield lo, Sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         lo = hi
 
@@ -158,104 +166,61 @@ def shingles(text: str | None) -> np.ndarray:
     return Sets(raw, np.array([0, len(raw)])).items
 
 
-def sketch_keys(s: Sets, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For the own band, then the band below: sets, most elements a similar set can lack, key starts, keys.
-
-    ``chosen`` are the non-empty sets to sketch; in the band below only those with a possible partner there.
-    A key names a set bit of the band's sketch.
-    """
-    n = s.sizes[chosen]
-    band = np.array([(int(x).bit_length() - 1) // 2 for x in n], np.int64)
-    down = (band > 0) & (-(-3 * n // 4) < 4**band)
-    for take, bands in ((chosen, band), (chosen[down], band[down] - 1)):
-        n = s.sizes[take]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        x = s.items[np.repeat(s.starts[take] - (ends - n), n) + np.arange(total)]
-        yield take, n // 4, np.concatenate(([0], ends)), mix(x ^ np.repeat(bands.astype(U) * _MIX, n))
-
-
-class Order:
-    """The global order of keys: unlisted ones by value, then listed ones by count and value."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        at = np.argsort(keys)
-        self.keys, self.counts = keys[at], counts[at]
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(keys >> U(44)).astype(np.int64)] = True
-
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        """The count of listed keys, 0 for others."""
-        out = np.zeros(len(keys), np.int64)
-        likely = np.flatnonzero(self.maybe[(keys >> U(44)).astype(np.int64)])
-        if len(likely):
-            at = np.minimum(np.searchsorted(self.keys, keys[likely]), len(self.keys) - 1)
-            hit = self.keys[at] == keys[likely]
-            out[likely[hit]] = self.counts[at[hit]]
-        return out
+def band_of(sizes: np.ndarray) -> np.ndarray:
+    """The band k of each size: from 4^k up to 4^(k + 1)."""
+    return (np.frexp(sizes.astype(float))[1].astype(np.int64) - 1) // 2
 
-    def prefix(self, keys: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """The first ``length`` of a set's keys and their places; those of unlisted keys count as 0."""
-        warm = counts > 0
-        cold = keys[~warm] if warm.any() else keys
-        if len(cold) >= length:
-            return (np.partition(cold, length - 1)[:length] if len(cold) > length else cold), np.zeros(length, np.int64)
-        hot, n = keys[warm], counts[warm]
-        hot = hot[np.lexsort((hot, n))][: length - len(cold)]
-        return np.concatenate([cold, hot]), np.concatenate([np.zeros(len(cold), np.int64), len(cold) + np.arange(len(hot))])
 
+def sketch_bits(band: np.ndarray) -> np.ndarray:
+    """Bits of a whole set's sketch; a sketch folds onto that of the band below."""
+    return np.maximum(1024, 4 ** (band + 1))
 
-class _Seen:
-    """The sets a task has already met, up to a bound; a forgotten one is only sent again."""
 
-    def __init__(self, bound: int = 200_000):
-        self.rows: dict[tuple[int, int, int], int] = {}
-        self.bound = bound
+def folded(bits: np.ndarray, length: int) -> np.ndarray:
+    """A sketch of 64-bit words as one of ``length`` bits."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, length // 64), axis=0)
 
-    def first(self, key: tuple[int, int, int], rid: int) -> int:
-        got = self.rows.get(key)
-        if got is None:
-            if len(self.rows) >= self.bound:
-                self.rows.clear()
-            self.rows[key] = got = rid
-        return got
 
-    def new(self, s: Sets, ids: tuple[np.ndarray, np.ndarray], rids: range) -> tuple[np.ndarray, np.ndarray]:
-        """For each set the rid it goes by, and the sets that are not empty and met for the first time."""
-        names = np.array([self.first(k, r) if k[2] else r for k, r in zip(zip(ids[0].tolist(), ids[1].tolist(), s.sizes.tolist(), strict=True), rids, strict=True)], np.int64)
-        return names, np.flatnonzero((names == np.asarray(rids)) & (s.sizes > 0))
+def allowed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The most elements in which similar sets of these sizes differ."""
+    return (a + b) // 7
 
 
-def _count_keys(rows: DataFrame, scratch: Scratch) -> tuple[Order, int]:
-    """The order of keys and the number of keys to come."""
+def parts_of(s: Sets, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For the own band, then the band below: sets, filled parts D, most that a similar set can lack t, and keys with the owner's place among the sets.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total, at = _Seen(), 0, 0
-        for batch in batches:
-            found, docs = [], 0
-            for _, s in sets_of(batch.column(0)):
-                _, fresh = seen.new(s, s.ids(), range(at, at + len(s.sizes)))
-                at, docs = at + len(s.sizes), docs + len(fresh)
-                for _, most, _, keys in sketch_keys(s, fresh):
-                    total += int((most + 1).sum())
-                    found.append(keys)
-            if found:
-                keys, n = np.unique(np.concatenate(found), return_counts=True)
-                often = n > 1
-                yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(n[often], pa.int64()), pa.array(np.zeros(int(often.sum()), np.int32))], names=["key", "n", "kind"])
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([total], pa.int64()), pa.array([1], pa.int32())], names=["key", "n", "kind"])
-
-    got = rows.select("text").mapInArrow(run, "key long, n long, kind int").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    got = scratch.put(got, "counts")
-    n_keys = got.filter("kind = 1").agg(F.sum("n")).first()[0] or 0
-    listed = got.filter("kind = 0").orderBy(F.col("n").desc(), "key").limit(HOT_KEYS).select("key", "n").toPandas()
-    return Order(listed["key"].to_numpy(np.int64).view(U), listed["n"].to_numpy(np.int64)), n_keys
-
-
-#: kind 0: a document's set. 1: keys on their way to their bucket. 2: an edge with its number of keys. 3: a group of sets (rids, with their caps) that share keys.
+    ``chosen`` are non-empty sets; in the band below only those with a possible partner there. Sets with D <= t have their empty parts as keys too.
+    """
+    n = s.sizes[chosen]
+    band = band_of(n)
+    down = (band > 0) & (-(-3 * n // 4) < 4**band)
+    for low, (take, bands) in enumerate(((chosen, band), (chosen[down], band[down] - 1))):
+        n = s.sizes[take]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        x = s.items[np.repeat(s.starts[take] - (ends - n), n) + np.arange(total)]
+        owner = np.repeat(np.arange(len(take)), n)
+        parts = np.maximum(3 * 4**bands, 16)
+        start = np.concatenate(([0], np.cumsum(parts)))
+        place = start[owner] + ((x >> U(32)) * parts[owner].astype(U) >> U(32)).astype(np.int64)
+        value = np.zeros(int(start[-1]), U)
+        np.bitwise_xor.at(value, place, mix(x + U(77)))
+        filled = np.zeros(len(value), bool)
+        filled[place] = True
+        holds = np.add.reduceat(filled, start[:-1], dtype=np.int64) if len(take) else np.zeros(0, np.int64)
+        most = allowed(n, np.minimum(4 * n // 3, 4 ** (bands + 1) - 1) if low else 4 * n // 3)
+        wanted = filled | np.repeat(holds <= most, parts)
+        at = np.flatnonzero(wanted)
+        owner = np.repeat(np.arange(len(take)), parts)[at]
+        name = (at - start[owner]).astype(U) * U(64) + bands[owner].astype(U) * U(2) + filled[at].astype(U)
+        yield take, holds, most, mix(value[at] ^ mix(name)), owner
+
+
+#: kind 0: a document (id, k, n, s1, s2). 1: keys of a unit on their way to their bucket. 2: the sets of a unit, and the groups that share a
+#: key within it. 3: keys of a unit that several sets have, on their way back.
 _FIELDS = (
-    ("kind", pa.int32(), "int"), ("bucket", pa.int32(), "int"), ("rid", pa.int64(), "long"), ("n", pa.int64(), "long"), ("s1", pa.int64(), "long"),
-    ("s2", pa.int64(), "long"), ("keys", pa.binary(), "binary"), ("rids", pa.binary(), "binary"), ("caps", pa.binary(), "binary"), ("bits", pa.list_(pa.int64()), "array<long>"),
+    ("kind", pa.int32(), "int"), ("bucket", pa.int32(), "int"), ("unit", pa.int64(), "long"), ("k", pa.int64(), "long"), ("n", pa.int64(), "long"), ("s1", pa.int64(), "long"),
+    ("s2", pa.int64(), "long"), ("a", pa.binary(), "binary"), ("b", pa.binary(), "binary"), ("c", pa.binary(), "binary"), ("d", pa.binary(), "binary"), ("e", pa.binary(), "binary"),
 )
 _ROW = ", ".join(f"{n} {t}" for n, _, t in _FIELDS)
 
@@ -268,220 +233,367 @@ def _batch(count: int, id_type: pa.DataType, ids: pa.Array | None = None, **colu
     return pa.RecordBatch.from_arrays(arrays, names=["id", *[f[0] for f in _FIELDS]])
 
 
-def _groups(keys: np.ndarray, rids: np.ndarray, caps: np.ndarray, id_type: pa.DataType, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Iterator[pa.RecordBatch]]:
-    """Each key with its hub and the hub's cap; and rows: edges (hub, other rid, keys in common), groups with their keys.
-
-    The hub of a key is the set with the largest cap, then the least rid. Keys whose groups have equal members and hubs are one
-    group; a member's cap is the largest of these.
-    """
-    order = np.lexsort((rids, -caps, keys))
-    keys, rids, caps = keys[order], rids[order], caps[order]
-    lead = np.ones(len(keys), bool)
-    lead[1:] = keys[1:] != keys[:-1]
-    starts = np.flatnonzero(lead)
-    sizes = np.diff(np.concatenate((starts, [len(keys)])))
-    key, hub, hub_cap = keys[starts], rids[starts], caps[starts]
-
-    def rows() -> Iterator[pa.RecordBatch]:
-        many = np.flatnonzero(sizes > 1)
-        if not len(many):
+def _packed(keys: np.ndarray) -> bytes:
+    """The low KEY_BITS of keys."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].tobytes()
+
+
+def _unpacked(raw: memoryview) -> np.ndarray:
+    out = np.zeros((len(raw) // (KEY_BITS // 8), 8), np.uint8)
+    out[:, : KEY_BITS // 8] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BITS // 8)
+    return out.view("<u8").ravel()
+
+
+def _runs(sorted_values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start, and the end."""
+    if not len(sorted_values):
+        return np.zeros(1, np.int64)
+    return np.concatenate(([0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1, [len(sorted_values)]))
+
+
+class _Unit:
+    """The distinct sets of some texts and the keys of their parts, gathered run by run."""
+
+    def __init__(self):
+        self.s1, self.n, self.filled, self.most, self.keys, self.owners = [], [], [], [], [], []
+        self.seen: dict[tuple[int, int], int] = {}
+        self.bytes = 0
+
+    def add(self, s: Sets, ids: tuple[np.ndarray, np.ndarray]) -> None:
+        fresh = []
+        for k, name in enumerate(zip(ids[0].tolist(), ids[1].tolist(), strict=True)):
+            if s.sizes[k] and name not in self.seen:
+                self.seen[name] = 1
+                fresh.append(k)
+        fresh = np.array(fresh, np.int64)
+        base = sum(map(len, self.s1))
+        self.s1.append(ids[0][fresh])
+        self.n.append(s.sizes[fresh])
+        at = np.zeros(len(s.sizes), np.int64)
+        at[fresh] = base + np.arange(len(fresh))
+        filled, most = np.zeros((2, len(fresh)), np.int64), np.zeros((2, len(fresh)), np.int64)
+        for low, (take, holds, lacks, keys, owner) in enumerate(parts_of(s, fresh)):
+            filled[low, at[take] - base], most[low, at[take] - base] = holds, lacks
+            self.keys.append(keys)
+            self.owners.append((at[take][owner] * 2 + low).astype(np.uint16))
+        self.filled.append(filled)
+        self.most.append(most)
+        self.bytes += 8 * len(s.items)
+
+    def rows(self, unit: int, buckets: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        if not any(map(len, self.s1)):
             return
-        mark = (np.add.reduceat(mix(rids.astype(U)), starts) ^ mix(hub.astype(U) + U(1)))[many]
-        by = np.lexsort((many, mark))
-        many, mark = many[by], mark[by]
-        heads = np.flatnonzero(np.concatenate(([True], mark[1:] != mark[:-1])))
-        ends = np.concatenate((heads, [len(many)]))
-        a, b, w = [], [], []
-        records: dict[str, list] = {"rid": [], "keys": [], "rids": [], "caps": []}
-        for k, held in enumerate(many[heads]):
-            alike = many[ends[k] : ends[k + 1]]
-            span = slice(starts[held], starts[held] + sizes[held])
-            at = np.argsort(rids[span])
-            mine, cap = rids[span][at], caps[span][at]
-            for other in alike[1:]:
-                more = slice(starts[other], starts[other] + sizes[other])
-                cap = np.maximum(cap, caps[more][np.argsort(rids[more])])
-            others = mine[mine != hub[held]]
-            a.append(np.full(len(others), hub[held]))
-            b.append(others)
-            w.append(np.full(len(others), len(alike)))
-            for name, value in zip(records, (int(hub[held]), key[alike].view(np.int64).tobytes(), mine.tobytes(), cap.tobytes()), strict=True):
-                records[name].append(value)
-        a, b, w = map(np.concatenate, (a, b, w))
-        at = np.lexsort((b, a))
-        a, b, w = a[at], b[at], w[at]
-        cut = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
-        if len(cut):
-            a, b, w = a[cut], b[cut], np.add.reduceat(w, cut)
-        yield _batch(len(a), id_type, kind=np.full(len(a), 2, np.int32), bucket=(b % buckets).astype(np.int32), rid=a, s1=b, n=w)
-        for lo in range(0, len(heads), 20_000):
-            part = {name: values[lo : lo + 20_000] for name, values in records.items()}
-            n = len(part["rid"])
-            yield _batch(n, id_type, kind=np.full(n, 3, np.int32), bucket=(np.array(part["rid"]) % buckets).astype(np.int32), **part)
-
-    return key, hub, hub_cap, rows()
-
-
-def _sketches(rows: DataFrame, order: Order, n_keys: int, scratch: Scratch, id_type: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Written tables: sets (id, rid, n, s1, s2, bits) with a row per document, edges (a, b, votes), groups (rid, keys, rids, caps).
-
-    A rid names a set within a task: its partition and first row. A cap is the largest size of a similar set that shares this key and no
-    earlier one: of n elements the i before the key are missing there, so n - i of them must reach the overlap. All three come from one job.
-    """
-    held = rows.sparkSession.sparkContext.broadcast(order)
-    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_keys // BUCKET_KEYS + 1)
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = held.value
-        seen, base = _Seen(), TaskContext.get().partitionId() << 36
+        s1, n = np.concatenate(self.s1), np.concatenate(self.n)
+        keys, owners = np.concatenate(self.keys), np.concatenate(self.owners)
+        bucket = (keys >> U(KEY_BITS)) * U(buckets) >> U(64 - KEY_BITS)
+        keys = (bucket << U(KEY_BITS)) | (keys & U((1 << KEY_BITS) - 1))
+        order = np.argsort(keys, kind="stable")
+        keys, owners = keys[order], owners[order]
+        cut = _runs(keys)
+        first, count = cut[:-1], np.diff(cut)
+        many = count > 1
+        inside = np.repeat(many, count)
+        home = int(mix(np.array([unit], U))[0] % U(buckets))
+        yield _batch(
+            1, id_type, kind=[2], bucket=[home], unit=[unit], a=[s1.tobytes()], b=[np.stack([n, *np.concatenate(self.filled, axis=1), *np.concatenate(self.most, axis=1)]).astype("<i4").tobytes()],
+            c=[keys[first[many]].tobytes()], d=[count[many].astype("<u4").tobytes()], e=[owners[inside].tobytes()],
+        )
+        keys, owners = keys[first], owners[first]
+        to = (keys >> U(KEY_BITS)).astype(np.int64)
+        spans = _runs(to)
+        out: list[list] = [[], [], [], [], [], []]
+        for x, y in zip(spans, spans[1:], strict=False):
+            at = np.arange(x, y)
+            at = np.concatenate((at[many[x:y]], at[~many[x:y]]))  # keys with several sets first
+            docs = np.unique(owners[at] >> 1)
+            found = (int(to[x]), _packed(keys[at]), owners[at].tobytes(), count[at][: int(many[x:y].sum())].astype("<u4").tobytes(), docs.tobytes(), s1[docs].tobytes())
+            for column, value in zip(out, found, strict=True):
+                column.append(value)
+        m = len(out[0])
+        yield _batch(m, id_type, kind=[1] * m, bucket=out[0], unit=[unit] * m, **dict(zip("abcde", out[1:], strict=True)))
+
+
+def _shared(rows: list[tuple], bucket: int, buckets: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The keys of a bucket that several sets have, for each unit: keys, numbers of sets, owners."""
+    keys = np.concatenate([_unpacked(r[1]) for r in rows])
+    which = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[2]) // 2 for r in rows])
+    owners = np.concatenate([np.frombuffer(r[2], np.uint16) for r in rows])
+    count = np.ones(len(keys), np.uint32)
+    sets = np.zeros(len(keys), np.int64)
+    at = 0
+    for _, _, own, multi, docs, s1 in rows:
+        own = np.frombuffer(own, np.uint16)
+        multi = np.frombuffer(multi, "<u4")
+        count[at : at + len(multi)] = multi
+        sets[at : at + len(own)] = np.frombuffer(s1, np.int64)[np.searchsorted(np.frombuffer(docs, np.uint16), own >> 1)]
+        at += len(own)
+    order = np.argsort(keys, kind="stable")
+    cut = _runs(keys[order])
+    lead, size = cut[:-1], np.diff(cut)
+    sets, count = sets[order], count[order]
+    total = np.add.reduceat(count, lead, dtype=np.int64)
+    several = (np.minimum.reduceat(sets, lead) != np.maximum.reduceat(sets, lead)) | (np.maximum.reduceat(count, lead) > 1)
+    del sets, count
+    take = order[np.repeat(several, size)]
+    total = np.repeat(total[several], size[several])
+    by = np.argsort(which[take], kind="stable")
+    take, total = take[by], total[by]
+    spans = _runs(which[take])
+    units = [rows[which[take[x]]][0] for x in spans[:-1]]
+    cuts = list(zip(spans, spans[1:], strict=False))
+    yield _batch(
+        len(units), id_type, kind=[3] * len(units), unit=units, bucket=[int(mix(np.array([u], U))[0] % U(buckets)) for u in units],
+        a=[(keys[take[x:y]] | U(bucket << KEY_BITS)).tobytes() for x, y in cuts], b=[np.minimum(total[x:y], 0xFFFFFFFF).astype("<u4").tobytes() for x, y in cuts], c=[owners[take[x:y]].tobytes() for x, y in cuts],
+    )
+
+
+def _deal(rows: DataFrame, scratch: Scratch, id_type: str) -> tuple[DataFrame, DataFrame, int]:
+    """Written tables: documents (id, k, n, s1, s2), and what units keep and get back."""
+    conf = rows.sparkSession.conf
+    characters = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(int(conf.get("spark.sql.shuffle.partitions")), characters // 6 // BUCKET_KEYS + 1)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, work = TaskContext.get().partitionId() << 24, _Unit()
+        id_arrow = pa.int64()
         for batch in batches:
-            id_column, id_arrow = batch.column(0), batch.schema.field(0).type
-            found, owner, most_size = [], [], []
-            for lo, s in sets_of(batch.column(1)):
+            id_arrow = batch.schema.field(0).type
+            for lo, s in sets_of(batch.column(2)):
                 n, ids = len(s.sizes), s.ids()
-                rids = range(base + lo, base + lo + n)
-                names, fresh = seen.new(s, ids, rids)
-                yield _batch(n, id_arrow, id_column.slice(lo, n), kind=np.zeros(n, np.int32), bucket=(np.asarray(rids) % buckets).astype(np.int32), rid=names, n=s.sizes.astype(np.int64), s1=ids[0], s2=ids[1], bits=s.bits())
-                for chosen, most, starts, keys in sketch_keys(s, fresh):
-                    counts = ranks.count(keys)
-                    for k in range(len(chosen)):
-                        x, y, size = starts[k], starts[k + 1], int(s.sizes[chosen[k]])
-                        got, place = ranks.prefix(keys[x:y], counts[x:y], int(most[k]) + 1)
-                        found.append(got)
-                        owner.append((base + lo + int(chosen[k]), len(got)))
-                        most_size.append(7 * (size - place) // 3 - size)
-            base += batch.num_rows
-            if not found:
-                continue
-            rid = np.array([o[0] for o in owner], np.int64)
-            keys, first, cap, local = _groups(np.concatenate(found), np.repeat(rid, [o[1] for o in owner]), np.concatenate(most_size), id_arrow, buckets)
-            yield from local
-            to = (keys % U(buckets)).astype(np.int64)
-            at = np.argsort(to, kind="stable")
-            keys, first, to, cap = keys[at], first[at], to[at], cap[at].astype("<i4")
-            cut = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True])))
-            low = int(first.min())
-            refs = (first - low).astype("<u4")  # a batch has fewer rows than that
-            spans = list(zip(cut, cut[1:], strict=False))
-            yield _batch(len(spans), id_arrow, kind=np.ones(len(spans), np.int32), bucket=to[cut[:-1]].astype(np.int32), rid=np.full(len(spans), low), keys=[keys[a:b].tobytes() for a, b in spans], rids=[refs[a:b].tobytes() for a, b in spans], caps=[cap[a:b].tobytes() for a, b in spans])
+                yield _batch(n, id_arrow, batch.column(0).slice(lo, n), kind=np.zeros(n, np.int32), bucket=((np.arange(lo, lo + n) + unit) % buckets).astype(np.int32), k=batch.column(1).slice(lo, n), n=s.sizes.astype(np.int64), s1=ids[0], s2=ids[1])
+                if len(work.seen) + n > UNIT_DOCS or (work.seen and work.bytes + 8 * len(s.items) > UNIT_BYTES):
+                    yield from work.rows(unit, buckets, id_arrow)
+                    unit, work = unit + 1, _Unit()
+                work.add(s, ids)
+        yield from work.rows(unit, buckets, id_arrow)
+        del work
+        release_memory()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, rids, caps, id_arrow = [], [], [], pa.int64()
+        held, bucket, id_arrow = [], 0, pa.int64()
         for batch in batches:
             id_arrow = batch.schema.field(0).type
             kind = batch.column(1).to_numpy(zero_copy_only=False)
             plain = batch.filter(pa.array(kind != 1))
             if plain.num_rows:
                 yield plain
-            for k in np.flatnonzero(kind == 1):
-                keys.append(np.frombuffer(batch.column(7)[k].as_buffer(), U))
-                rids.append(np.frombuffer(batch.column(8)[k].as_buffer(), "<u4").astype(np.int64) + batch.column(3)[k].as_py())
-                caps.append(np.frombuffer(batch.column(9)[k].as_buffer(), "<i4").astype(np.int64))
-        if keys:
-            yield from _groups(np.concatenate(keys), np.concatenate(rids), np.concatenate(caps), id_arrow, buckets)[3]
+            for r in np.flatnonzero(kind == 1):
+                bucket = batch.column(2)[r].as_py()
+                held.append((batch.column(3)[r].as_py(), *(batch.column(c)[r].as_py() for c in range(8, 13))))
+        if held:
+            yield from _shared(held, bucket, buckets, id_arrow)
+        del held
+        release_memory()
 
     schema = f"id {id_type}, {_ROW}"
-    dealt = rows.mapInArrow(sketch, schema).repartitionById(buckets, F.col("bucket")).mapInArrow(gather, schema)
-    table = scratch.put(dealt.drop("bucket"), "sketches")
-    edges = table.filter("kind = 2").select(F.col("rid").alias("a"), F.col("s1").alias("b"), F.col("n").alias("votes"))
-    return table.filter("kind = 0").select("id", "rid", "n", "s1", "s2", "bits"), edges, table.filter("kind = 3").select("rid", "keys", "rids", "caps")
+    dealt = rows.select("id", "k", "text").mapInArrow(deal, schema).repartitionById(buckets, F.col("bucket")).mapInArrow(gather, schema)
+    table = scratch.put(dealt, "parts")
+    return table.filter("kind = 0").select("id", "k", "n", "s1", "s2"), table.filter("kind >= 2").select("bucket", "kind", "unit", *"abcde"), buckets
+
+
+def _chosen_of(own: tuple, back: list[tuple]) -> pa.RecordBatch | None:
+    """The keys of a unit that its sets are joined on: key, s1, n, band, the least size of a partner, share of parts that others have."""
+    s1 = np.frombuffer(own[0], np.int64)
+    n, *rest = np.frombuffer(own[1], "<i4").reshape(5, -1).astype(np.int64)
+    filled, most = np.stack(rest[:2], axis=1).ravel(), np.stack(rest[2:], axis=1).ravel()  # owner 2 k + 1: set k in the band below
+    keys = np.concatenate([np.frombuffer(r[0], U) for r in back])
+    sets = np.concatenate([np.frombuffer(r[1], "<u4") for r in back]).astype(np.int64)
+    owners = np.concatenate([np.frombuffer(r[2], np.uint16) for r in back]).astype(np.int64)
+    inner, sizes, members = np.frombuffer(own[2], U), np.frombuffer(own[3], "<u4").astype(np.int64), np.frombuffer(own[4], np.uint16).astype(np.int64)
+    if len(inner):
+        at = np.minimum(np.searchsorted(inner, keys), len(inner) - 1)
+        multi = np.flatnonzero(inner[at] == keys)
+        at = at[multi]
+        start = (np.cumsum(sizes) - sizes)[at]
+        size = sizes[at]
+        ends = np.cumsum(size)
+        whole = members[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        single = np.ones(len(keys), bool)
+        single[multi] = False
+        owners = np.concatenate((owners[single], whole))
+        keys, sets = (np.concatenate((v[single], np.repeat(v[multi], size))) for v in (keys, sets))
+    count = np.bincount(owners, minlength=len(filled))
+    need = np.maximum(filled - most, 1)
+    keep = (count >= need)[owners]
+    keys, sets, owners = keys[keep], sets[keep], owners[keep]
+    if not len(keys):
+        return None
+    order = np.lexsort((keys, sets, owners))
+    keys, owners = keys[order], owners[order]
+    cut = _runs(owners)
+    place = np.arange(len(owners)) - np.repeat(cut[:-1], np.diff(cut))
+    keep = place <= (count - need)[owners]
+    keys, owners, place = keys[keep], owners[keep], place[keep]
+    place += np.maximum(filled - count, 0)[owners]  # keys that no other set has come first
+    size = n[owners >> 1]
+    band = band_of(size) - (owners & 1)
+    least = np.where((filled <= most)[owners], 0, 7 * place - size)
+    score = count[owners] / np.maximum(filled[owners], 1)
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(s1[owners >> 1]), pa.array(size), pa.array(band.astype(np.int32)), pa.array(least), pa.array(score)], names=["key", "s1", "n", "band", "least", "score"])
+
+
+def _choose(units: DataFrame, buckets: int) -> DataFrame:
+    """(key, s1, n, band, least, score): step 2. A unit's rows are sorted next to each other."""
 
-
-def _bitmap(values: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of fixed size of a column's low bits; it lets some others through, never holds one back."""
-    low = F.col(column).bitwiseAND(FILTER_BITS - 1)
-    words = values.select(F.shiftright(low, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    table = np.zeros(FILTER_BITS // 64, np.int64)
-    table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
-    return table.view(np.uint8)
-
-
-def _unpacked(bitmap: np.ndarray) -> np.ndarray:
-    return np.unpackbits(bitmap, bitorder="little").view(bool)
-
-
-def _open_members(groups: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, rid, cap) of every key of a group that holds one of the pairs (a, b; a is the group's hub), with all the key's members."""
-    spark = groups.sparkSession
-    joined = groups.join(pairs.groupBy(F.col("a").alias("rid")).agg(F.count("*").alias("_n")), "rid", "left_semi")
-    b = spark.sparkContext.broadcast(_bitmap(pairs, "b"))
-
-    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = _unpacked(b.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, back = None, None, []
         for batch in batches:
-            out = [np.zeros(0, np.int64)]
-            for k in range(batch.num_rows):
-                rids = np.frombuffer(batch.column(2)[k].as_buffer(), np.int64)
-                if wanted[rids & (FILTER_BITS - 1)].any():
-                    out.append(np.frombuffer(batch.column(1)[k].as_buffer(), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], names=["key"])
+            for r in range(batch.num_rows):
+                unit = batch.column(2)[r].as_py()
+                if unit != now:
+                    if own and back and (got := _chosen_of(own, back)):
+                        yield got
+                    now, own, back = unit, None, []
+                row = tuple(batch.column(c)[r].as_py() for c in range(3, 8))
+                if batch.column(1)[r].as_py() == 2:
+                    own = row
+                else:
+                    back.append(row)
+        if own and back and (got := _chosen_of(own, back)):
+            yield got
+        release_memory()
+
+    dealt = units.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("unit")
+    return dealt.mapInArrow(run, "key long, s1 long, n long, band int, least long, score double")
+
+
+def _sets(rows: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(s1, n, bits, elements) of the sets in ``wanted`` (s1, s2, k), recomputed from the texts of the rows with hash k."""
+    texts, count = rows.select("k", "text"), wanted.count()
+    if count <= BITMAP_TEXTS:
+        mask = (1 << max(10, (16 * count).bit_length())) - 1
+        word, bit = F.expr(f"shiftright(k & {mask}L, 6)"), F.expr("shiftleft(1L, cast(k & 63 as int))")
+        bitmap = wanted.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("set"))
+        texts = texts.withColumn("w", word).join(F.broadcast(bitmap), "w").filter(F.col("set").bitwiseAND(bit) != 0).select("k", "text")
+    else:
+        texts = texts.join(wanted.select("k").distinct(), "k", "left_semi")
 
-    open_keys = spark.sparkContext.broadcast(_bitmap(joined.mapInArrow(keys_of, "key long"), "key"))
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = _unpacked(open_keys.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[np.zeros(0, np.int64)] for _ in range(3)]
-            for k in range(batch.num_rows):
-                own = np.frombuffer(batch.column(1)[k].as_buffer(), np.int64)
-                own = own[wanted[own & (FILTER_BITS - 1)]]
-                if len(own):
-                    mine, cap = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int64) for c in (2, 3))
-                    for column, value in zip(out, (np.repeat(own, len(mine)), np.tile(mine, len(own)), np.tile(cap, len(own))), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["key", "rid", "cap"])
-
-    return groups.mapInArrow(members, "key long, rid long, cap long")
+            for _, s in sets_of(batch.column(1)):
+                one, two = s.ids()
+                _, at = np.unique(np.stack([one, two]), axis=1, return_index=True)
+                at = at[s.sizes[at] > 0]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(one[at]), pa.array(two[at]), pa.array(s.sizes[at].astype(np.int64)), pa.array(s.bits(at), pa.binary()), pa.array([s.of(k).tobytes() for k in at], pa.binary())], names=["s1", "s2", "n", "bits", "elements"]
+                )
+        release_memory()
 
+    found = texts.mapInArrow(run, "s1 long, s2 long, n long, bits binary, elements binary")
+    found = found.join(wanted.select("s1", "s2"), ["s1", "s2"], "left_semi").dropDuplicates(["s1", "s2"])
+    return scratch.put(found.drop("s2"), "sets")
 
-def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(s1, s2, elements) of the sets in ``wanted`` (s1, s2), recomputed from the texts.
 
-    A filter of a fixed size keeps most other sets out; those that slip through find no partner later.
-    """
-    held = rows.sparkSession.sparkContext.broadcast(_bitmap(wanted, "s1"))
+def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose sketches allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, at, bits = _Seen(), 0, _unpacked(held.value)
         for batch in batches:
-            for _, s in sets_of(batch.column(0)):
-                one, two = s.ids()
-                _, fresh = seen.new(s, (one, two), range(at, at + len(s.sizes)))
-                at += len(s.sizes)
-                take = fresh[bits[one[fresh] & (FILTER_BITS - 1)]]
-                lists = pa.array([s.of(k).view(np.int64) for k in take], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(one[take]), pa.array(two[take]), lists], names=["s1", "s2", "elements"])
-
-    return rows.select("text").mapInArrow(run, "s1 long, s2 long, elements array<long>")
-
-
-def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those pairs (a, b, ...) whose sizes and whole sketches allow the similarity."""
-    own = lambda k: classes.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}"))
+            keep = np.zeros(batch.num_rows, bool)
+            for r in range(batch.num_rows):
+                na, nb = batch.column(2)[r].as_py(), batch.column(4)[r].as_py()
+                x, y = (np.frombuffer(batch.column(c)[r].as_buffer(), U) for c in (3, 5))
+                length = 64 * min(len(x), len(y))
+                keep[r] = np.bitwise_count(folded(x, length) ^ folded(y, length)).sum() <= (na + nb) // 7
+            yield batch.select([0, 1]).filter(pa.array(keep))
+        release_memory()
+
+    own = lambda c: sets.select(F.col("s1").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
     both = pairs.join(own("a"), "a").join(own("b"), "b").filter("4 * least(na, nb) >= 3 * greatest(na, nb)")
-    size = F.least(F.size("ba"), F.size("bb"))
+    return both.select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(run, "a long, b long")
 
-    def folded(bits: str) -> Column:
-        half = F.zip_with(F.slice(bits, F.lit(1), size), F.slice(bits, size + 1, size), lambda x, y: x.bitwiseXOR(y))
-        return F.when(F.size(bits) == size, F.col(bits)).otherwise(half)  # sizes within 4/3 differ by one doubling at most
 
-    apart = F.aggregate(F.zip_with(folded("ba"), folded("bb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    return both.filter(7 * apart <= F.col("na") + F.col("nb")).select(*pairs.columns)
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose intersection is large enough."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for r in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[r].as_buffer(), U) for c in (2, 3))
+                both = np.concatenate((x, y))
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                keep[r] = 7 * common >= 3 * (len(x) + len(y))
+            yield batch.select([0, 1]).filter(pa.array(keep))
+        release_memory()
+
+    own = lambda c: sets.select(F.col("s1").alias(c), F.col("elements").alias(f"x{c}"))
+    return pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
+
+
+def _possible_pairs(s1: np.ndarray, n: np.ndarray, least: np.ndarray, comp: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of ``left`` and ``right`` sets of different components that sizes, places and sketches allow; of two components the ``limit`` nearest ones, and if there are more."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    words = bits.shape[1]
+    step = max(1, 500_000 // max(1, len(right)))
+    for lo in range(0, len(left), step):
+        a = left[lo : lo + step, None]
+        b = right[None, :]
+        fits = (comp[a] != comp[b]) & (4 * np.minimum(n[a], n[b]) >= 3 * np.maximum(n[a], n[b])) & (n[b] >= least[a]) & (n[a] >= least[b])
+        if left is right:
+            fits &= a < b
+        x, y = np.nonzero(fits)
+        x, y = left[lo + x], right[y]
+        for at in range(0, len(x), max(1, 1_000_000 // words)):
+            p, q = x[at : at + max(1, 1_000_000 // words)], y[at : at + max(1, 1_000_000 // words)]
+            apart = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64)
+            near = 7 * apart <= n[p] + n[q]
+            if near.any():
+                found.append((p[near], q[near], apart[near] / (n[p[near]] + n[q[near]])))
+    if not found:
+        return s1[:0], s1[:0], False
+    p, q, far = map(np.concatenate, zip(*found, strict=True))
+    c, d = np.minimum(comp[p], comp[q]), np.maximum(comp[p], comp[q])
+    order = np.lexsort((q, p, far, d, c))
+    p, q, c, d = p[order], q[order], c[order], d[order]
+    new = np.concatenate(([True], (c[1:] != c[:-1]) | (d[1:] != d[:-1])))
+    place = np.arange(len(p)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    keep = place < limit
+    return s1[p[keep]], s1[q[keep]], not keep.all()
+
+
+def _across(live: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
+    """(a, b, more) for the live groups' members (g, band, s1, n, least, comp): step 4. Groups of more than BLOCK sets are compared block by block."""
+    blocks = live.groupBy("g", "band").agg(F.count("*").alias("m")).select("g", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    own = live.join(blocks, ["g", "band"]).withColumn("block", F.expr("cast(pmod(xxhash64(s1), blocks) as int)"))
+    pairs = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs = pairs.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
+    dealt = pairs.join(sets.select("s1", "bits"), "s1").select("g", "band", "x", "y", "block", "s1", "n", "least", "comp", "bits")
+    count = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(count, "g", "band", "x", "y").sortWithinPartitions("g", "band", "x", "y")
 
-def _linked(pairs: DataFrame, classes: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Those pairs (a, b) of sets whose intersection is large enough."""
-    ids = classes.select("rep", "s1", "s2")
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b"))).distinct().join(ids, "rep")
-    wanted = scratch.put(wanted, "wanted")
-    sets = _sets(rows, wanted).join(wanted, ["s1", "s2"]).select("rep", "elements")
-    sets = scratch.put(sets.dropDuplicates(["rep"]), "sets")
-    left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("elements").alias("x")), "a")
-    both = left.join(sets.select(F.col("rep").alias("b"), F.col("elements").alias("y")), "b")
-    common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
-    out = scratch.put(common.filter("7 * i >= 3 * n").select("a", "b"), "links")
-    scratch.drop(sets)
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compared(head: tuple, parts: list[tuple[np.ndarray, ...]], bits: list[bytes]) -> pa.RecordBatch:
+            block, s1, n, least, comp = (np.concatenate(v) for v in zip(*parts, strict=True))
+            length = int(sketch_bits(np.array([head[1]]))[0])
+            table = np.stack([folded(np.frombuffer(b, U), length) for b in bits])
+            left, right = np.flatnonzero(block == head[2]), np.flatnonzero(block == head[3])
+            a, b, more = _possible_pairs(s1, n, least, comp, table, left, left if head[2] == head[3] else right, limit)
+            if more:
+                a, b = np.append(a, 0), np.append(b, 0)
+            flag = np.zeros(len(a), bool)
+            flag[len(a) - 1 :] = more
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(flag)], names=["a", "b", "more"])
+
+        head, parts, bits = None, [], []
+        for batch in batches:
+            named = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)], axis=1)
+            cut = np.concatenate(([0], np.flatnonzero((named[1:] != named[:-1]).any(axis=1)) + 1, [len(named)])) if len(named) else [0]
+            for lo, hi in zip(cut, cut[1:], strict=False):
+                now = tuple(named[lo].tolist())
+                if now != head:
+                    if parts:
+                        yield compared(head, parts, bits)
+                    head, parts, bits = now, [], []
+                parts.append(tuple(batch.column(c).slice(lo, hi - lo).to_numpy().astype(np.int64) for c in range(4, 9)))
+                bits += batch.column(9).slice(lo, hi - lo).to_pylist()
+        if parts:
+            yield compared(head, parts, bits)
+        del parts, bits
+        release_memory()
+
+    return dealt.mapInArrow(run, "a long, b long, more boolean")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -499,66 +611,47 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     scratch = Scratch(spark, "jaccard-join")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    order, n_keys = _count_keys(rows, scratch)
-    sets, edges, groups = _sketches(rows, order, n_keys, scratch, id_type)
-    classes = sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("rid").alias("rep"), F.min("id").alias("least"), F.any_value("bits").alias("bits"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("k"), F.col(text_col).alias("text"))
+    sets_of_docs, units, buckets = _deal(rows, scratch, id_type)
+    classes = sets_of_docs.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("least"), F.min("k").alias("k"))
     classes = scratch.put(classes, "classes")
-    other = sets.filter("n > 0").select("rid", "s1", "s2", "n").distinct().join(classes, ["s1", "s2", "n"]).filter("rid <> rep").select("rid", "rep")
-    other = scratch.put(other, "other-names")  # equal sets that several tasks met go by one rid
-
-    def renamed(df: DataFrame, column: str) -> DataFrame:
-        names = other.select(F.col("rid").alias(column), F.col("rep").alias("_rep"))
-        return df.join(names, column, "left").withColumn(column, F.coalesce("_rep", column)).drop("_rep")
-
-    pairs = edges.groupBy("a", "b").agg(F.sum("votes").alias("votes"))
-    named = renamed(renamed(pairs.select("*", F.col("a").alias("ra"), F.col("b").alias("rb")), "a"), "b")
-    named = scratch.put(named.filter("a <> b"), "named-edges")
-    sizes = classes.select("rep", "n")
-
-    def starred(candidates: DataFrame) -> DataFrame:
-        """Of possible pairs (a, b, votes) the one with the most keys for every b, as (less, greater)."""
-        best = _possible(candidates, classes).groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a"))
-        return scratch.put(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
-
-    def placed(df: DataFrame, labels: DataFrame, column: str, new: str) -> DataFrame:
-        own = labels.select(F.col("node").alias(column), F.col("comp").alias(new))
-        return df.join(own, column, "left").withColumn(new, F.coalesce(new, column))
-
-    stars = starred(named.groupBy("a", "b").agg(F.sum("votes").alias("votes")))
-    links = _linked(stars, classes, rows, scratch)
+    chosen = scratch.put(_choose(units, buckets), "chosen")
+
+    # keys with the same sets, told by the extremes of two hashes of them, are one group; groups that are told alike only grow
+    one, two = F.xxhash64("s1"), F.xxhash64("s1", F.lit(7))
+    alike = chosen.groupBy("key").agg(F.min(one).alias("p"), F.max(one).alias("q"), F.min(two).alias("r"), F.max(two).alias("s")).filter("p <> q")
+    alike = alike.select("key", F.xxhash64("p", "q", "r", "s").alias("g"))
+    members = chosen.join(alike, "key").groupBy("g", "band", "s1", "n").agg(F.min("least").alias("least"), F.max("score").alias("score"))
+    members = scratch.put(members, "members")
+    scratch.drop(chosen)
+    wanted = scratch.put(members.select("s1").distinct().join(classes, "s1").select("s1", "s2", "k"), "wanted")
+    sets = _sets(rows, wanted, scratch)
+
+    hubs = members.groupBy("g", "band").agg(F.max_by(F.struct("s1", "n", "least"), F.struct("score", "s1")).alias("hub"))
+    spokes = members.join(hubs, ["g", "band"]).filter("s1 <> hub.s1 AND 4 * least(n, hub.n) >= 3 * greatest(n, hub.n)")
+    edges = spokes.select(F.least("s1", "hub.s1").alias("a"), F.greatest("s1", "hub.s1").alias("b")).distinct()
+    near = scratch.put(_near(edges, sets), "near")
+    links = scratch.put(_linked(near, sets), "links")
     comps = connected_components(links, scratch)
-    apart = placed(placed(named, comps, "a", "ca"), comps, "b", "cb").filter("ca <> cb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    apart = scratch.put(apart, "open-edges")
-    if not apart.isEmpty():
-        # every member of the keys that are not settled; those that no size in the group allows are out
-        members = renamed(_open_members(groups, apart).withColumnRenamed("rid", "rep"), "rep").groupBy("key", "rep").agg(F.max("cap").alias("cap"))
-        members = scratch.put(members.join(sizes, "rep").select("key", "rep", "n", "cap"), "open-members")
-        least = members.groupBy("key").agg(F.min("n").alias("_n"))
-        members = members.join(least, "key").filter("cap >= _n").drop("_n")
-        hubs = members.groupBy("key").agg(F.max_by("rep", F.struct("cap", -F.col("rep"))).alias("a"), F.count("*").alias("_m")).filter("_m > 1").select("key", "a")
-        spokes = members.join(hubs, "key").filter("rep <> a").groupBy("a", F.col("rep").alias("b")).agg(F.count("*").alias("votes"))
-        again = starred(placed(placed(spokes, comps, "a", "ca"), comps, "b", "cb").filter("ca <> cb").select("a", "b", "votes"))
-        if not again.isEmpty():
-            links = links.union(_linked(again, classes, rows, scratch))
-            comps = connected_components(links, scratch)
-        members = placed(members, comps, "rep", "comp")
-        mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        members = scratch.put(members.join(mixed, "key"), "mixed-members")
-        side = lambda k: members.select("key", F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("cap").alias(f"cap{k}"), F.col("comp").alias(f"c{k}"))
-        fits = "a < b AND ca <> cb AND na <= capb AND nb <= capa AND 4 * least(na, nb) >= 3 * greatest(na, nb)"
-        x, y = side("a"), side("b").withColumnRenamed("key", "_key")
-        rest = x.join(y, F.expr(f"key = _key AND {fits}")).select("a", "b").distinct()
-        rest = rest.join(stars.union(again), ["a", "b"], "left_anti")
-        rest = scratch.put(_possible(rest, classes), "rest")
-        if not rest.isEmpty():
-            links = links.union(_linked(rest, classes, rows, scratch))
+    limit = 4
+    while True:
+        placed = members.join(comps.select(F.col("node").alias("s1"), "comp"), "s1", "left").withColumn("comp", F.coalesce("comp", "s1"))
+        mixed = placed.groupBy("g", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("g", "band")
+        live = scratch.put(placed.join(mixed, ["g", "band"], "left_semi"), "live")
+        found = scratch.put(_across(live, sets, limit).distinct(), "possible")
+        possible = found.filter("NOT more").select("a", "b").join(near, ["a", "b"], "left_anti")
+        new = scratch.put(_linked(possible, sets), "links")
+        if not new.isEmpty():
+            links = links.union(new)
             comps = connected_components(links, scratch)
+        if found.filter("more").isEmpty():
+            break
+        limit *= 8
 
-    of_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", "least", F.coalesce("comp", "rep").alias("comp"))
+    of_class = classes.join(comps.withColumnRenamed("node", "s1"), "s1", "left").select("s1", "s2", "n", "least", F.coalesce("comp", "s1").alias("comp"))
     least = of_class.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = scratch.put(of_class.join(least, "comp").select("s1", "s2", "n", "component_id"), "named")
-    out = sets.join(named, ["s1", "s2", "n"], "left")
+    out = sets_of_docs.join(named, ["s1", "s2", "n"], "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 

@@ -119,20 +119,38 @@ def test_jaccard_empty(spark):
     assert [tuple(r) for r in jaccard_join.jaccard_components(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()] == [(1, 0, 1)]
 
 
-def test_whole_sketches_bound_the_difference():
+def sets_from(*items):
+    import numpy as np
+
+    out = jaccard_join.Sets(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    out.items, out.sizes = np.concatenate(items), np.array([len(x) for x in items])
+    out.starts = np.concatenate(([0], np.cumsum(out.sizes)))
+    return out
+
+
+def test_sketches_bound_the_difference():
+    """Neither whole sketches nor parts differ in more places than the sets have different elements."""
     import numpy as np
 
     rng = np.random.default_rng(1)
-    for n in (3, 70, 500, 1500, 3000):
+    for n in (1, 2, 3, 4, 5, 11, 15, 16, 17, 21, 70, 500, 1500, 3000):
         for d in (0, 1, n // 8, n // 4):
-            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
-            b = np.unique(np.concatenate([a[d:], rng.integers(0, 2**63, d, dtype=np.uint64)]))
-            pair = jaccard_join.Sets(np.zeros(0, np.uint8), np.zeros(1, np.int64))
-            pair.items, pair.owner = np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)])
-            pair.sizes = np.array([len(a), len(b)])
-            x, y = (np.unpackbits(np.array(v, np.int64).view(np.uint8)) for v in pair.bits().to_pylist())
-            if len(x) == len(y):
-                assert (x != y).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+            b = np.unique(np.concatenate([a[min(d, n - 1) :], rng.integers(0, 2**63, d, dtype=np.uint64) * np.uint64(2)]))
+            pair, apart = sets_from(a, b), len(set(a.tolist()) ^ set(b.tolist()))
+            x, y = (np.frombuffer(v, np.uint64) for v in pair.bits(np.arange(2)))
+            length = 64 * min(len(x), len(y))
+            assert np.bitwise_count(jaccard_join.folded(x, length) ^ jaccard_join.folded(y, length)).sum() <= apart
+            keys = {}
+            for low, (take, filled, most, key, owner) in enumerate(jaccard_join.parts_of(pair, np.arange(2))):
+                for k, of in enumerate(take):
+                    keys[jaccard_join.band_of(pair.sizes[[of]])[0] - low, of] = set(key[owner == k].tolist()), filled[k], most[k]
+            both = [(keys[band, 0], keys[band, 1]) for band, of in keys if of == 0 and (band, 1) in keys]
+            if 7 * apart <= len(a) + len(b):
+                assert both
+                assert any(p[0] & q[0] for p, q in both)  # of two similar sets one part is the same
+            for p, q in both:
+                assert len(p[0] - q[0]) <= apart or p[1] <= p[2]
 
 
 def test_components(spark):
