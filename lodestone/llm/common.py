@@ -75,6 +75,14 @@ def release_memory() -> None:
         pass
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def strip_ascii_space(text: Column) -> Column:
     """``text`` without any character of ``[\\x20\\x09-\\x0D]``."""
     for ch in ASCII_SPACE:

@@ -6,7 +6,7 @@ the logistic loss of each bit's margin against its codeword, weighted by how wel
 small lead over the second marks the text as ambiguous.
 
 A text's margin is the mean over its words, so a word's margins are computed once and kept in a
-bounded cache. Training reads at most ``sample_rows`` distinct labelled texts (of each language the ones with the smallest hash).
+bounded cache. Training reads at most ``sample_rows`` distinct labelled texts, whole (of each language the ones with the smallest hash).
 """
 
 from __future__ import annotations
@@ -18,24 +18,36 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, release_memory
 
 DIM = 4096
 SAMPLE_ROWS = 3000
-SAMPLE_WORDS = 120
-CACHE_WORDS = 300_000
+#: Words of up to CACHED_CHARS characters are kept; the bound changes no result.
+CACHE_WORDS = 200_000
+CACHED_CHARS = 40
 UNKNOWN = "und"
 NEW_COLUMNS = ("lang_pred", "score", "ambiguous")
 WORD = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return WORD.findall(text.lower())
+    """Runs of letters (``str.isalpha``), lower-cased; numerals such as ``½`` or ``Ⅷ`` are none."""
+    low = text.lower()
+    words = WORD.findall(low)
+    return words if all(map(str.isalpha, words)) else LETTERS.findall(low)
+
+
+def gram_counts(words: list[str]) -> np.ndarray:
+    """A text's features: the mean over its words of their shares of n-grams."""
+    own = [_grams(w) for w in words]
+    sizes = [len(g) for g in own]
+    return np.bincount(np.concatenate(own), np.repeat(1 / np.array(sizes), sizes), DIM) / len(words)
 
 
 def _grams(word: str) -> np.ndarray:
@@ -82,12 +94,12 @@ class Model:
         return p.argmax(1), p.max(1), lead
 
 
-def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS) -> Model | None:
+def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """A model from at most ``sample_rows`` distinct texts with a non-null language; None if there are none.
 
     Every language gives its texts with the smallest hashes, up to a bound that is the same for all: the largest with
     which they are ``sample_rows`` in all, and 1 at least, so that a rare language always takes part. Copies count once.
-    Of each sampled text, ``sample_words`` words spread evenly over the whole of it are used.
+    All words of the sampled texts count; their features are computed in the tasks.
     """
     spark = labelled.sparkSession
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -103,31 +115,28 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", sam
     near = hashes.join(F.broadcast(cuts), "lang").filter("part <= cut")
     last = near.withColumn("k", F.expr("row_number() OVER (PARTITION BY lang ORDER BY o)")).filter(F.col("k") <= bound).groupBy("lang").agg(F.max("o").alias("last")).collect()
     last = spark.createDataFrame([tuple(r) for r in last], "lang string, last long")
-    rows = rows.join(F.broadcast(last), "lang").filter("o <= last").select("lang", "o", "text").mapInArrow(_spread(sample_words), "lang string, o long, words array<string>")
-    rows = rows.dropDuplicates(["lang", "o"]).orderBy("o", "lang").collect()
-    seen = [(r["lang"], r["words"]) for r in rows]
-    seen = [(lang, words) for lang, words in seen if words]
+    sampled = rows.join(F.broadcast(last), "lang").filter("o <= last").select("lang", "o", "text").mapInArrow(_features, "lang string, o long, at binary, share binary")
+    seen = sampled.dropDuplicates(["lang", "o"]).orderBy("o", "lang").collect()
     if not seen:
         return None
-    langs = sorted({lang for lang, _ in seen})
+    langs = sorted({r["lang"] for r in seen})
     code = codewords(len(langs))
     x = np.zeros((len(seen), DIM), dtype=np.float32)
-    grams: dict[str, np.ndarray] = {}
-    for k, (_, words) in enumerate(seen):
-        own = [grams[w] if w in grams else grams.setdefault(w, _grams(w)) for w in words]
-        x[k] = np.bincount(np.concatenate(own), np.repeat([1 / len(g) for g in own], [len(g) for g in own]), DIM) / len(words)
-    target = code[[langs.index(lang) for lang, _ in seen]]
+    for k, r in enumerate(seen):
+        x[k, np.frombuffer(r["at"], np.int16)] = np.frombuffer(r["share"], np.float32)
+    target = code[[langs.index(r["lang"]) for r in seen]]
+    del seen
     scale = 1 / (x.std(0) + 1e-3)
-    xs = x * scale
+    x *= scale
     w, b = np.zeros((DIM, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
-    step = 1.0 / (0.25 * float((xs**2).sum(1).mean()) + 1)
+    step = 1.0 / (0.25 * float(np.einsum("ij,ij->i", x, x).mean()) + 1)
     vw = np.zeros_like(w)
     for _ in range(150):  # full-batch logistic regression with momentum
-        g = -target / (1 + np.exp(np.clip(target * (xs @ w + b), -30, 30))) / len(seen)
-        vw = 0.9 * vw - step * (xs.T @ g + 1e-4 * w)
+        g = -target / (1 + np.exp(np.clip(target * (x @ w + b), -30, 30))) / len(target)
+        vw = 0.9 * vw - step * (x.T @ g + 1e-4 * w)
         w += vw
         b -= step * g.sum(0)
-    margins = xs @ w + b
+    margins = x @ w + b
     good = np.clip((margins * target > 0).mean(0), 0.5 + 1e-3, 1 - 1e-3)
     bit_weight = np.log(good / (1 - good))
     bit_weight /= bit_weight.sum()
@@ -137,6 +146,23 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", sam
     return model
 
 
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-gram shares of texts (the third column) that have letters, as the non-zero places and values."""
+    for batch in batches:
+        take, at, share = [], [], []
+        for r in range(batch.num_rows):
+            words = words_of(batch.column(2)[r].as_py())
+            if words:
+                x = gram_counts(words)
+                hit = np.flatnonzero(x)
+                take.append(r)
+                at.append(hit.astype(np.int16).tobytes())
+                share.append(x[hit].astype(np.float32).tobytes())
+        index = pa.array(take, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(index).cast(pa.string()), batch.column(1).take(index), pa.array(at, pa.binary()), pa.array(share, pa.binary())], names=["lang", "o", "at", "share"])
+    release_memory()
+
+
 def _bound(sizes: list[int], total: int) -> int:
     """The largest bound, 1 at least, with which groups of these sizes, cut to it, are ``total`` at most."""
     left = total
@@ -157,18 +183,6 @@ def _reach(parts: list[tuple[int, int]], bound: int) -> int:
     return part
 
 
-def _spread(n: int):
-    """Of each text (the third column) up to n of its words at even distances."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [words_of(text) for text in batch.column(2).to_pylist()]
-            words = [w if len(w) <= n else [w[k * len(w) // n] for k in range(n)] for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(words, pa.list_(pa.string()))], names=["lang", "o", "words"])
-
-    return run
-
-
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", min_lead: float = 0.2) -> DataFrame:
     """The rows with all their columns, and lang_pred, score, ambiguous, from the whole text alone.
 
@@ -206,8 +220,14 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", min_le
                         continue
                     if len(cache) > CACHE_WORDS:
                         cache.clear()
+                    long = [w for w in words if len(w) > CACHED_CHARS]
+                    if long:
+                        words = [w for w in words if len(w) <= CACHED_CHARS]
                     got = [k if (k := cache.get(w)) is not None else row(w) for w in words]
-                    margins.append(table[got].mean(0) + m.bias)
+                    total = table[got].sum(0)
+                    for w in long:
+                        total += m.word(w)
+                    margins.append(total / (len(got) + len(long)) + m.bias)
                 best = iter(zip(*m.decode(np.array(margins)), strict=True)) if margins else iter(())
                 for ok in known:
                     b, p, lead = next(best) if ok else (None, 0.0, 1.0)
@@ -216,6 +236,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", min_le
                     doubt.append(bool(lead < min_lead))
             new = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(doubt, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *NEW_COLUMNS])
+        del cache, table
+        release_memory()
 
     schema = T.StructType([*docs.schema.fields, *[T.StructField(c, t) for c, t in zip(NEW_COLUMNS, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]])
     return docs.mapInArrow(run, schema)
@@ -234,9 +256,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows, with their columns, whose language is known and not ambiguous; learned as in ``identify``."""
+    """The rows, with their columns untouched, whose language is known and not ambiguous; learned as in ``identify``.
+
+    Defined cases: as in ``predict``; where nothing can be learned nothing is rejected; columns named as the prediction's are kept as they are.
+    """
     model = fit(docs.filter(fold(id_col) != 0), lang_col, text_col)
-    if model is None:  # nothing to learn from: nothing is rejected
+    if model is None:
         return docs
-    judged = predict(docs, model, text_col)
-    return judged.filter((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
+    own = [f"c{k}" for k in range(len(docs.columns))]
+    judged = predict(docs.toDF(*own), model, own[docs.columns.index(text_col)])
+    return judged.filter((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select(*own).toDF(*docs.columns)

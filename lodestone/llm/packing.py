@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, release_memory
 
 SEQ_LEN = 1024
 END_ID = 0
@@ -87,6 +87,7 @@ def pack(
                     [piece.column(0), pa.array([part] * len(n), pa.int32()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
                     names=["id", "part", "before", "n", "ids"],
                 )
+        release_memory()
 
     tokens = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     tokens = scratch.put(tokens.mapInArrow(tokenise, f"id {id_type}, part int, before long, n long, ids binary"), "tokens")
@@ -110,6 +111,7 @@ def pack(
             if with_ids:
                 out.append(pa.array(rows[7], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: len(out)])
+        release_memory()
 
     schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return tokens.mapInArrow(cut, schema + (", ids array<int>" if with_ids else ""))

@@ -193,6 +193,10 @@ def test_language_id(spark):
     out = {r["doc_id"]: r for r in language_id.identify(odd).collect()}
     assert out[1]["lang_pred"] == out[2]["lang_pred"] == out[3]["lang_pred"] == "und" and out[None]["lang_pred"] == "de"
     assert language_id.identify(odd.limit(0)).collect() == []
+    none = [(1, "the cat", "en", 0.0), (2, "der hund", "de", 0.0), (3, "½² Ⅷ ٣", "en", 0.0), (4, "Ⅷ x½y", "en", 0.0), (4, "Ⅷ x½y", "en", 0.0), (7, "é" * 100_000 + " der hund " * 20_000, "de", 0.0)]
+    out = [(r["doc_id"], r["lang_pred"] == "und") for r in language_id.identify(spark.createDataFrame(none, odd.schema)).collect()]
+    assert sorted(out) == [(1, False), (2, False), (3, True), (4, False), (4, False), (7, False)]
+    assert language_id.words_of("Ⅷ x½y a_b ß1") == ["x", "y", "a", "b", "ß"]
     assert language_id.keep_identified(docs).columns == docs.columns
 
 
@@ -205,6 +209,20 @@ def test_language_sample_is_per_language_and_counts_copies_once(spark):
     assert language_id._bound([1, 2, 3000], 50) == 47 and language_id._bound([5, 5, 5], 2) == 1 and language_id._bound([2, 3], 50) == 3
 
 
+def test_decoding_by_hand(spark):
+    """Predictions are those of the plain definition: mean of the words' margins, weighted logistic loss to each codeword."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fit(docs)
+    for r in language_id.predict(docs.select("doc_id", "text"), model).limit(40).collect():
+        words = language_id.words_of(r["text"])
+        margin = language_id.gram_counts(words) @ model.weights.astype(float) + model.bias
+        loss = [(np.log1p(np.exp(-margin * c)) * model.bit_weight).sum() for c in model.code]
+        p = np.exp(-model.sharpness * (np.array(loss) - min(loss)))
+        p /= p.sum()
+        assert r["lang_pred"] == model.langs[int(np.argmin(loss))] and abs(r["score"] - p.max()) < 1e-3
+        assert r["ambiguous"] == (p.max() - np.sort(p)[-2] < 0.2) or abs(p.max() - np.sort(p)[-2] - 0.2) < 1e-3
+
+
 def test_codewords_differ():
     for k in (1, 2, 4, 6, 9, 40):
         code = language_id.codewords(k)
