@@ -55,6 +55,10 @@ def _any(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, parts)
 
 
+def _all(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, parts)
+
+
 def has_private_key(text: Column) -> Column:
     return _any([text.contains(b) for b in PRIVATE_KEY_BANNERS])
 
@@ -101,6 +105,9 @@ def in_skipped_dir(path: Column) -> Column:
     return has_segment(path, SKIPPED_DIRS)
 
 
+_CONTROL = bytes(b for b in range(32) if not 9 <= b <= 13)
+
+
 @F.pandas_udf(T.BooleanType())
 def is_binary_content(data: pd.Series) -> pd.Series:
     """A NUL, or over 30 % control bytes, among the first 8192 bytes."""
@@ -109,7 +116,7 @@ def is_binary_content(data: pd.Series) -> pd.Series:
         head = bytes(raw[:8192]) if raw is not None else b""
         if not head:
             return False
-        control = sum(b < 9 or 13 < b < 32 for b in head)
+        control = len(head) - len(head.translate(None, _CONTROL))
         return 0 in head or control * 100 // len(head) > 30
 
     return data.map(one)
@@ -145,42 +152,67 @@ def is_blocked_ipv4(number: Column) -> Column:
     return _any([number.between(int(n.network_address), int(n.broadcast_address)) for n in nets])
 
 
-def blocked_address(ip: str | None) -> bool:
-    """Whether an address, IPv4 or IPv6 with any embedded IPv4, must not be fetched; unparsable ones are blocked."""
-    nets = [ipaddress.ip_network(n) for n in BLOCKED_IPV4]
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; expressions that name it often do not grow."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def ipv6_groups(ip: Column) -> Column:
+    """The eight 16-bit numbers of an IPv6 address (without its zone), null if it is none."""
+    run = "[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*"
+
+    def numbers(plain: Column) -> Column:
+        words = lambda text: F.filter(F.split(text, ":"), lambda w: w != "")
+        gap = F.instr(plain, "::") > 0
+        left, right = words(F.substring_index(plain, "::", 1)), F.when(gap, words(F.substring_index(plain, "::", -1))).otherwise(F.array().cast("array<string>"))
+
+        def padded(x: Column) -> Column:
+            given = F.size(x["l"]) + F.size(x["r"])
+            every = F.concat(x["l"], F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - given, F.lit(0))), x["r"])
+            return F.when(F.when(gap, given <= 7).otherwise(given == 8), F.transform(every, lambda w: F.conv(w, 16, 10).cast("long")))
 
-    def v4(x) -> bool:
-        return any(ipaddress.IPv4Address(x) in n for n in nets)
-
-    try:
-        addr = ipaddress.ip_address(ip or "")
-    except ValueError:
-        return True
-    if addr.version == 4:
-        return v4(addr)
-    if addr.ipv4_mapped is not None:
-        return v4(addr.ipv4_mapped)
-    raw = addr.packed
-    if addr.is_loopback or addr.is_link_local or addr.is_unspecified or addr.is_multicast or addr in ipaddress.ip_network("fc00::/7"):
-        return True
-    embedded = []
-    if not any(raw[:12]) or raw[:12] == bytes.fromhex("0064ff9b" + "00" * 8) or raw[:12] == bytes.fromhex("0064ff9b0001" + "00" * 6):
-        embedded.append(raw[12:])
-    if raw[:2] == b"\x20\x02":  # 6to4
-        embedded.append(raw[2:6])
-    if raw[:4] == b"\x20\x01\x00\x00":  # Teredo: server, and the client inverted
-        embedded += [raw[4:8], bytes(b ^ 0xFF for b in raw[12:])]
-    if raw[8:12] in (bytes.fromhex("00005efe"), bytes.fromhex("02005efe")):  # ISATAP
-        embedded.append(raw[12:])
-    return any(v4(e) for e in embedded)
-
-
-is_blocked_address = F.pandas_udf(lambda s: s.map(blocked_address), T.BooleanType())
+        valid = plain.rlike(rf"^(?:{run}|(?:{run})?::(?:{run})?)$")
+        return F.when(valid, _let(F.struct(left.alias("l"), right.alias("r")), padded))
+
+    def plainly(bare: Column) -> Column:
+        dotted = F.regexp_extract(bare, r":([0-9]+(?:\.[0-9]+){3})$", 1)
+        as_hex = lambda n: F.concat(F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n.bitwiseAND(0xFFFF)))
+        return F.when(dotted == "", bare).otherwise(F.concat(F.regexp_replace(bare, r"[0-9]+(?:\.[0-9]+){3}$", ""), _let(ipv4_number(dotted), as_hex)))
+
+    return _let(_let(F.regexp_replace(ip, "%.*$", ""), plainly), numbers)
+
+
+def is_blocked_ipv6(groups: Column) -> Column:
+    """Local, link-local, private and multicast addresses, and those that hold an IPv4 address that is blocked."""
+
+    def judge(numbers: Column) -> Column:
+        g = [F.get(numbers, F.lit(k)) for k in range(8)]
+        zero = lambda lo, hi: _all([g[k] == 0 for k in range(lo, hi)])
+        v4 = lambda hi, lo: is_blocked_ipv4(hi * 65536 + lo)
+        within = lambda mask, value: g[0].bitwiseAND(mask) == value
+        holds = _any([
+            zero(0, 5) & g[5].isin(0, 0xFFFF),  # compatible and mapped; the loopback lies in 0.0.0.0/8
+            (g[0] == 0x64) & (g[1] == 0xFF9B) & g[2].isin(0, 1) & zero(3, 6),  # translated
+            g[4].isin(0, 0x200) & (g[5] == 0x5EFE),  # ISATAP
+        ])
+        return _any([
+            holds & v4(g[6], g[7]), within(0xFFC0, 0xFE80), within(0xFF00, 0xFF00), within(0xFE00, 0xFC00),
+            (g[0] == 0x2002) & v4(g[1], g[2]),  # 6to4
+            (g[0] == 0x2001) & (g[1] == 0) & (v4(g[2], g[3]) | v4(F.lit(0xFFFF) - g[6], F.lit(0xFFFF) - g[7])),  # Teredo: server, and the client inverted
+        ])
+
+    return _let(groups, judge)
+
+
+def is_blocked_address(ip: Column) -> Column:
+    """Whether an address, IPv4 or IPv6 with any embedded IPv4, must not be fetched; unparsable ones are blocked."""
+    return F.coalesce(F.when(F.instr(ip, ":") > 0, is_blocked_ipv6(ipv6_groups(ip))).otherwise(_let(ipv4_number(ip), is_blocked_ipv4)), F.lit(True))
 
 
 def valid_fetch_url(url: Column) -> Column:
-    """http or https with a host; a literal IPv4 host must be a public one. Names are not resolved."""
+    """http or https with a host; a literal address must be a public one. Names are not resolved."""
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
     host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
     number = ipv4_number(host)
-    return scheme.isin("http", "https") & (host != "") & (number.isNull() | ~is_blocked_ipv4(number))
+    literal = F.when(host.startswith("["), ~_let(F.regexp_replace(host, r"^\[|\]$", ""), is_blocked_address)).otherwise(_let(number, lambda n: n.isNull() | ~is_blocked_ipv4(n)))
+    return scheme.isin("http", "https") & (host != "") & literal

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -70,10 +71,62 @@ def content_tag(text: Column) -> Column:
     return F.left(F.sha2(text.cast("binary"), 256), F.lit(16))
 
 
-def redact_command(text: Column, limit: int = 65536) -> Column:
-    """Secrets are replaced by a tag of the text; the rest is cut at ``limit`` bytes' worth of characters with a mark."""
+def _inside_character(raw: Column, place: Column) -> Column:
+    """Whether the byte at a place (from 1) continues a character."""
+    return F.hex(F.substring(raw, place, F.lit(1))).between("80", "BF")
+
+
+def cut_bytes(limit: int, tail: bool = False):
+    """The first (or last) ``limit`` bytes, never splitting a character."""
+
+    def cut(text: Column) -> Column:
+        raw, size = text.cast("binary"), F.octet_length(text)
+        first = F.greatest(size - limit + 1, F.lit(1))
+        if tail:  # a character has at most three bytes that continue it
+            skip = F.lit(3)
+            for k in (2, 1, 0):
+                skip = F.when(~_inside_character(raw, first + k), k).otherwise(skip)
+            part = F.substring(raw, first + skip, size)
+        else:
+            end = F.lit(max(0, limit - 3))
+            for k in (2, 1, 0):
+                end = F.when(~_inside_character(raw, F.lit(limit + 1 - k)), max(0, limit - k)).otherwise(end)
+            part = F.substring(raw, F.lit(1), end)
+        short = F.lit("") if limit <= 0 else part.cast("string")
+        return F.when(size > limit, short).otherwise(text)
+
+    return cut
+
+
+# Limits of one recorded command and of shown output, in bytes and lines, and the mark of a cut.
+COMMAND_BYTES, CUT_MARK = 65536, "...[truncated]"
+OUTPUT_BYTES, OUTPUT_LINES = 200 * 1024, 2000
+TAIL_LINES, MAX_TAIL_LINES, MAX_TAIL_BYTES, LINE_BYTES, MIN_TAIL_READ = 100, 10_000, 4 << 20, 512, 64 << 10
+# End of fixed values.
+
+
+def redact_command(text: Column, limit: int = COMMAND_BYTES) -> Column:
+    """Secrets are replaced by a tag of the text; the rest is cut to ``limit`` bytes, the mark of the cut included."""
     redacted = F.concat(F.lit("[redacted sha256:"), content_tag(text), F.lit("]"))
-    return F.when(has_secret(text), redacted).when(F.octet_length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit("...[truncated]"))).otherwise(text)
+    short = F.concat(cut_bytes(limit - len(CUT_MARK))(text), F.lit(CUT_MARK))
+    return F.when(has_secret(text), redacted).when(F.octet_length(text) > limit, short).otherwise(text)
+
+
+def shown_output(text: Column, max_bytes: int = OUTPUT_BYTES, max_lines: int = OUTPUT_LINES) -> Column:
+    """struct(text, truncated): the first lines with their line breaks, then the first bytes of these."""
+    head = F.concat(F.substring_index(text, "\n", max_lines), F.lit("\n"))
+    first = F.when(F.length(head) < F.length(text), head).otherwise(text)
+    return F.struct(cut_bytes(max_bytes)(first).alias("text"), ((F.length(head) < F.length(text)) | (F.octet_length(first) > max_bytes)).alias("truncated"))
+
+
+def tail_of_log(text: Column, lines: int = TAIL_LINES, max_bytes: int = 0) -> Column:
+    """The last lines of a log, of its last ``max_bytes`` bytes if given; a line that this cuts is left out."""
+    if not 0 < lines <= MAX_TAIL_LINES or not 0 <= max_bytes <= MAX_TAIL_BYTES:
+        raise ValueError("lines or bytes out of range")
+    read = max_bytes or min(max(lines * LINE_BYTES, MIN_TAIL_READ), MAX_TAIL_BYTES)
+    data = cut_bytes(read, tail=True)(text)
+    whole = F.when((F.octet_length(text) > read) & data.contains("\n"), F.regexp_replace(data, r"\A[^\n]*\n", "")).otherwise(data)
+    return F.substring_index(F.regexp_replace(whole, r"\n\z", ""), "\n", -lines)
 
 
 def redact_env_keys(keys: Column, limit: int = 64) -> Column:
@@ -130,17 +183,23 @@ def fnv1a64(raw: bytes) -> str:
     return f"{h:016x}"
 
 
-fnv64 = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else fnv1a64(x.encode())), T.StringType())
-
-
-def _cut(text: str, limit: int, tail: bool = False) -> str:
-    raw = text.encode()
-    return (raw[-limit:] if tail and limit else raw[:limit]).decode("utf-8", "ignore") if len(raw) > limit else text
-
-
-def cut_bytes(limit: int, tail: bool = False):
-    """The first (or last) ``limit`` bytes, never splitting a character."""
-    return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else _cut(x, limit, tail)), T.StringType())
+@F.pandas_udf(T.StringType())
+def fnv64(texts: pd.Series) -> pd.Series:
+    """FNV-1a of 64 bits in hexadecimal: byte by byte, but of all texts of a batch at once, the longest first."""
+    raw = [b"" if x is None else x.encode() for x in texts]
+    order = sorted(range(len(raw)), key=lambda k: -len(raw[k]))
+    sizes = np.array([len(raw[k]) for k in order])
+    data = np.frombuffer(b"".join(raw[k] for k in order), np.uint8)
+    start, h = np.cumsum(sizes) - sizes, np.full(len(raw), 0xCBF29CE484222325, np.uint64)
+    longer = len(raw)
+    for k in range(int(sizes[0]) if len(raw) else 0):
+        while sizes[longer - 1] <= k:
+            longer -= 1
+        h[:longer] = (h[:longer] ^ data[start[:longer] + k]) * np.uint64(0x100000001B3)
+    out: list[str | None] = [None] * len(raw)
+    for place, k in enumerate(order):
+        out[k] = None if texts.iloc[k] is None else f"{int(h[place]):016x}"
+    return pd.Series(out, dtype=object)
 
 
 def _indent(text: str) -> str:

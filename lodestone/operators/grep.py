@@ -30,8 +30,10 @@ def grep(files: DataFrame, pattern: str, literal: bool = False, ignore_case: boo
 
 
 def grep_context(files: DataFrame, pattern: str, before: int = 2, after: int = 2, **how) -> DataFrame:
-    """Matches with the lines around them, each line once: path, line_no, content, is_match."""
-    all_lines = lines(files).withColumn("is_match", line_match(F.col("content"), pattern, **how))
+    """Matches with the lines around them, each line once: path, line_no, content, is_match; none of sensitive paths."""
+    parts = F.split(F.regexp_replace("content", r"\r?\n$", ""), r"\r?\n")
+    found = F.exists(parts, lambda x: line_match(x, pattern, **how))  # files without a match end here, before any sort
+    all_lines = lines(files.filter(~is_sensitive_path(F.col("path")) & found)).withColumn("is_match", line_match(F.col("content"), pattern, **how))
     near = Window.partitionBy("path").orderBy("line_no").rowsBetween(-after, before)
     return all_lines.withColumn("_near", F.max(F.col("is_match").cast("int")).over(near)).filter("_near = 1").drop("_near")
 
@@ -66,9 +68,21 @@ def page(hits: DataFrame, offset: int, limit: int) -> DataFrame:
 
 
 def first_hits(context: DataFrame, limit: int) -> DataFrame:
-    """The first matches in order with the context in front of and between them."""
-    w = Window.orderBy("path", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return context.withColumn("_n", F.sum(F.col("is_match").cast("int")).over(w)).filter(F.col("_n") <= limit).drop("_n")
+    """The first matches in order of files and lines, with their context.
+
+    Files are taken whole while their matches fit. Of the file in which the limit is reached come the lines in front of the last
+    match and those that follow it without a gap, up to the next match; nothing of later files. At most ``limit`` files are ranked.
+    """
+    files = context.groupBy("path").agg(F.count_if("is_match").alias("_hits")).filter("_hits > 0").orderBy("path").limit(limit)
+    before = F.sum("_hits").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
+    files = files.withColumn("_room", F.lit(limit) - F.coalesce(before, F.lit(0))).filter("_room > 0")
+    by = Window.partitionBy("path").orderBy("line_no")
+    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = context.join(F.broadcast(files), "path").withColumn("_n", F.count_if("is_match").over(upto))
+    rows = rows.withColumn("_gap", F.coalesce(F.col("line_no") - F.lag("line_no").over(by) > 1, F.lit(False)))
+    cut = F.count_if((F.col("_n") >= F.col("_room")) & F.col("_gap") & ~F.col("is_match")).over(upto)
+    keep = (F.col("_hits") <= F.col("_room")) | ((F.col("_n") <= F.col("_room")) & ((F.col("_n") < F.col("_room")) | (F.col("_cut") == 0)))
+    return rows.withColumn("_cut", cut).filter(keep).select(*context.columns)
 
 
 def counts(groups: DataFrame) -> DataFrame:

@@ -133,12 +133,18 @@ def spill_route(outputs: DataFrame, text_col: str = "output", intent_col: str =
 
 
 def keep_newest(rows: DataFrame, order: list[Column], n: int = 64, by: list[str] | None = None) -> DataFrame:
-    w = Window.partitionBy(*(by or [])).orderBy(*order)
+    """The first n rows of each key in the given order; without a key the first n of all, by a bounded top-n."""
+    if not by:
+        return rows.orderBy(*order).limit(n)
+    w = Window.partitionBy(*by).orderBy(*order)
     return rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
 
 
 def within_caps(files: DataFrame, max_files: int = 5000, max_file_bytes: int = 1 << 20, max_total: int = 100 << 20) -> DataFrame:
-    """Files in path order until the count or the bytes run out; (path, size) only, so the one window is narrow."""
+    """Files in path order until the count or the bytes run out.
+
+    The count is a bounded top-n, so the running sum is over ``max_files`` rows at most.
+    """
     w = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fit = files.filter(F.col("size") <= max_file_bytes)
-    return fit.withColumn("_n", F.count("*").over(w)).withColumn("_b", F.sum("size").over(w)).filter((F.col("_n") <= max_files) & (F.col("_b") <= max_total)).drop("_n", "_b")
+    fit = files.filter(F.col("size") <= max_file_bytes).orderBy("path").limit(max_files)
+    return fit.withColumn("_b", F.sum("size").over(w)).filter(F.col("_b") <= max_total).drop("_b")

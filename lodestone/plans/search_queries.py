@@ -13,6 +13,37 @@ NEEDLE = "tion the"
 SECOND = "and ther"
 #: The clock of all cache queries, in seconds.
 NOW = 1_000_000
+#: Credential shapes that a fifth of the documents of ``leaky`` get, made up from repeated characters.
+LEAKS = [
+    "AKIA" + "Q" * 16, "ghp_" + "a" * 36, "xoxb-" + "1" * 12, 'api_key = "' + "x" * 16 + '"', "password: 'abcdefgh'", "-----BEGIN RSA PRIVATE KEY-----", "eyJh.eyJz.c2ln",
+    "AKIA" + "Q" * 15, 'my_password = "abcdefgh"',
+]
+
+
+def leaky(spark: SparkSession, sf: str) -> DataFrame:
+    """kb_documents with doc_id; every fifth document ends in a line that is or resembles a credential."""
+    d = table(spark, sf, "documents")
+    line = F.element_at(F.array(*[F.lit(x) for x in LEAKS]), (F.floor(F.col("doc_id") / 5) % len(LEAKS) + 1).cast("int"))
+    content = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("\n"), line)).otherwise(""))
+    return d.select(F.concat_ws(":", "source", F.lit("markdown"), F.col("doc_id").cast("string")).alias("path"), content.alias("content"), "doc_id")
+
+
+_LEAK_LIST = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in LEAKS) + "]"
+LEAKY_SQL = f"""leaky AS (SELECT source || ':markdown:' || doc_id AS path, doc_id, coalesce(text, '') || CASE WHEN doc_id % 5 = 0 THEN chr(10) || {_LEAK_LIST}[doc_id // 5 % {len(LEAKS)} + 1] ELSE '' END AS content FROM documents)"""
+
+
+def secret_sql(c: str) -> str:
+    """Whether a text holds a secret, in SQL."""
+    word = lambda p: f"regexp_matches({c}, '\\b{p}\\b')"
+    banners = " OR ".join(f"contains({c}, '{b}')" for b in gates.PRIVATE_KEY_BANNERS)
+    assigned = " OR ".join("regexp_matches(" + c + ", '" + p.replace("'", "''") + "')" for p in (gates.ASSIGNED_SECRET, gates.ASSIGNED_PASSWORD))
+    return f"({banners} OR {word(gates.AWS_KEY)} OR {word(gates.GITHUB_TOKEN)} OR {word(gates.SLACK_TOKEN)} OR {word(gates.JWT)} OR {assigned})"
+
+
+def head_sql(t: str, limit: int) -> str:
+    """The longest prefix of at most ``limit`` bytes, in SQL."""
+    most = f"list_max(list_filter(range(greatest(0, least(length({t}), {limit}) - (strlen(left({t}, {limit})) - {limit})), {limit + 1}), lambda k: strlen(left({t}, k)) <= {limit}))"
+    return f"(CASE WHEN strlen({t}) <= {limit} THEN {t} ELSE left({t}, {most}) END)"
 
 
 def _bm25_sql(needle: str, prefix: str = "", limit: int = 20) -> str:
@@ -64,9 +95,9 @@ def kb_search_fuzzy_flag(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kb_search_proximity(spark: SparkSession, sf: str) -> DataFrame:
-    """Re-ranking of a list with snippets of the first 200 characters, the needle marked."""
+    """Re-ranking of a list with whole texts as snippets, the needle marked."""
     hits = search.search_trigram(kb_documents(spark, sf), NEEDLE)
-    marked = hits.withColumn("snippet", F.replace(F.left("content", F.lit(200)), F.lit(NEEDLE), F.lit(f"<b>{NEEDLE}</b>")))
+    marked = hits.withColumn("snippet", F.replace("content", F.lit(NEEDLE), F.lit(f"<b>{NEEDLE}</b>")))
     return search.proximity_rerank(marked, NEEDLE, [F.col("score"), F.col("path")]).select("path", F.round("boosted", 6).alias("boosted"))
 
 
@@ -218,7 +249,17 @@ def url_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def url_valid(spark: SparkSession, sf: str) -> DataFrame:
-    url = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("http://10.0."), F.col("page_id") % 256, F.lit(".9/x"))).when(F.col("page_id") % 4 == 1, F.concat(F.lit("ftp://h/"), "page_id")).otherwise(F.col("url"))
+    p = F.col("page_id")
+    low = F.lower(F.hex(p % 65536))
+    url = (
+        F.when(p % 8 == 0, F.concat(F.lit("http://10.0."), p % 256, F.lit(".9/x")))
+        .when(p % 8 == 1, F.concat(F.lit("ftp://h/"), p.cast("string")))
+        .when(p % 8 == 2, F.concat(F.lit("http://[fd00::"), low, F.lit("]/")))
+        .when(p % 8 == 3, F.concat(F.lit("https://u@[::ffff:10.0.0."), p % 256, F.lit("]:8443/x")))
+        .when(p % 8 == 4, F.concat(F.lit("https://[2606:4700::"), low, F.lit("]:8443/x")))
+        .when(p % 8 == 5, F.concat(F.lit("http://[2606::"), low, F.lit("::1]/")))
+        .otherwise(F.col("url"))
+    )
     return table(spark, sf, "pages").select("page_id", gates.valid_fetch_url(url).alias("valid"))
 
 
@@ -257,7 +298,7 @@ def chunk_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def secret_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return kb_documents(spark, sf).select("path", gates.has_secret(F.col("content")).alias("secret"))
+    return leaky(spark, sf).select("path", gates.has_secret(F.col("content")).alias("secret"))
 
 
 _RANK = "row_number() OVER (ORDER BY score, path) AS rank"
@@ -274,7 +315,7 @@ SQL = {
         n AS (SELECT (SELECT count(*) FROM l1) AS words, (SELECT count(*) FROM l2) AS parts,
               least(20, (SELECT count(*) FROM (SELECT path FROM l1 UNION SELECT path FROM l2))) AS fused)
         SELECT words, parts, fused, fused < 2 AND parts > words AS corrected FROM n""",
-    "kb_search_proximity": f"""WITH {_bm25_sql(NEEDLE)}, s AS (SELECT path, score, replace(left(content, 200), '{NEEDLE}', '<b>{NEEDLE}</b>') AS snip FROM hit),
+    "kb_search_proximity": f"""WITH {_bm25_sql(NEEDLE)}, s AS (SELECT path, score, replace(content, '{NEEDLE}', '<b>{NEEDLE}</b>') AS snip FROM hit),
         r AS (SELECT path, snip, count(*) OVER () AS n, row_number() OVER (ORDER BY score, path) - 1 AS i FROM s)
         SELECT path, round(CASE WHEN n > 1 THEN n - i + ((length(snip) - length(replace(snip, '<b>', ''))) // 3) * 100.0 / length(snip) ELSE n - i END, 6) AS boosted FROM r""",
     "kb_multi_query": " UNION ALL ".join(f"SELECT '{q}' AS query, path, round(score, 6) AS score FROM (WITH {_bm25_sql(q, '', 5)} SELECT path, score FROM hit)" for q in (NEEDLE, SECOND, "is the on")),
@@ -306,20 +347,34 @@ SQL = {
         r AS (SELECT *, count(*) OVER w AS n, sum(size) OVER w AS b FROM f WINDOW w AS (ORDER BY path ROWS UNBOUNDED PRECEDING)) SELECT path, size FROM r WHERE n <= 5000 AND b <= 1048576""",
     "url_normalise": "SELECT page_id, split_part(url, '#', 1) AS bare, url AS redacted, 'web:markdown:' || url AS key FROM pages",
     "url_dedupe": "SELECT split_part(url, '#', 1) AS url, min(page_id) AS pos FROM pages GROUP BY 1",
-    "url_valid": "SELECT page_id, page_id % 4 >= 2 AND regexp_matches(url, '^https?://[^/?#]') AS valid FROM pages",
+    "url_valid": "SELECT page_id, page_id % 8 = 4 OR (page_id % 8 >= 6 AND regexp_matches(url, '^https?://[^/?#]')) AS valid FROM pages",
     "ssrf_ipv4": """WITH p AS (SELECT page_id, page_id * 7 % 256 AS a, page_id * 31 % 256 AS b, page_id % 256 AS c FROM pages)
         SELECT page_id, a || '.' || b || '.' || c || '.9' AS ip, a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254)
         OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 198 AND b BETWEEN 18 AND 19) AS blocked FROM p""",
     "html_sniff": """WITH h AS (SELECT page_id, lower(CASE page_id % 3 WHEN 0 THEN '<body><p>' || html WHEN 1 THEN 'note ' || html ELSE ltrim(html, E' \\t\\n\\r') END) AS b FROM pages),
         t AS (SELECT page_id, b, list_sum(list_transform(['<html','</html','<head','</head','<body','</body','<meta','<link','<title','<script','<div','<span'], lambda x: contains(left(b, 512), x)::INT)) AS n FROM h)
         SELECT page_id, starts_with(b, '<!doctype html') OR starts_with(b, '<html') OR ((starts_with(b, '<head') OR starts_with(b, '<body')) AND n >= 2) AS is_html FROM t""",
-    "secret_gate": r"""SELECT source || ':markdown:' || doc_id AS path, contains(c, 'BEGIN OPENSSH PRIVATE KEY') OR contains(c, 'BEGIN RSA PRIVATE KEY') OR contains(c, 'BEGIN DSA PRIVATE KEY')
-        OR contains(c, 'BEGIN EC PRIVATE KEY') OR contains(c, 'BEGIN ENCRYPTED PRIVATE KEY') OR contains(c, 'BEGIN PRIVATE KEY') OR contains(c, 'BEGIN PGP PRIVATE KEY')
-        OR regexp_matches(c, '\b(AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{16}\b') OR regexp_matches(c, '\b(gh[pousr]_[A-Za-z0-9_]{36,}|github_pat_[A-Za-z0-9_]{82})\b')
-        OR regexp_matches(c, '\bxox[baprs]-[0-9A-Za-z]{10,}\b') OR regexp_matches(c, '\beyJ[A-Za-z0-9\-_=]+\.[A-Za-z0-9\-_=]+\.[A-Za-z0-9\-_.+/=]+\b')
-        OR regexp_matches(c, '(?i)(?:^|[^_A-Za-z0-9])(?:aws[_-]?secret[_-]?access[_-]?key|secret[_-]?access[_-]?key|api[_-]?key|access[_-]?token|secret[_-]?key|auth[_-]?token|client[_-]?secret|private[_-]?key|refresh[_-]?token|session[_-]?token|id[_-]?token|db[_-]?pass(?:word)?)\s*[:=]\s*[''"][a-zA-Z0-9_\-.~/!@#$%^&*+=]{16,}[''"]')
-        OR regexp_matches(c, '(?i)(?:^|[^_A-Za-z0-9])(?:password|passwd)\s*[:=]\s*[''"][^''"\r\n]{8,}[''"]') AS secret
-        FROM (SELECT source, doc_id, coalesce(text, '') AS c FROM documents)""",
+    "secret_gate": f"WITH {LEAKY_SQL} SELECT path, {secret_sql('content')} AS secret FROM leaky",
+    "ssrf_any": """WITH p AS (SELECT page_id, page_id * 7 % 256 AS a, page_id % 256 AS b FROM pages)
+        SELECT page_id, '2002:' || printf('%02X', a) || printf('%02X', b) || ':0101::1' AS ip, a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254)
+        OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 198 AND b BETWEEN 18 AND 19) AS blocked FROM p""",
+    "json_format": """SELECT event_id, CASE WHEN regexp_matches(props, '^\\{"k": *-?[0-9]+\\}$') THEN '{' || chr(10) || '  "k": ' || regexp_extract(props, '-?[0-9]+') || chr(10) || '}' ELSE props END AS json FROM events""",
+    "chunk_documents": f"""WITH RECURSIVE t AS (SELECT source || ':markdown:' || doc_id AS document, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t, coalesce(text, '') AS whole FROM documents),
+        r AS (SELECT document, 0 AS chunk_no, CASE WHEN t = '' THEN whole ELSE {head_sql('t', 4000)} END AS content, CASE WHEN t = '' THEN '' ELSE substr(t, length({head_sql('t', 4000)}) + 1) END AS rest FROM t
+        UNION ALL SELECT document, chunk_no + 1, {head_sql('rest', 4000)}, substr(rest, length({head_sql('rest', 4000)}) + 1) FROM r WHERE rest <> '')
+        SELECT document, chunk_no, content FROM r""",
+    "chunk_counts": f"""WITH RECURSIVE l AS (SELECT source || ':markdown:' || doc_id AS document, strlen(replace(coalesce(text, ''), chr(10), chr(10) || chr(10))) AS whole,
+            list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS parts FROM documents),
+        p AS (SELECT document, i, parts[i] AS p, strlen(parts[i]) AS n FROM (SELECT document, parts, unnest(range(1, len(parts) + 1)) AS i FROM l)),
+        c AS (SELECT document, i, {head_sql('p', 4000)} AS head, substr(p, length({head_sql('p', 4000)}) + 1) AS rest FROM p WHERE n > 4000
+            UNION ALL SELECT document, i, {head_sql('rest', 4000)}, substr(rest, length({head_sql('rest', 4000)}) + 1) FROM c WHERE rest <> ''),
+        b AS (SELECT document, i, count(*) AS pieces, max(strlen(head)) AS most FROM c GROUP BY document, i),
+        r AS (SELECT document, 0 AS k, 0::BIGINT AS now, 0::BIGINT AS chunks, 0::BIGINT AS largest FROM l
+            UNION ALL SELECT r.document, r.k + 1, CASE WHEN p.n > 4000 THEN 0 WHEN r.now > 0 AND r.now + p.n + 2 <= 4000 THEN r.now + p.n + 2 ELSE p.n END,
+                r.chunks + CASE WHEN r.now > 0 AND (p.n > 4000 OR r.now + p.n + 2 > 4000) THEN 1 ELSE 0 END + CASE WHEN p.n > 4000 THEN b.pieces ELSE 0 END,
+                greatest(r.largest, r.now, coalesce(b.most, 0)) FROM r JOIN p ON p.document = r.document AND p.i = r.k + 1 LEFT JOIN b ON b.document = p.document AND b.i = p.i),
+        e AS (SELECT document, max_by(now, k) AS now, max(chunks) AS chunks, max(largest) AS largest FROM r GROUP BY document)
+        SELECT e.document, greatest(1, chunks + CASE WHEN now > 0 THEN 1 ELSE 0 END) AS chunks, CASE WHEN chunks = 0 AND now = 0 THEN whole ELSE greatest(largest, now) END::INT AS largest FROM e JOIN l ON l.document = e.document""",
 }
 QUERIES = [
     kb_search_trigram_bm25, kb_search_prefix_scope, kb_search_porter_bm25, kb_search_rrf, kb_search_fuzzy_flag, kb_search_proximity, kb_search_proximity_snippet, kb_search_pipeline,

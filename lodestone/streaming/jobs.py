@@ -65,23 +65,35 @@ def limiter_stream(calls: DataFrame, key: str, ts: str = "ts", order: str = "eve
 
 
 def upsert_into(folder: str, key: list[str], order: list[str]):
-    """A foreachBatch function that keeps the latest row per key in versioned Parquet folders."""
+    """A foreachBatch function that keeps the latest row per key in versioned Parquet folders.
+
+    A batch builds on the newest complete version below its own number, so a version that is missing (a restart, a cleaned
+    folder) loses no row; only an empty folder starts a new table. A batch that is repeated writes the same version again.
+    """
     from ..operators.store import latest
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        old = None
-        if epoch > 0:
-            try:
-                old = spark.read.schema(batch.schema).parquet(f"{folder}/v{epoch - 1}")
-            except Exception as missing:  # the first version of a restarted query may be absent
-                if "PATH_NOT_FOUND" not in str(missing):
-                    raise
-        latest(batch if old is None else old.unionByName(batch), key, order).write.mode("overwrite").parquet(f"{folder}/v{epoch}")
+        newest = max((v for v in complete_versions(spark, folder) if v < epoch), default=None)
+        if newest is None and epoch > 0:
+            raise RuntimeError(f"no version before {epoch} in {folder}")
+        rows = batch if newest is None else spark.read.schema(batch.schema).parquet(f"{folder}/v{newest}").unionByName(batch)
+        latest(rows, key, order).write.mode("overwrite").parquet(f"{folder}/v{epoch}")
 
     return write
 
 
+def complete_versions(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the folders v0, v1, ... whose write has ended."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+
+
 def run_once(frame: DataFrame, name: str, mode: str, checkpoint: str) -> None:
     """Drains what is there into a memory table."""
     query = frame.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -24,13 +24,43 @@ def test_sensitive_paths(spark):
     assert column(spark, no, gates.is_sensitive_path) == [False] * len(no)
 
 
-@pytest.mark.parametrize(
-    ("ip", "blocked"),
+ADDRESSES = dict(
     [("8.8.8.8", False), ("10.1.2.3", True), ("172.32.0.1", False), ("100.64.0.1", True), ("::1", True), ("::ffff:127.0.0.1", True), ("2002:0a00:0001::", True), ("2001:4860:4860::8888", False),
-     ("64:ff9b::7f00:1", True), ("64:ff9b:1::808:808", False), ("fc00::1", True), ("2001:0:808:808:0:0:f5ff:fffe", True), ("fe80::1", True), ("nonsense", True), ("2620::5efe:a00:1", True), ("2620::200:5efe:808:808", False)],
+     ("64:ff9b::7f00:1", True), ("64:ff9b:1::808:808", False), ("fc00::1", True), ("2001:0:808:808:0:0:f5ff:fffe", True), ("fe80::1", True), ("nonsense", True), ("2620::5efe:a00:1", True), ("2620::200:5efe:808:808", False),
+     ("::", True), ("ff02::1", True), ("fe80::1%eth0", True), ("2606:4700::%1", False), ("1:2:3:4:5:6:7", True), ("1::2::3", True), (":1::", True), ("1:2:3:4:5:6:7::", False), ("::ffff:8.8.8.8", False), ("::ffff:8.8.8.256", True),
+     ("64:ff9b::8.8.4.4", False), ("12345::", True), ("", True), ("300.1.1.1", True), ("2002:808:808::", False)],
 )
-def test_addresses(ip, blocked):
-    assert gates.blocked_address(ip) is blocked
+
+
+def test_addresses(spark):
+    assert dict(zip(ADDRESSES, column(spark, list(ADDRESSES), gates.is_blocked_address))) == ADDRESSES
+    assert column(spark, [None], gates.is_blocked_address) == [True]
+
+
+def plain_blocked(text):
+    """Local, private, link-local and multicast addresses by the standard library."""
+    import ipaddress
+
+    ip = ipaddress.ip_address(text)
+    nets = [ipaddress.ip_network(n) for n in (*gates.BLOCKED_IPV4, "fc00::/7", "fe80::/10", "ff00::/8", "::/96")]
+    return any(ip in n for n in nets if n.version == ip.version)
+
+
+def test_addresses_against_the_standard_library(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(8)
+    some = [str(ipaddress.IPv4Address(rng.getrandbits(32))) for _ in range(150)]
+    some += [str(ipaddress.IPv6Address(rng.choice([0x3F << 120, 0xFC << 120, 0xFE8 << 116, 0xFF << 120]) + rng.getrandbits(rng.choice([8, 40, 100])))) for _ in range(150)]
+    some += [str(ipaddress.IPv6Address((0x2607 << 112) + rng.getrandbits(rng.choice([16, 60])))) for _ in range(50)]
+    assert column(spark, some, gates.is_blocked_address) == [plain_blocked(x) for x in some]
+
+
+def test_fetch_urls(spark):
+    yes = ["http://h", "HTTPS://u:p@h:8/x", "http://8.8.8.8/", "http://[2606:4700::1]/", "https://[2606:4700::1]:99/x"]
+    no = ["http://[::1]/x", "http://[fd00::1]/", "http://[::ffff:10.0.0.1]:80/", "http://[bad]/", "http://[]/", "ftp://h", "http://", "http://10.0.0.1/", "//h"]
+    assert column(spark, yes + no, gates.valid_fetch_url) == [True] * len(yes) + [False] * len(no)
 
 
 def test_binary_content(spark):
@@ -73,10 +103,28 @@ def test_text(spark):
     assert column(spark, ['"{\\"a\\":1}"', '{"a":1}', "x"], text.unwrap_json) == ['{"a":1}', '{"a":1}', "x"]
     assert column(spark, ["界界", "abc"], text.cut_bytes(4)) == ["界", "abc"]
     assert column(spark, ["界界"], text.cut_bytes(4, tail=True)) == ["界"]
-    assert text.fnv1a64(b"") == "cbf29ce484222325"
+    assert column(spark, ["", None, "a", "foobar", "界"], text.fnv64) == ["cbf29ce484222325", None, "af63dc4c8601ec8c", "85944171f73967e8", text.fnv1a64("界".encode())]
     assert column(spark, ["https://u:p@h/x#f"], lambda v: text.strip_fragment(text.redact_userinfo(v))) == ["https://h/x"]
 
 
+def test_byte_cuts(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aé界😀\n") for _ in range(rng.randrange(40))) for _ in range(120)] + [None, ""]
+    for limit in (0, 1, 2, 3, 4, 5, 17, 60):
+        raw = [None if t is None else t.encode() for t in texts]
+        assert column(spark, texts, text.cut_bytes(limit)) == [None if b is None else b[:limit].decode("utf-8", "ignore") for b in raw]
+        assert column(spark, texts, text.cut_bytes(limit, tail=True)) == [None if b is None else b[max(0, len(b) - limit) :].decode("utf-8", "ignore") for b in raw]
+    long = "界" * 30_000
+    got = column(spark, [long, "x" * 65_536], text.redact_command)
+    assert len(got[0].encode()) <= 65_536 and got[0].endswith("...[truncated]") and got[0].startswith("界" * 21_800) and got[1] == "x" * 65_536
+    assert column(spark, ["a\nb\nc\n", "a\nb\n", "a\nb", "", None], lambda v: text.shown_output(v, 100, 2)["text"]) == ["a\nb\n", "a\nb\n", "a\nb", "", None]
+    assert column(spark, ["a\nb\nc\n", "a\nb\n", "x" * 101], lambda v: text.shown_output(v, 100, 2)["truncated"]) == [True, False, True]
+    assert column(spark, ["a\nb\nc\n", "a\nb\nc", "", "c"], lambda v: text.tail_of_log(v, 2)) == ["b\nc", "b\nc", "", "c"]
+    assert column(spark, ["abc\ndef\nghi\n", "界界界"], lambda v: text.tail_of_log(v, 9, 6)) == ["ghi", "界界"]
+
+
 def test_globs(spark):
     def fits(pattern, name):
         return column(spark, [name], lambda v: paths.glob_match(v, pattern))[0]

@@ -47,6 +47,12 @@ def test_grep_family(spark):
     hits = grep.grep(files, "hit")
     assert [(r["path"], r["line_no"]) for r in hits.orderBy("path", "line_no").collect()] == [("a", 2), ("a", 5), ("d", 1)]
     assert [r["line_no"] for r in grep.grep_context(files.filter("path = 'a'"), "hit", 1, 1).orderBy("line_no").collect()] == [1, 2, 3, 4, 5]
+    assert grep.grep_context(files, "hit").filter("path = 'c/.env'").count() == 0
+    parts = frame(spark, [("a", "1\nhit\n3\n4\n5\n6\nhit\n8"), ("b", "x\nhit\ny")], "path string, content string")
+    near = grep.grep_context(parts, "hit", 1, 1)
+    taken = lambda n: [(r["path"], r["line_no"]) for r in grep.first_hits(near, n).orderBy("path", "line_no").collect()]
+    assert taken(1) == [("a", 1), ("a", 2), ("a", 3)] and taken(2) == [("a", k) for k in (1, 2, 3, 6, 7, 8)]
+    assert taken(3) == [*taken(2), ("b", 1), ("b", 2), ("b", 3)] == taken(9)
     groups = grep.with_dirty(grep.group_lines(hits), frame(spark, [("d", "M")], "path string, tag string"))
     assert [(r["path"], r["hits"]) for r in grep.summary(groups).collect()] == [("d", 1), ("a", 2)]
     assert grep.first_lines(hits, 1).filter("path = 'd'").first()["preview"] == "[def] fn hit"
@@ -156,7 +162,7 @@ def test_registry_is_complete():
     from lodestone.plans import registry
 
     queries, sql = registry.queries(), registry.oracle_sql()
-    assert set(sql) <= set(queries) and len(sql) >= 70
+    assert set(sql) <= set(queries) and len(sql) >= 90
 
 
 def test_whole_texts_lines_values_and_tiers(spark, tmp_path):
@@ -165,21 +171,21 @@ def test_whole_texts_lines_values_and_tiers(spark, tmp_path):
 
     long = "x" * 50 + "\x1b[31mred\x1b[0m " + "y" * 50
     frame(spark, [(k, t, "en", "s", 0) for k, t in enumerate([long, "\n" + " " * 30 + "name", None])], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
-    got = dict(q.strip_ansi_whole(spark, str(tmp_path)).collect())
+    got = dict(q.strip_ansi(spark, str(tmp_path)).collect())
     assert got == {0: "x" * 50 + "red " + "y" * 50 + "--end", 1: "\n" + " " * 30 + "name--end", 2: "--end"}
-    got = dict(q.grep_definitions_whole(spark, str(tmp_path)).collect())
+    got = dict(q.grep_definitions(spark, str(tmp_path)).collect())
     assert got["s:markdown:1"] == 1  # "  class ", blanks and a name behind 20 characters
-    assert {r["score"] for r in q.resolve_fuzzy_all(spark, str(tmp_path)).collect()} == {95.0}
+    assert {r["score"] for r in q.resolve_fuzzy(spark, str(tmp_path)).collect()} == {95.0}
     frame(spark, [(f"src/p{k}/m_a_i_n.g_o",) for k in range(3)] + [("main.go",), ("xmain.go",), ("main.gox",), ("a/main.go/b",), ("zz",)], "path string").createOrReplaceTempView("tiers")
     q_paths, q._paths = q._paths, lambda s, sf: s.table("tiers")
     try:
-        got = [r["path"] for r in q.resolve_fuzzy_all(spark, "").collect()]
+        got = [r["path"] for r in q.resolve_fuzzy(spark, "").collect()]
     finally:
         q._paths = q_paths
     assert got[:4] == ["main.go", "xmain.go", "main.gox", "a/main.go/b"] and len(got) == 7
     sf = "/root/testdata/sf0.001"
     values = {r["event_id"]: int(r["value"] or 0) * (r["event_id"] % 5 * r["event_id"] * 37 + 1) for r in spark.read.parquet(f"{sf}/events.parquet").collect()}
-    got = {r["event_id"]: (r["bytes"], r["tokens"]) for r in q.human_sizes_scaled(spark, sf).collect()}
+    got = {r["event_id"]: (r["bytes"], r["tokens"]) for r in q.human_sizes(spark, sf).collect()}
     scaled = lambda n, units: next((f"{n / k:.1f}{u}" for k, u in units if n >= k), None)
     assert got == {i: (scaled(n, [(1 << 30, "GB"), (1 << 20, "MB"), (1 << 10, "KB")]) or f"{n}B", scaled(n, [(10**6, "M"), (1000, "K")]) or str(n)) for i, n in values.items()}
     ties = frame(spark, [(1280,), (1150,), (1450,)], "n long").select(text.human_bytes(F.col("n")), text.human_tokens(F.col("n"))).collect()
