@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import release_memory
+
 P61 = (1 << 61) - 1
 P31 = np.uint64((1 << 31) - 1)
 BASE = 1_000_003
@@ -244,5 +246,6 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 held = (doc, text, print_, own)
             types = [batch.schema.field(0).type, pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_next"])
+        release_memory()
 
     return with_neighbour(docs, id_col, text_col).mapInArrow(run, schema)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_memory
+
 WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 MIN_COVERAGE = 0.8
 
@@ -240,5 +242,6 @@ def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None, id_col:
                 [batch.column(0).take(pa.array(take, pa.int64())), *[pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int64(), pa.int64(), pa.float64()), strict=True)]],
                 names=["doc_id", "license", "first_word", "end_word", "coverage"],
             )
+        release_memory()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, license string, first_word long, end_word long, coverage double")

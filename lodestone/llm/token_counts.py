@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_memory
+
 #: A run of letters, digits and underscores, or one other character that is not white space.
 TOKEN = re.compile(r"\w+|[^\w\s]")
 CACHE_WORDS = 400_000
@@ -142,5 +144,7 @@ def token_counts(docs: DataFrame, vocab_path: str | None = None, pieces: tuple[s
                 words.append(len(found))
                 tokens.append(sum(map(get, found)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
+        del counts, get
+        release_memory()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, n_words long, n_tokens long")

@@ -243,6 +243,60 @@ def test_url_rules(spark, url, host, path, rule):
     assert got["verdict"] == (dict(url_filter.RULES)[rule] if rule else got["verdict"]) and got["verdict"] in ("allow", "block")
 
 
+def auc(score, y):
+    order = np.argsort(score)
+    rank = np.empty(len(order))
+    rank[order] = np.arange(len(order))
+    return (rank[y].mean() - (y.sum() - 1) / 2) / max(1, (~y).sum())
+
+
+def test_labels_that_carry_over_to_no_other_domain_block_nothing(spark):
+    """The rules' labels of the driver's pages: held-out domains are told at chance, so the trees must not block what no rule covers."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = url_filter.judge_urls(pages, url_filter.RULES).toPandas()
+    ruled, rest = got[got.rule.notna()], got[got.rule.isna()]
+    urls = dict(pages.select("page_id", "url").collect())
+    score = url_filter.held_out_scores([urls[i] for i in ruled.page_id], (ruled.verdict == "block").tolist())
+    assert abs(auc(score, (ruled.verdict == "block").to_numpy()) - 0.5) < 0.15
+    assert len(rest) and (rest.verdict == "block").mean() < 0.05
+
+
+def test_labels_that_carry_over_are_learned():
+    rng = random.Random(1)
+    urls, spam = [], []
+    for k in range(1500):
+        bad = rng.random() < 0.4
+        host = f"{rng.choice('abcdef')}{rng.randrange(300)}" + (f"-{rng.randrange(10**6)}" if bad else "")
+        urls.append(f"http://{host}.{'com' if rng.random() < 0.5 else 'org'}/p" + (f"?a={rng.randrange(10**8)}&b={rng.randrange(10**8)}" if bad and rng.random() < 0.8 else ""))
+        spam.append(bad)
+    y = np.array(spam)
+    assert auc(url_filter.held_out_scores(urls[:1000], spam[:1000]), y[:1000]) > 0.95
+    model = url_filter.fit(urls[:1000], spam[:1000])
+    assert model.scale > 0.5 and auc(model.probability(urls[1000:]), y[1000:]) > 0.95
+    assert len(set(url_filter.folds_of(urls))) == url_filter.FOLDS
+
+
+def test_url_rules_by_sql(spark):
+    """Hosts, paths, rules and their verdicts by plain string functions in another engine, over all pages and odd URLs."""
+    import duckdb
+
+    odd = [None, "", "no scheme", "http://", "http://A.Example.NET/en/x?q", "http://example.net/enx", "http://EXAMPLE.com/de", "http://x.example.com/de/?a", "http://org/fr/", "x://h#f/", "http://net", "http://" + "a." * 5000 + "net/" + "p" * 100_000, "http://h.net:80/", "http://net/", "http://net/"]
+    rows = [(None if k == 3 else 900_000 + k, u) for k, u in enumerate(odd)]
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").union(spark.createDataFrame(rows, "page_id long, url string"))
+    frame = pages.toPandas()  # noqa: F841  read by the SQL
+    fits = lambda r: f"(host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}')"
+    longest = sorted(dict(url_filter.RULES), key=len, reverse=True)
+    sql = f"""WITH r AS (SELECT page_id, CASE WHEN url IS NULL OR instr(url, '://') = 0 THEN '' ELSE substr(url, instr(url, '://') + 3) END AS rest FROM frame),
+        p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') AS path FROM r)
+        SELECT page_id, host, path, CASE {' '.join(f"WHEN {fits(r)} THEN '{r}'" for r in longest)} END AS rule FROM p"""
+    want = sorted(duckdb.sql(sql).fetchall(), key=str)
+    got = url_filter.judge_urls(pages, url_filter.RULES).collect()
+    assert sorted([(r["page_id"], r["host"], r["path"], r["rule"]) for r in got], key=str) == sorted([(None if i is None or i != i else int(i), h, p, r) for i, h, p, r in want], key=str)
+    assert all(r["verdict"] == dict(url_filter.RULES)[r["rule"]] for r in got if r["rule"])
+    assert url_filter.judge_urls(pages.limit(0), url_filter.RULES).collect() == []
+    assert {r["verdict"] for r in url_filter.judge_urls(pages.filter("url LIKE '%example.com/fr%'"), url_filter.RULES).collect()} == {"allow"}
+
+
 def test_trees_learn():
     rng = random.Random(0)
     urls = [f"http://{'shop' if k % 2 else 'site'}{rng.randrange(99)}.{'com' if k % 2 else 'org'}/{'/'.join('abc'[: k % 4])}?{'&'.join('xyz'[: k % 3])}" for k in range(2000)]
