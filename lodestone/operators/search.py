@@ -192,19 +192,30 @@ def _all():
 META = T.StructType([T.StructField("total_hits", T.LongType()), T.StructField("corrected", T.BooleanType()), T.StructField("mode", T.StringType())])
 
 
-def search(docs: DataFrame, query: str, limit: int = 20, prefix: str | None = None, throttled: bool = False) -> DataFrame:
+def search(docs: DataFrame, query: str, limit: int = 20, prefix: str | None = None, throttled: bool = False, index: str | None = None) -> DataFrame:
     """The whole pipeline: both lists, fusion, fallback to substrings, proximity: path, snippet, score, corrected.
 
-    ``throttled`` halves the limit, down to one. The lists are bounded by the over-fetch, so everything behind them is small.
+    ``throttled`` halves the limit, down to one. ``index`` is the folder of a postings index, from which the stemmed list then comes without
+    reading other texts than those of its hits. Either list is bounded by the over-fetch and fetched once, so what follows is a small literal table.
     """
+    from .index import search_index
+
+    spark = docs.sparkSession
     limit = max(1, limit // 2) if throttled and limit > 1 else limit
     fetch = over_fetch(limit)
-    words = search_porter(docs, query, fetch, prefix).withColumn("snippet", snippet(query, True)(F.col("content")))
-    parts = search_trigram(docs, query, fetch, prefix).withColumn("snippet", snippet(query, False)(F.col("content")))
-    words, parts = with_rank(words).cache(), with_rank(parts).cache()
+    if index:
+        best = search_index(spark, index, query, fetch, prefix)
+        hits = docs.select("path", "content").join(F.broadcast(best.select("path", "score")), "path")
+    else:
+        hits = search_porter(docs, query, fetch, prefix)
+
+    def ranked(found: DataFrame, stemmed: bool) -> tuple[DataFrame, int]:
+        rows = with_rank(found.select("path", "score", snippet(query, stemmed)(F.col("content")).alias("snippet"))).collect()
+        return spark.createDataFrame([(r["path"], r["snippet"], r["rank"]) for r in rows], "path string, snippet string, rank int"), len(rows)
+
+    (words, n_words), (parts, n_parts) = ranked(hits, True), ranked(search_trigram(docs, query, fetch, prefix), False)
     fused = rrf_merge(words, parts, limit)
-    n_words, n_parts, n_fused = words.count(), parts.count(), fused.count()
-    corrected = n_fused < 2 and n_parts > n_words
+    corrected = n_parts > n_words and fused.count() < 2
     if corrected:
         fused = parts.orderBy("rank").limit(limit).select("path", "snippet", (1.0 / (RRF_SHIFT + F.col("rank"))).alias("score"))
     out = proximity_rerank(fused, query, [F.col("score").desc(), F.col("path")])

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import gates, text
-from ..operators import ingest, search, store
+from ..operators import index, ingest, search, store
 from ..sources.tables import kb_documents, table
 
 NEEDLE = "tion the"
@@ -107,6 +112,41 @@ def kb_search_proximity_snippet(spark: SparkSession, sf: str) -> DataFrame:
     return search.proximity_rerank(marked, NEEDLE, [F.col("score"), F.col("path")]).select("path", F.round("boosted", 6).alias("boosted"))
 
 
+PHRASE = "the thing"
+#: The words of PHRASE with the endings -s, -es, -ed and -ing that the stemmer takes off.
+SAME_STEM = {"the": ["the", "thes"], "thing": ["thing", "things", "thinges", "thinged", "thinging"]}
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, sf: str) -> str:
+    """The folder of the documents' postings index, built once per application; under the shared folder where one is set."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _indexes:
+        shared = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+        if not shared or shared == "<undefined>":
+            shared = tempfile.mkdtemp(prefix="lodestone-index-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        folder = f"{shared.rstrip('/')}/index-{uuid.uuid4().hex}"
+        index.build(kb_documents(spark, sf), folder)
+        _indexes[key] = folder
+    return _indexes[key]
+
+
+def kb_search_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The stemmed list from the postings index."""
+    return _scored(index.search_index(spark, _index(spark, sf), PHRASE))
+
+
+def kb_search_index_many(spark: SparkSession, sf: str) -> DataFrame:
+    out = index.search_many(spark, _index(spark, sf), [PHRASE, "the", "thing the"], 5)
+    return out.select("query", "path", "tf", "length", F.round("score", 6).alias("score"))
+
+
+def kb_search_index_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """As kb_search_pipeline, with the stemmed list from the index."""
+    return search.search(kb_documents(spark, sf), PHRASE, index=_index(spark, sf)).select("path", "snippet", F.round("score", 6).alias("score"), "corrected")
+
+
 def kb_search_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(kb_documents(spark, sf), "the thing").select("path", "snippet", F.round("score", 6).alias("score"), "corrected")
 
@@ -301,10 +341,24 @@ def secret_gate(spark: SparkSession, sf: str) -> DataFrame:
     return leaky(spark, sf).select("path", gates.has_secret(F.col("content")).alias("secret"))
 
 
+def _phrase_sql(phrase: str, limit: int) -> str:
+    """Phrase BM25 over words of the stems in SAME_STEM; a path has three words."""
+    stands = " AND ".join(f"list_contains({SAME_STEM[w]}, words[i + {k}])" for k, w in enumerate(phrase.split()))
+    return f"""
+    w AS (SELECT source || ':markdown:' || doc_id AS path, regexp_extract_all(lower(coalesce(text, '')), '[\\pL\\pN\\p{{Mn}}]+') AS words FROM documents),
+    t AS (SELECT path, len(list_filter(range(1, len(words) + 1), lambda i: {stands})) AS tf, len(words) + 3 AS length FROM w),
+    st AS (SELECT count(*) AS n, count(*) FILTER (WHERE tf > 0) AS hits, avg(length) AS mean FROM t),
+    hit AS (SELECT path, tf, length, -(CASE WHEN ln((n - hits + 0.5) / (hits + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - hits + 0.5) / (hits + 0.5)) END)
+            * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * length / mean)) AS score FROM t, st WHERE tf > 0 ORDER BY score, path LIMIT {limit})"""
+
+
 _RANK = "row_number() OVER (ORDER BY score, path) AS rank"
 SQL = {
     "kb_search_trigram_bm25": f"WITH {_bm25_sql(NEEDLE)} SELECT path, tf, length, round(score, 6) AS score FROM hit",
     "kb_search_prefix_scope": f"WITH {_bm25_sql(NEEDLE, 'src1')} SELECT path, tf, length, round(score, 6) AS score FROM hit",
+    "kb_search_porter_bm25": f"WITH {_phrase_sql(PHRASE, 20)} SELECT path, tf, length, round(score, 6) AS score FROM hit",
+    "kb_search_index": f"WITH {_phrase_sql(PHRASE, 20)} SELECT path, tf, length, round(score, 6) AS score FROM hit",
+    "kb_search_index_many": " UNION ALL ".join(f"SELECT '{q}' AS query, path, tf, length, round(score, 6) AS score FROM (WITH {_phrase_sql(q, 5)} SELECT * FROM hit)" for q in (PHRASE, "the", "thing the")),
     "kb_search_rrf": f"""WITH l1 AS (WITH {_bm25_sql(NEEDLE, "", 30)} SELECT path, '{NEEDLE}' AS s, {_RANK} FROM hit),
         l2 AS (WITH {_bm25_sql(SECOND, "", 30)} SELECT path, '{SECOND}' AS s, {_RANK} FROM hit)
         SELECT coalesce(l1.path, l2.path) AS path, coalesce(l1.s, l2.s) AS snippet,
@@ -378,6 +432,7 @@ SQL = {
 }
 QUERIES = [
     kb_search_trigram_bm25, kb_search_prefix_scope, kb_search_porter_bm25, kb_search_rrf, kb_search_fuzzy_flag, kb_search_proximity, kb_search_proximity_snippet, kb_search_pipeline,
+    kb_search_index, kb_search_index_many, kb_search_index_pipeline,
     kb_multi_query, kb_list, kb_get, kb_stats, kb_health_parity, first_index_token, purge_session, purge_prefix, purge_dry_run, purge_exact_chunks,
     documents_of_chunks, purge_legacy, upsert_latest, replace_chunks, cache_fresh, cache_prune, cache_latest, cache_backfill, stale_hits, spill_route,
     running_caps, url_normalise, url_dedupe, url_valid, ssrf_ipv4, ssrf_any, html_sniff, html_to_text, json_format, chunk_documents, chunk_counts, secret_gate,
