@@ -12,7 +12,6 @@ bounded cache. Training reads at most ``sample_rows`` distinct labelled texts, w
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,11 +24,15 @@ from pyspark.sql import types as T
 
 from .common import Scratch, release_memory
 
+#: Buckets of n-grams, a power of two.
 DIM = 4096
+_SHIFT = np.uint32(33 - DIM.bit_length())
 SAMPLE_ROWS = 3000
 #: Words of up to CACHED_CHARS characters are kept; the bound changes no result.
 CACHE_WORDS = 200_000
 CACHED_CHARS = 40
+#: So many words' n-grams are hashed at once.
+BLOCK_WORDS = 1024
 UNKNOWN = "und"
 NEW_COLUMNS = ("lang_pred", "score", "ambiguous")
 WORD = re.compile(r"[^\W\d_]+")
@@ -45,15 +48,26 @@ def words_of(text: str) -> list[str]:
 
 def gram_counts(words: list[str]) -> np.ndarray:
     """A text's features: the mean over its words of their shares of n-grams."""
-    own = [_grams(w) for w in words]
-    sizes = [len(g) for g in own]
-    return np.bincount(np.concatenate(own), np.repeat(1 / np.array(sizes), sizes), DIM) / len(words)
-
-
-def _grams(word: str) -> np.ndarray:
-    """Hash buckets of a word's n-grams; a very long run of letters gives as many as it has."""
-    w = f"<{word}>"
-    return np.fromiter((zlib.crc32(w[i : i + n].encode()) % DIM for n in (1, 2, 3) for i in range(len(w) - n + 1)), dtype=np.int64)
+    total = np.zeros(DIM)
+    for lo in range(0, len(words), BLOCK_WORDS):
+        block = words[lo : lo + BLOCK_WORDS]
+        grams = list(_grams(block))
+        share = 1 / sum(sizes for _, sizes in grams)
+        for buckets, sizes in grams:
+            total += np.bincount(buckets, np.repeat(share, sizes), DIM)
+    return total / len(words)
+
+
+def _grams(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For n of 1, 2, 3 the hash buckets of all words' n-grams, word by word, and how many each word has (one at least)."""
+    at = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le"), np.uint32)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    word = np.repeat(np.arange(len(words)), sizes)
+    h = np.zeros(len(at), np.uint32)
+    for n in (1, 2, 3):
+        h = h[: len(at) - n + 1] * np.uint32(0x9E3779B1) + at[n - 1 :] + np.uint32(n)
+        mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+        yield (((mixed ^ (mixed >> np.uint32(13))) * np.uint32(0xC2B2AE35)) >> _SHIFT)[word[: len(h)] == word[n - 1 :]], sizes - n + 1
 
 
 def codewords(k: int) -> np.ndarray:
@@ -79,9 +93,22 @@ class Model:
     bit_weight: np.ndarray
     sharpness: float
 
-    def word(self, word: str) -> np.ndarray:
-        g = _grams(word)
-        return self.weights[g].sum(0) / len(g)
+    def word_margins(self, words: list[str]) -> np.ndarray:
+        """Words x bits: the mean weight of each word's n-grams."""
+        out = np.zeros((len(words), self.code.shape[1]), np.float32)
+        for lo in range(0, len(words), BLOCK_WORDS):
+            block = words[lo : lo + BLOCK_WORDS]
+            count = 0
+            for buckets, sizes in _grams(block):
+                out[lo : lo + len(block)] += np.add.reduceat(self.weights[buckets], np.cumsum(sizes) - sizes)
+                count = count + sizes
+            out[lo : lo + len(block)] /= count[:, None]
+        return out
+
+    def long_word(self, word: str) -> np.ndarray:
+        """The same of one word of any length, by counts of its n-grams."""
+        n = sum(np.bincount(buckets, minlength=DIM) for buckets, _ in _grams([word]))
+        return (n / n.sum()).astype(np.float32) @ self.weights
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Margins (rows x bits) -> best class, its probability, its lead over the second."""
@@ -200,14 +227,16 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", min_le
         cache: dict[str, int] = {}
         table = np.zeros((1024, m.code.shape[1] if m else 1), np.float32)
 
-        def row(word: str) -> int:
+        def learn(words: set[str]) -> None:
+            """Puts new words and their margins into the cache, which starts anew when it is full."""
             nonlocal table
-            k = len(cache)
-            if k == len(table):
+            if len(cache) + len(words) > CACHE_WORDS:
+                cache.clear()
+            while len(cache) + len(words) > len(table):
                 table = np.concatenate([table, np.zeros_like(table)])
-            table[k] = m.word(word)
-            cache[word] = k
-            return k
+            new, k = list(words), len(cache)
+            table[k : k + len(new)] = m.word_margins(new)
+            cache.update(zip(new, range(k, k + len(new)), strict=True))
 
         for batch in batches:
             langs, scores, doubt = [], [], []
@@ -218,15 +247,17 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", min_le
                     known.append(bool(words))
                     if not words:
                         continue
-                    if len(cache) > CACHE_WORDS:
-                        cache.clear()
                     long = [w for w in words if len(w) > CACHED_CHARS]
                     if long:
                         words = [w for w in words if len(w) <= CACHED_CHARS]
-                    got = [k if (k := cache.get(w)) is not None else row(w) for w in words]
+                    distinct = set(words)
+                    new = {w for w in distinct if w not in cache}
+                    if new:
+                        learn(new if len(cache) + len(new) <= CACHE_WORDS else distinct)
+                    got = list(map(cache.__getitem__, words))
                     total = table[got].sum(0)
                     for w in long:
-                        total += m.word(w)
+                        total += m.long_word(w)
                     margins.append(total / (len(got) + len(long)) + m.bias)
                 best = iter(zip(*m.decode(np.array(margins)), strict=True)) if margins else iter(())
                 for ok in known:
