@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, jaccard_join, language_id, licenses, packing, segmentation, sharding, token_counts, url_filter
+from . import (
+    exact_dedup, filter_audit, fingerprints, jaccard_join, language_id, licenses, main_text, packing, periodic_runs, segmentation, sharding, token_counts, url_filter,
+)
 from .common import documents
 
 
@@ -58,6 +60,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 120 orders of five filters over all documents, per source."""
+    return filter_audit.filter_interactions(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of all documents, a tenth of them with a planted tail, as counts and digests."""
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(periodic_runs.planted_repeats(documents(spark, sf_dir))))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return main_text.extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,9 +82,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_url_filter, op2_packing, op3_license_scan, op4_exact_dedup, op5_jaccard_join, op6_token_counts, op7_sentencepiece, op8_fingerprints, op9_sharding, op10_language_id, pipeline)
+    own = (
+        op1_url_filter, op2_packing, op3_license_scan, op4_exact_dedup, op5_jaccard_join, op6_token_counts, op7_sentencepiece, op8_fingerprints, op9_sharding, op10_language_id,
+        op11_filter_audit, op12_periodic_runs, op13_html_extraction, pipeline,
+    )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op5_jaccard_join": jaccard_join.ORACLE_SQL}
+    return {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op5_jaccard_join": jaccard_join.ORACLE_SQL, "op11_filter_audit": filter_audit.ORACLE_SQL}
