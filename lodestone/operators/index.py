@@ -1,110 +1,377 @@
-"""A postings index for phrase search: written once, read by the words of a query.
+"""A search index over documents that is kept up as they change: words for phrases, character trigrams for substrings.
 
-Three tables under one folder. ``postings`` has a row per (term, path, column) with the places of the term in that column, bucketed by a
-hash of the term as partition folders, so a query reads the folders of its own words only. ``lengths`` has the words of
-every document, and ``content`` is the caller's own table. A phrase is found by joining the postings of its words on (path, column) and
-keeping the places at which every word follows the one before: JVM expressions alone. The text is stemmed when the index
-is built, never when it is searched.
+One folder holds segments and versions. A segment has the documents of one write (``docs``), their postings (``words`` and ``grams``: a
+row per term, document and column with the places of the term, in folders by a hash of the term) and the paths that the write takes out
+of older segments (``gone``). A version is one row: the segments, and the number and total lengths of the documents that are live, so a
+search reads its statistics there and not from the documents. A write adds a segment and then a version; readers keep the
+version they began with. ``merge`` makes one segment of all, from the postings as they are.
+
+A phrase is found by joining the postings of its words, the rarest first, on the document, and keeping the places at which every
+word follows the one before. A substring is found in the same way by trigrams that cover it, the rarest where there is a choice, so that
+equal places are the proof and no text is read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stem import tokens
+from ..functions.gates import has_secret
+from ..functions.stem import raw_tokens, tokens
+from ..sources.shared import child_names, complete_versions, delete_folder
 from .search import bm25
+from .store import CHUNK, base_path, latest, neutralise
+
+#: Places in one file of a bucket, about; folders by term are 8 to 4096.
+PLACES_PER_FILE, LEAST_BUCKETS, MOST_BUCKETS = 8_000_000, 8, 4096
+SLICE_CHARS = 2_000_000
+DOCS = "path string, content string, indexed_at long, words long, grams long"
+SEGMENTS = "array<struct<no:int,name:string,rows:boolean,gone:boolean>>"
+MULTIPLIER = 0x9E3779B1
+
+
+@dataclass(frozen=True)
+class Version:
+    number: int
+    segments: list  # rows (no, name, rows, gone)
+    buckets: int
+    docs: int
+    words: int
+    grams: int
+
 
-BUCKETS = 64
-COLUMNS = ("content", "path")
+def current(spark: SparkSession, folder: str) -> Version:
+    done = complete_versions(spark, f"{folder}/versions")
+    if not done:
+        raise FileNotFoundError(f"no index in {folder}")
+    row = spark.read.parquet(f"{folder}/versions/v{done[-1]}").first()
+    return Version(done[-1], row["segments"], row["buckets"], row["docs"], row["words"], row["grams"])
 
 
-def _bucket(term: str) -> int:
-    """The folder of a term; the same rule as in ``build``."""
+def _commit(spark: SparkSession, folder: str, v: Version) -> None:
+    row = ([tuple(s) for s in v.segments], v.buckets, v.docs, v.words, v.grams)
+    spark.createDataFrame([row], f"segments {SEGMENTS}, buckets int, docs long, words long, grams long").coalesce(1).write.parquet(f"{folder}/versions/v{v.number}")
+
+
+# --- terms
+
+
+def word_bucket(term: str, buckets: int) -> int:
     h = 0
     for b in term.encode():
         h = (h * 31 + b) % 1_000_003
-    return h % BUCKETS
+    return h % buckets
+
+
+def gram_keys(text: str) -> np.ndarray:
+    """Three code points in one number, for every place of a text."""
+    c = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+    return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:] if len(c) > 2 else np.empty(0, np.int64)
+
+
+def gram_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys % 4_294_967_291) * MULTIPLIER % 4_294_967_291 % buckets).astype(np.int32)
+
+
+def _postings(buckets, terms, path, in_path, size, places, counts, kind: pa.DataType) -> pa.RecordBatch:
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(buckets, pa.int32()), pa.array(terms, kind), path, pa.array(in_path, pa.bool_()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(places, pa.int32()))],
+        names=["bucket", "term", "path", "in_path", "size", "places"],
+    )
+
+
+def _word_postings(n_buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
+                terms, rows, inside, counts, places = [], [], [], [], []
+                for k, (path, content) in enumerate(zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)):
+                    for in_path, text in ((False, content), (True, path)):
+                        at: dict[str, list[int]] = {}
+                        for place, word in enumerate(tokens(text or "")):
+                            at.setdefault(word, []).append(place)
+                        terms += at
+                        rows += [k] * len(at)
+                        inside += [in_path] * len(at)
+                        counts += map(len, at.values())
+                        for x in at.values():
+                            places += x
+                take = pa.array(rows, pa.int32())
+                yield _postings([word_bucket(t, n_buckets) for t in terms], terms, batch.column("path").take(take), inside, batch.column("words").take(take), places, counts, pa.string())
+
+    return run
+
+
+def _gram_postings(n_buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, chars = [], 0
+            for k in range(batch.num_rows):
+                for in_path, name in ((False, "low"), (True, "low_path")):
+                    keys = gram_keys(batch.column(name)[k].as_py() or "")
+                    if len(keys):
+                        order = np.argsort(keys, kind="stable")
+                        first = np.flatnonzero(np.diff(keys[order], prepend=keys[order[0]] - 1))
+                        parts.append((keys[order[first]], np.full(len(first), k, np.int32), np.full(len(first), in_path), np.diff(first, append=len(keys)), order))
+                        chars += len(keys)
+                if parts and (chars >= SLICE_CHARS or k == batch.num_rows - 1):
+                    terms, rows, inside, counts, places = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    take = pa.array(rows)
+                    yield _postings(gram_bucket(terms, n_buckets), terms, batch.column("path").take(take), inside, batch.column("grams").take(take), places, counts, pa.int64())
+                    parts, chars = [], 0
 
+    return run
 
-def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+POSTINGS = "bucket int, term {}, path string, in_path boolean, size long, places array<int>"
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: dict[str, list] = {"bucket": [], "term": [], "path": [], "in_path": [], "places": []}
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            for in_path, text in ((False, content), (True, path)):
-                places: dict[str, list[int]] = {}
-                for k, word in enumerate(tokens(text or "")):
-                    places.setdefault(word, []).append(k)
-                for word, at in places.items():
-                    for column, value in zip(out.values(), (_bucket(word), word, path, in_path, at), strict=True):
-                        column.append(value)
-        yield pd.DataFrame(out)
-
-
-def build(docs: DataFrame, folder: str) -> None:
-    """Writes the index of (path, content), replacing an older one. Null texts have no words; paths are taken to be unique."""
-    rows = docs.select("path", "content").mapInPandas(_terms, "bucket int, term string, path string, in_path boolean, places array<int>")
-    dealt = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("path"), F.lit(16))).sortWithinPartitions("bucket", "term", "path")
-    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-    spark = docs.sparkSession
-    words = spark.read.parquet(f"{folder}/postings").groupBy("path").agg(F.sum(F.size("places")).alias("length"))
-    every = docs.select("path").join(words, "path", "left").select("path", F.coalesce("length", F.lit(0)).cast("long").alias("length"))
-    every.write.mode("overwrite").parquet(f"{folder}/lengths")
-
-
-def phrase_hits(spark: SparkSession, folder: str, query: str) -> DataFrame:
-    """(path, tf): how often the stemmed query stands in a document, in either column."""
-    words = tokens(query)
-    postings = spark.read.parquet(f"{folder}/postings")
-    if not words:
-        return postings.select("path", F.lit(0).cast("long").alias("tf")).filter("false")
-
-    def of(k: int) -> DataFrame:
-        own = postings.filter((F.col("bucket") == _bucket(words[k])) & (F.col("term") == words[k]))
-        return own.select("path", "in_path", F.transform("places", lambda p: p - k).alias("at"))  # where the phrase would begin
-
-    both = reduce(lambda a, b: a.join(b.withColumnRenamed("at", "_at"), ["path", "in_path"]).select("path", "in_path", F.array_intersect("at", "_at").alias("at")), map(of, range(len(words))))
-    return both.groupBy("path").agg(F.sum(F.size("at")).alias("tf")).filter("tf > 0")
+        n = [len(raw_tokens(c or "")) + len(raw_tokens(p or "")) for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), batch.column("grams")], names=["path", "content", "indexed_at", "words", "grams"])
 
 
-def search_index(spark: SparkSession, folder: str, query: str, limit: int = 20, prefix: str | None = None) -> DataFrame:
-    """As ``search_porter``, from the index: path, tf, length, score, the best first."""
-    lengths = spark.read.parquet(f"{folder}/lengths")
-    hits = phrase_hits(spark, folder, query)
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).crossJoin(F.broadcast(hits.agg(F.count("*").alias("hits"))))
-    rows = hits.join(lengths, "path").crossJoin(F.broadcast(stats))  # one row of statistics
+# --- writes
+
+
+def _write_docs(rows: DataFrame, where: str) -> DataFrame:
+    spark, grams = rows.sparkSession, F.lit(0).cast("long")
+    for c in ("content", "path"):
+        grams = grams + F.greatest(F.lit(0), F.length(F.lower(F.coalesce(c, F.lit("")))) - 2)
+    at = F.col("indexed_at").cast("long") if "indexed_at" in rows.columns else F.lit(0).cast("long")
+    counted = rows.select("path", "content", at.alias("indexed_at"), grams.alias("grams")).mapInArrow(_count_words, DOCS)
+    counted.write.parquet(f"{where}/docs")
+    return spark.read.schema(DOCS).parquet(f"{where}/docs")
+
+
+def _write_postings(postings: DataFrame, where: str, places: int, buckets: int) -> None:
+    """Folders by bucket; a bucket with many places is dealt to several files by path, so a frequent term is not one file."""
+    slices = max(1, -(-places // (buckets * PLACES_PER_FILE)))
+    dealt = postings.repartition(F.col("bucket"), F.pmod(F.xxhash64("path"), F.lit(slices)))
+    dealt.sortWithinPartitions("bucket", "term", "path").write.partitionBy("bucket").parquet(where)
+
+
+def _write_segment(rows: DataFrame, gone: DataFrame | None, where: str, buckets: int | None) -> tuple[int, tuple[int, int, int]]:
+    """The folders by term and (documents, words, grams) of a new segment."""
+    docs = _write_docs(rows, where)
+    n, words, grams = docs.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("grams"), F.lit(0))).first()
+    if buckets is None:
+        buckets = LEAST_BUCKETS
+        while buckets < MOST_BUCKETS and grams > buckets * PLACES_PER_FILE:
+            buckets *= 2
+    if n:
+        _write_postings(docs.select("path", "content", "words").mapInArrow(_word_postings(buckets), POSTINGS.format("string")), f"{where}/words", words, buckets)
+        low = docs.select("path", F.lower("content").alias("low"), F.lower("path").alias("low_path"), "grams")
+        _write_postings(low.mapInArrow(_gram_postings(buckets), POSTINGS.format("long")), f"{where}/grams", grams, buckets)
+    if gone is not None:
+        gone.select("path").distinct().write.parquet(f"{where}/gone")
+    return buckets, (n, words, grams)
+
+
+def build(docs: DataFrame, folder: str) -> Version:
+    """A new index of (path, content[, indexed_at]), replacing an older one. Null texts have no words; paths are taken to be unique."""
+    spark, name = docs.sparkSession, uuid.uuid4().hex
+    buckets, sums = _write_segment(docs, None, f"{folder}/segments/{name}", None)
+    number = max(complete_versions(spark, f"{folder}/versions"), default=-1) + 1
+    v = Version(number, [(0, name, sums[0] > 0, False)], buckets, *sums)
+    _commit(spark, folder, v)
+    return v
+
+
+def _write(spark: SparkSession, folder: str, v: Version, rows: DataFrame, gone: DataFrame) -> Version:
+    name, no = uuid.uuid4().hex, max(s[0] for s in v.segments) + 1
+    where = f"{folder}/segments/{name}"
+    _, added = _write_segment(rows, gone, where, v.buckets)
+    out = spark.read.schema("path string").parquet(f"{where}/gone")
+    lost = documents(spark, folder, v).join(out, "path", "left_semi").agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("grams"), F.lit(0))).first()
+    sums = [before + a - b for before, a, b in zip((v.docs, v.words, v.grams), added, lost, strict=True)]
+    new = Version(v.number + 1, [*map(tuple, v.segments), (no, name, added[0] > 0, True)], v.buckets, *sums)
+    _commit(spark, folder, new)
+    return new
+
+
+def upsert(spark: SparkSession, folder: str, docs: DataFrame) -> Version:
+    """Documents (path, content, indexed_at) replace those of their path, the latest of several; one with a secret is refused and its old version stays."""
+    clean = latest(docs.select("path", "content", "indexed_at").filter(~F.coalesce(has_secret(F.col("content")), F.lit(False))), ["path"], ["indexed_at", "content"])
+    clean = clean.withColumn("content", neutralise(F.col("content")))
+    return _write(spark, folder, current(spark, folder), clean, clean)
+
+
+def delete(spark: SparkSession, folder: str, where: Column) -> Version:
+    """Takes out the live documents that fit (on path, content, indexed_at); see ``store`` for conditions by session, prefix and document."""
+    v = current(spark, folder)
+    live = documents(spark, folder, v)
+    return _write(spark, folder, v, live.limit(0), live.filter(where))
+
+
+def replace(spark: SparkSession, folder: str, chunks: DataFrame) -> Version:
+    """New chunks (document, chunk_no, content, indexed_at) take the place of all rows of their documents; a set with a secret is refused whole."""
+    v = current(spark, folder)
+    marks = chunks.groupBy("document").agg(F.bool_or(F.coalesce(has_secret(F.col("content")), F.lit(False))).alias("secret"), F.count("*").alias("n"))
+    fine = marks.filter(~F.col("secret")).select("document", "n")
+    path = F.when(F.col("n") == 1, F.col("document")).otherwise(F.concat("document", F.lit(CHUNK), F.col("chunk_no").cast("string")))
+    rows = chunks.join(fine, "document").select(path.alias("path"), neutralise(F.col("content")).alias("content"), "indexed_at")
+    old = documents(spark, folder, v).select("path", base_path(F.col("path")).alias("document")).join(fine, "document", "left_semi")
+    return _write(spark, folder, v, rows, rows.select("path").unionByName(old.select("path")))
+
+
+def merge(spark: SparkSession, folder: str) -> Version:
+    """One segment of all live documents; postings are taken over as they are, no text is read again."""
+    v, name = current(spark, folder), uuid.uuid4().hex
+    where = f"{folder}/segments/{name}"
+    documents(spark, folder, v).repartitionByRange("path").sortWithinPartitions("path").write.parquet(f"{where}/docs")
+    if v.docs:
+        for kind, places in (("words", v.words), ("grams", v.grams)):
+            _write_postings(_live(spark, folder, v, kind), f"{where}/{kind}", places, v.buckets)
+    new = Version(v.number + 1, [(0, name, v.docs > 0, False)], v.buckets, v.docs, v.words, v.grams)
+    _commit(spark, folder, new)
+    return new
+
+
+def vacuum(spark: SparkSession, folder: str) -> list[str]:
+    """Deletes what the newest version does not need; gives the names of the deleted segments. Readers of older versions must have ended."""
+    v = current(spark, folder)
+    old = [n for n in child_names(spark, f"{folder}/segments") if n not in {s[1] for s in v.segments}]
+    for name in old:
+        delete_folder(spark, f"{folder}/segments/{name}")
+    for k in complete_versions(spark, f"{folder}/versions")[:-1]:
+        delete_folder(spark, f"{folder}/versions/v{k}")
+    return old
+
+
+# --- reads
+
+
+def _live(spark: SparkSession, folder: str, v: Version, kind: str, keep: Column | None = None) -> DataFrame:
+    """Rows of ``docs``, ``words`` or ``grams`` of all segments but those whose path a later segment took out."""
+    schema = DOCS if kind == "docs" else POSTINGS.format("string" if kind == "words" else "long")
+    at = lambda s: f"{folder}/segments/{s[1]}"
+    read = [spark.read.schema(schema).parquet(f"{at(s)}/{kind}").withColumn("_seg", F.lit(s[0])) for s in v.segments if s[2]]
+    if not read:
+        return spark.createDataFrame([], schema)
+    read = [x if keep is None else x.filter(keep) for x in read]
+    rows = reduce(DataFrame.unionByName, read)
+    outs = [spark.read.schema("path string").parquet(f"{at(s)}/gone").withColumn("_gone", F.lit(s[0])) for s in v.segments if s[3]]
+    if outs:
+        last = reduce(DataFrame.unionByName, outs).groupBy("path").agg(F.max("_gone").alias("_gone"))
+        rows = rows.join(last, "path", "left").filter(F.col("_gone").isNull() | (F.col("_gone") <= F.col("_seg"))).drop("_gone")
+    return rows.drop("_seg")
+
+
+def documents(spark: SparkSession, folder: str, v: Version | None = None) -> DataFrame:
+    """path, content, indexed_at, words, grams of the live documents."""
+    return _live(spark, folder, v or current(spark, folder), "docs")
+
+
+def _located(spark: SparkSession, folder: str, v: Version, kind: str, terms: list[tuple[object, int, int]]) -> DataFrame:
+    """(path, size, tf): how often all terms (term, bucket, offset) stand at their offsets, in either column."""
+    wanted = F.col("bucket").isin(sorted({b for _, b, _ in terms})) & F.col("term").isin(sorted({t for t, _, _ in terms}))
+    every = _live(spark, folder, v, kind, wanted)
+
+    def of(term, bucket: int, offset: int) -> DataFrame:
+        own = every.filter((F.col("bucket") == bucket) & (F.col("term") == term))
+        return own.select("path", "in_path", "size", F.transform("places", lambda p: p - offset).alias("at"))
+
+    step = lambda a, b: a.join(b.select("path", "in_path", F.col("at").alias("_at")), ["path", "in_path"]).select("path", "in_path", "size", F.array_intersect("at", "_at").alias("at")).filter(F.size("at") > 0)
+    both = reduce(step, [of(*t) for t in terms])
+    return both.groupBy("path").agg(F.first("size").alias("length"), F.sum(F.size("at")).alias("tf"))
+
+
+def _by_rarity(spark: SparkSession, folder: str, v: Version, kind: str, terms: list[tuple[object, int]]) -> dict[object, int]:
+    """In how many columns each term stands: a count over the term column of its folders."""
+    wanted = F.col("bucket").isin(sorted({b for _, b in terms})) & F.col("term").isin(sorted({t for t, _ in terms}))
+    counts = {t: 0 for t, _ in terms}
+    for s in v.segments:
+        if s[2]:
+            schema = POSTINGS.format("string" if kind == "words" else "long")
+            for r in spark.read.schema(schema).parquet(f"{folder}/segments/{s[1]}/{kind}").filter(wanted).groupBy("term").count().collect():
+                counts[r["term"]] += r["count"]
+    return counts
+
+
+def cover(counts: list[int], width: int = 3) -> list[int]:
+    """Places whose terms of ``width`` characters cover all ``len(counts) + width - 1`` characters, with the least sum of counts."""
+    n = len(counts)
+    best: list[tuple[int, int]] = []  # of the covers that end with place k: their cost, the place before
+    for k in range(n):
+        before = [(best[j][0], j) for j in range(max(0, k - width), k)]
+        cost, j = min(before) if k else (0, -1)
+        best.append((cost + counts[k], j))
+    out, k = [], n - 1
+    while k >= 0:
+        out.append(k)
+        k = best[k][1]
+    return out[::-1]
+
+
+def _empty_hits(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "path string, length long, tf long")
+
+
+def phrase_hits(spark: SparkSession, folder: str, query: str, v: Version | None = None) -> DataFrame:
+    """(path, length, tf): how often the stemmed query stands in a document, in either column."""
+    v, words = v or current(spark, folder), tokens(query)
+    if not words or not v.docs:
+        return _empty_hits(spark)
+    terms = [(w, word_bucket(w, v.buckets)) for w in words]
+    n = _by_rarity(spark, folder, v, "words", terms) if len(set(words)) > 1 else dict.fromkeys(words, 0)
+    return _located(spark, folder, v, "words", sorted(((w, b, k) for k, (w, b) in enumerate(terms)), key=lambda t: n[t[0]]))
+
+
+def substring_hits(spark: SparkSession, folder: str, query: str, v: Version | None = None) -> DataFrame:
+    """(path, length, tf): how often the case-folded query stands in a document, in either column; under three characters find nothing."""
+    v = v or current(spark, folder)
+    low = spark.range(1).select(F.lower(F.lit(query))).first()[0]  # folded as the texts were
+    keys = gram_keys(low)
+    if not len(keys) or not v.docs:
+        return _empty_hits(spark)
+    terms = list(zip(keys.tolist(), gram_bucket(keys, v.buckets).tolist(), strict=True))
+    n = _by_rarity(spark, folder, v, "grams", terms) if len(keys) > 1 else {terms[0][0]: 0}
+    places = cover([n[t] for t, _ in terms])
+    return _located(spark, folder, v, "grams", sorted(((*terms[k], k) for k in places), key=lambda t: n[t[0]]))
+
+
+def _best(hits: DataFrame, v: Version, total: int, limit: int, prefix: str | None) -> DataFrame:
+    count = F.broadcast(hits.agg(F.count("*").alias("_hits")))  # one row
+    rows = hits.crossJoin(count)
     if prefix:
         rows = rows.filter(F.col("path").startswith(prefix))
-    score = bm25(F.col("tf"), F.col("length"), F.col("n"), F.col("hits"), F.col("mean"))
+    mean = total / v.docs if v.docs and total else 1.0
+    score = bm25(F.col("tf"), F.col("length"), v.docs, F.col("_hits"), mean)
     return rows.select("path", "tf", "length", score.alias("score")).orderBy("score", "path").limit(limit)
 
 
-def search_many(spark: SparkSession, folder: str, queries: list[str], limit: int = 5, prefix: str | None = None) -> DataFrame:
-    """Up to 20 stated queries: query, path, tf, length, score."""
-    if len(set(queries)) > 20:
-        raise ValueError("at most 20 queries")
-    lists = [search_index(spark, folder, q, limit, prefix).select(F.lit(q).alias("query"), "path", "tf", "length", "score") for q in sorted(set(queries))]
-    return reduce(DataFrame.unionByName, lists)
+def search_index(spark: SparkSession, folder: str, query: str, limit: int = 20, prefix: str | None = None) -> DataFrame:
+    """As ``search_porter``, from the index: path, tf, length, score, the best first."""
+    v = current(spark, folder)
+    return _best(phrase_hits(spark, folder, query, v), v, v.words, limit, prefix)
 
 
-def first_error(first: str | None, second: str | None, n_first: int, n_second: int) -> str | None:
-    """The error of a search over two lists: both failed, or one failed and the other is empty; else none."""
-    if first and second:
-        return f"{first}; {second}"
-    if (first and not n_second) or (second and not n_first):
-        return first or second
-    return None
+def search_substring(spark: SparkSession, folder: str, query: str, limit: int = 20, prefix: str | None = None) -> DataFrame:
+    """As ``search_trigram``, from the index: path, tf, length, score, the best first."""
+    v = current(spark, folder)
+    return _best(substring_hits(spark, folder, query, v), v, v.grams, limit, prefix)
 
 
-def line_search_prefix(session: str | None) -> str:
-    """The key prefix of a session's line searches."""
-    return f"session:{session}:rg:" if session else "rg:"
+def search_many(spark: SparkSession, folder: str, queries: list[str], limit: int = 5, prefix: str | None = None, stemmed: bool = True) -> DataFrame:
+    """Up to 20 stated queries: query, path, tf, length, score."""
+    if len(set(queries)) > 20:
+        raise ValueError("at most 20 queries")
+    one = search_index if stemmed else search_substring
+    lists = [one(spark, folder, q, limit, prefix).select(F.lit(q).alias("query"), "path", "tf", "length", "score") for q in sorted(set(queries))]
+    return reduce(DataFrame.unionByName, lists)
 
 
-def batch_prefix(run: str | None = None) -> str:
-    """The key prefix of one batch run, or of all."""
-    return f"batch:{run}:" if run else "batch:"
+def contents_of(spark: SparkSession, folder: str, paths: list[str]) -> DataFrame:
+    """(path, content) of a few live documents, by a filter that reaches the scan."""
+    return _live(spark, folder, current(spark, folder), "docs", F.col("path").isin(paths)).select("path", "content")

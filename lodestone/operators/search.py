@@ -7,16 +7,21 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JError
+from pyspark import inheritable_thread_target
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.stem import raw_tokens, tokens
 
+#: The best of a list: of so many rows path, content and score.
+Fetch = Callable[[int], DataFrame]
 K1, B = 1.2, 0.75
 RRF_SHIFT = 60
 
@@ -189,37 +194,106 @@ def _all():
     return Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-META = T.StructType([T.StructField("total_hits", T.LongType()), T.StructField("corrected", T.BooleanType()), T.StructField("mode", T.StringType())])
+META = "flood_status string, corrected boolean, total_hits long, failures array<struct<list:string,error:string>>, error string"
+RESULT = "path string, snippet string, score double"
+BLOCKED = "search blocked: too many calls in a short time"
+LISTS = ("words", "parts")
 
 
-def search(docs: DataFrame, query: str, limit: int = 20, prefix: str | None = None, throttled: bool = False, index: str | None = None) -> DataFrame:
-    """The whole pipeline: both lists, fusion, fallback to substrings, proximity: path, snippet, score, corrected.
+def first_error(first: str | None, second: str | None, n_first: int, n_second: int) -> str | None:
+    """The error of a search over two lists: both failed, or one failed and the other is empty; else none."""
+    if first and second:
+        return f"{first}; {second}"
+    if (first and not n_second) or (second and not n_first):
+        return first or second
+    return None
 
-    ``throttled`` halves the limit, down to one. ``index`` is the folder of a postings index, from which the stemmed list then comes without
-    reading other texts than those of its hits. Either list is bounded by the over-fetch and fetched once, so what follows is a small literal table.
+
+def line_search_prefix(session: str | None) -> str:
+    """The key prefix of a session's line searches."""
+    return f"session:{session}:rg:" if session else "rg:"
+
+
+def batch_prefix(run: str | None = None) -> str:
+    """The key prefix of one batch run, or of all."""
+    return f"batch:{run}:" if run else "batch:"
+
+
+def plain_lists(docs: DataFrame, query: str, prefix: str | None) -> tuple[Fetch, Fetch]:
+    """The stemmed and the substring list from the texts themselves."""
+    return (lambda n: search_porter(docs, query, n, prefix)), (lambda n: search_trigram(docs, query, n, prefix))
+
+
+def indexed_lists(spark: SparkSession, folder: str, query: str, prefix: str | None) -> tuple[Fetch, Fetch]:
+    """Both lists from an index; only the contents of their hits are read."""
+    from . import index
+
+    def with_content(best: DataFrame) -> DataFrame:
+        scores = {r["path"]: r["score"] for r in best.select("path", "score").collect()}  # at most the over-fetch
+        rows = spark.createDataFrame(list(scores.items()), "path string, score double")
+        return index.contents_of(spark, folder, list(scores)).join(F.broadcast(rows), "path")
+
+    return (lambda n: with_content(index.search_index(spark, folder, query, n, prefix))), (lambda n: with_content(index.search_substring(spark, folder, query, n, prefix)))
+
+
+def guarded_search(spark: SparkSession, query: str, lists: tuple[Fetch, Fetch], limit: int = 20, status: str = "ok") -> tuple[DataFrame, DataFrame]:
+    """The whole pipeline: guard, both lists, fusion, fallback to substrings, proximity. Gives the results (path, snippet, score) and one row about them.
+
+    ``status`` is the limiter's answer: a blocked search runs nothing, a throttled one halves its limit, down to one. The lists run side by side,
+    each fetched once and bounded by the over-fetch; what follows is a small literal table. A list that fails is a row of
+    ``failures``; the search has an error only if both fail, or one fails and the other finds nothing. Without a limit there are no results.
     """
-    from .index import search_index
+    limit = max(0, limit)
 
-    spark = docs.sparkSession
-    limit = max(1, limit // 2) if throttled and limit > 1 else limit
+    def answer(rows: list[tuple], corrected: bool, failures: list[tuple], error: str | None) -> tuple[DataFrame, DataFrame]:
+        meta = spark.createDataFrame([(status, corrected, len(rows), failures, error)], META)
+        return spark.createDataFrame(rows, RESULT), meta
+
+    if status == "blocked":
+        return answer([], False, [], BLOCKED)
+    limit = max(1, limit // 2) if status == "throttled" and limit > 1 else limit
     fetch = over_fetch(limit)
-    if index:
-        best = search_index(spark, index, query, fetch, prefix)
-        hits = docs.select("path", "content").join(F.broadcast(best.select("path", "score")), "path")
-    else:
-        hits = search_porter(docs, query, fetch, prefix)
-
-    def ranked(found: DataFrame, stemmed: bool) -> tuple[DataFrame, int]:
-        rows = with_rank(found.select("path", "score", snippet(query, stemmed)(F.col("content")).alias("snippet"))).collect()
-        return spark.createDataFrame([(r["path"], r["snippet"], r["rank"]) for r in rows], "path string, snippet string, rank int"), len(rows)
-
-    (words, n_words), (parts, n_parts) = ranked(hits, True), ranked(search_trigram(docs, query, fetch, prefix), False)
-    fused = rrf_merge(words, parts, limit)
-    corrected = n_parts > n_words and fused.count() < 2
+
+    def ranked(which: Fetch, stemmed: bool) -> tuple[list[tuple], str | None]:
+        try:
+            found = with_rank(which(fetch).select("path", "score", snippet(query, stemmed)(F.col("content")).alias("snippet")))
+            return [(r["path"], r["snippet"], r["rank"]) for r in found.collect()], None
+        except (PySparkException, Py4JError) as e:
+            return [], str(e).split("\n")[0]
+
+    with ThreadPoolExecutor(2) as pool:
+        (words, bad_words), (parts, bad_parts) = pool.map(inheritable_thread_target(spark)(ranked), lists, (True, False))
+    failures = [(name, e) for name, e in zip(LISTS, (bad_words, bad_parts), strict=True) if e]
+    if error := first_error(bad_words, bad_parts, len(words), len(parts)):
+        return answer([], False, failures, error)
+    a, b = (spark.createDataFrame(x, "path string, snippet string, rank int") for x in (words, parts))
+    fused = rrf_merge(a, b, limit)
+    corrected = len(parts) > len(words) and min(limit, len({r[0] for r in words + parts})) < 2
     if corrected:
-        fused = parts.orderBy("rank").limit(limit).select("path", "snippet", (1.0 / (RRF_SHIFT + F.col("rank"))).alias("score"))
-    out = proximity_rerank(fused, query, [F.col("score").desc(), F.col("path")])
-    return out.select("path", "snippet", "score", F.lit(corrected).alias("corrected"))
+        fused = b.orderBy("rank").limit(limit).select("path", "snippet", (1.0 / (RRF_SHIFT + F.col("rank"))).alias("score"))
+    out = proximity_rerank(fused, query, [F.col("score").desc(), F.col("path")]).select("path", "snippet", "score")
+    return answer([tuple(r) for r in out.collect()], corrected, failures, None)
+
+
+def search(docs: DataFrame, query: str, limit: int = 20, prefix: str | None = None, status: str = "ok", index: str | None = None) -> DataFrame:
+    """The results of the pipeline with the flag ``corrected``, best first; an error of the search is raised. ``index`` is the folder of an index of the documents."""
+    spark = docs.sparkSession
+    lists = indexed_lists(spark, index, query, prefix) if index else plain_lists(docs, query, prefix)
+    found, meta = guarded_search(spark, query, lists, limit, status)
+    about = meta.first()
+    if about["error"]:
+        raise RuntimeError(about["error"])
+    return found.withColumn("corrected", F.lit(about["corrected"]))
+
+
+def search_lines(docs: DataFrame, query: str, session: str | None, limit: int = 20, status: str = "ok", index: str | None = None) -> DataFrame:
+    """A search within what a session's line searches have stored."""
+    return search(docs, query, limit, line_search_prefix(session), status, index)
+
+
+def search_batch(docs: DataFrame, query: str, run: str | None = None, limit: int = 5, index: str | None = None) -> DataFrame:
+    """A search within the outputs of one batch run, or of all; the limiter does not count these."""
+    return search(docs, query, limit, batch_prefix(run), "ok", index)
 
 
 def search_many(docs: DataFrame, queries: DataFrame, query_col: str = "query", limit: int = 5) -> DataFrame:

@@ -112,6 +112,15 @@ def limiter_status(events: DataFrame, key: str, ts: str = "ts", order: str = "ev
     return out.select(F.col("k").alias(key), F.col("o").alias(order), "status")
 
 
+def next_status(calls: DataFrame, now: str, bucket: str = "global", ts: str = "ts") -> str:
+    """What the limiter says to a call at ``now`` after the calls of its bucket (rows with a time)."""
+    throttle, block = LIMITS[bucket]
+    stamp = F.lit(now).cast("timestamp")
+    one = calls.sparkSession.range(1).select(stamp.alias("ts"), F.lit(1).alias("event_id"))
+    rows = calls.select(F.col(ts).cast("timestamp").alias("ts"), F.lit(0).alias("event_id")).filter(F.col("ts") <= stamp).unionByName(one).withColumn("k", F.lit(0))
+    return limiter_status(rows, "k", throttle=throttle, block=block).filter("event_id = 1").first()["status"]
+
+
 def reused(rows: DataFrame, key: str, digest: str, ts: str, order: str, minutes: int = 10) -> DataFrame:
     """Whether a result was seen for the same key under ten minutes before with an equal digest."""
     w = Window.partitionBy(key).orderBy(ts, order)

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import gates, text
 from ..operators import index, ingest, search, store
+from ..sources.shared import delete_folder, listing_mark, new_folder
 from ..sources.tables import kb_documents, table
 
 NEEDLE = "tion the"
@@ -51,12 +47,16 @@ def head_sql(t: str, limit: int) -> str:
     return f"(CASE WHEN strlen({t}) <= {limit} THEN {t} ELSE left({t}, {most}) END)"
 
 
-def _bm25_sql(needle: str, prefix: str = "", limit: int = 20) -> str:
+_KB = "SELECT source || ':markdown:' || doc_id AS path, coalesce(text, '') AS c, doc_id, source FROM documents"
+_SCOPED = "SELECT CASE WHEN doc_id % 2 = 1 THEN 'batch:' || source || ':' ELSE 'session:' || source || ':rg:' END || doc_id AS path, coalesce(text, '') AS content FROM documents"
+
+
+def _bm25_sql(needle: str, prefix: str = "", limit: int = 20, kb: str = "SELECT source || ':markdown:' || doc_id AS path, coalesce(text, '') AS content FROM documents") -> str:
     """Substring BM25 over path and content; the needle does not overlap itself."""
     n = len(needle)
     occ = lambda c: f"(length({c}) - length(replace({c}, '{needle}', ''))) // {n}"
     return f"""
-    kb AS (SELECT source || ':markdown:' || doc_id AS path, coalesce(text, '') AS content FROM documents),
+    kb AS ({kb}),
     t AS (SELECT path, content, {occ("lower(content)")} + {occ("lower(path)")} AS tf,
           greatest(0, length(content) - 2) + greatest(0, length(path) - 2) AS length FROM kb),
     st AS (SELECT count(*) AS n, count(*) FILTER (WHERE tf > 0) AS hits, avg(length) AS mean FROM t),
@@ -115,21 +115,20 @@ def kb_search_proximity_snippet(spark: SparkSession, sf: str) -> DataFrame:
 PHRASE = "the thing"
 #: The words of PHRASE with the endings -s, -es, -ed and -ing that the stemmer takes off.
 SAME_STEM = {"the": ["the", "thes"], "thing": ["thing", "things", "thinges", "thinged", "thinging"]}
-_indexes: dict[tuple[str, str], str] = {}
+_indexes: dict[tuple[str, str], tuple[str, str]] = {}
 
 
 def _index(spark: SparkSession, sf: str) -> str:
-    """The folder of the documents' postings index, built once per application; under the shared folder where one is set."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _indexes:
-        shared = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-        if not shared or shared == "<undefined>":
-            shared = tempfile.mkdtemp(prefix="lodestone-index-")
-            atexit.register(shutil.rmtree, shared, ignore_errors=True)
-        folder = f"{shared.rstrip('/')}/index-{uuid.uuid4().hex}"
+    """The folder of the documents' index, built once per application and state of the table's files."""
+    key, mark = (spark.sparkContext.applicationId, sf), listing_mark(spark, f"{sf}/documents.parquet")
+    known = _indexes.get(key)
+    if known is None or known[0] != mark:
+        folder = new_folder(spark, "index")
         index.build(kb_documents(spark, sf), folder)
-        _indexes[key] = folder
-    return _indexes[key]
+        if known is not None:
+            delete_folder(spark, known[1])
+        _indexes[key] = (mark, folder)
+    return _indexes[key][1]
 
 
 def kb_search_index(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,8 +141,48 @@ def kb_search_index_many(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("query", "path", "tf", "length", F.round("score", 6).alias("score"))
 
 
+def kb_search_substring_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The substring list from the trigrams of the index."""
+    return _scored(index.search_substring(spark, _index(spark, sf), NEEDLE))
+
+
+def kb_search_substring_index_many(spark: SparkSession, sf: str) -> DataFrame:
+    out = index.search_many(spark, _index(spark, sf), [NEEDLE, SECOND, "is the on"], 5, stemmed=False)
+    return out.select("query", "path", F.round("score", 6).alias("score"))
+
+
+def kb_index_upkeep(spark: SparkSession, sf: str) -> DataFrame:
+    """Phrase and substring lists after upserts, deletes, a replaced document and a merge of the index, over all documents."""
+    folder, kb = new_folder(spark, "upkeep"), kb_documents(spark, sf)
+    index.build(kb, folder)
+    number = F.regexp_extract("path", r"(\d+)$", 1).cast("long")
+    for k, (part, head) in enumerate(((0, 600), (1, 300))):  # of some documents the first characters, twice of none
+        new = kb.filter(number % 5 == part).select("path", F.left("content", F.lit(head)).alias("content"), F.lit(k + 1).cast("long").alias("indexed_at"))
+        index.upsert(spark, folder, new)
+    index.delete(spark, folder, store.under_prefix(F.col("path"), "src1:") & (number % 3 == 0))
+    pieces = kb.filter(number % 10 == 2).select(F.col("path").alias("document"), "content", F.explode(F.array(F.lit(0), F.lit(1))).alias("chunk_no"))
+    cut = F.when(F.col("chunk_no") == 0, F.left("content", F.lit(400))).otherwise(F.substring("content", 401, 200))
+    index.replace(spark, folder, pieces.select("document", "chunk_no", cut.alias("content"), F.lit(3).cast("long").alias("indexed_at")))
+    lists = lambda: index.search_substring(spark, folder, NEEDLE, 30).withColumn("kind", F.lit("part")).unionByName(index.search_index(spark, folder, PHRASE, 30).withColumn("kind", F.lit("phrase")))
+    before = lists().select("kind", "path", "tf", "length", F.round("score", 6).alias("score"), F.lit(False).alias("merged"))
+    rows = before.collect()  # 60 at most
+    index.merge(spark, folder)
+    index.vacuum(spark, folder)
+    return lists().select("kind", "path", "tf", "length", F.round("score", 6).alias("score"), F.lit(True).alias("merged")).unionByName(spark.createDataFrame(rows, before.schema))
+
+
+def kb_search_scopes(spark: SparkSession, sf: str) -> DataFrame:
+    """Substring lists within one batch run, and within one session's line searches, by the scores of the whole table."""
+    d = table(spark, sf, "documents")
+    odd = F.col("doc_id") % 2 == 1
+    path = F.when(odd, F.concat(F.lit("batch:"), "source", F.lit(":"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("session:"), "source", F.lit(":rg:"), F.col("doc_id").cast("string")))
+    kb = d.select(path.alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    of = lambda name, prefix: _scored(search.search_trigram(kb, NEEDLE, 10, prefix)).withColumn("scope", F.lit(name))
+    return of("batch", search.batch_prefix("src1")).unionByName(of("lines", search.line_search_prefix("src2")))
+
+
 def kb_search_index_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    """As kb_search_pipeline, with the stemmed list from the index."""
+    """As kb_search_pipeline, with both lists from the index."""
     return search.search(kb_documents(spark, sf), PHRASE, index=_index(spark, sf)).select("path", "snippet", F.round("score", 6).alias("score"), "corrected")
 
 
@@ -341,12 +380,12 @@ def secret_gate(spark: SparkSession, sf: str) -> DataFrame:
     return leaky(spark, sf).select("path", gates.has_secret(F.col("content")).alias("secret"))
 
 
-def _phrase_sql(phrase: str, limit: int) -> str:
-    """Phrase BM25 over words of the stems in SAME_STEM; a path has three words."""
+def _phrase_sql(phrase: str, limit: int, kb: str = "(SELECT source || ':markdown:' || doc_id AS path, coalesce(text, '') AS content FROM documents)") -> str:
+    """Phrase BM25 over words of the stems in SAME_STEM; the words of a path are none of them."""
     stands = " AND ".join(f"list_contains({SAME_STEM[w]}, words[i + {k}])" for k, w in enumerate(phrase.split()))
     return f"""
-    w AS (SELECT source || ':markdown:' || doc_id AS path, regexp_extract_all(lower(coalesce(text, '')), '[\\pL\\pN\\p{{Mn}}]+') AS words FROM documents),
-    t AS (SELECT path, len(list_filter(range(1, len(words) + 1), lambda i: {stands})) AS tf, len(words) + 3 AS length FROM w),
+    w AS (SELECT path, regexp_extract_all(lower(content), '[\\pL\\pN\\p{{Mn}}]+') AS words, len(regexp_extract_all(path, '[a-z0-9]+')) AS more FROM {kb}),
+    t AS (SELECT path, len(list_filter(range(1, len(words) + 1), lambda i: {stands})) AS tf, len(words) + more AS length FROM w),
     st AS (SELECT count(*) AS n, count(*) FILTER (WHERE tf > 0) AS hits, avg(length) AS mean FROM t),
     hit AS (SELECT path, tf, length, -(CASE WHEN ln((n - hits + 0.5) / (hits + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - hits + 0.5) / (hits + 0.5)) END)
             * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * length / mean)) AS score FROM t, st WHERE tf > 0 ORDER BY score, path LIMIT {limit})"""
@@ -359,6 +398,18 @@ SQL = {
     "kb_search_porter_bm25": f"WITH {_phrase_sql(PHRASE, 20)} SELECT path, tf, length, round(score, 6) AS score FROM hit",
     "kb_search_index": f"WITH {_phrase_sql(PHRASE, 20)} SELECT path, tf, length, round(score, 6) AS score FROM hit",
     "kb_search_index_many": " UNION ALL ".join(f"SELECT '{q}' AS query, path, tf, length, round(score, 6) AS score FROM (WITH {_phrase_sql(q, 5)} SELECT * FROM hit)" for q in (PHRASE, "the", "thing the")),
+    "kb_search_substring_index": f"WITH {_bm25_sql(NEEDLE)} SELECT path, tf, length, round(score, 6) AS score FROM hit",
+    "kb_search_substring_index_many": " UNION ALL ".join(f"SELECT '{q}' AS query, path, round(score, 6) AS score FROM (WITH {_bm25_sql(q, '', 5)} SELECT path, score FROM hit)" for q in (NEEDLE, SECOND, "is the on")),
+    "kb_index_upkeep": f"""WITH documents_after AS (
+            SELECT path, CASE WHEN doc_id % 5 = 0 THEN left(c, 600) WHEN doc_id % 5 = 1 THEN left(c, 300) ELSE c END AS content FROM ({_KB}) WHERE doc_id % 10 <> 2 AND NOT (source = 'src1' AND doc_id % 3 = 0)
+            UNION ALL SELECT path || '#chunk-' || k, CASE WHEN k = 0 THEN left(c, 400) ELSE substr(c, 401, 200) END FROM ({_KB}), (VALUES (0), (1)) v(k) WHERE doc_id % 10 = 2),
+        {_bm25_sql(NEEDLE, "", 30, "SELECT path, content FROM documents_after")}, part AS (SELECT * FROM hit),
+        words AS (WITH {_phrase_sql(PHRASE, 30, "documents_after")} SELECT * FROM hit),
+        lists AS (SELECT 'part' AS kind, path, tf, length, round(score, 6) AS score FROM part UNION ALL SELECT 'phrase', path, tf, length, round(score, 6) FROM words)
+        SELECT *, false AS merged FROM lists UNION ALL SELECT *, true FROM lists""",
+    "kb_search_scopes": " UNION ALL ".join(
+        f"SELECT '{name}' AS scope, path, tf, length, round(score, 6) AS score FROM (WITH {_bm25_sql(NEEDLE, prefix, 10, _SCOPED)} SELECT * FROM hit)" for name, prefix in (("batch", "batch:src1:"), ("lines", "session:src2:rg:"))
+    ),
     "kb_search_rrf": f"""WITH l1 AS (WITH {_bm25_sql(NEEDLE, "", 30)} SELECT path, '{NEEDLE}' AS s, {_RANK} FROM hit),
         l2 AS (WITH {_bm25_sql(SECOND, "", 30)} SELECT path, '{SECOND}' AS s, {_RANK} FROM hit)
         SELECT coalesce(l1.path, l2.path) AS path, coalesce(l1.s, l2.s) AS snippet,
@@ -432,7 +483,7 @@ SQL = {
 }
 QUERIES = [
     kb_search_trigram_bm25, kb_search_prefix_scope, kb_search_porter_bm25, kb_search_rrf, kb_search_fuzzy_flag, kb_search_proximity, kb_search_proximity_snippet, kb_search_pipeline,
-    kb_search_index, kb_search_index_many, kb_search_index_pipeline,
+    kb_search_index, kb_search_index_many, kb_search_index_pipeline, kb_search_substring_index, kb_search_substring_index_many, kb_index_upkeep, kb_search_scopes,
     kb_multi_query, kb_list, kb_get, kb_stats, kb_health_parity, first_index_token, purge_session, purge_prefix, purge_dry_run, purge_exact_chunks,
     documents_of_chunks, purge_legacy, upsert_latest, replace_chunks, cache_fresh, cache_prune, cache_latest, cache_backfill, stale_hits, spill_route,
     running_caps, url_normalise, url_dedupe, url_valid, ssrf_ipv4, ssrf_any, html_sniff, html_to_text, json_format, chunk_documents, chunk_counts, secret_gate,

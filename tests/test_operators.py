@@ -26,28 +26,6 @@ def test_bm25_matches_the_full_text_index(spark, tokenizer, query):
     assert got == pytest.approx(want, abs=1e-8)
 
 
-def test_index_equals_the_plain_search(spark, tmp_path):
-    from lodestone.operators import index
-
-    rng = random.Random(4)
-    words = "the dog dogs running run runs a a a cat over été the_dog".split()
-    rows = [(f"p/{rng.choice(words)}/{k:03d}", None if k == 5 else " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))) for k in range(80)]
-    docs = frame(spark, rows, "path string, content string")
-    index.build(docs.repartition(3), f"{tmp_path}/i")
-    keep = lambda df: [(r["path"], r["tf"], r["length"], round(r["score"], 9)) for r in df.collect()]
-    for query in ("running dogs", "dog", "a a", "a a a", "the dog run", "nothing", "", "p cat"):
-        assert keep(index.search_index(spark, f"{tmp_path}/i", query, 100)) == keep(search.search_porter(docs, query, 100))
-    assert keep(index.search_index(spark, f"{tmp_path}/i", "dog", 9, "p/c")) == keep(search.search_porter(docs, "dog", 9, "p/c"))
-    a, b = (search.search(docs, "dog", 5, index=i).collect() for i in (None, f"{tmp_path}/i"))
-    assert a == b
-    many = index.search_many(spark, f"{tmp_path}/i", ["dog", "cat", "dog"], 2).collect()
-    assert [(r["query"], r["path"]) for r in many] == [(q, r["path"]) for q in ("cat", "dog") for r in search.search_porter(docs, q, 2).collect()]
-    with pytest.raises(ValueError):
-        index.search_many(spark, f"{tmp_path}/i", [f"w{k}" for k in range(21)])
-    assert index.first_error("x", "y", 0, 0) == "x; y" and index.first_error("x", None, 0, 0) == "x" and index.first_error("x", None, 0, 3) is None and index.first_error(None, "y", 0, 0) == "y"
-    assert index.line_search_prefix("s") == "session:s:rg:" and index.line_search_prefix(None) == "rg:" and index.batch_prefix("r") == "batch:r:" and index.batch_prefix() == "batch:"
-
-
 def test_search_pipeline(spark):
     docs = [(f"d{k}", ("alpha beta " if k < 3 else "alpha gamma beta ") + "word " * k) for k in range(6)]
     got = search.search(frame(spark, docs, "path string, content string"), "alpha beta", 5).collect()
