@@ -52,10 +52,6 @@ def _blocks(text: Column, most: int) -> Column:
     return F.array_compact(F.array(*hashes)) if hashes else F.array().cast("array<bigint>")
 
 
-def _class(length: Column, hashes: Column) -> Column:
-    return F.aggregate(hashes, length.cast("long"), lambda acc, h: F.xxhash64(acc, h))
-
-
 def _in_classes(rows: DataFrame, total: int) -> DataFrame:
     """The rows whose class has another row. Heavy classes go to every task, at most 1 / HEAVY of them; the others are spread by key."""
     sizes = rows.groupBy("cls").agg(F.count("*").alias("n")).filter("n > 1")
@@ -65,7 +61,10 @@ def _in_classes(rows: DataFrame, total: int) -> DataFrame:
 
 
 def refine(slim: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, final): the documents that share length and all block hashes with another one; ``slim`` has doc_id, len, blocks, final."""
+    """(doc_id, final): the documents that share length and all block hashes with another one; ``slim`` has doc_id, len, blocks, final.
+
+    ``final``, a hash of the whole text, only tells rows of one id apart.
+    """
     total = slim.count()
     left = scratch.put(_in_classes(slim.withColumn("cls", F.col("len").cast("long")), total), "length")
     done, k = [], 0
@@ -77,12 +76,12 @@ def refine(slim: DataFrame, scratch: Scratch) -> DataFrame:
     return reduce(DataFrame.unionByName, done) if done else left.select("doc_id", "final")
 
 
-def duplicate_ids(docs: DataFrame, slim: DataFrame, scratch: Scratch, most: int) -> DataFrame:
+def duplicate_ids(docs: DataFrame, slim: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, dup): the classes in which a document has the text of a smaller id; docs has doc_id, text."""
     survivors = scratch.put(refine(slim.filter("doc_id IS NOT NULL"), scratch).distinct(), "survivors")
-    length = F.length("text")
-    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", _class(length, _blocks(F.col("text"), most)).alias("final"))
-    whole = texts.join(survivors, ["doc_id", "final"], "left_semi")
+    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("final"))
+    # survivors grow with the table: one shuffle of the texts at every size, never a broadcast
+    whole = texts.join(survivors.hint("merge"), ["doc_id", "final"], "left_semi")
     # the grouping compares whole texts; every task sends a text once
     least = whole.groupBy("final", "text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "final")
     gone = survivors.join(least, ["doc_id", "final"], "left_anti")
@@ -95,9 +94,10 @@ def failure_masks(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col:
     most = rows.agg(F.max(F.length("text"))).first()[0] or 0
     tests = _failures(F.col("text"), F.col("words"))
     mask = reduce(lambda a, b: a + b, [F.when(test, 1 << k).otherwise(0) for k, test in enumerate(tests.values())])
-    slim = rows.withColumn("words", words_of(F.col("text"))).select("doc_id", "part", mask.alias("own"), F.length("text").alias("len"), _blocks(F.col("text"), most).alias("blocks"))
-    slim = scratch.put(slim.withColumn("final", _class(F.col("len"), F.col("blocks"))), "slim")
-    gone = duplicate_ids(rows.select("doc_id", "text"), slim.select("doc_id", "len", "blocks", "final"), scratch, most)
+    text = F.col("text")
+    slim = rows.withColumn("words", words_of(text)).select("doc_id", "part", mask.alias("own"), F.length(text).alias("len"), _blocks(text, most).alias("blocks"), F.xxhash64(text).alias("final"))
+    slim = scratch.put(slim, "slim")
+    gone = duplicate_ids(rows.select("doc_id", "text"), slim.select("doc_id", "len", "blocks", "final"), scratch)
     marks = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     known = slim.filter("doc_id IS NOT NULL").select("doc_id", "part", "own", "final").join(gone, "doc_id", "left").join(marks, "doc_id", "left")
     fails = F.coalesce(F.array_contains("dup", F.col("final")), F.lit(False))

@@ -192,7 +192,7 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def words_of(text: Column) -> Column:
     """The words of a text, null as none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{ASCII_SPACE}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{ASCII_SPACE}]+"), "")
 
 
 def planted_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
