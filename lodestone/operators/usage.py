@@ -92,22 +92,37 @@ class Limiter:
         return status
 
 
+def stretches(rows: DataFrame, key: str, us: str, seconds: int) -> DataFrame:
+    """Adds ``_stretch``, the number of a key's first time slot of so many seconds after an empty slot (or its first at all).
+
+    Between two stretches of a key lie more than ``seconds`` without a row, so what only remembers so long begins anew, and a busy key is
+    dealt to as many tasks as it has stretches. Slots are counted before they are numbered: the window has a row per slot and key.
+    """
+    slot = F.floor(F.col(us) / (seconds * 1_000_000))
+    used = rows.select(key, slot.alias("_slot")).distinct()
+    w = Window.partitionBy(key).orderBy("_slot")
+    first = F.when(F.coalesce(F.col("_slot") - F.lag("_slot").over(w), F.lit(2)) > 1, F.col("_slot"))
+    of = used.withColumn("_first", first).withColumn("_stretch", F.last("_first", ignorenulls=True).over(w)).select(F.col(key).alias("_key"), F.col("_slot").alias("_at"), "_stretch")
+    dealt = rows.withColumn("_slot", slot)
+    return dealt.join(of, dealt[key].eqNullSafe(of["_key"]) & (dealt["_slot"] == of["_at"])).drop("_slot", "_key", "_at")
+
+
 def limiter_status(events: DataFrame, key: str, ts: str = "ts", order: str = "event_id", throttle: int = 4, block: int = 9, seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """The status of every call: key, order column, status. A stream of sorted rows, a constant state per key."""
+    """The status of every call: key, order column, status. A stream of sorted rows, a constant state per key and stretch without a pause of the window."""
     types = dict(events.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, limiter = None, None
         for b in batches:
             out = []
-            for k, us in zip(b["k"], b["us"], strict=True):
+            for k, us in zip(zip(b["k"].fillna("") if b["k"].dtype == object else b["k"], b["_stretch"], strict=True), b["us"], strict=True):
                 if limiter is None or k != last:
                     last, limiter = k, Limiter(throttle, block, seconds)
                 out.append(limiter.allow(us))
             yield b[["k", "o"]].assign(status=out)
 
     rows = events.select(F.col(key).alias("k"), F.col(order).alias("o"), micros(F.col(ts)).alias("us"))
-    dealt = rows.repartition("k").sortWithinPartitions("k", "us", "o")
+    dealt = stretches(rows, "k", "us", seconds).repartition("k", "_stretch").sortWithinPartitions("k", "_stretch", "us", "o")
     out = dealt.mapInPandas(run, f"k {types[key]}, o {types[order]}, status string")
     return out.select(F.col("k").alias(key), F.col("o").alias(order), "status")
 
@@ -121,14 +136,6 @@ def next_status(calls: DataFrame, now: str, bucket: str = "global", ts: str = "t
     return limiter_status(rows, "k", throttle=throttle, block=block).filter("event_id = 1").first()["status"]
 
 
-def reused(rows: DataFrame, key: str, digest: str, ts: str, order: str, minutes: int = 10) -> DataFrame:
-    """Whether a result was seen for the same key under ten minutes before with an equal digest."""
-    w = Window.partitionBy(key).orderBy(ts, order)
-    before = F.lag(F.struct(F.col(digest).alias("d"), F.col(ts).alias("t"))).over(w)
-    recent = (micros(F.col(ts)) - micros(F.col("_b.t"))) < minutes * 60_000_000
-    return rows.withColumn("_b", before).withColumn("reused", F.coalesce((F.col("_b.d") == F.col(digest)) & recent, F.lit(False))).drop("_b")
-
-
 def within_budget(steps: DataFrame, key: str, order: str, duration: Column, budget: float) -> DataFrame:
     """Steps that still start within a shared budget; later ones are marked skipped."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -136,10 +143,6 @@ def within_budget(steps: DataFrame, key: str, order: str, duration: Column, budg
     return steps.withColumn("skipped", spent > budget)
 
 
-def percentiles(rows: DataFrame, value: str, by: list[str], points=(0.5, 0.95, 0.99)) -> DataFrame:
-    return rows.groupBy(*by).agg(*[F.percentile(value, F.lit(p)).alias(f"p{round(p * 100)}") for p in points])
-
-
 def ordered_distinct(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Each key once, at its first place."""
     return rows.groupBy(key).agg(F.min(order).alias(order))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, gates, paths, text
-from ..operators import grep, store, usage
+from ..operators import grep, selection, state, store, usage
 from ..sources.tables import kb_documents, list_dir, parse_porcelain, table
 from .search_queries import LEAKY_SQL, head_sql, leaky, secret_sql
 
@@ -238,7 +238,7 @@ def human_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    out = usage.percentiles(table(spark, sf, "events").filter("value IS NOT NULL"), "value", ["event_type"])
+    out = selection.percentiles(table(spark, sf, "events").filter("value IS NOT NULL"), "value", ["event_type"])
     return out.select("event_type", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
 
 
@@ -265,9 +265,32 @@ def flood_status(spark: SparkSession, sf: str) -> DataFrame:
     return usage.limiter_status(table(spark, sf, "events"), "user_id", seconds=36_000)
 
 
+def _results(spark: SparkSession, sf: str, session: Column) -> DataFrame:
+    digest = F.floor(F.coalesce("value", F.lit(0.0)) / 20).cast("string")
+    return table(spark, sf, "events").select("event_id", "ts", "event_type", F.col("user_id").cast("string").alias("user"), session.alias("session"), digest.alias("digest"))
+
+
 def dedup_reuse_10min(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select("event_id", "event_type", "ts", F.sha2(F.floor(F.coalesce("value", F.lit(0)) / 20).cast("string"), 256).alias("digest"))
-    return usage.reused(e, "event_type", "digest", "ts", "event_id").select("event_id", "reused")
+    """Whether a result of an event type can be reused within ten minutes."""
+    return state.reused(_results(spark, sf, F.col("event_id") % 4), "session", "event_type", "digest", "ts", "event_id")
+
+
+def dedup_reuse_evicting(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for a day and by user: more keys than a session remembers."""
+    return state.reused(_results(spark, sf, F.col("event_type")), "session", "user", "digest", "ts", "event_id", seconds=86_400)
+
+
+def kept_output(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest 2000 bytes of what each role of a conversation said, turn by turn."""
+    c = table(spark, sf, "conversations").withColumn("data", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"))).withColumn("owner", F.concat_ws("/", F.col("conv_id").cast("string"), "role"))
+    return state.keep_last(c, "owner", "turn", "data", 2000)
+
+
+def job_retention(spark: SparkSession, sf: str) -> DataFrame:
+    """What becomes of jobs of seven owners: at most two run, none longer than three hours, and three finished ones are kept."""
+    even, job = F.col("event_id") % 2 == 0, F.when(F.col("event_id") % 2 == 0, F.col("event_id")).otherwise(F.col("event_id") - 41)
+    e = table(spark, sf, "events").select((F.floor(job / 2) % 7).cast("string").alias("owner"), job.cast("string").alias("job"), F.when(even, "start").otherwise("finish").alias("what"), "ts", "event_id")
+    return state.job_log(e.filter("job NOT LIKE '-%'"), "owner", "job", "what", "ts", "event_id", seconds=3 * 3600, live=2, done=3)
 
 
 def job_keep_newest(spark: SparkSession, sf: str) -> DataFrame:
@@ -336,6 +359,18 @@ def _tail_sql(size: int, lines: int) -> str:
     return f"array_to_string({parts}[greatest(1, len({parts}) - {lines - 1}):], chr(10))"
 
 
+_SPAN = 3 * 3600 * 1_000_000
+
+
+def _reuse_sql(session: str, key: str, seconds: int) -> str:
+    """The reuse of results as a recursion over a session's results with a list of at most 64 entries."""
+    return f"""WITH RECURSIVE e AS (SELECT ({session})::VARCHAR AS s, event_id, ({key})::VARCHAR AS key, floor(coalesce(value, 0) / 20)::BIGINT::VARCHAR AS d, epoch_us(ts) AS us, row_number() OVER (PARTITION BY {session} ORDER BY ts, event_id) AS k FROM events),
+        r AS (SELECT s, 0::BIGINT AS k, NULL::BIGINT AS event_id, false AS reused, []::STRUCT(t BIGINT, key VARCHAR, d VARCHAR)[] AS held FROM (SELECT DISTINCT s FROM e)
+            UNION ALL SELECT s, k, event_id, again, CASE WHEN again THEN held ELSE list_append(list_filter(held, lambda x: x.key <> key AND (len(held) < 64 OR x.key <> list_min(held).key)), {{'t': us, 'key': key, 'd': d}}) END
+            FROM (SELECT e.s, e.k, e.event_id, e.key, e.d, e.us, r.held, len(list_filter(r.held, lambda x: x.key = e.key AND x.d = e.d AND e.us - x.t < {seconds * 1_000_000})) > 0 AS again FROM r JOIN e ON e.s = r.s AND e.k = r.k + 1))
+        SELECT event_id, reused FROM r WHERE event_id IS NOT NULL"""
+
+
 SQL = {
     "grep_dirty_rank": HIT_SQL + f", g AS (SELECT path, count(*) AS hits, min(line_no) AS first_line, bool_or(regexp_matches(content, '^[ \\t]*(struct|fn|enum|trait|impl|class|interface|function|def|func|type|module|object)[ \\t]+[\\pL_$]')) AS has_def FROM m GROUP BY path), {_DIRTY} SELECT g.*, CASE WHEN d.path IS NOT NULL THEN 'M' END AS tag, d.path IS NOT NULL AS dirty FROM g LEFT JOIN d ON d.path = g.path",
     "grep_first_hits": _NEAR_SQL + """, h AS (SELECT path, count(*) FILTER (WHERE is_match) AS hits FROM near GROUP BY path), o AS (SELECT path, hits, 30 - coalesce(sum(hits) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM h),
@@ -402,7 +437,24 @@ SQL = {
         min_by(@@CLASS@@, event_id) FILTER (WHERE event_id % 4 <> 0) AS error_class FROM events GROUP BY 1""".replace("@@CLASS@@", _picked_sql(CLASSES, "event_id")),
     "batch_budget": "SELECT event_id, coalesce(sum(event_id % 7) OVER (PARTITION BY event_id // 10 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 20 AS skipped FROM events",
     "flood_attempts_window": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3599999999 MICROSECONDS PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY user_id, ts) AS attempts FROM events",
-    "dedup_reuse_10min": """SELECT event_id, coalesce(d = lag(d) OVER w AND ts - lag(ts) OVER w < INTERVAL 10 MINUTE, false) AS reused FROM (SELECT event_id, event_type, ts, floor(coalesce(value, 0) / 20) AS d FROM events) WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""",
+    "dedup_reuse_10min": _reuse_sql("event_id % 4", "event_type", 600),
+    "dedup_reuse_evicting": _reuse_sql("event_type", "user_id", 86_400),
+    "kept_output": """WITH t AS (SELECT conv_id || '/' || role AS owner, string_agg(coalesce(text, '') || chr(10), '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id, role)
+        SELECT owner, CASE WHEN strlen(t) <= 2000 THEN t ELSE right(t, list_max(list_filter(range(0, 2001), lambda k: strlen(right(t, k)) <= 2000))) END AS kept, strlen(t) > 2000 AS truncated FROM t""",
+    "job_retention": f"""WITH RECURSIVE j AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id ELSE event_id - 41 END AS job, event_id % 2 = 0 AS begins, epoch_us(ts) AS us FROM events),
+        e AS (SELECT *, job // 2 % 7 AS owner, row_number() OVER (PARTITION BY job // 2 % 7 ORDER BY us, event_id) AS k FROM j WHERE job >= 0),
+        r AS (SELECT owner, 0::BIGINT AS k, []::STRUCT(b BIGINT, j BIGINT)[] AS run, []::STRUCT(b BIGINT, j BIGINT)[] AS fin, []::STRUCT(j BIGINT, w VARCHAR, us BIGINT)[] AS out FROM (SELECT DISTINCT owner FROM e)
+            UNION ALL SELECT owner, k, CASE WHEN begins AND len(run) < 2 THEN list_append(run, {{'b': us, 'j': job}}) WHEN NOT begins THEN list_filter(run, lambda x: x.j <> job) ELSE run END,
+                CASE WHEN len(fin2) > 3 THEN list_filter(fin2, lambda x: x.j <> list_min(fin2).j) ELSE fin2 END,
+                gone || CASE WHEN begins THEN [{{'j': job, 'w': CASE WHEN len(run) < 2 THEN 'started' ELSE 'rejected' END, 'us': us}}] WHEN len(own) > 0 THEN [{{'j': job, 'w': 'finished', 'us': us}}] ELSE [] END
+                    || CASE WHEN len(fin2) > 3 THEN [{{'j': list_min(fin2).j, 'w': 'forgotten', 'us': us}}] ELSE [] END
+            FROM (SELECT *, fin || CASE WHEN begins THEN [] ELSE own END AS fin2
+                FROM (SELECT *, list_filter(run, lambda x: x.j = job) AS own
+                    FROM (SELECT e.owner, e.k, e.us, e.job, e.begins, list_filter(r.run, lambda x: e.us - x.b <= {_SPAN}) AS run, list_filter(r.fin, lambda x: e.us - x.b <= {_SPAN}) AS fin,
+                        list_transform(list_filter(r.run, lambda x: e.us - x.b > {_SPAN}), lambda x: {{'j': x.j, 'w': 'killed', 'us': x.b + {_SPAN}}})
+                        || list_transform(list_filter(r.fin, lambda x: e.us - x.b > {_SPAN}), lambda x: {{'j': x.j, 'w': 'forgotten', 'us': x.b + {_SPAN}}}) AS gone
+                        FROM r JOIN e ON e.owner = r.owner AND e.k = r.k + 1))))
+        SELECT owner::VARCHAR AS owner, o.j::VARCHAR AS job, o.w AS what, o.us AS us FROM (SELECT owner, unnest(out) AS o FROM r)""",
     "job_keep_newest": "SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3",
     "ordered_distinct": "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id",
     "strip_ansi": r"""SELECT doc_id, regexp_replace(chr(27) || '[1;31m' || coalesce(text, '') || chr(27) || '[0m' || chr(27) || ']0;title' || chr(7) || '-' || chr(27) || '(B-' || chr(27) || ']8;;u' || chr(27) || '\end',
@@ -414,5 +466,5 @@ QUERIES = [
     grep_lines, grep_literal, grep_grouped, grep_context, grep_page, grep_dirty_rank, grep_summary_top25, grep_counts, grep_first2, grep_first_hits, grep_per_file_cap, grep_definitions,
     withhold_files, log_tail, sensitive_paths, binary_names, glob_match, gitignore_filter, resolve_fuzzy, resolve_subsequence, related_files, dir_listing, path_display,
     porcelain_parse, error_class, shell_screen, worst_verdict, inline_code, env_filter, audit_by_session, audit_all, tool_usage, savings_ratio, human_sizes, latency_percentiles,
-    batch_rollup, batch_budget, flood_attempts_window, flood_status, dedup_reuse_10min, job_keep_newest, ordered_distinct, redact_text, strip_ansi, log_tail_bytes, output_cut, slug, cut_bytes, truncate_lines,
+    batch_rollup, batch_budget, flood_attempts_window, flood_status, dedup_reuse_10min, dedup_reuse_evicting, kept_output, job_retention, job_keep_newest, ordered_distinct, redact_text, strip_ansi, log_tail_bytes, output_cut, slug, cut_bytes, truncate_lines,
 ]
