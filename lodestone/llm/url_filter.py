@@ -28,6 +28,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SAMPLE_ROWS = 20_000
 #: URLs without a rule are blocked on clear evidence only.
 BLOCK_AT = 0.8
+#: Held-out scores that separate perfectly would be scaled without end.
+MOST_SCALE = 3.0
 FOLDS = 5
 FEATURES = (
     "length", "host_length", "path_length", "depth", "labels", "longest_label", "hyphens", "digit_ratio",
@@ -112,11 +114,11 @@ class Trees:
 
 
 def folds_of(urls: list[str | None]) -> np.ndarray:
-    """The folds of URLs: domains (the last two host labels) in the order of a hash, dealt in turn."""
-    domain = [_suffixes(_split(u)[0])[1] for u in urls]
-    order = sorted(set(domain), key=lambda d: (zlib.crc32(d.encode()), d))
+    """The folds of URLs: whole hosts in the order of a hash, dealt in turn, so no host is on both sides."""
+    host = [_split(u)[0] for u in urls]
+    order = sorted(set(host), key=lambda d: (zlib.crc32(d.encode()), d))
     fold = {d: k % FOLDS for k, d in enumerate(order)}
-    return np.array([fold[d] for d in domain], np.int64)
+    return np.array([fold[d] for d in host], np.int64)
 
 
 def _suffix_rates(urls: list[str | None], block: list[bool], rate: float) -> dict[str, tuple[float, float]]:
@@ -130,7 +132,7 @@ def _suffix_rates(urls: list[str | None], block: list[bool], rate: float) -> dic
 
 
 def held_out_scores(urls: list[str | None], block: list[bool], **how) -> np.ndarray:
-    """The score of every URL by trees that were fitted without its fold of domains; 0 where nothing else can be fitted on."""
+    """The score of every URL by trees that were fitted without its fold of hosts; 0 where nothing else can be fitted on."""
     fold, out = folds_of(urls), np.zeros(len(urls))
     for f in np.unique(fold):
         other, own = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
@@ -140,7 +142,7 @@ def held_out_scores(urls: list[str | None], block: list[bool], **how) -> np.ndar
 
 
 def fit(urls: list[str | None], block: list[bool], **how) -> Trees:
-    """Boosted trees, their scores scaled (by 0 to 1) to the likeliest verdicts of held-out domains."""
+    """Boosted trees, their scores scaled to the likeliest verdicts of held-out hosts: 0 if these are told at chance."""
     model, y = _boost(urls, block, **how), np.array(block, dtype=np.float64)
     if not model.trees:
         return model
@@ -149,7 +151,7 @@ def fit(urls: list[str | None], block: list[bool], **how) -> Trees:
     for _ in range(30):  # logistic regression on the score alone
         p = 1 / (1 + np.exp(-a * score))
         a += float((weight * (y - p) * score).sum() / ((weight * p * (1 - p) * score**2).sum() + 1))
-        a = min(max(a, 0.0), 1.0)
+        a = min(max(a, 0.0), MOST_SCALE)
     model.scale = a
     return model
 
@@ -200,11 +202,11 @@ def _boost(urls: list[str | None], block: list[bool], n_trees: int = 40, depth:
     return model
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", sample_rows: int = SAMPLE_ROWS, labelled: DataFrame | None = None) -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict, p_block.
 
-    ``rules`` are (rule, verdict) pairs such as ("example.net/en/", "allow"). Trained on at most
-    ``sample_rows`` of the distinct URLs that a rule labels (those with the smallest hash).
+    ``rules`` are (rule, verdict) pairs such as ("example.net/en/", "allow"). ``labelled`` has the URLs to learn from (url, verdict);
+    without it they are those that a rule labels. Trained on at most ``sample_rows`` distinct ones (those with the smallest hash).
 
     Defined cases: a null URL or one without ``://`` has an empty host and path and no rule; the trees judge it; with no labelled
     URL, or labels of one verdict only, everything without a rule is allowed; a null id is carried along; repeated rows repeat;
@@ -217,7 +219,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "pa
     ruled = rows.select("id", "url", host.alias("host"), path.alias("path"))
     ruled = ruled.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
     verdict = reduce(lambda acc, r: F.when(F.col("rule") == r[0], F.lit(r[1])).otherwise(acc), rules, F.lit(None).cast("string"))
-    labelled = ruled.filter(F.col("rule").isNotNull()).select("url", verdict.alias("verdict")).distinct()
+    if labelled is None:
+        labelled = ruled.filter(F.col("rule").isNotNull()).select("url", verdict.alias("verdict"))
+    labelled = labelled.filter(F.col("verdict").isin("allow", "block")).select("url", "verdict").distinct()
     part = F.shiftrightunsigned(F.xxhash64("url"), 52).cast("int")
     last, room = 4095, sample_rows
     for r in sorted(labelled.groupBy(part.alias("part")).count().collect()):  # at most 4096 rows; later parts are out before the limit

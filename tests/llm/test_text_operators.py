@@ -250,15 +250,27 @@ def auc(score, y):
     return (rank[y].mean() - (y.sum() - 1) / 2) / max(1, (~y).sum())
 
 
-def test_labels_that_carry_over_to_no_other_domain_block_nothing(spark):
-    """The rules' labels of the driver's pages: held-out domains are told at chance, so the trees must not block what no rule covers."""
+def test_trees_judge_pages_without_a_rule(spark):
+    """The rules' labels of the driver's pages carry over to hosts that were held out, and both verdicts come out where no rule is."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     got = url_filter.judge_urls(pages, url_filter.RULES).toPandas()
     ruled, rest = got[got.rule.notna()], got[got.rule.isna()]
     urls = dict(pages.select("page_id", "url").collect())
     score = url_filter.held_out_scores([urls[i] for i in ruled.page_id], (ruled.verdict == "block").tolist())
-    assert abs(auc(score, (ruled.verdict == "block").to_numpy()) - 0.5) < 0.15
-    assert len(rest) and (rest.verdict == "block").mean() < 0.05
+    assert auc(score, (ruled.verdict == "block").to_numpy()) > 0.75  # the allowed language folder of a blocked domain is no lexical feature
+    assert set(rest.verdict) == {"allow", "block"} and (got.groupby("page_id").size() == 1).all()
+
+
+def test_labelled_urls_are_learned_for_unseen_hosts(spark):
+    """Planted spam hosts as labels: other spam hosts are blocked, other plain ones are not."""
+    rng = random.Random(3)
+    words = "cheap pills casino win free bets loan offer".split()
+    spam = [f"http://www.{'-'.join(rng.sample(words, 3))}{rng.randrange(99)}.example.{rng.choice(['com', 'net', 'org'])}/en/{k}?ref={rng.randrange(10**6)}&x=1" for k in range(300)]
+    plain = [f"https://{''.join(rng.choice('thereonad') for _ in range(7))}.example.{rng.choice(['com', 'net', 'org'])}/en/{rng.randrange(999)}" for k in range(300)]
+    labels = spark.createDataFrame([(u, "block") for u in spam[:200]] + [(u, "allow") for u in plain[:200]] + [("http://x/", None), (None, "allow")], "url string, verdict string")
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(spam[200:] + plain[200:])], "page_id long, url string")
+    got = url_filter.judge_urls(pages, [], labelled=labels).toPandas().sort_values("page_id")
+    assert auc(got.p_block.to_numpy(), np.arange(200) < 100) > 0.9 and (got.verdict[:100] == "block").mean() > 0.9 and (got.verdict[100:] == "block").mean() < 0.05
 
 
 def test_labels_that_carry_over_are_learned():
