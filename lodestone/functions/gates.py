@@ -8,10 +8,8 @@ from __future__ import annotations
 import ipaddress
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _START, _END = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 
@@ -36,6 +34,9 @@ ASSIGNED_SECRET = (
 )
 ASSIGNED_PASSWORD = r"(?i)(?:^|[^_A-Za-z0-9])(?:password|passwd)[\t\n\f\r ]*[:=][\t\n\f\r ]*['\"][^'\"\r\n]{8,}['\"]"
 
+TOKEN_WORDS = ("AKIA", "ASIA", "ABIA", "ACCA", "gho_", "ghp_", "ghs_", "ghu_", "ghr_", "github_pat_", "xox", "eyJ")
+ASSIGNED_WORDS = ("secret", "key", "token", "pass")
+
 BINARY_EXTENSIONS = (
     ".png .jpg .jpeg .gif .svg .ico .webp .bmp .pdf .doc .docx .xls .xlsx .ppt .pptx .zip .tar .gz .bz2 .xz .zst .7z .rar "
     ".exe .bin .dll .so .dylib .wasm .o .a .lib .obj .mp3 .mp4 .avi .mov .wav .flac .ogg .ttf .otf .woff .woff2 "
@@ -68,7 +69,10 @@ def has_secret(text: Column) -> Column:
     shapes = [rf"{_START}{p}{_END}" for p in (AWS_KEY, GITHUB_TOKEN, SLACK_TOKEN)]
     # the token may end in a character that is no word character, where a word boundary needs one inside
     jwt = rf"{_START}{JWT}(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
-    return has_private_key(text) | _any([text.rlike(p) for p in (*shapes, ASSIGNED_SECRET, ASSIGNED_PASSWORD, jwt)])
+    low = F.lower(text)  # plain searches first: most texts hold none of the words that a shape needs
+    token = _any([text.contains(w) for w in TOKEN_WORDS]) & _any([text.rlike(p) for p in (*shapes, jwt)])
+    assigned = _any([low.contains(w) for w in ASSIGNED_WORDS]) & _any([text.rlike(p) for p in (ASSIGNED_SECRET, ASSIGNED_PASSWORD)])
+    return has_private_key(text) | token | assigned
 
 
 def base_name(path: Column) -> Column:
@@ -105,21 +109,11 @@ def in_skipped_dir(path: Column) -> Column:
     return has_segment(path, SKIPPED_DIRS)
 
 
-_CONTROL = bytes(b for b in range(32) if not 9 <= b <= 13)
-
-
-@F.pandas_udf(T.BooleanType())
-def is_binary_content(data: pd.Series) -> pd.Series:
-    """A NUL, or over 30 % control bytes, among the first 8192 bytes."""
-
-    def one(raw) -> bool:
-        head = bytes(raw[:8192]) if raw is not None else b""
-        if not head:
-            return False
-        control = len(head) - len(head.translate(None, _CONTROL))
-        return 0 in head or control * 100 // len(head) > 30
-
-    return data.map(one)
+def is_binary_content(data: Column) -> Column:
+    """A NUL, or over 30 % control bytes, among the first 8192 bytes. Every byte becomes a character of its own, so expressions can count them."""
+    head = F.decode(F.substring(data, 1, 8192), "ISO-8859-1")
+    control = F.length(head) - F.length(F.regexp_replace(head, r"[\x00-\x08\x0e-\x1f]", ""))
+    return F.coalesce((F.length(head) > 0) & (F.contains(head, F.lit("\x00")) | (F.floor(control * 100 / F.greatest(F.length(head), F.lit(1))) > 30)), F.lit(False))
 
 
 def looks_like_html(body: Column) -> Column:
@@ -210,9 +204,20 @@ def is_blocked_address(ip: Column) -> Column:
 
 
 def valid_fetch_url(url: Column) -> Column:
-    """http or https with a host; a literal address must be a public one. Names are not resolved."""
+    """http or https with a host; a literal address must be a public one. Names are not resolved.
+
+    The host stands behind the last ``@`` before the path. A port must be a number or empty, and user information may hold
+    letters, digits, escapes and the marks that a URL allows there; anything else is no URL.
+    """
+    authority = r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
-    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
-    number = ipv4_number(host)
-    literal = F.when(host.startswith("["), ~_let(F.regexp_replace(host, r"^\[|\]$", ""), is_blocked_address)).otherwise(_let(number, lambda n: n.isNull() | ~is_blocked_ipv4(n)))
-    return scheme.isin("http", "https") & (host != "") & literal
+
+    def judge(at: Column) -> Column:
+        user, place = F.regexp_extract(at, r"(?s)^(.*)@[^@]*$", 1), F.regexp_extract(at, r"(?s)([^@]*)$", 1)
+        known_user = ~F.contains(at, F.lit("@")) | user.rlike(r"\A(?:[A-Za-z0-9\-._:~!$&'()*+,;=@]|%[0-9A-Fa-f]{2})*\z")
+        host = F.regexp_extract(place, r"\A(\[[^\]]*\]|[^:\[\]]*)(?::[0-9]*)?\z", 1)
+        sound = ~host.rlike(r"[\x00-\x20\x7f<>\"\\\\^`{|}]")
+        literal = F.when(host.startswith("["), ~_let(F.regexp_replace(host, r"^\[|\]$", ""), is_blocked_address)).otherwise(_let(ipv4_number(host), lambda n: n.isNull() | ~is_blocked_ipv4(n)))
+        return known_user & (host != "") & sound & literal
+
+    return scheme.isin("http", "https") & _let(F.regexp_extract(url, authority, 1), judge)

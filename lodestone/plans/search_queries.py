@@ -331,7 +331,11 @@ def url_valid(spark: SparkSession, sf: str) -> DataFrame:
     p = F.col("page_id")
     low = F.lower(F.hex(p % 65536))
     url = (
-        F.when(p % 8 == 0, F.concat(F.lit("http://10.0."), p % 256, F.lit(".9/x")))
+        F.when(p % 16 == 8, F.concat(F.lit("http://user:p/w"), p.cast("string"), F.lit("@127.0.0.1/")))
+        .when(p % 16 == 9, F.concat(F.lit("http://a@b@127.0.0."), p % 256, F.lit("/")))
+        .when(p % 16 == 10, F.concat(F.lit("http://10.0.0."), p % 256, F.lit("\\@example.com/")))
+        .when(p % 16 == 12, F.concat(F.lit("https://u%41:x@y@[2606:4700::"), low, F.lit("]:/x")))
+        .when(p % 8 == 0, F.concat(F.lit("http://10.0."), p % 256, F.lit(".9/x")))
         .when(p % 8 == 1, F.concat(F.lit("ftp://h/"), p.cast("string")))
         .when(p % 8 == 2, F.concat(F.lit("http://[fd00::"), low, F.lit("]/")))
         .when(p % 8 == 3, F.concat(F.lit("https://u@[::ffff:10.0.0."), p % 256, F.lit("]:8443/x")))

@@ -161,3 +161,16 @@ def test_stems_match_the_full_text_index():
         db.execute("INSERT INTO t VALUES (?)", (w,))
         assert tokens(w) == [r[0] for r in db.execute("SELECT term FROM v ORDER BY offset")], w
     assert stem("running") == "run"
+
+
+def test_fetch_gate_parses_hosts_as_clients_do(spark):
+    bad = ["http://a@b@127.0.0.1/", "http://user:p/w@127.0.0.1/", "http://10.0.0.1\\@example.com/", "http://h:x/", "http://h:1:2/", "http://u%zz@h/", "http://[::1/", "http://@/", "http://a b/", "ftp://h/", "http:///x", "http://u@[::1]:80/", "http://h\n/", None, ""]
+    good = ["http://h/", "https://u:p@h:80/x?y#z", "http://h:/", "http://a@b@h/", "http://u%41@8.8.8.8", "HTTP://h?x@y", "http://[2606:4700::1]:443/"]
+    got = spark.createDataFrame([(k, u) for k, u in enumerate(bad + good)], "k int, u string").select("k", gates.valid_fetch_url(F.col("u")).alias("v"))
+    assert {r["k"]: bool(r["v"]) for r in got.collect()} == {k: k >= len(bad) for k in range(len(bad + good))}
+
+
+def test_binary_content(spark):
+    rows = {b"": False, b"text": False, b"a\x00": True, b"\x01" * 31 + b"x" * 69: True, b"\x01" * 30 + b"x" * 70: False, b"\xff" * 90 + b"\t\n\r\x0b\x0c" * 2: False, b"x" * 8192 + b"\x00": False, None: False}
+    got = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, r binary").select("k", gates.is_binary_content(F.col("r")).alias("b")).collect()
+    assert {r["k"]: r["b"] for r in got} == dict(enumerate(rows.values()))
