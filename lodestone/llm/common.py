@@ -2,38 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
+from ..sources.shared import delete_folder, new_folder
+
 #: Lets Spark delete a query's shuffle files when the query has ended; a written table needs them no more.
 CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The ASCII white space of the text contracts: space and U+0009 to U+000D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
-_local: dict[str, str] = {}  # application -> folder, where the setting is unset
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where that is unset a local one, gone with this process."""
-    for value in (spark.conf.get(CHECKPOINT_KEY, ""), spark.sparkContext.getConf().get(CHECKPOINT_KEY, "")):
-        if value and value != "<undefined>":
-            return value.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = tempfile.mkdtemp(prefix="lodestone-")
-        atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
-    return _local[app]
-
-
 class Scratch:
     """Parquet tables under one new folder of the shared directory.
 
@@ -43,7 +25,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = new_folder(spark, name)
         self.count = 0
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
@@ -60,10 +42,8 @@ class Scratch:
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm, sc = self.spark._jvm, self.spark.sparkContext
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            delete_folder(self.spark, df._scratch_path)
 
 
 def release_memory() -> None:
