@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.gates import looks_like_html
-from ..functions.text import format_json, strip_fragment
+from ..functions.text import cut_bytes, format_json, strip_fragment
 
-CHUNK_BYTES = 4000
+BODY_BYTES = 10 << 20
+#: The bytes of a chunk, and of a response's body.
+CHUNK_BYTES, BODY_BYTES = 4000, 10 << 20
 
 
 class _Markdown(HTMLParser):
@@ -153,6 +155,36 @@ def processed(body: Column, content_type: Column) -> Column:
     return F.when(kind.contains("json"), format_json(body)).when(is_html, html_to_markdown(body)).otherwise(body)
 
 
+def bare_content_type(header: Column) -> Column:
+    """A content type without its parameters."""
+    return F.when(F.instr(header, ";") > 1, F.trim(F.substring_index(header, ";", 1))).otherwise(header)
+
+
+def response_texts(responses: DataFrame, max_bytes: int = BODY_BYTES) -> DataFrame:
+    """Stored responses (url, status, content_type, body, format) as documents: url, content_type, content, truncated, error.
+
+    A status outside of 200 to 299 is an error without content. A body is cut at ``max_bytes``, before a character that would be split. The
+    format decides (markdown, html or json), and where it is empty or null the content type: HTML becomes Markdown, JSON is indented, and JSON that was cut is an
+    error; all else is kept as it is. Other columns are carried along; null bodies count as empty.
+    """
+    body, status = F.coalesce(F.col("body"), F.lit("")), F.col("status")
+    good = F.coalesce(status.between(200, 299), F.lit(False))
+    read = responses.withColumn("_ok", good).withColumn("content_type", bare_content_type(F.coalesce(F.col("content_type"), F.lit(""))))
+    read = read.withColumn("_body", cut_bytes(max_bytes)(body)).withColumn("truncated", good & (F.octet_length(body) > max_bytes))
+    kind, want = F.lower(F.trim("content_type")), F.coalesce(F.col("format"), F.lit(""))
+    html = kind.startswith("text/html") | kind.startswith("application/xhtml+xml")
+    json = (want == "json") | ((want == "") & kind.contains("application/json"))
+    to_markdown = ((want == "markdown") & (html | looks_like_html(F.col("_body")))) | ((want == "") & html)
+    error = (
+        F.when(~F.col("_ok"), F.concat(F.lit("HTTP "), F.coalesce(status.cast("string"), F.lit("?"))))
+        .when(~want.isin("", "markdown", "html", "json"), F.concat(F.lit("unknown format: "), want))
+        .when(json & F.col("truncated"), F.lit("JSON was cut at the size limit"))
+    )
+    with_error = read.withColumn("error", error).withColumn("_json", json & F.col("error").isNull()).withColumn("_html", to_markdown & F.col("error").isNull())
+    content = F.when(F.col("error").isNotNull(), F.lit(None)).when(F.col("_json"), format_json(F.col("_body"))).when(F.col("_html"), html_to_markdown(F.col("_body"))).otherwise(F.col("_body"))
+    return with_error.withColumn("content", content).drop("_ok", "_body", "_json", "_html", "body", "status", "format")
+
+
 def distinct_urls(urls: DataFrame, order: str, url_col: str = "url") -> DataFrame:
     """URLs without fragments, each once, at its first place."""
     bare = urls.select(strip_fragment(F.col(url_col)).alias("url"), F.col(order).alias("pos"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import gates, text
 from ..operators import index, ingest, search, store
 from ..sources.shared import delete_folder, listing_mark, new_folder
-from ..sources.tables import kb_documents, table
+from ..sources.tables import generations, kb_documents, table
 
 NEEDLE = "tion the"
 SECOND = "and ther"
@@ -367,6 +367,22 @@ def html_to_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", ingest.html_to_markdown(F.col("html")).alias("markdown"))
 
 
+def fetch_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as stored responses of several types, formats and statuses, cut at 3000 bytes."""
+    p = F.col("page_id")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("text/plain; charset=utf-8", "application/json;v=1", ";odd", "Text/HTML", "application/xml")]), (p % 5 + 1).cast("int"))
+    format_ = F.when(p % 5 == 3, "html").when(p % 7 == 6, "pdf").otherwise("")
+    rows = table(spark, sf, "pages").select("page_id", "url", F.when(p % 11 == 0, 404).when(p % 11 == 1, 301).otherwise(200).alias("status"), kind.alias("content_type"), format_.alias("format"), F.col("html").alias("body"))
+    return ingest.response_texts(rows, 3000)
+
+
+def audit_generations(spark: SparkSession, sf: str) -> DataFrame:
+    """The files that the calls of a log fill, 100,000 bytes each, by their first and last call."""
+    calls = table(spark, sf, "events").select("event_id", "event_type", F.col("user_id").cast("string").alias("session_id"))
+    lines = generations(calls, ["event_id"], 100_000).select("generation", F.octet_length("line").alias("n"), F.get_json_object("line", "$.event_id").cast("long").alias("event_id"))
+    return lines.groupBy("generation").agg(F.count("*").alias("calls"), F.sum(F.col("n") + 1).alias("bytes"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+
+
 def json_format(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", ingest.processed(F.col("props"), F.lit("application/json")).alias("json"))
 
@@ -467,6 +483,13 @@ SQL = {
     "ssrf_any": """WITH p AS (SELECT page_id, page_id * 7 % 256 AS a, page_id % 256 AS b FROM pages)
         SELECT page_id, '2002:' || printf('%02X', a) || printf('%02X', b) || ':0101::1' AS ip, a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254)
         OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 198 AND b BETWEEN 18 AND 19) AS blocked FROM p""",
+    "fetch_responses": f"""WITH r AS (SELECT page_id, url, CASE WHEN page_id % 11 = 0 THEN 404 WHEN page_id % 11 = 1 THEN 301 ELSE 200 END AS status, ['text/plain', 'application/json', ';odd', 'Text/HTML', 'application/xml'][page_id % 5 + 1] AS content_type,
+            CASE WHEN page_id % 5 = 3 THEN 'html' WHEN page_id % 7 = 6 THEN 'pdf' ELSE '' END AS format, coalesce(html, '') AS body FROM pages),
+        e AS (SELECT *, CASE WHEN status <> 200 THEN 'HTTP ' || status WHEN format = 'pdf' THEN 'unknown format: pdf' WHEN format = '' AND content_type = 'application/json' AND strlen(body) > 3000 THEN 'JSON was cut at the size limit' END AS error FROM r)
+        SELECT page_id, url, content_type, status = 200 AND strlen(body) > 3000 AS truncated, error, CASE WHEN error IS NULL THEN {head_sql('body', 3000)} END AS content FROM e""",
+    "audit_generations": """WITH l AS (SELECT event_id, strlen('{"event_id":' || event_id || ',"event_type":"' || event_type || '","session_id":"' || user_id || '"}') + 1 AS n FROM events),
+        g AS (SELECT event_id, n, (coalesce(sum(n) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 100000)::BIGINT AS generation FROM l)
+        SELECT generation, count(*) AS calls, sum(n)::BIGINT AS bytes, min(event_id) AS first, max(event_id) AS last FROM g GROUP BY generation""",
     "json_format": """SELECT event_id, CASE WHEN regexp_matches(props, '^\\{"k": *-?[0-9]+\\}$') THEN '{' || chr(10) || '  "k": ' || regexp_extract(props, '-?[0-9]+') || chr(10) || '}' ELSE props END AS json FROM events""",
     "chunk_documents": f"""WITH RECURSIVE t AS (SELECT source || ':markdown:' || doc_id AS document, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t, coalesce(text, '') AS whole FROM documents),
         r AS (SELECT document, 0 AS chunk_no, CASE WHEN t = '' THEN whole ELSE {head_sql('t', 4000)} END AS content, CASE WHEN t = '' THEN '' ELSE substr(t, length({head_sql('t', 4000)}) + 1) END AS rest FROM t
@@ -490,5 +513,5 @@ QUERIES = [
     kb_search_index, kb_search_index_many, kb_search_index_pipeline, kb_search_substring_index, kb_search_substring_index_many, kb_index_upkeep, kb_search_scopes,
     kb_multi_query, kb_list, kb_get, kb_stats, kb_health_parity, first_index_token, purge_session, purge_prefix, purge_dry_run, purge_exact_chunks,
     documents_of_chunks, purge_legacy, upsert_latest, replace_chunks, cache_fresh, cache_prune, cache_latest, cache_backfill, stale_hits, spill_route,
-    running_caps, url_normalise, url_dedupe, url_valid, ssrf_ipv4, ssrf_any, html_sniff, html_to_text, json_format, chunk_documents, chunk_counts, secret_gate,
+    running_caps, url_normalise, url_dedupe, url_valid, ssrf_ipv4, ssrf_any, html_sniff, html_to_text, fetch_responses, audit_generations, json_format, chunk_documents, chunk_counts, secret_gate,
 ]

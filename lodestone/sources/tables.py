@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import new_folder
+
+
 def audit_schema() -> T.StructType:
     """The fixed key set of a call record."""
     s, n, b = T.StringType(), T.LongType(), T.BooleanType()
@@ -25,6 +28,38 @@ def write_audit(calls: DataFrame, path: str, records_per_file: int = 100_000) ->
     calls.write.mode("append").option("maxRecordsPerFile", records_per_file).json(path)
 
 
+#: Fixed value: the size at which a log begins a new file.
+ROLL_BYTES = 32 << 20
+
+
+def generations(calls: DataFrame, order: list[str], roll_bytes: int = ROLL_BYTES) -> DataFrame:
+    """(generation, place, line): the calls as JSON lines in order; a line's generation is that of the bytes before it, ``roll_bytes`` each.
+
+    Rows are dealt by ranges of their order and written once, so that the ranges stay; the bytes of each range (one number a task) are summed
+    before them, and lines are placed within their range.
+    """
+    spark, line = calls.sparkSession, F.to_json(F.struct(*calls.columns))
+    keys = [f"_o{k}" for k in range(len(order))]
+    rows = calls.select(*[F.col(c).alias(k) for c, k in zip(order, keys, strict=True)], line.alias("line")).withColumn("_n", F.octet_length("line") + 1)
+    staging = new_folder(spark, "audit")
+    rows.repartitionByRange(*keys, "line").withColumn("_part", F.spark_partition_id()).write.parquet(staging)
+    dealt = spark.read.parquet(staging)
+    parts = dealt.groupBy("_part").agg(F.sum("_n").alias("_size"))
+    before = parts.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
+    upto = F.sum("_n").over(Window.partitionBy("_part").orderBy(*keys, "line").rowsBetween(Window.unboundedPreceding, -1))
+    placed = dealt.withColumn("_upto", F.coalesce(upto, F.lit(0))).join(F.broadcast(before), "_part").withColumn("place", F.col("_before") + F.col("_upto"))
+    return placed.select(F.floor(F.col("place") / roll_bytes).cast("long").alias("generation"), "place", "line")
+
+
+def write_rolled(calls: DataFrame, folder: str, batch: int, order: list[str], roll_bytes: int = ROLL_BYTES) -> None:
+    """Appends calls as JSON lines, one file per generation of about ``roll_bytes`` (never more than that and a line), in order.
+
+    A batch has a folder of its own that is complete or absent for readers, and written again it replaces itself: nothing is lost or doubled by a retry.
+    """
+    lines = generations(calls, order, roll_bytes).repartition("generation").sortWithinPartitions("generation", "place")
+    lines.select("generation", F.col("line").alias("value")).write.mode("overwrite").partitionBy("generation").text(f"{folder}/batch={batch}")
+
+
 def legacy_documents(raw: DataFrame, text_col: str = "json") -> DataFrame:
     """(path, content) of JSON objects key -> document; entries that are no strings or have a bad key are left out."""
     entries = raw.select(F.explode(F.from_json(F.col(text_col), "map<string,string>")).alias("path", "content"))
