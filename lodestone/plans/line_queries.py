@@ -144,11 +144,19 @@ def path_display(spark: SparkSession, sf: str) -> DataFrame:
     return _paths(spark, sf).select("path", paths.display_path(F.col("path"), ["src/app", "src"]).alias("shown"), paths.inside(F.col("path"), ["src/app"]).alias("inside"))
 
 
-STATUS = "?? new.go\x00 M a.go\x00R  to.go\x00from.go\x00A  b.go\x00MM c.go\x00x\x00D  d.go\x00"
+
+
+#: Two-letter states and their tags, in turn by document.
+STATES = {" M": "M", "??": "??", "A ": "A", "R ": "A", "UD": "M", "C ": "A", " D": "M", "MR": "M", "!!": "M", " A": "A", "T ": "M"}
 
 
 def porcelain_parse(spark: SparkSession, sf: str) -> DataFrame:
-    return parse_porcelain(spark.createDataFrame([(STATUS,)], "status string"))
+    """The changed files in one short status text per document, of three entries; renames and copies name their old file as well."""
+    i = F.col("doc_id")
+    state = lambda k: F.element_at(F.array(*[F.lit(x) for x in STATES]), ((i + k) % len(STATES) + 1).cast("int"))
+    name = lambda k: F.concat("source", F.lit("/a b/"), i.cast("string"), F.lit(f".{k}"))
+    entry = lambda k: F.concat(state(k), F.lit(" "), name(k), F.when(state(k).rlike("[RC]"), F.concat(F.lit("\x00 M old/"), name(k))).otherwise(""), F.lit("\x00"))
+    return parse_porcelain(table(spark, sf, "documents").select(F.concat(*[entry(k) for k in (0, 3, 7)], F.lit("?\x00")).alias("status")))
 
 
 MESSAGES = [
@@ -416,7 +424,7 @@ SQL = {
             CASE WHEN base = 'main_test.go' THEN 'test/impl pair with ' || base WHEN base = 'main.go' THEN 'same stem (.go ↔ .go)' ELSE 'sibling in ' || dir END AS reason FROM b) SELECT * FROM s WHERE score IS NOT NULL ORDER BY score DESC, path LIMIT 100""",
     "dir_listing": f"WITH {PATHS_SQL}, x AS (SELECT string_split(substr(path, 5), '/') AS a FROM p WHERE starts_with(path, 'src/')), y AS (SELECT DISTINCT 'src/' || array_to_string(a[1:k], '/') AS path, k < len(a) AS is_dir FROM (SELECT a, unnest([1, 2]) AS k FROM x)) SELECT path, is_dir FROM y WHERE NOT contains(path, '/.') ORDER BY path LIMIT 200",
     "path_display": f"WITH {PATHS_SQL} SELECT path, CASE WHEN starts_with(path, 'src/app/') THEN substr(path, 9) WHEN starts_with(path, 'src/') THEN substr(path, 5) ELSE path END AS shown, starts_with(path, 'src/app/') AS inside FROM p",
-    "porcelain_parse": "SELECT * FROM (VALUES ('new.go', '??'), ('a.go', 'M'), ('to.go', 'A'), ('b.go', 'A'), ('c.go', 'M'), ('d.go', 'M')) t(path, tag)",
+    "porcelain_parse": f"SELECT source || '/a b/' || doc_id || '.' || k AS path, {_list(list(STATES.values()))}[(doc_id + k) % {len(STATES)} + 1] AS tag FROM documents, (VALUES (0), (3), (7)) v(k)",
     "error_class": f"SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '' ELSE {_picked_sql(CLASSES, 'event_id')} END AS error_class FROM events",
     "shell_screen": rf"SELECT event_id, CASE WHEN rule = '' THEN 'ok' ELSE 'warn' END AS verdict, rule FROM (SELECT event_id, CASE WHEN regexp_matches(c, '(?i)base64\s+(?:-d|--decode)[^|\n]{{0,120}}\|\s*(?:sh|bash|dash|zsh|ksh)\b') THEN 'base64_pipe_to_shell' WHEN regexp_matches(c, '(?i)\b(?:curl|wget)\b[^|\n]{{0,120}}\|\s*(?:sh|bash|dash)\b') THEN 'download_pipe_to_shell' WHEN regexp_matches(c, '(?:>>?)\s*(?:/etc/|/dev/sd[a-z]\b)') THEN 'redirect_into_sensitive_path' ELSE '' END AS rule FROM (SELECT event_id, {_picked_sql(COMMANDS, 'event_id')} AS c FROM events))",
     "worst_verdict": f"WITH s AS (SELECT event_id // 3 AS run, event_id, ['', 'base64_pipe_to_shell', 'download_pipe_to_shell', 'redirect_into_sensitive_path', '', '', ''][(event_id * 5) % {len(COMMANDS)} + 1] AS rule FROM events) SELECT run, CASE WHEN rule = '' THEN 'ok' ELSE 'warn' END AS verdict, rule FROM s QUALIFY row_number() OVER (PARTITION BY run ORDER BY rule = '', event_id) = 1",
