@@ -185,13 +185,14 @@ def with_neighbour(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = sorted(set(marks or []))
     raw = _range_of(F.col("id"), marks, {k: k for k in range(-1, len(marks) + 1)})
     held = {r["k"]: r["first"] for r in ids.select(raw.alias("k"), "id").groupBy("k").agg(F.max("id").alias("first")).collect()}
-    has_null = not rows.filter(F.col("id").isNull()).isEmpty()
+    null_first = rows.filter(F.col("id").isNull()).agg(F.min_by(F.xxhash64("text"), "text")).first()[0]  # the hash of the first text without an id
+    has_null = null_first is not None
     order = sorted(held, reverse=True) + [-1] * has_null  # from the largest ids down, nulls last
     if not order:
         return rows.select("id", "text", F.lit(True).alias("own"))
     dense = {k: j for j, k in enumerate(order)}
     at = _range_of(F.col("id"), marks, {k: dense.get(k, 0) for k in range(-1, len(marks) + 1)})
-    is_first = F.col("id").isin(list(held.values())) | F.col("id").isNull()
+    is_first = F.col("id").isin(list(held.values())) | (F.col("id").isNull() & (F.xxhash64("text") == F.lit(null_first).cast("long")))
     keyed = rows.select("id", "text", at.alias("p"))
     own = F.struct("p", F.lit(True).alias("own"))
     extra = F.struct(F.pmod(F.col("p") - 1, F.lit(len(order))).alias("p"), F.lit(False).alias("own"))

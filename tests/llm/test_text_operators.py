@@ -157,6 +157,20 @@ def test_edited_fingerprints(spark):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+def test_neighbours_of_rows_without_ids_equal_ids_and_repeats(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, None, 1, 2, 2, 3, 40]), "".join(rng.choice("ab") for _ in range(rng.choice([0, 3, 30, 60])))) for _ in range(40)]
+    rows += [(None, "same"), (None, "same"), (40, None), (41, "x" * 100_000), (41, "x" * 100_000)]
+    got = fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    order = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want, sketch = [], fingerprints.Sketcher()
+    for k, (doc, text) in enumerate(order):
+        following, half = order[(k + 1) % len(order)][1], len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        want.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), fingerprints.likeness(sketch.fingerprint(text), sketch.fingerprint(edited))))
+    assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_edited"])) for r in got)
+
+
 def test_spans_over_rows_and_with_the_next_document(spark):
     rng = random.Random(4)
     texts = [None, "", *("".join(rng.choice("ab") for _ in range(n)) for n in (1, 3, 40, 200)), "ab" * 150, "ab" * 150 + "é", "ab" * 140 + "x"]
