@@ -15,10 +15,11 @@ import pandas as pd
 from py4j.protocol import Py4JError
 from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stem import raw_tokens, tokens
+from ..sources.shared import delete_folder, new_folder
 
 #: The best of a list: of so many rows path, content and score.
 Fetch = Callable[[int], DataFrame]
@@ -56,6 +57,27 @@ def _ranked(scored: DataFrame, limit: int, prefix: str | None) -> DataFrame:
     return hits.select("path", "content", "tf", "length", score.alias("score")).orderBy("score", "path").limit(limit)
 
 
+def _ranked_once(docs: DataFrame, scored: DataFrame, limit: int, prefix: str | None) -> DataFrame:
+    """As ``_ranked``, for rows (path, tf, length) that cost too much to be made twice: statistics are observed while the hits are written.
+
+    The ``limit`` best come to the driver; their contents are joined by path, which is taken to be unique.
+    """
+    spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "hits")
+    seen = Observation()
+    counted = scored.observe(seen, F.count("*").alias("n"), F.count_if(F.col("tf") > 0).alias("hits"), F.sum("length").alias("total"))
+    counted.filter("tf > 0").write.parquet(folder)
+    n, count, total = (seen.get[c] or 0 for c in ("n", "hits", "total"))
+    hits = spark.read.schema("path string, tf long, length long").parquet(folder)
+    if prefix:
+        hits = hits.filter(F.col("path").startswith(prefix))
+    score = bm25(F.col("tf"), F.col("length"), n, count, (total / n if n else 1.0) or 1.0)
+    best = hits.select("path", "tf", "length", score.alias("score")).orderBy("score", "path").limit(limit).collect()
+    delete_folder(spark, folder)
+    small = spark.createDataFrame(best, "path string, tf long, length long, score double")
+    texts = docs.select("path", "content").filter(F.col("path").isin([r["path"] for r in best]))
+    return small.join(texts, "path").select("path", "content", "tf", "length", "score").orderBy("score", "path")
+
+
 def search_trigram(docs: DataFrame, query: str, limit: int = 20, prefix: str | None = None) -> DataFrame:
     """Case-folded substring search over path and content: path, content, tf, length, score.
 
@@ -83,10 +105,10 @@ def search_porter(docs: DataFrame, query: str, limit: int = 20, prefix: str | No
         for b in batches:
             rows = [(tokens(c or ""), tokens(p or "")) for c, p in zip(b["content"], b["path"], strict=True)]
             tf = [sum(phrase_count(w, phrase) for w in pair) if phrase else 0 for pair in rows]
-            yield b.assign(tf=tf, length=[len(a) + len(p) for a, p in rows])
+            yield b[["path"]].assign(tf=tf, length=[len(a) + len(p) for a, p in rows])
 
-    scored = docs.select("path", "content").mapInPandas(count, "path string, content string, tf long, length long")
-    return _ranked(scored, limit, prefix)
+    scored = docs.select("path", "content").mapInPandas(count, "path string, tf long, length long")
+    return _ranked_once(docs, scored, limit, prefix)
 
 
 def literal_phrase(query: str) -> str:
