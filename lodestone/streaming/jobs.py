@@ -88,8 +88,11 @@ def reuse_stream(results: DataFrame, session: str, key: str, digest: str, ts: st
     return out.select(F.col("s").alias(session), F.col("o").alias(order), "reused")
 
 
-def keep_last_stream(chunks: DataFrame, key: str, order: str, data: str = "data", limit: int = CAPTURE_BYTES, idle_ms: int = 3_600_000) -> DataFrame:
-    """(key, kept, truncated) after every micro-batch that wrote to a key, in update mode; the state of a key has at most ``limit`` bytes and ends after ``idle_ms``."""
+def keep_last_stream(chunks: DataFrame, key: str, order: str, data: str = "data", limit: int = CAPTURE_BYTES, idle_ms: int | None = None) -> DataFrame:
+    """(key, kept, truncated) after every micro-batch that wrote to a key, in update mode; the state of a key has at most ``limit`` bytes.
+
+    With ``idle_ms`` a key's state ends when nothing was written for so long; such a stream runs on until it is stopped.
+    """
     kind = dict(chunks.dtypes)[key]
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -101,11 +104,12 @@ def keep_last_stream(chunks: DataFrame, key: str, order: str, data: str = "data"
         for d in rows["d"]:
             kept.write(bytes(d))
         state.update((kept.held, kept.truncated))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"k": [k[0]], "kept": [kept.text()], "truncated": [kept.truncated]})
 
     rows = chunks.select(F.col(key).alias("k"), F.col(order).alias("o"), F.coalesce(F.col(data).cast("binary"), F.lit(b"")).alias("d"))
-    out = rows.groupBy("k").applyInPandasWithState(step, f"k {kind}, kept string, truncated boolean", "held binary, truncated boolean", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    out = rows.groupBy("k").applyInPandasWithState(step, f"k {kind}, kept string, truncated boolean", "held binary, truncated boolean", "update", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
     return out.select(F.col("k").alias(key), "kept", "truncated")
 
 
