@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,32 @@ def test_only_the_folders_of_the_terms_are_read(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [" in plan and "docs" not in plan.split("Location")[1][:200]
 
 
+def test_places_are_kept_in_little_more_than_a_byte():
+    rng = np.random.default_rng(5)
+    for spread in (1, 3, 50, 10_000):
+        lists = [np.sort(rng.choice(spread * n + 5, n, replace=False)) for n in rng.integers(1, 300, 40)] + [np.array([0]), np.array([2**31 + 7]), np.arange(9), np.array([0, 1, 2, 1_000_000])]
+        counts = np.array([len(x) for x in lists])
+        bits, edges, data = index.encode(np.concatenate(lists), counts)
+        for k, x in enumerate(lists):
+            assert index.decode(len(x), int(bits[k]), data[edges[k] : edges[k + 1]].tobytes()).tolist() == x.tolist()
+            assert (edges[k + 1] - edges[k]) * 8 <= len(x) * (np.log2(max(1, x[-1] / len(x))) + 4) + 16
+
+
+def test_a_posting_is_a_row_per_term_and_block(spark, tmp_path):
+    """Long documents, over several blocks: a row per document and term, each with its path, made the shuffle many times the texts."""
+    texts = [(f"d/{k:02d}", " ".join(random.Random(k).choices(WORDS[:9], k=2000))) for k in range(60)] + [("long/1", "cat over " * 150_000), ("long/2", None), ("long/3", "the cat")]
+    docs, folder = spark.createDataFrame(texts, "path string, content string").coalesce(1), f"{tmp_path}/i"
+    v = index.build(docs, folder)
+    where = f"{folder}/segments/{v.segments[0][1]}"
+    placed = spark.read.parquet(f"{where}/docs")
+    assert placed.select("block").distinct().count() == 3
+    for kind, total in (("words", v.words), ("grams", v.grams)):
+        rows = spark.read.parquet(f"{where}/{kind}")
+        assert rows.count() == rows.select("term", "block").distinct().count() and rows.agg(F.sum("n")).first()[0] == total
+        assert "path" not in rows.columns and rows.agg(F.sum(F.octet_length("data"))).first()[0] < 1.5 * total
+    same(spark, folder, docs, ("cat over", "over cat", "the dog", "at o", "t over c"))
+
+
 def test_cover():
     rng = random.Random(2)
     for _ in range(200):
