@@ -6,6 +6,7 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -183,23 +184,23 @@ def fnv1a64(raw: bytes) -> str:
     return f"{h:016x}"
 
 
-@F.pandas_udf(T.StringType())
-def fnv64(texts: pd.Series) -> pd.Series:
-    """FNV-1a of 64 bits in hexadecimal: byte by byte, but of all texts of a batch at once, the longest first."""
-    raw = [b"" if x is None else x.encode() for x in texts]
-    order = sorted(range(len(raw)), key=lambda k: -len(raw[k]))
-    sizes = np.array([len(raw[k]) for k in order])
-    data = np.frombuffer(b"".join(raw[k] for k in order), np.uint8)
-    start, h = np.cumsum(sizes) - sizes, np.full(len(raw), 0xCBF29CE484222325, np.uint64)
-    longer = len(raw)
-    for k in range(int(sizes[0]) if len(raw) else 0):
+@F.arrow_udf(T.StringType())
+def fnv64(texts: pa.Array) -> pa.Array:
+    """FNV-1a of 64 bits in hexadecimal: byte by byte, but of all texts of a batch at once, the longest first, where they lie in the batch."""
+    texts = texts.cast(pa.large_string())
+    _, offsets, bytes_ = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(bytes_ or b"", np.uint8)
+    order = np.argsort(at[:-1] - at[1:], kind="stable")
+    sizes, start = np.diff(at)[order], at[:-1][order]
+    h, longer = np.full(len(order), 0xCBF29CE484222325, np.uint64), len(order)
+    for k in range(int(sizes[0]) if len(order) else 0):
         while sizes[longer - 1] <= k:
             longer -= 1
         h[:longer] = (h[:longer] ^ data[start[:longer] + k]) * np.uint64(0x100000001B3)
-    out: list[str | None] = [None] * len(raw)
-    for place, k in enumerate(order):
-        out[k] = None if texts.iloc[k] is None else f"{int(h[place]):016x}"
-    return pd.Series(out, dtype=object)
+    back = np.empty_like(h)
+    back[order] = h
+    return pa.array([None if gone else f"{int(x):016x}" for x, gone in zip(back, texts.is_null().to_pylist(), strict=True)], pa.string())
 
 
 def _indent(text: str) -> str:
@@ -241,7 +242,7 @@ def _indent(text: str) -> str:
     return "".join(out)
 
 
-format_json = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else _indent(x)), T.StringType())
+format_json = F.udf(lambda x: None if x is None else _indent(x), T.StringType(), useArrow=False)
 
 
 def _unwrap(text: str, depth: int = 3) -> str:
