@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,7 +99,8 @@ def markdown(html: str) -> str:
     return "\n".join(out).strip()
 
 
-html_to_markdown = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else markdown(x)), T.StringType())
+#: By rows, as ``chunks_of``: Arrow batches would hold ten thousand whole texts at a time in a worker.
+html_to_markdown = F.udf(lambda x: None if x is None else markdown(x), T.StringType(), useArrow=False)
 
 
 def _pieces(text: str, limit: int) -> list[str]:
@@ -138,9 +138,7 @@ def chunk(text: str, limit: int = CHUNK_BYTES) -> list[str]:
     return out or [text]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def chunks_of(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: None if x is None else chunk(x))
+chunks_of = F.udf(lambda x: None if x is None else chunk(x), T.ArrayType(T.StringType()), useArrow=False)
 
 
 def chunk_documents(docs: DataFrame, path_col: str = "path", text_col: str = "content") -> DataFrame:
@@ -152,7 +150,8 @@ def processed(body: Column, content_type: Column) -> Column:
     """Indented JSON, Markdown of HTML (by type or by look), or the text itself."""
     kind = F.lower(F.coalesce(content_type, F.lit("")))
     is_html = kind.contains("text/html") | kind.contains("application/xhtml") | ((kind == "") & looks_like_html(body))
-    return F.when(kind.contains("json"), format_json(body)).when(is_html, html_to_markdown(body)).otherwise(body)
+    is_json = kind.contains("json")
+    return F.when(is_json, format_json(F.when(is_json, body))).when(is_html, html_to_markdown(F.when(is_html & ~is_json, body))).otherwise(body)
 
 
 def bare_content_type(header: Column) -> Column:
@@ -181,7 +180,7 @@ def response_texts(responses: DataFrame, max_bytes: int = BODY_BYTES) -> DataFra
         .when(json & F.col("truncated"), F.lit("JSON was cut at the size limit"))
     )
     with_error = read.withColumn("error", error).withColumn("_json", json & F.col("error").isNull()).withColumn("_html", to_markdown & F.col("error").isNull())
-    content = F.when(F.col("error").isNotNull(), F.lit(None)).when(F.col("_json"), format_json(F.col("_body"))).when(F.col("_html"), html_to_markdown(F.col("_body"))).otherwise(F.col("_body"))
+    content = F.when(F.col("error").isNotNull(), F.lit(None)).when(F.col("_json"), format_json(F.when(F.col("_json"), F.col("_body")))).when(F.col("_html"), html_to_markdown(F.when(F.col("_html"), F.col("_body")))).otherwise(F.col("_body"))
     return with_error.withColumn("content", content).drop("_ok", "_body", "_json", "_html", "body", "status", "format")
 
 

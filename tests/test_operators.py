@@ -1,9 +1,11 @@
 import random
 import sqlite3
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import text
 from lodestone.operators import grep, ingest, search, store, usage
 from lodestone.sources import tables
 
@@ -213,3 +215,18 @@ def test_snippet_window_is_the_best_of_all(spark, tmp_path):
     frame(spark, docs, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
     got = [r["boosted"] for r in q.kb_search_proximity_snippet(spark, str(tmp_path)).collect()]
     assert len(got) == 2 and all(b % 1 > 0 for b in got)  # a hit behind 200 characters counts
+
+
+def test_whole_texts_reach_python_by_rows(spark):
+    """In Arrow batches a worker held ten thousand whole texts, and what it made of them, at once."""
+    docs = spark.createDataFrame([("a", "alpha beta", 200, "text/html", "<p>alpha</p>", "")], "path string, content string, status int, content_type string, body string, format string")
+    for made in (ingest.chunk_documents(docs), ingest.response_texts(docs)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan and made.count() == 1
+    assert [r["tf"] for r in search.search_porter(docs, "alpha beta").collect()] == [1]
+
+
+def test_fnv_reads_texts_where_they_lie():
+    texts = pa.array(["x", "", None, "foobar", "界" * 3, "a" * 500])
+    for part in (texts, texts.slice(2, 3), texts.slice(0, 0)):
+        assert text.fnv64.func(part).to_pylist() == [None if x is None else text.fnv1a64(x.encode()) for x in part.to_pylist()]
