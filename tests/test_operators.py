@@ -230,3 +230,13 @@ def test_fnv_reads_texts_where_they_lie():
     texts = pa.array(["x", "", None, "foobar", "界" * 3, "a" * 500])
     for part in (texts, texts.slice(2, 3), texts.slice(0, 0)):
         assert text.fnv64.func(part).to_pylist() == [None if x is None else text.fnv1a64(x.encode()) for x in part.to_pylist()]
+
+
+def test_stemmed_search_counts_by_rows(spark, monkeypatch):
+    seen, real = [], search._ranked_once
+    monkeypatch.setattr(search, "_ranked_once", lambda docs, scored, *more: seen.append(scored) or real(docs, scored, *more))
+    docs = spark.createDataFrame([("a/dog", "the dogs ran"), ("b", None), (None, "dog dog")], "path string, content string")
+    got = search.search_porter(docs.filter("path IS NOT NULL"), "dog").collect()
+    assert [(r["path"], r["tf"], r["length"]) for r in got] == [("a/dog", 2, 5)]
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchEvalPython") == 1 and "InPandas" not in plan
