@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -97,6 +98,71 @@ def test_segmentations_are_a_sample_without_replacement():
             assert abs(weight[ids] / n - p) < 0.03
 
 
+def every_segmentation(vocab, text):
+    out = [((), 0.0)]
+    for chunk in vocab.chunks(text):
+        lattice, ways = vocab.word(chunk), [[] for _ in range(len(chunk))] + [[((), 0.0)]]
+        for k in range(len(chunk) - 1, -1, -1):
+            ways[k] = [(ids + rest, lp + more) for _, lp, ids, end in lattice[k] for rest, more in ways[end]]
+        out = [(a + b, x + y) for a, x in out for b, y in ways[0]]
+    return {ids: math.exp(lp) for ids, lp in out}
+
+
+@pytest.mark.parametrize("near, far", [(24, 5.0), (1, 0.0), (0, 0.0)])
+def test_segmentation_law_whatever_is_searched_at_once(monkeypatch, near, far):
+    """Siblings as hypotheses of their own, or all together until they are popped: the law is the same."""
+    monkeypatch.setattr(segmentation, "NEAR", near)
+    monkeypatch.setattr(segmentation, "FAR", far)
+    vocab, n = segmentation.Pieces(MODEL), 3000
+    exact = every_segmentation(vocab, "re an")
+    first, weight = Counter(), Counter()
+    got = segmentation.sample_texts(vocab, ["re an"] * n, 3, [segmentation.row_rng(2, k) for k in range(n)])
+    assert got.count == [3] * n
+    ids = [tuple(got.ids[a:b].tolist()) for a, b in zip(got.ends, got.ends[1:], strict=False)]
+    for k, (draw, lp, inc) in enumerate(zip(ids, got.log_prob, got.log_inclusion, strict=True)):
+        first[draw] += k % 3 == 0
+        weight[draw] += math.exp(lp - inc)
+        assert math.isclose(math.exp(lp), exact[draw], rel_tol=1e-9)
+    assert all(len({*ids[k : k + 3]}) == 3 for k in range(0, 3 * n, 3))
+    for draw, p in exact.items():
+        assert abs(first[draw] / n - p) < 0.04 and (p < 0.02 or abs(weight[draw] / n - p) < 0.04)
+    few = segmentation.sample(vocab, "of\n", 10_000, segmentation.row_rng(0, 1))
+    assert {tuple(d[0]) for d in few} == set(every_segmentation(vocab, "of\n")) and all(d[2] == 0 for d in few)
+
+
+def test_segmentation_is_the_same_alone_together_and_with_an_emptied_table(monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abe r.\n▁é日\U0001f600") for _ in range(rng.choice([0, 1, 4, 30, 400]))) for _ in range(60)]
+    vocab = segmentation.Pieces(MODEL)
+    got = segmentation.sample_texts(vocab, texts, 3, [segmentation.row_rng(0, k) for k in range(60)])
+    row = [k for k, c in enumerate(got.count) for _ in range(c)]
+    assert all(vocab.round_trips(got.ids, got.ends, [texts[r] for r in row]))
+    together = [(r, got.ids[a:b].tolist(), lp, inc) for r, a, b, lp, inc in zip(row, got.ends, got.ends[1:], got.log_prob, got.log_inclusion, strict=False)]
+    monkeypatch.setattr(segmentation, "CACHE_BYTES", 0)
+    assert together == [(k, *d) for k, t in enumerate(texts) for d in segmentation.sample(vocab, t, 3, segmentation.row_rng(0, k))]
+    wrong = got.ids.copy()
+    wrong[got.ends[3]] = wrong[got.ends[3] + 1] + 1
+    assert not all(vocab.round_trips(wrong, got.ends, [texts[r] for r in row]))
+
+
+def test_chunks_with_clashing_hashes_stay_apart(monkeypatch):
+    monkeypatch.setattr(segmentation, "_mix", lambda x: x * np.uint64(0))
+    chunks = ["▁a", "▁b", "▁a", "▁abc", "▁b"]
+    marked, starts = "".join(chunks), np.cumsum([0, *map(len, chunks)])
+    lead, which = segmentation._alike(np.frombuffer(marked.encode("utf-32-le"), np.uint32), starts)
+    assert [chunks[lead[k]] for k in which] == chunks
+
+
+def test_segmentation_takes_little_time():
+    """A search edge by edge in Python took some 5 CPU seconds for a megabyte of words."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice(["er", "ung", "a", "ti", "on", "en", "s", "que"]) for _ in range(rng.randint(1, 5))) for _ in range(20_000)]
+    text = " ".join(rng.choice(words) for _ in range(150_000))
+    vocab, start = segmentation.Pieces(MODEL), time.process_time()
+    assert len(segmentation.sample(vocab, text, 3, segmentation.row_rng(0, 1))) == 3
+    assert time.process_time() - start < 2.5 * len(text) / 1e6
+
+
 def test_segmentation_round_trip(spark):
     texts = ["", None, "  two", "a▁b", "日本 語\n", "x\x00", "tail ", "y" * 3000, "\uffff"]
     rows = [(k, 0, t, 1) for k, t in enumerate(texts)] + [(None, None, "null key", 1)]
