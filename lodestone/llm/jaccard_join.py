@@ -46,6 +46,8 @@ BUCKET_KEYS = 2_000_000
 BLOCK = 2048
 #: Up to so many texts are picked with a broadcast bitmap (16 bits each), more with a join.
 BITMAP_TEXTS = 4 << 20
+#: Pairs of two components that are verified at first, nearest ones; eight times as many in each further round, in the groups that have more.
+NEAREST = 4
 KEY_BITS = 40
 U = np.uint64
 _MIX = U(0xC2B2AE3D27D4EB4F)
@@ -457,16 +459,20 @@ def _choose(units: DataFrame, buckets: int) -> DataFrame:
     return dealt.mapInArrow(run, "key long, s1 long, n long, band int, least long, score double")
 
 
+def _held(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose hash k is among those of ``wanted``, before they are shuffled: by a broadcast bitmap, which lets some more pass, or of very many by a join."""
+    count = wanted.count()
+    if count > BITMAP_TEXTS:
+        return rows.join(wanted.select("k").distinct(), "k", "left_semi")
+    mask = (1 << max(10, (16 * count).bit_length())) - 1
+    word, bit = F.expr(f"shiftright(k & {mask}L, 6)"), F.expr("shiftleft(1L, cast(k & 63 as int))")
+    bitmap = wanted.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("set"))
+    return rows.withColumn("w", word).join(F.broadcast(bitmap), "w").filter(F.col("set").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def _sets(rows: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
     """(s1, n, bits, elements) of the sets in ``wanted`` (s1, s2, k), recomputed from the texts of the rows with hash k."""
-    texts, count = rows.select("k", "text"), wanted.count()
-    if count <= BITMAP_TEXTS:
-        mask = (1 << max(10, (16 * count).bit_length())) - 1
-        word, bit = F.expr(f"shiftright(k & {mask}L, 6)"), F.expr("shiftleft(1L, cast(k & 63 as int))")
-        bitmap = wanted.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("set"))
-        texts = texts.withColumn("w", word).join(F.broadcast(bitmap), "w").filter(F.col("set").bitwiseAND(bit) != 0).select("k", "text")
-    else:
-        texts = texts.join(wanted.select("k").distinct(), "k", "left_semi")
+    texts = _held(rows.select("k", "text"), wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -554,12 +560,17 @@ def _possible_pairs(s1: np.ndarray, n: np.ndarray, least: np.ndarray, comp: np.n
 
 
 def _across(live: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
-    """(a, b, more) for the live groups' members (g, band, s1, n, least, comp): step 4. Groups of more than BLOCK sets are compared block by block."""
+    """(a, b, more) for the live groups' members (g, band, s1, n, least, comp): step 4. Groups of more than BLOCK sets are compared block by block.
+
+    A row with ``more`` holds the g and band of a group that has further pairs.
+    """
     blocks = live.groupBy("g", "band").agg(F.count("*").alias("m")).select("g", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     own = live.join(blocks, ["g", "band"]).withColumn("block", F.expr("cast(pmod(xxhash64(s1), blocks) as int)"))
     pairs = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = pairs.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
-    dealt = pairs.join(sets.select("s1", "bits"), "s1").select("g", "band", "x", "y", "block", "s1", "n", "least", "comp", "bits")
+    hashed = F.xxhash64("s1").alias("k")
+    bits_of = _held(sets.select("s1", "bits", hashed), live.select(hashed)).drop("k")
+    dealt = pairs.join(bits_of, "s1").select("g", "band", "x", "y", "block", "s1", "n", "least", "comp", "bits")
     count = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(count, "g", "band", "x", "y").sortWithinPartitions("g", "band", "x", "y")
 
@@ -571,10 +582,12 @@ def _across(live: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
             left, right = np.flatnonzero(block == head[2]), np.flatnonzero(block == head[3])
             a, b, more = _possible_pairs(s1, n, least, comp, table, left, left if head[2] == head[3] else right, limit)
             if more:
-                a, b = np.append(a, 0), np.append(b, 0)
+                a, b = np.append(np.minimum(a, b), head[0]), np.append(np.maximum(a, b), head[1])
+            else:
+                a, b = np.minimum(a, b), np.maximum(a, b)
             flag = np.zeros(len(a), bool)
             flag[len(a) - 1 :] = more
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(flag)], names=["a", "b", "more"])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(flag)], names=["a", "b", "more"])
 
         head, parts, bits = None, [], []
         for batch in batches:
@@ -633,10 +646,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = scratch.put(_near(edges, sets), "near")
     links = scratch.put(_linked(near, sets), "links")
     comps = connected_components(links, scratch)
-    limit = 4
+    limit, again = NEAREST, None
     while True:
         placed = members.join(comps.select(F.col("node").alias("s1"), "comp"), "s1", "left").withColumn("comp", F.coalesce("comp", "s1"))
         mixed = placed.groupBy("g", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("g", "band")
+        if again is not None:  # of the other groups every possible pair has been verified
+            mixed = mixed.join(again, ["g", "band"], "left_semi")
         live = scratch.put(placed.join(mixed, ["g", "band"], "left_semi"), "live")
         found = scratch.put(_across(live, sets, limit).distinct(), "possible")
         possible = found.filter("NOT more").select("a", "b").join(near, ["a", "b"], "left_anti")
@@ -644,7 +659,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if not new.isEmpty():
             links = links.union(new)
             comps = connected_components(links, scratch)
-        if found.filter("more").isEmpty():
+        again = found.filter("more").select(F.col("a").alias("g"), F.col("b").cast("int").alias("band"))
+        if again.isEmpty():
             break
         limit *= 8
 

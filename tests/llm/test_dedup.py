@@ -114,6 +114,39 @@ def test_jaccard_components(spark, make):
     assert sorted(map(tuple, got), key=key) == sorted(brute_jaccard(rows), key=key)
 
 
+def unlinked_copies():
+    """Groups of texts that share much but not enough, beside the star of copies."""
+    rng, rows = random.Random(8), star_of_copies()
+    for g in range(6):
+        passage = [f"p{g}-{k}" for k in range(70)]
+        rows += [(1000 + 10 * g + k, " ".join([*passage, *(f"q{rng.random()}" for _ in range(14))])) for k in range(4)]
+    return rows
+
+
+def test_further_rounds_take_only_groups_with_more_pairs(spark, monkeypatch):
+    """And only the sketches of these groups' sets are shuffled to them."""
+    rounds, across, held, passed = [], jaccard_join._across, jaccard_join._held, []
+
+    def watched(live, sets, limit):
+        found = across(live, sets, limit)
+        rounds.append((live.select("g", "band").distinct().collect(), {(r["a"], r["b"]) for r in found.filter("more").collect()}))
+        return found
+
+    def counted(some, wanted):
+        passed.append((some.count(), (out := held(some, wanted)).count(), wanted.distinct().count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_across", watched)
+    monkeypatch.setattr(jaccard_join, "_held", counted)
+    monkeypatch.setattr(jaccard_join, "NEAREST", 1)
+    rows = unlinked_copies()
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_jaccard(rows))
+    assert len(rounds) > 1 and len(rounds[1][0]) < len(rounds[0][0])
+    assert all(set(map(tuple, now[0])) <= before[1] for before, now in itertools.pairwise(rounds))
+    assert all(wanted <= out <= wanted + some // 4 for some, out, wanted in passed[1:])
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert [tuple(r) for r in jaccard_join.jaccard_components(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()] == [(1, 0, 1)]
